@@ -1 +1,105 @@
-"""Registered queries."""
+"""Scan, copy, watermark and message queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..session import scratch_path
+from ..sources.connectors import Source, read_table, write_table
+from ..sources.incremental import SyncSpec, batch_stats, read_increment
+from ..sources.messages import bounded_slice, keyed_json
+from ..sources.tables import table
+from . import params as P
+from .catalogue import query
+
+ID_SPEC = SyncSpec("events_by_id", "inc", "event_id", "int", str(P.ID_WATERMARK))
+TIME_SPEC = SyncSpec("events_by_time", "inc", "ts", "datetime", P.TIME_WATERMARK)
+DATE_SPEC = SyncSpec("orders_by_day", "inc", "o_orderdate", "date", P.DATE_WATERMARK)
+
+
+@query("incremental_id_scan", "A1 A3", f"""
+SELECT * FROM events WHERE event_id > {P.ID_WATERMARK}
+""")
+def incremental_id_scan(spark, sf_dir):
+    """Rows after the id watermark (``c > wm``, no upper bound)."""
+    return read_increment(table(spark, sf_dir, "events"), ID_SPEC)
+
+
+@query("incremental_datetime_scan", "A4", f"""
+SELECT * FROM events
+WHERE ts > TIMESTAMP '{P.TIME_WATERMARK}' AND ts <= TIMESTAMP '{P.TIME_UPPER}'
+""")
+def incremental_datetime_scan(spark, sf_dir):
+    """``wm < ts <= upper``: half-open below, closed above."""
+    return read_increment(table(spark, sf_dir, "events"), TIME_SPEC, upper=P.TIME_UPPER)
+
+
+@query("incremental_date_scan", "A5 K11", f"""
+SELECT * FROM orders
+WHERE CAST(o_orderdate AS DATE) > DATE '{P.DATE_WATERMARK}'
+  AND CAST(o_orderdate AS DATE) <= DATE '{P.DATE_RUN_DAY}' - INTERVAL 1 DAY
+""")
+def incremental_date_scan(spark, sf_dir):
+    """Whole days after the date watermark up to the day before the run day."""
+    return read_increment(table(spark, sf_dir, "orders"), DATE_SPEC, run_day=P.DATE_RUN_DAY)
+
+
+@query("full_copy", "A2 B1", """
+SELECT * FROM customer
+""")
+def full_copy(spark, sf_dir):
+    """Copy ``customer`` in full to a fresh target folder and read it back."""
+    target = Source("files", path=scratch_path(spark, "full_copy"))
+    src = Source("files", path=sf_dir)
+    df = read_table(spark, src, "customer.parquet")
+    write_table(df, target, "customer", mode="append")
+    return read_table(spark, target, "customer")
+
+
+@query("bounded_offset_read", "A7", f"""
+SELECT * FROM events WHERE event_id > {P.OFFSET_START}
+ORDER BY event_id LIMIT {P.OFFSET_MAX}
+""")
+def bounded_offset_read(spark, sf_dir):
+    """At most 1,000 records after offset 99 (the id is the log offset)."""
+    return bounded_slice(table(spark, sf_dir, "events"), "event_id", P.OFFSET_START, P.OFFSET_MAX)
+
+
+@query("next_watermark", "C3 C4 C6 G2", f"""
+SELECT 'events_by_id' AS task, 'int' AS inc_column_type, count(*) AS batch_rows,
+       COALESCE(CAST(max(event_id) AS VARCHAR), '{P.ID_WATERMARK}') AS next_watermark
+FROM events WHERE event_id > {P.ID_WATERMARK}
+UNION ALL
+SELECT 'events_by_time', 'datetime', count(*), '{P.TIME_UPPER}'
+FROM events WHERE ts > TIMESTAMP '{P.TIME_WATERMARK}' AND ts <= TIMESTAMP '{P.TIME_UPPER}'
+UNION ALL
+SELECT 'orders_by_day', 'date', count(*),
+       CAST(DATE '{P.DATE_RUN_DAY}' - INTERVAL 1 DAY AS DATE)::VARCHAR
+FROM orders WHERE CAST(o_orderdate AS DATE) > DATE '{P.DATE_WATERMARK}'
+  AND CAST(o_orderdate AS DATE) <= DATE '{P.DATE_RUN_DAY}' - INTERVAL 1 DAY
+""")
+def next_watermark(spark, sf_dir):
+    """One row per sync: batch size and the watermark to commit after the write."""
+    ev = table(spark, sf_dir, "events")
+    orders = table(spark, sf_dir, "orders")
+    a = batch_stats(read_increment(ev, ID_SPEC), ID_SPEC)
+    b = batch_stats(read_increment(ev, TIME_SPEC, upper=P.TIME_UPPER), TIME_SPEC, upper=P.TIME_UPPER)
+    c = batch_stats(read_increment(orders, DATE_SPEC, run_day=P.DATE_RUN_DAY), DATE_SPEC,
+                    run_day=P.DATE_RUN_DAY)
+    return a.unionByName(b).unionByName(c)
+
+
+@query("to_keyed_json", "B5 K2 K8 J3", """
+SELECT event_type AS topic, CAST(user_id AS VARCHAR) AS key,
+       '{"event_id":' || event_id
+       || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')
+       || '","user_id":' || user_id
+       || ',"event_type":' || to_json(event_type)
+       || ',"value":' || CAST(value AS VARCHAR)
+       || ',"props":' || to_json(props) || '}' AS value
+FROM events
+""")
+def to_keyed_json(spark, sf_dir):
+    """One message per event: topic = event type, key = device, value = row JSON."""
+    ev = table(spark, sf_dir, "events")
+    return keyed_json(ev, "user_id", topic=F.col("event_type"))
