@@ -90,3 +90,10 @@ def lower_camel(name: str) -> str:
     """``user_login_count`` -> ``userLoginCount`` (first letter lower-cased)."""
     s = _CAMEL.sub(lambda m: m.group(1).upper(), name)
     return s[:1].lower() + s[1:]
+
+
+def seconds_exact(start, end) -> Column:
+    """Elapsed seconds with microseconds, as double (``end - start``)."""
+    s = _col(start).cast("timestamp")
+    e = _col(end).cast("timestamp")
+    return (F.unix_micros(e) - F.unix_micros(s)) / F.lit(1e6)

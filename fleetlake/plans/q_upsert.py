@@ -1 +1,86 @@
-"""Registered queries."""
+"""Metric-table queries: keyed upsert, range query, suffix typing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scalars import datetime_text, exact_sum, narrow_decimal, seconds_exact
+from ..operators.predicates import closed_range, dynamic_filters, where
+from ..operators.projection import cast_by_suffix, select_keys_metric
+from ..sinks.upsert import stamp, upsert
+from ..sources.tables import table
+from . import params as P
+from .catalogue import query
+
+KEYS = ["user_id", "event_type"]
+
+
+def metric_batch(ev, run_ts):
+    """Metric rows of one batch: one per (device, event type), stamped."""
+    agg = ev.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("event_count"),
+        F.sum(F.col("value").cast("decimal(18,2)")).alias("total_value"),
+        F.max("ts").alias("last_event_time"))
+    # K6: the store keeps plain floats.
+    return stamp(agg.withColumn("total_value", narrow_decimal("total_value")), run_ts)
+
+
+_BATCH_SQL = """
+SELECT user_id, event_type, count(*) AS event_count,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value,
+       max(ts) AS last_event_time, '{stamp}' AS created_at
+FROM events WHERE {where} GROUP BY user_id, event_type
+"""
+
+
+@query("metric_upsert", "B3 B4 H1 K6 F6", f"""
+WITH o AS ({_BATCH_SQL.format(stamp=P.OLD_STAMP, where=f"event_id < {P.UPSERT_OLD_BELOW}")}),
+     n AS ({_BATCH_SQL.format(stamp=P.NEW_STAMP, where=f"event_id >= {P.UPSERT_NEW_FROM}")})
+SELECT * FROM n
+UNION ALL
+SELECT * FROM o WHERE NOT EXISTS
+  (SELECT 1 FROM n WHERE n.user_id = o.user_id AND n.event_type = o.event_type)
+""")
+def metric_upsert(spark, sf_dir):
+    """Old metric table (ids < 8000) upserted with a new batch (ids >= 6000)."""
+    ev = table(spark, sf_dir, "events")
+    old = metric_batch(ev.filter(F.col("event_id") < P.UPSERT_OLD_BELOW), P.OLD_STAMP)
+    new = metric_batch(ev.filter(F.col("event_id") >= P.UPSERT_NEW_FROM), P.NEW_STAMP)
+    return upsert(old, new, KEYS)
+
+
+@query("metric_range_query", "D5 E8 A9 E2", f"""
+SELECT ts, user_id, event_type, value FROM events
+WHERE ts >= TIMESTAMP '{P.EVENT_START} 00:00:00' AND ts <= TIMESTAMP '{P.EVENT_END} 00:00:00'
+  AND event_type = 'purchase'
+""")
+def metric_range_query(spark, sf_dir):
+    """Keys + default metric over a closed time range with dynamic filters
+    (a null filter value is skipped)."""
+    ev = table(spark, sf_dir, "events")
+    rows = where(ev, closed_range("ts", P.EVENT_START, P.EVENT_END),
+                 dynamic_filters(ev, {"EVENT_TYPE": "purchase", "user_id": None}))
+    return select_keys_metric(rows, ["ts", "user_id", "event_type"], value_columns=["value", "props"])
+
+
+@query("infer_metric_types", "D6 D3 B4", f"""
+SELECT user_id, event_type, count(*) AS event_count,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_value,
+       (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS active_duration,
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen,
+       '{P.NEW_STAMP}' AS created_at
+FROM events GROUP BY user_id, event_type
+""")
+def infer_metric_types(spark, sf_dir):
+    """Metric rows arriving as text under configured upper-case names, typed by
+    name suffix (``*_ID``/``*_COUNT`` long, ``AVG_*``/``*_DURATION`` double)."""
+    ev = table(spark, sf_dir, "events")
+    raw = ev.groupBy("user_id", "event_type").agg(
+        F.count(F.lit(1)).cast("string").alias("EVENT_COUNT"),
+        (exact_sum("value") / F.count(F.lit(1))).cast("string").alias("AVG_VALUE"),
+        seconds_exact(F.min("ts"), F.max("ts")).cast("string").alias("ACTIVE_DURATION"),
+        datetime_text(F.max("ts")).alias("LAST_SEEN"))
+    raw = raw.select(F.col("user_id").cast("string").alias("USER_ID"),
+                     F.col("event_type").alias("EVENT_TYPE"),
+                     "EVENT_COUNT", "AVG_VALUE", "ACTIVE_DURATION", "LAST_SEEN")
+    return stamp(cast_by_suffix(raw), P.NEW_STAMP)
