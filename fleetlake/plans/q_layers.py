@@ -1 +1,228 @@
-"""Registered queries."""
+"""Layer queries: device documents (ODS -> DWD), quality, roll-ups (ADS), retention."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.quality import Rule, error_summary, flag_rules
+from ..operators.rollups import batch_volume as volume, cube_rollup, sliding_rollup as sliding
+from ..operators.rollups import status_counts, time_rollup
+from ..sources.documents import STATUSES, alerts_long, documents_from_events, flatten, metrics_long
+from ..sources.documents import parse_documents
+from ..sources.tables import table
+from . import params as P
+from .catalogue import query
+from .layers import retention
+from .standins import props_k
+
+KNOWN_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+DOC_SQL = """
+WITH d AS (
+  SELECT event_id AS doc_id, event_type, user_id, ts, value,
+         TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+         upper(substr(event_type, 1, 3)) || '-' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS device_id
+  FROM events)
+"""
+
+
+def _docs(spark, sf_dir):
+    """ODS: raw JSON documents, read back with the explicit schema (DWD input)."""
+    return parse_documents(documents_from_events(table(spark, sf_dir, "events")))
+
+
+@query("device_doc_flatten", "A8 D10 K10", DOC_SQL + """
+SELECT doc_id, device_id, date_trunc('second', ts) AS event_time, event_type AS device_type,
+       '192.168.' || CAST(user_id % 256 AS VARCHAR) || '.' || CAST(k % 254 + 1 AS VARCHAR) AS ip_address,
+       (['online', 'offline', 'fault', 'maintenance'])[k % 4 + 1] AS status,
+       'district_' || CAST(user_id % 8 AS VARCHAR) AS district,
+       'street_' || CAST(user_id % 13 AS VARCHAR) AS street,
+       CAST(39.9 AS DOUBLE) + CAST((user_id % 200) - 100 AS DOUBLE) / CAST(1000.0 AS DOUBLE) AS latitude,
+       CAST(116.3 AS DOUBLE) + CAST((user_id % 150) - 75 AS DOUBLE) / CAST(1000.0 AS DOUBLE) AS longitude,
+       TRY_CAST(rtrim(CASE WHEN k % 10 = 0 THEN '%' WHEN k % 10 = 1 THEN 'n/a%'
+                           WHEN k % 10 = 2 THEN NULL ELSE CAST(k AS VARCHAR) || '%' END, '%') AS INTEGER)
+         AS battery_pct,
+       CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 3 WHEN 'error' THEN 3 ELSE 2 END
+         AS n_metrics,
+       CASE WHEN event_type = 'error' THEN 1 + k % 2 ELSE 0 END AS n_alerts
+FROM d
+""")
+def device_doc_flatten(spark, sf_dir):
+    """Nested device documents flattened to one detail row each."""
+    return flatten(_docs(spark, sf_dir))
+
+
+@query("metrics_long", "D10 K9", DOC_SQL + """
+SELECT doc_id, device_id, event_type AS device_type, 'value' AS metric, value AS metric_value FROM d
+UNION ALL
+SELECT doc_id, device_id, event_type, 'k', CAST(k AS DOUBLE) FROM d WHERE event_type <> 'signup'
+UNION ALL
+SELECT doc_id, device_id, event_type, 'amount_bucket', CAST(floor(value / 10) AS DOUBLE)
+FROM d WHERE event_type = 'purchase'
+UNION ALL
+SELECT doc_id, device_id, event_type, 'error_code', CAST(k % 7 AS DOUBLE)
+FROM d WHERE event_type = 'error'
+""")
+def metrics_long_q(spark, sf_dir):
+    """The per-type metrics map exploded to long form."""
+    return metrics_long(_docs(spark, sf_dir))
+
+
+@query("alerts_explode", "D10", DOC_SQL + """
+SELECT doc_id, device_id, 'ALT-' || CAST(doc_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS alert_id,
+       (['low', 'medium', 'high', 'critical'])[(k + i) % 4 + 1] AS severity,
+       'code ' || CAST(k AS VARCHAR) AS message, date_trunc('second', ts) AS alert_time
+FROM (SELECT *, unnest(generate_series(0, k % 2)) AS i FROM d WHERE event_type = 'error') x
+""")
+def alerts_explode(spark, sf_dir):
+    """One row per alert of the documents that carry alerts."""
+    return alerts_long(_docs(spark, sf_dir))
+
+
+@query("percent_parse", "K10", """
+WITH d AS (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+b AS (SELECT event_id AS doc_id,
+             CASE WHEN k % 10 = 0 THEN '%' WHEN k % 10 = 1 THEN 'n/a%'
+                  WHEN k % 10 = 2 THEN NULL ELSE CAST(k AS VARCHAR) || '%' END AS battery_level
+      FROM d)
+SELECT doc_id, battery_level, TRY_CAST(rtrim(battery_level, '%') AS INTEGER) AS battery_pct FROM b
+""")
+def percent_parse(spark, sf_dir):
+    """Percent text (``"55%"``) to a number; anything else to null."""
+    from ..functions.scalars import percent_value
+    docs = _docs(spark, sf_dir)
+    return docs.select("doc_id", "battery_level", percent_value("battery_level").alias("battery_pct"))
+
+
+def event_rules():
+    return [Rule("value_min", F.col("value") >= F.lit(P.MIN_VALUE)),
+            Rule("k_parsable", props_k().isNotNull()),
+            Rule("known_type", F.col("event_type").isin(KNOWN_TYPES))]
+
+
+_DQ_FLAGS = f"""
+WITH f AS (
+  SELECT event_id,
+         COALESCE(value >= {P.MIN_VALUE}, false) AS value_min,
+         COALESCE(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) IS NOT NULL, false) AS k_parsable,
+         COALESCE(event_type IN ('click', 'error', 'purchase', 'signup', 'view'), false) AS known_type
+  FROM events)
+"""
+
+
+@query("dq_split", "Q1", _DQ_FLAGS + """
+SELECT event_id, value_min, k_parsable, known_type,
+       value_min AND k_parsable AND known_type AS dq_pass,
+       concat_ws(',', CASE WHEN NOT value_min THEN 'value_min' END,
+                      CASE WHEN NOT k_parsable THEN 'k_parsable' END,
+                      CASE WHEN NOT known_type THEN 'known_type' END) AS dq_failed_rules
+FROM f
+""")
+def dq_split(spark, sf_dir):
+    """Rule flags, pass flag and failed rule names per event."""
+    ev = table(spark, sf_dir, "events")
+    return flag_rules(ev, event_rules(), keep=["event_id"])
+
+
+@query("error_limit_check", "B7", f"""
+SELECT count(*) AS total_rows,
+       count(*) FILTER (WHERE NOT (value >= {P.MIN_VALUE})
+                           OR TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) IS NULL
+                           OR value IS NULL) AS bad_rows,
+       bad_rows / total_rows AS bad_ratio,
+       CAST({P.ERROR_LIMIT_RECORDS} AS BIGINT) AS record_limit,
+       CAST({P.ERROR_LIMIT_RATIO} AS DOUBLE) AS ratio_limit,
+       bad_rows <= {P.ERROR_LIMIT_RECORDS} AND bad_rows / total_rows <= {P.ERROR_LIMIT_RATIO} AS passed
+FROM events
+""")
+def error_limit_check(spark, sf_dir):
+    """Bad-record count and ratio against the copy job's limits (0 records, 2 %)."""
+    ev = table(spark, sf_dir, "events")
+    bad = ~(F.col("value") >= F.lit(P.MIN_VALUE)) | props_k().isNull()
+    return error_summary(ev, bad, P.ERROR_LIMIT_RECORDS, P.ERROR_LIMIT_RATIO)
+
+
+@query("batch_volume", "G4", """
+SELECT event_type, count(*) AS batch_rows, min(event_id) AS first_id, max(event_id) AS last_id
+FROM events GROUP BY event_type
+""")
+def batch_volume(spark, sf_dir):
+    """Rows per task (one task per event type) with the batch's id bounds."""
+    return volume(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+_MEASURES_SQL = """count(*) AS events,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value_sum,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS value_avg,
+       min(value) AS value_min, max(value) AS value_max"""
+
+
+@query("hourly_rollup", "G5", f"""
+SELECT date_trunc('hour', ts) AS bucket_start, event_type, {_MEASURES_SQL}
+FROM events GROUP BY 1, 2
+""")
+def hourly_rollup(spark, sf_dir):
+    return time_rollup(table(spark, sf_dir, "events"), "ts", "hour", ["event_type"])
+
+
+@query("daily_rollup", "G5", f"""
+SELECT CAST(ts AS DATE) AS event_date, event_type, {_MEASURES_SQL},
+       count(DISTINCT user_id) AS devices
+FROM events GROUP BY 1, 2
+""")
+def daily_rollup(spark, sf_dir):
+    return time_rollup(table(spark, sf_dir, "events"), "ts", "day", ["event_type"],
+                       distinct_of="user_id")
+
+
+@query("multi_dim_cube", "G6", f"""
+SELECT event_type, event_date, {_MEASURES_SQL},
+       CAST(GROUPING(event_type, event_date) AS BIGINT) AS grouping_level
+FROM (SELECT *, CAST(ts AS DATE) AS event_date FROM events) e
+GROUP BY CUBE (event_type, event_date)
+""")
+def multi_dim_cube(spark, sf_dir):
+    """Every combination of event type and day, with the grouping level."""
+    ev = table(spark, sf_dir, "events").withColumn("event_date", F.to_date("ts"))
+    return cube_rollup(ev, ["event_type", "event_date"])
+
+
+@query("sliding_rollup", "H2 J2", """
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type,
+       count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value_sum
+FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE AS window_start
+      FROM (SELECT *, unnest(generate_series(0, 3)) AS i FROM events) x) y
+GROUP BY window_start, event_type
+""")
+def sliding_rollup(spark, sf_dir):
+    """One-hour windows sliding every 15 minutes, per event type."""
+    return sliding(table(spark, sf_dir, "events"), "ts", "1 hour", "15 minutes", ["event_type"])
+
+
+@query("device_status_count", "G7 H1", """
+WITH latest AS (
+  SELECT * FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT event_type AS device_type,
+       (['online', 'offline', 'fault', 'maintenance'])[TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 + 1]
+         AS status,
+       count(*) AS devices
+FROM latest GROUP BY 1, 2
+""")
+def device_status_count(spark, sf_dir):
+    """Current state per device (its latest event), then devices per type and status."""
+    ev = table(spark, sf_dir, "events")
+    status = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), (props_k() % 4).cast("int") + 1)
+    ev = ev.select("user_id", "ts", "event_id", F.col("event_type").alias("device_type"),
+                   status.alias("status"))
+    return status_counts(ev, "user_id", ["ts", "event_id"], ["device_type", "status"])
+
+
+@query("retention_filter", "B9", f"""
+SELECT *, CAST(ts AS DATE) AS dt FROM events
+WHERE CAST(ts AS DATE) >= DATE '{P.RETENTION_RUN_DAY}' - INTERVAL {P.RETENTION_DAYS} DAY
+""")
+def retention_filter(spark, sf_dir):
+    """Detail rows kept by a 10-day retention ending at the run day."""
+    ev = table(spark, sf_dir, "events").withColumn("dt", F.to_date("ts"))
+    return retention(ev, "dt", P.RETENTION_RUN_DAY, P.RETENTION_DAYS, ts="ts")
