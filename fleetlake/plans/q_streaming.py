@@ -1 +1,49 @@
-"""Registered queries."""
+"""Streaming twins: the same results as the batch queries, produced by
+Structured Streaming over the events file (``availableNow`` trigger)."""
+
+from __future__ import annotations
+
+from ..session import scratch_path
+from ..sinks.upsert import VersionedTable
+from ..sources.tables import table
+from ..streaming.ingest import file_stream, ingest, with_day
+from ..streaming.metrics import run_upserting, sliding_metrics
+from .catalogue import query
+
+
+def _events_stream(spark, sf_dir):
+    """Event files arriving in the table folder (the file source lists a folder
+    or a glob, so the single events file is matched by pattern)."""
+    schema = table(spark, sf_dir, "events").schema
+    return file_stream(spark, f"{sf_dir.rstrip('/')}/events*.parquet", schema)
+
+
+@query("stream_ingest_ods", "J1", """
+SELECT *, CAST(ts AS DATE) AS dt FROM events
+""")
+def stream_ingest_ods(spark, sf_dir):
+    """Micro-batch ingest of events into a day-partitioned raw table, read back."""
+    out = scratch_path(spark, "stream_ods")
+    q = ingest(with_day(_events_stream(spark, sf_dir), "ts"), f"{out}/data", f"{out}/_checkpoint",
+               partition_by=["dt"], trigger={"availableNow": True})
+    q.awaitTermination()
+    return spark.read.parquet(f"{out}/data")
+
+
+@query("stream_sliding_rollup", "J2 J5 J6", """
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type,
+       count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value_sum
+FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE AS window_start
+      FROM (SELECT *, unnest(generate_series(0, 3)) AS i FROM events) x) y
+GROUP BY window_start, event_type
+""")
+def stream_sliding_rollup(spark, sf_dir):
+    """Watermarked sliding windows in update mode, upserted per micro-batch."""
+    out = scratch_path(spark, "stream_sliding")
+    agg = sliding_metrics(_events_stream(spark, sf_dir), "ts", "1 hour", "15 minutes",
+                          ["event_type"], watermark="1 hour")
+    target = VersionedTable(spark, f"{out}/table")
+    q = run_upserting(agg, target, ["window_start", "event_type"], f"{out}/_checkpoint",
+                      trigger={"availableNow": True})
+    q.awaitTermination()
+    return target.current()
