@@ -41,9 +41,21 @@ def time_rollup(df: DataFrame, ts: str, grain: str, dims: Sequence[str], value:
     return df.groupBy(key, *dims).agg(*aggs)
 
 
-def cube_rollup(df: DataFrame, dims: Sequence[str | Column], value: str = "value") -> DataFrame:
-    """Every combination of ``dims`` in one pass (``cube`` + ``grouping_id``)."""
-    return df.cube(*dims).agg(*measures(value), F.grouping_id().alias("grouping_level"))
+def cube_rollup(df: DataFrame, dims: Sequence[str | Column], value: str = "value",
+                fixed: Sequence[str] = ()) -> DataFrame:
+    """Every combination of ``dims`` in one pass (``cube`` + ``grouping_id``).
+
+    ``fixed`` columns are grouped in every combination (for example the day
+    partition of a layer table), via grouping sets.
+    """
+    if not fixed:
+        return df.cube(*dims).agg(*measures(value), F.grouping_id().alias("grouping_level"))
+    from itertools import combinations
+    names = list(dims)
+    sets = [[F.col(c) for c in list(fixed) + list(combo)]
+            for r in range(len(names), -1, -1) for combo in combinations(names, r)]
+    return (df.groupingSets(sets, *[F.col(c) for c in list(fixed) + names])
+            .agg(*measures(value), F.grouping_id().alias("grouping_level")))
 
 
 def sliding_rollup(df: DataFrame, ts: str, size: str, slide: str, dims: Sequence[str],

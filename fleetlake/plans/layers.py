@@ -30,6 +30,14 @@ def _day(d) -> dt.date:
     return d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d)[:10])
 
 
+def _is_day(text: str) -> bool:
+    try:
+        dt.date.fromisoformat(text[:10])
+        return True
+    except ValueError:
+        return False
+
+
 def retention(df: DataFrame, dt_col: str, run_day, days: int | None, ts: str | None = None) -> DataFrame:
     """Keep the last ``days`` days up to ``run_day``.
 
@@ -97,8 +105,8 @@ class Layers:
         daily = time_rollup(dwd, "event_time", "day", ["device_type"], value=value,
                             distinct_of="device_id")
         self.write(daily.withColumn("dt", F.col("event_date")), "ads", "daily")
-        cube = cube_rollup(dwd.withColumn("dt", F.to_date("event_time")), ["dt", "device_type", "status"],
-                           value=value)
+        cube = cube_rollup(dwd.withColumn("dt", F.to_date("event_time")), ["device_type", "status"],
+                           value=value, fixed=["dt"])
         self.write(cube, "ads", "cube")
 
     def apply_retention(self, run_day) -> dict[str, int]:
@@ -121,7 +129,7 @@ class Layers:
                     continue
                 for part in fs.listStatus(table_status.getPath()):
                     name = part.getPath().getName()
-                    if name.startswith("dt=") and _day(name[3:]) < cutoff:
+                    if name.startswith("dt=") and _is_day(name[3:]) and _day(name[3:]) < cutoff:
                         fs.delete(part.getPath(), True)
                         n += 1
             removed[layer] = n
