@@ -1,0 +1,19 @@
+"""Partition-count guard for CPU-heavy per-row work.
+
+A scan yields one task per file split; a single large row group is one task
+no matter how many cores exist.  For per-row work that is expensive (JSON
+building and parsing) a round-robin ``repartition`` up to the session's
+default parallelism spreads it.  On a cluster scan of many files the scan
+already has more partitions than cores and no shuffle is added.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)

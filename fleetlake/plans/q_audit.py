@@ -65,12 +65,12 @@ FROM req
 """)
 def client_ip_parse(spark, sf_dir):
     """Client address from a forwarded-for list: first entry trimmed, else the peer."""
-    ev = table(spark, sf_dir, "events")
-    k = props_k()
+    ev = table(spark, sf_dir, "events").withColumn("__k", props_k())   # parsed once
+    k = F.col("__k")
     fwd = (F.when(k % 4 == 0, F.lit(None).cast("string"))
            .when(k % 4 == 1, F.lit(""))
            .when(k % 4 == 2, F.concat(F.lit(" 10.0."), F.col("user_id").cast("string"), F.lit("."),
-                                      F.get_json_object("props", "$.k"), F.lit(" , 192.168.0.1")))
+                                      k.cast("string"), F.lit(" , 192.168.0.1")))
            .otherwise(F.lit(" , 10.9.9.9")))
     req = ev.select("event_id", fwd.alias("forwarded"),
                     F.concat(F.lit("172.16."), (F.col("user_id") % 256).cast("string"),

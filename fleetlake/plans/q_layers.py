@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.partitioning import ensure_parallelism
 from ..operators.quality import Rule, error_summary, flag_rules
 from ..operators.rollups import batch_volume as volume, cube_rollup, sliding_rollup as sliding
 from ..operators.rollups import status_counts, time_rollup
@@ -27,8 +28,13 @@ WITH d AS (
 
 
 def _docs(spark, sf_dir):
-    """ODS: raw JSON documents, read back with the explicit schema (DWD input)."""
-    return parse_documents(documents_from_events(table(spark, sf_dir, "events")))
+    """ODS: raw JSON documents, read back with the explicit schema (DWD input).
+
+    JSON building and parsing is the expensive per-row step, so the scan is
+    spread over at least the default parallelism first (no-op on large inputs).
+    """
+    ev = ensure_parallelism(table(spark, sf_dir, "events"))
+    return parse_documents(documents_from_events(ev))
 
 
 @query("device_doc_flatten", "A8 D10 K10", DOC_SQL + """

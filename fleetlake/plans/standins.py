@@ -92,8 +92,8 @@ def sync_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access audit: one request per event; no address when ``k % 10 = 0``."""
-    ev = table(spark, sf_dir, "events")
-    k = props_k()
+    ev = table(spark, sf_dir, "events").withColumn("__k", props_k())   # parsed once
+    k = F.col("__k")
     ip = F.when(k % 10 == 0, F.lit(None).cast("string")).otherwise(
         F.concat_ws(".", F.lit("10"), (F.col("user_id") % 256).cast("string"),
                     k.cast("string"), F.lit("1")))
