@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.quality import Rule, split
+from ..operators.quality import Rule, flag_rules
 from ..operators.rollups import cube_rollup, time_rollup
 from ..sources.documents import flatten, parse_documents
 
@@ -70,8 +70,14 @@ class Layers:
         return f"{self.root.rstrip('/')}/{layer}/{name}"
 
     def write(self, df: DataFrame, layer: str, name: str, dt_col: str = "dt") -> None:
-        """Dynamic partition overwrite by day."""
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        """Dynamic partition overwrite by day.
+
+        The ``rebalance`` hint lets AQE size the write tasks by the day column:
+        small days are coalesced into few files, a hot day is split over
+        several tasks instead of landing in one.
+        """
+        (df.hint("rebalance", dt_col).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic")
          .partitionBy(dt_col).parquet(self.path(layer, name)))
 
     def read(self, layer: str, name: str) -> DataFrame:
@@ -84,22 +90,30 @@ class Layers:
         self.write(docs_json.withColumn("dt", day), "ods", "device_documents")
 
     def dwd_devices(self, rules: list[Rule], days=None) -> tuple[DataFrame, DataFrame]:
-        """DWD: parse + flatten the ODS documents, split by the quality rules.
+        """DWD: parse + flatten the ODS documents and flag them with the
+        quality rules, in one pass and one write (``dq_pass`` per row).
 
-        The passing rows are written by day; the rejects go to their own table.
+        Returns (passing rows, rejected rows) as reads of that table; the
+        ``dq_pass`` filter is pushed into the scan.
         """
         ods = self.read("ods", "device_documents")
         if days is not None:
             ods = ods.filter(F.col("dt").isin([_day(d) for d in days]))
         detail = flatten(parse_documents(ods, keep=("doc_id",)))
-        good, bad = split(detail.withColumn("dt", F.to_date("event_time")), rules)
-        self.write(good, "dwd", "device_detail")
-        self.write(bad, "dwd", "device_rejects")
-        return good, bad
+        flagged = flag_rules(detail.withColumn("dt", F.to_date("event_time")), rules)
+        self.write(flagged, "dwd", "device_checked")
+        return self.dwd_good(), self.dwd_rejects()
+
+    def dwd_good(self) -> DataFrame:
+        t = self.read("dwd", "device_checked")
+        return t.filter(F.col("dq_pass")).drop("dq_pass", "dq_failed_rules")
+
+    def dwd_rejects(self) -> DataFrame:
+        return self.read("dwd", "device_checked").filter(~F.col("dq_pass"))
 
     def ads_rollups(self, value: str = "battery_pct") -> None:
         """ADS: hourly and daily roll-ups and the type x status cube, by day."""
-        dwd = self.read("dwd", "device_detail")
+        dwd = self.dwd_good()
         hourly = time_rollup(dwd, "event_time", "hour", ["device_type"], value=value)
         self.write(hourly.withColumn("dt", F.to_date("bucket_start")), "ads", "hourly")
         daily = time_rollup(dwd, "event_time", "day", ["device_type"], value=value,

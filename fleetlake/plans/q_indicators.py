@@ -104,3 +104,29 @@ def export_labelled(spark, sf_dir):
     return export_rows(event_view(spark, sf_dir), q, limit=P.EXPORT_LIMIT)
 
 
+
+
+SEEK_AFTER = ("2024-01-15 00:00:00", 0)
+
+
+@query("seek_page", "I1 I2", f"""
+SELECT event_id, ts, user_id, event_type, value FROM events
+WHERE ts > TIMESTAMP '{SEEK_AFTER[0]}' OR (ts = TIMESTAMP '{SEEK_AFTER[0]}' AND event_id > {SEEK_AFTER[1]})
+ORDER BY ts, event_id LIMIT {P.PAGE_SIZE}
+""")
+def seek_page(spark, sf_dir):
+    """Key-set page: the 20 rows after a (ts, event_id) key the client holds."""
+    import datetime as dt
+    from ..operators.paging import seek_page as seek
+    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    after = (dt.datetime.fromisoformat(SEEK_AFTER[0]), SEEK_AFTER[1])
+    return seek(ev, ["ts", "event_id"], after, P.PAGE_SIZE)
+
+
+@query("point_lookup", "E11 I4", """
+SELECT * FROM orders WHERE o_orderkey = 1234
+""")
+def point_lookup(spark, sf_dir):
+    """One task row by id (the caller raises when it is missing)."""
+    from ..operators.predicates import point_lookup as lookup
+    return lookup(table(spark, sf_dir, "orders"), "o_orderkey", 1234)

@@ -232,3 +232,37 @@ def retention_filter(spark, sf_dir):
     """Detail rows kept by a 10-day retention ending at the run day."""
     ev = table(spark, sf_dir, "events").withColumn("dt", F.to_date("ts"))
     return retention(ev, "dt", P.RETENTION_RUN_DAY, P.RETENTION_DAYS, ts="ts")
+
+
+@query("ads_daily_layers", "B9 D10 Q1 G5 A8", DOC_SQL + """
+, f AS (
+  SELECT CAST(ts AS DATE) AS event_date, event_type AS device_type, device_id,
+         (['online', 'offline', 'fault', 'maintenance'])[k % 4 + 1] AS status,
+         TRY_CAST(rtrim(CASE WHEN k % 10 = 0 THEN '%' WHEN k % 10 = 1 THEN 'n/a%'
+                             WHEN k % 10 = 2 THEN NULL ELSE CAST(k AS VARCHAR) || '%' END, '%') AS INTEGER)
+           AS battery_pct
+  FROM d)
+SELECT event_date, device_type, count(*) AS events,
+       CAST(sum(CAST(battery_pct AS DECIMAL(18,2))) AS DOUBLE) AS value_sum,
+       CAST(sum(CAST(battery_pct AS DECIMAL(18,2))) AS DOUBLE) / count(battery_pct) AS value_avg,
+       min(battery_pct) AS value_min, max(battery_pct) AS value_max,
+       count(DISTINCT device_id) AS devices
+FROM f WHERE status IS NOT NULL AND battery_pct IS NOT NULL
+GROUP BY event_date, device_type
+""")
+def ads_daily_layers(spark, sf_dir):
+    """ODS documents -> DWD detail (quality-split) -> ADS daily roll-up, each a
+    day-partitioned table in the shared folder; returns the ADS table."""
+    from ..session import scratch_path
+    from .layers import Layers
+    lay = Layers(spark, scratch_path(spark, "layers"))
+    lay.ods_documents(documents_from_events(ensure_parallelism(table(spark, sf_dir, "events"))))
+    lay.dwd_devices(device_rules())
+    lay.ads_rollups(value="battery_pct")
+    return lay.read("ads", "daily").drop("dt")
+
+
+def device_rules():
+    """DWD quality rules on flattened device rows."""
+    return [Rule("known_status", F.col("status").isNotNull()),
+            Rule("battery_ok", F.col("battery_pct").isNotNull())]

@@ -62,7 +62,7 @@ def test_layers_partition_pruning_and_retention(spark):
     lay.ods_documents(documents_from_events(ev))
     good, bad = lay.dwd_devices(event_rules_for_docs())
     lay.ads_rollups()
-    dwd = lay.read("dwd", "device_detail")
+    dwd = lay.dwd_good()
     q = time_range_with_partitions(dwd, "event_time", dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 12))
     p = plan(q)
     assert "PartitionFilters: [isnotnull(dt" in p and "dt#" in p
@@ -72,7 +72,7 @@ def test_layers_partition_pruning_and_retention(spark):
     assert total == ev.count()
     removed = lay.apply_retention("2024-04-15")          # DWD keeps 90 days
     assert removed["dwd"] > 0
-    assert lay.read("dwd", "device_detail").agg(F.min("dt")).collect()[0][0] >= dt.date(2024, 1, 16)
+    assert lay.dwd_good().agg(F.min("dt")).collect()[0][0] >= dt.date(2024, 1, 16)
 
 
 def event_rules_for_docs():

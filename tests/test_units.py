@@ -125,3 +125,26 @@ def test_transformers(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 1, 2, 3, 4, 5, 600),)], "t timestamp_ntz")
     out = apply_transformers(df, [{"type": "datetime_to_string", "columns": ["T"]}])
     assert out.collect()[0][0] == "2024-01-02 03:04:05"
+
+
+def test_csv_export_roundtrip(spark, tmp_dir):
+    from __spark_entry__ import queries
+    from fleetlake.sinks.writers import export_csv, export_name
+    from conftest import SF01
+    df = queries()["export_labelled"](spark, SF01)
+    path = export_csv(df, tmp_dir, export_name("robot_event", "2024-01-01", "2024-01-31"))
+    back = spark.read.option("header", True).csv(path)
+    assert back.columns == df.columns == ["Device ID", "Event type", "Event time", "Description", "Record time"]
+    assert back.count() == df.count() == 10000
+    with open([p for p in __import__("glob").glob(f"{path}/part-*.csv")][0], "rb") as fh:
+        assert not fh.read(3).startswith(b"\xef\xbb\xbf")       # S12: no BOM
+
+
+def test_overwrite_partitions_replaces_only_touched_days(spark, tmp_dir):
+    from fleetlake.sinks.writers import overwrite_partitions
+    a = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02")], "id int, dt string")
+    overwrite_partitions(a, f"{tmp_dir}/t", ["dt"])
+    b = spark.createDataFrame([(3, "2024-01-02")], "id int, dt string")
+    overwrite_partitions(b, f"{tmp_dir}/t", ["dt"])
+    got = sorted((r.id, str(r.dt)) for r in spark.read.parquet(f"{tmp_dir}/t").collect())
+    assert got == [(1, "2024-01-01"), (3, "2024-01-02")]
