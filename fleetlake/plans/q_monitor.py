@@ -51,7 +51,7 @@ def anomaly_resolution(spark, sf_dir):
     severity.append((F.lit(True), "minor"))
     kind = first_label([(k < F.lit(t), label) for t, label in ANOMALY_KINDS], default=OTHER_KIND)
     return anomalies(ev, "user_id", "ts", "event_id", F.col("event_type") == "error",
-                     severity, kind, F.col("props"), bucket="day")
+                     severity, kind, F.col("props"), bucket="hour")
 
 
 @query("threshold_alerts", "Q3", """

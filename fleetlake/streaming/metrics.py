@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import exact_sum
-from ..sinks.upsert import VersionedTable
+from ..sinks.upsert import VersionedTable, upsert
 
 
 def sliding_metrics(stream: DataFrame, ts: str, size: str, slide: str, dims: Sequence[str],
@@ -42,16 +42,33 @@ def upsert_batches(table: VersionedTable, keys: Sequence[str]):
     def apply(batch: DataFrame, batch_id: int) -> None:
         if (batch_id + 1) in table.versions():
             return
-        current = table.current()
-        from ..sinks.upsert import upsert
-        result = upsert(current, batch, keys)
+        result = upsert(table.current(), batch, keys)
         result.write.mode("overwrite").parquet(f"{table.root}/v={batch_id + 1}")
     return apply
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark) -> None:
+    """Keep aggregation state in RocksDB (off-heap, spills to local disk and is
+    snapshotted to the checkpoint) unless the session chose a provider.  Must
+    be set before a query's first start; a checkpoint keeps its provider."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    current = spark.conf.get(key, None)
+    if not current or current.endswith("HDFSBackedStateStoreProvider") and \
+            key not in dict(spark.sparkContext.getConf().getAll()):
+        spark.conf.set(key, ROCKSDB_PROVIDER)
+
+
 def run_upserting(agg: DataFrame, table: VersionedTable, keys: Sequence[str], checkpoint: str,
                   trigger: dict | None = None) -> StreamingQuery:
-    """Start ``agg`` in update mode, upserting every batch into ``table``."""
+    """Start ``agg`` in update mode, upserting every batch into ``table``.
+
+    Window state grows with the number of open windows x keys; it lives in
+    RocksDB rather than on the JVM heap (``use_rocksdb_state``).
+    """
+    use_rocksdb_state(agg.sparkSession)
     return (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
             .foreachBatch(upsert_batches(table, keys))
             .trigger(**(trigger or {"processingTime": "1 minute"})).start())

@@ -148,3 +148,34 @@ def test_overwrite_partitions_replaces_only_touched_days(spark, tmp_dir):
     overwrite_partitions(b, f"{tmp_dir}/t", ["dt"])
     got = sorted((r.id, str(r.dt)) for r in spark.read.parquet(f"{tmp_dir}/t").collect())
     assert got == [(1, "2024-01-01"), (3, "2024-01-02")]
+
+
+def test_audit_append_one_row_per_request(spark, tmp_dir):
+    from fleetlake.operators.audit import append_audit, with_client_ip
+    reqs = spark.createDataFrame(
+        [(1, "user_1", "robot_event", "1.1.1.1, 2.2.2.2", "9.9.9.9"),
+         (2, "user_2", "robot_task", None, "8.8.8.8")],
+        "id long, query_user string, query_indicator string, fwd string, peer string")
+    append_audit(with_client_ip(reqs, "fwd", "peer", "ip_address").drop("fwd", "peer"), f"{tmp_dir}/audit")
+    append_audit(with_client_ip(reqs.limit(1), "fwd", "peer", "ip_address").drop("fwd", "peer"),
+                 f"{tmp_dir}/audit")
+    rows = spark.read.parquet(f"{tmp_dir}/audit").collect()
+    assert len(rows) == 3 and sorted(r.ip_address for r in rows) == ["1.1.1.1", "1.1.1.1", "8.8.8.8"]
+
+
+def test_read_mode_by_sync_type(spark, tmp_dir):
+    from fleetlake.streaming.ingest import read_for
+    spark.range(5).write.parquet(f"{tmp_dir}/src")
+    schema = spark.read.parquet(f"{tmp_dir}/src").schema
+    assert read_for(spark, "stream", f"{tmp_dir}/src", schema).isStreaming
+    assert not read_for(spark, "batch", f"{tmp_dir}/src", schema).isStreaming
+
+
+def test_dialects_and_urls():
+    from fleetlake.sources.connectors import Source, dialect
+    assert dialect("Dameng") == dialect("DM") == "dm"             # S11
+    assert dialect("PostgreSQL") == "postgresql"
+    assert Source("SQL Server", "h", 1433, "db").url() == "jdbc:sqlserver://h:1433;databaseName=db"
+    assert Source("MySQL", "h", 3306, "db").url() == "jdbc:mysql://h:3306/db"
+    with pytest.raises(ValueError):
+        dialect("excel")
