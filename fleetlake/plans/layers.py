@@ -15,7 +15,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.quality import Rule, flag_rules
@@ -83,11 +83,16 @@ class Layers:
     def read(self, layer: str, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(layer, name))
 
-    def ods_documents(self, docs_json: DataFrame, ts_text: Column | None = None) -> None:
-        """ODS: raw JSON documents (``doc_id``, ``doc``) by day."""
-        day = F.to_date(F.substring(F.get_json_object("doc", "$.timestamp"), 1, 10)) \
-            if ts_text is None else F.to_date(ts_text)
-        self.write(docs_json.withColumn("dt", day), "ods", "device_documents")
+    def ods_documents(self, docs_json: DataFrame) -> None:
+        """ODS: raw JSON documents (``doc_id``, ``doc``) by day.
+
+        The day comes from a ``dt`` column when the producer has it (no JSON
+        parse), else from the document's ``timestamp`` field.
+        """
+        if "dt" not in docs_json.columns:
+            docs_json = docs_json.withColumn(
+                "dt", F.to_date(F.substring(F.get_json_object("doc", "$.timestamp"), 1, 10)))
+        self.write(docs_json, "ods", "device_documents")
 
     def dwd_devices(self, rules: list[Rule], days=None) -> tuple[DataFrame, DataFrame]:
         """DWD: parse + flatten the ODS documents and flag them with the
@@ -111,17 +116,22 @@ class Layers:
     def dwd_rejects(self) -> DataFrame:
         return self.read("dwd", "device_checked").filter(~F.col("dq_pass"))
 
-    def ads_rollups(self, value: str = "battery_pct") -> None:
-        """ADS: hourly and daily roll-ups and the type x status cube, by day."""
+    def ads_rollups(self, value: str = "battery_pct",
+                    tables: tuple[str, ...] = ("hourly", "daily", "cube")) -> None:
+        """ADS: hourly and daily roll-ups and the type x status cube per day
+        (each a day-partitioned table; ``tables`` picks which to rebuild)."""
         dwd = self.dwd_good()
-        hourly = time_rollup(dwd, "event_time", "hour", ["device_type"], value=value)
-        self.write(hourly.withColumn("dt", F.to_date("bucket_start")), "ads", "hourly")
-        daily = time_rollup(dwd, "event_time", "day", ["device_type"], value=value,
-                            distinct_of="device_id")
-        self.write(daily.withColumn("dt", F.col("event_date")), "ads", "daily")
-        cube = cube_rollup(dwd.withColumn("dt", F.to_date("event_time")), ["device_type", "status"],
-                           value=value, fixed=["dt"])
-        self.write(cube, "ads", "cube")
+        if "hourly" in tables:
+            hourly = time_rollup(dwd, "event_time", "hour", ["device_type"], value=value)
+            self.write(hourly.withColumn("dt", F.to_date("bucket_start")), "ads", "hourly")
+        if "daily" in tables:
+            daily = time_rollup(dwd, "event_time", "day", ["device_type"], value=value,
+                                distinct_of="device_id")
+            self.write(daily.withColumn("dt", F.col("event_date")), "ads", "daily")
+        if "cube" in tables:
+            cube = cube_rollup(dwd.withColumn("dt", F.to_date("event_time")),
+                               ["device_type", "status"], value=value, fixed=["dt"])
+            self.write(cube, "ads", "cube")
 
     def apply_retention(self, run_day) -> dict[str, int]:
         """Drop day partitions older than each layer's retention (dynamic

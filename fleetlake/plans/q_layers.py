@@ -256,9 +256,10 @@ def ads_daily_layers(spark, sf_dir):
     from ..session import scratch_path
     from .layers import Layers
     lay = Layers(spark, scratch_path(spark, "layers"))
-    lay.ods_documents(documents_from_events(ensure_parallelism(table(spark, sf_dir, "events"))))
+    ev = ensure_parallelism(table(spark, sf_dir, "events"))
+    lay.ods_documents(documents_from_events(ev, with_day=True))
     lay.dwd_devices(device_rules())
-    lay.ads_rollups(value="battery_pct")
+    lay.ads_rollups(value="battery_pct", tables=("daily",))
     return lay.read("ads", "daily").drop("dt")
 
 

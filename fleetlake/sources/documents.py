@@ -81,7 +81,7 @@ def _pick(values: list[str], idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (idx % len(values)).cast("int") + 1)
 
 
-def documents_from_events(ev: DataFrame) -> DataFrame:
+def documents_from_events(ev: DataFrame, with_day: bool = False) -> DataFrame:
     """Stand-in: one device document (JSON text) per event.
 
     type = event type; metrics from ``value`` and ``k`` (key set depends on the
@@ -91,7 +91,7 @@ def documents_from_events(ev: DataFrame) -> DataFrame:
     """
     base = ev.select("event_id", "user_id", "event_type", "value",
                      F.get_json_object("props", "$.k").try_cast("int").alias("__k"),
-                     datetime_text("ts").alias("__ts"))
+                     datetime_text("ts").alias("__ts"), F.to_date("ts").alias("dt"))
     k, uid, ts_text = F.col("__k"), F.col("user_id"), F.col("__ts")
     metrics = (
         F.when(F.col("event_type") == "signup", F.create_map(F.lit("value"), F.col("value")))
@@ -128,7 +128,8 @@ def documents_from_events(ev: DataFrame) -> DataFrame:
         alerts.alias("alerts"),
         battery.alias("battery_level"),
     )
-    return base.select(F.col("event_id").alias("doc_id"), F.to_json(doc).alias("doc"))
+    extra = ["dt"] if with_day else []
+    return base.select(F.col("event_id").alias("doc_id"), F.to_json(doc).alias("doc"), *extra)
 
 
 def flatten(docs: DataFrame) -> DataFrame:
