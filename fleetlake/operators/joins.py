@@ -1,9 +1,11 @@
 """Joins (F1-F6) and the broadcast guard.
 
 A side is broadcast only behind ``checked_broadcast``: Catalyst's size
-estimate first (no job), then a bounded row count (``limit(n+1).count()``).
-Anything above the bound is joined by shuffle; AQE may still switch to a
-broadcast at runtime from measured shuffle sizes.
+estimate (no job; for file scans the bytes on disk, an upper bound for a
+filtered side since no selectivity is assumed), or, when no estimate exists,
+a bounded row count (``limit(n+1).count()``).  Anything above the bound is
+joined by shuffle; AQE may still switch to a broadcast at runtime from the
+measured shuffle size.
 """
 
 from __future__ import annotations
@@ -13,14 +15,14 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+DEFAULT_MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate for the optimized plan (no job is run)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:
         return None
 
@@ -28,9 +30,9 @@ def estimated_bytes(df: DataFrame) -> int | None:
 def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                    max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> bool:
     est = estimated_bytes(df)
-    if est is not None and est <= max_bytes:
-        return True
-    # Bounded check: stops reading once max_rows + 1 rows have been seen.
+    if est is not None:
+        return est <= max_bytes
+    # No estimate: bounded check, stops reading once max_rows + 1 rows are seen.
     return df.limit(max_rows + 1).count() <= max_rows
 
 

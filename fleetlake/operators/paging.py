@@ -13,6 +13,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .partitioning import estimated_partitions
+
 
 def _order(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -57,3 +59,61 @@ def capped(df: DataFrame, order_by: Sequence[str | Column], limit: int) -> DataF
 def exists(df: DataFrame) -> bool:
     """I4: any row at all (reads at most one row)."""
     return len(df.take(1)) > 0
+
+
+# Time grains used to narrow the cut point, coarse to fine.
+_GRAINS = ("day", "hour", "minute", "second", "millisecond", "microsecond")
+
+
+def bounded_top_k(df: DataFrame, ts: str, tiebreak: str, k: int,
+                  max_merge_rows: int = 5_000_000, max_candidates: int | None = None) -> DataFrame:
+    """The first ``k`` rows by ``(ts, tiebreak)``, exactly, without one task
+    merging ``k`` rows from every partition.
+
+    ``orderBy().limit(k)`` keeps ``k`` rows per partition and merges them in a
+    single task: fine while ``partitions x k`` is small (the common case, used
+    directly up to ``max_merge_rows``).  Beyond that the cut point is found
+    first: per-bucket counts of ``ts`` (day, then hour, ... inside the bucket
+    that holds the k-th row) give a bound ``ts < E`` whose rows include the
+    answer and number fewer than ``k + max_candidates``.  Each step is a small
+    ``groupBy`` whose result has at most a few thousand rows (the buckets of one
+    coarser bucket), so only counts reach the driver, and the final top-k
+    merges at most that many rows.  Null times sort first, as in ``orderBy``.
+    """
+    if estimated_partitions(df) * k <= max_merge_rows:
+        return df.orderBy(ts, tiebreak).limit(k)
+    bound = max_candidates or max(k, 100_000)
+    col = F.col(ts)
+    sure = 0                      # rows certainly before the window [lo, hi)
+    lo = hi = None
+    for level, grain in enumerate(_GRAINS):
+        window = df if lo is None else df.filter((col >= F.lit(lo)) & (col < F.lit(hi)))
+        counts = (window.groupBy(F.date_trunc(grain, col).alias("b"))
+                  .agg(F.count(F.lit(1)).alias("n")).collect())
+        if level == 0:
+            nulls = sum(r["n"] for r in counts if r["b"] is None)
+            if nulls >= k:        # the answer is null-time rows only
+                return df.filter(col.isNull()).orderBy(tiebreak).limit(k).select(*df.columns)
+            sure = nulls
+        cut = None
+        for row in sorted((r for r in counts if r["b"] is not None), key=lambda r: r["b"]):
+            if sure + row["n"] >= k:
+                cut = row
+                break
+            sure += row["n"]
+        if cut is None:           # fewer than k rows in this range: all of them qualify
+            if lo is None:
+                return df.orderBy(ts, tiebreak).limit(k)
+            break
+        lo, hi = cut["b"], _bucket_end(cut["b"], grain)
+        if cut["n"] <= bound:
+            break
+    return df.filter(col.isNull() | (col < F.lit(hi))).orderBy(ts, tiebreak).limit(k)
+
+
+def _bucket_end(start, grain: str):
+    import datetime as dt
+    steps = {"day": dt.timedelta(days=1), "hour": dt.timedelta(hours=1),
+             "minute": dt.timedelta(minutes=1), "second": dt.timedelta(seconds=1),
+             "millisecond": dt.timedelta(milliseconds=1), "microsecond": dt.timedelta(microseconds=1)}
+    return start + steps[grain]

@@ -1,19 +1,45 @@
-"""Partition-count guard for CPU-heavy per-row work.
+"""Partition-count estimates and the guard for CPU-heavy per-row work.
 
 A scan yields one task per file split; a single large row group is one task
 no matter how many cores exist.  For per-row work that is expensive (JSON
 building and parsing) a round-robin ``repartition`` up to the session's
 default parallelism spreads it.  On a cluster scan of many files the scan
-already has more partitions than cores and no shuffle is added.
+already has more splits than cores and no shuffle is added.
+
+Partition counts are estimated from Catalyst's size statistics (no job, no
+physical planning): ``ceil(estimated bytes / spark.sql.files.maxPartitionBytes)``.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 
+from .joins import estimated_bytes
+
+_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
+          "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
+
+
+def _bytes(text: str) -> int:
+    t = str(text).strip().lower()
+    num = "".join(ch for ch in t if ch.isdigit() or ch == ".")
+    unit = t[len(num):].strip() or "b"
+    return int(float(num) * _UNITS.get(unit, 1))
+
+
+def estimated_partitions(df: DataFrame) -> int:
+    """Scan splits the input would be cut into (at least 1)."""
+    est = estimated_bytes(df)
+    if est is None:
+        return df.rdd.getNumPartitions()
+    split = _bytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
+    return max(1, math.ceil(est / max(split, 1)))
+
 
 def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if estimated_partitions(df) >= target:
         return df
     return df.repartition(target)

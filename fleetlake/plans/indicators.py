@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import datetime_text
-from ..operators.paging import page as page_rows
+from ..operators.paging import bounded_top_k, page as page_rows
 from ..operators.predicates import closed_range, optional_eq, where
 
 DATETIME_FMT = "%Y-%m-%d %H:%M:%S"
@@ -172,9 +172,11 @@ def export_rows(view: DataFrame, q: IndicatorQuery, limit: int = 10000,
                 sources: dict[str, str] | None = None) -> DataFrame:
     """I3 + D4: the first ``limit`` rows in (time, id) order, labelled.
 
-    ``orderBy().limit()`` plans as a per-partition top-k, so no task ever holds
-    more than ``limit`` rows per partition.
+    ``bounded_top_k`` is a plain per-partition top-k while partitions x limit is
+    small, and narrows the cut point by time histograms first when it is not,
+    so the final merge never holds more than about ``limit`` + a bucket.
     """
     spec = INDICATORS[q.kind]
-    rows = filtered(spec, view, q).orderBy(*spec.order).limit(limit)
+    time_col, id_col = spec.order
+    rows = bounded_top_k(filtered(spec, view, q), time_col, id_col, limit)
     return labelled(project(spec, rows, sources))

@@ -40,6 +40,8 @@ def test_broadcast_guard(spark):
     assert fits_broadcast(small, max_rows=100)
     big = spark.range(0, 10_000_000).filter(F.col("id") % 2 == 0)
     assert not fits_broadcast(big, max_rows=1000, max_bytes=1)
+    assert not fits_broadcast(spark.read.parquet(f"{SF01}/lineitem.parquet"), max_bytes=1024)
+    assert fits_broadcast(spark.read.parquet(f"{SF01}/region.parquet"), max_bytes=1024 * 1024)
     assert "broadcast" not in checked_broadcast(big, max_rows=1000, max_bytes=1)._jdf.queryExecution() \
         .logical().toString().lower()
 
