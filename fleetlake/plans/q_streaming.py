@@ -4,10 +4,9 @@ Structured Streaming over the events file (``availableNow`` trigger)."""
 from __future__ import annotations
 
 from ..session import scratch_path
-from ..sinks.upsert import VersionedTable
 from ..sources.tables import table
 from ..streaming.ingest import file_stream, ingest, with_day
-from ..streaming.metrics import run_upserting, sliding_metrics
+from ..streaming.metrics import run_upserting, sliding_metrics, window_table
 from .catalogue import query
 
 
@@ -42,8 +41,7 @@ def stream_sliding_rollup(spark, sf_dir):
     out = scratch_path(spark, "stream_sliding")
     agg = sliding_metrics(_events_stream(spark, sf_dir), "ts", "1 hour", "15 minutes",
                           ["event_type"], watermark="1 hour")
-    target = VersionedTable(spark, f"{out}/table")
-    q = run_upserting(agg, target, ["window_start", "event_type"], f"{out}/_checkpoint",
-                      trigger={"availableNow": True})
+    target = window_table(spark, f"{out}/table", ["event_type"])
+    q = run_upserting(agg, target, f"{out}/_checkpoint", trigger={"availableNow": True})
     q.awaitTermination()
-    return target.current()
+    return target.read().drop("dt")

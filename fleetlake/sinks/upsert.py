@@ -14,10 +14,14 @@ same job, and a failed write leaves version n current.
 
 from __future__ import annotations
 
+import json
+import uuid
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
@@ -85,3 +89,116 @@ class VersionedTable:
             w = w.partitionBy(*partition_by)
         w.parquet(f"{self.root}/v={nxt}")
         return nxt
+
+
+class KeyedTable:
+    """A Parquet table upserted by key, rewriting only the partitions touched.
+
+    Rows are placed in partitions by a function of the key: a hash bucket of
+    the key columns (``buckets``), or a partition column that the caller
+    derives from the key (``partition_by``, for example the day of a window
+    start that is part of the key).  So a key always lives in one partition,
+    and an upsert only needs the existing rows of the partitions its batch
+    touches (partition pruning on read).
+
+    One upsert: merge the touched partitions with the batch into a staging
+    folder (job 1), then dynamic-overwrite those partitions of the table from
+    the staging copy (job 2).  Nothing is read and overwritten in one job; a
+    failed second job is repaired by running it again from the staging copy.
+    Batch ids (streaming) are recorded after the overwrite, so a replayed
+    batch is skipped; a replay before the record rewrites identical rows.
+    """
+
+    BUCKET = "__bucket"
+
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str],
+                 partition_by: str | None = None, partition_expr: Column | None = None,
+                 buckets: int = 64):
+        self.spark, self.root, self.keys = spark, root.rstrip("/"), list(keys)
+        self.part = partition_by or self.BUCKET
+        if partition_by is None:
+            partition_expr = F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(buckets))
+        self.part_expr = partition_expr
+        jvm = spark._jvm
+        self._Path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    @property
+    def data_path(self) -> str:
+        return f"{self.root}/data"
+
+    def _exists(self, path: str) -> bool:
+        return self._fs.exists(self._Path(path))
+
+    def _schema(self) -> T.StructType | None:
+        """The table schema, stored at the first write (partition values are
+        read back with their written types, not re-inferred from folder names)."""
+        path = self._Path(f"{self.root}/_schema.json")
+        if not self._fs.exists(path):
+            return None
+        stream = self._fs.open(path)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return T.StructType.fromJson(json.loads(text))
+
+    def _save_schema(self, schema: T.StructType) -> None:
+        out = self._fs.create(self._Path(f"{self.root}/_schema.json"), True)
+        try:
+            out.write(bytearray(schema.json().encode("utf-8")))
+        finally:
+            out.close()
+
+    def _read_data(self) -> DataFrame | None:
+        schema = self._schema()
+        if schema is None or not self._exists(self.data_path):
+            return None
+        # Partition columns come back last; restore the written column order.
+        return self.spark.read.schema(schema).parquet(self.data_path).select(*schema.fieldNames())
+
+    def read(self, keep_partition_column: bool = False) -> DataFrame | None:
+        df = self._read_data()
+        if df is None:
+            return None
+        return df if keep_partition_column or self.part != self.BUCKET else df.drop(self.BUCKET)
+
+    def applied(self, batch_id: int) -> bool:
+        return self._exists(f"{self.root}/_batches/{batch_id}")
+
+    def upsert(self, incoming: DataFrame, order_by: Sequence[str | Column] | None = None,
+               batch_id: int | None = None) -> list:
+        """Upsert ``incoming``; returns the partition values rewritten."""
+        if batch_id is not None and self.applied(batch_id):
+            return []
+        batch = latest_per_key(incoming, self.keys, order_by) if order_by else incoming
+        if self.part_expr is not None:
+            batch = batch.withColumn(self.part, self.part_expr)
+        # The batch feeds two jobs (its partition values, then the merge).
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._upsert(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _upsert(self, batch: DataFrame, batch_id: int | None) -> list:
+        # Partition values of the batch: at most the number of buckets / days.
+        touched = [r[0] for r in batch.select(self.part).distinct().collect()]
+        if not touched:
+            return []
+        existing = self._read_data()
+        if existing is None:
+            self._save_schema(batch.schema)
+        else:
+            existing = existing.filter(F.col(self.part).isin(touched))
+        merged = upsert(existing, batch, self.keys)
+        staging = f"{self.root}/_staging/{uuid.uuid4().hex}"
+        merged.write.partitionBy(self.part).parquet(staging)
+        (self.spark.read.schema(merged.schema).parquet(staging).hint("rebalance", self.part)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(self.part).parquet(self.data_path))
+        if batch_id is not None:
+            self.spark.createDataFrame([(batch_id,)], "batch_id long").coalesce(1) \
+                .write.mode("overwrite").parquet(f"{self.root}/_batches/{batch_id}")
+        self._fs.delete(self._Path(staging), True)
+        return touched

@@ -11,12 +11,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import exact_sum
-from ..sinks.upsert import VersionedTable, upsert
+from ..sinks.upsert import KeyedTable
 
 
 def sliding_metrics(stream: DataFrame, ts: str, size: str, slide: str, dims: Sequence[str],
@@ -32,18 +32,15 @@ def sliding_metrics(stream: DataFrame, ts: str, size: str, slide: str, dims: Seq
                     "events", "value_sum"))
 
 
-def upsert_batches(table: VersionedTable, keys: Sequence[str]):
+def upsert_batches(table: KeyedTable):
     """A ``foreachBatch`` function that upserts each micro-batch by key.
 
-    Version ``batch_id + 1`` of the table holds the state after that batch;
-    when it already exists (a replay after a failure) the batch is skipped,
-    so every batch is applied exactly once.
+    Only the table partitions the batch touches are rewritten (recent windows
+    in a windowed aggregate), and a batch id already recorded by the table is
+    skipped, so every batch is applied once even when the stream replays it.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        if (batch_id + 1) in table.versions():
-            return
-        result = upsert(table.current(), batch, keys)
-        result.write.mode("overwrite").parquet(f"{table.root}/v={batch_id + 1}")
+        table.upsert(batch, batch_id=batch_id)
     return apply
 
 
@@ -61,7 +58,7 @@ def use_rocksdb_state(spark) -> None:
         spark.conf.set(key, ROCKSDB_PROVIDER)
 
 
-def run_upserting(agg: DataFrame, table: VersionedTable, keys: Sequence[str], checkpoint: str,
+def run_upserting(agg: DataFrame, table: KeyedTable, checkpoint: str,
                   trigger: dict | None = None) -> StreamingQuery:
     """Start ``agg`` in update mode, upserting every batch into ``table``.
 
@@ -70,5 +67,12 @@ def run_upserting(agg: DataFrame, table: VersionedTable, keys: Sequence[str], ch
     """
     use_rocksdb_state(agg.sparkSession)
     return (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-            .foreachBatch(upsert_batches(table, keys))
+            .foreachBatch(upsert_batches(table))
             .trigger(**(trigger or {"processingTime": "1 minute"})).start())
+
+
+def window_table(spark: SparkSession, root: str, dims: Sequence[str]) -> KeyedTable:
+    """The keyed sink for ``sliding_metrics``: key (window_start, dims),
+    partitioned by the window's day, so a batch rewrites only recent days."""
+    return KeyedTable(spark, root, ["window_start", *dims], partition_by="dt",
+                      partition_expr=F.to_date("window_start"))
