@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import datetime_text, exact_sum, narrow_decimal, seconds_exact
 from ..operators.predicates import closed_range, dynamic_filters, where
 from ..operators.projection import cast_by_suffix, select_keys_metric
-from ..sinks.upsert import stamp, upsert
+from ..session import scratch_path
+from ..sinks.upsert import KeyedTable, stamp, upsert
 from ..sources.tables import table
 from . import params as P
 from .catalogue import query
@@ -49,6 +50,24 @@ def metric_upsert(spark, sf_dir):
     return upsert(old, new, KEYS)
 
 
+@query("metric_table_upsert", "B3 B4 K6 F6", f"""
+WITH o AS ({_BATCH_SQL.format(stamp=P.OLD_STAMP, where=f"event_id < {P.UPSERT_OLD_BELOW}")}),
+     n AS ({_BATCH_SQL.format(stamp=P.NEW_STAMP, where=f"event_id >= {P.UPSERT_NEW_FROM}")})
+SELECT * FROM n
+UNION ALL
+SELECT * FROM o WHERE NOT EXISTS
+  (SELECT 1 FROM n WHERE n.user_id = o.user_id AND n.event_type = o.event_type)
+""")
+def metric_table_upsert(spark, sf_dir):
+    """The same two batches written into a keyed metric table (hash-bucketed
+    by key; each upsert rewrites only the buckets its batch touches)."""
+    ev = table(spark, sf_dir, "events")
+    t = KeyedTable(spark, scratch_path(spark, "metric_table"), KEYS, buckets=16)
+    t.upsert(metric_batch(ev.filter(F.col("event_id") < P.UPSERT_OLD_BELOW), P.OLD_STAMP))
+    t.upsert(metric_batch(ev.filter(F.col("event_id") >= P.UPSERT_NEW_FROM), P.NEW_STAMP))
+    return t.read()
+
+
 @query("metric_range_query", "D5 E8 A9 E2", f"""
 SELECT ts, user_id, event_type, value FROM events
 WHERE ts >= TIMESTAMP '{P.EVENT_START} 00:00:00' AND ts <= TIMESTAMP '{P.EVENT_END} 00:00:00'

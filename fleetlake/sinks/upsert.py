@@ -168,12 +168,22 @@ class KeyedTable:
 
     def upsert(self, incoming: DataFrame, order_by: Sequence[str | Column] | None = None,
                batch_id: int | None = None) -> list:
-        """Upsert ``incoming``; returns the partition values rewritten."""
+        """Upsert ``incoming``; returns the partition values rewritten (``None``
+        for the first write, ``[]`` when nothing was done)."""
         if batch_id is not None and self.applied(batch_id):
             return []
         batch = latest_per_key(incoming, self.keys, order_by) if order_by else incoming
         if self.part_expr is not None:
             batch = batch.withColumn(self.part, self.part_expr)
+        if self._read_data() is None:
+            # First write: nothing to merge with and nothing read from the
+            # target path, so the batch goes straight to the table.
+            self._save_schema(batch.schema)
+            (batch.hint("rebalance", self.part).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic")
+             .partitionBy(self.part).parquet(self.data_path))
+            self._mark(batch_id)
+            return None
         # The batch feeds two jobs (its partition values, then the merge).
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -181,24 +191,24 @@ class KeyedTable:
         finally:
             batch.unpersist()
 
+    def _mark(self, batch_id: int | None) -> None:
+        if batch_id is not None:            # marker: an empty file per applied batch
+            self._fs.create(self._Path(f"{self.root}/_batches/{batch_id}"), True).close()
+
     def _upsert(self, batch: DataFrame, batch_id: int | None) -> list:
         # Partition values of the batch: at most the number of buckets / days.
         touched = [r[0] for r in batch.select(self.part).distinct().collect()]
         if not touched:
             return []
-        existing = self._read_data()
-        if existing is None:
-            self._save_schema(batch.schema)
-        else:
-            existing = existing.filter(F.col(self.part).isin(touched))
+        existing = self._read_data().filter(F.col(self.part).isin(touched))
         merged = upsert(existing, batch, self.keys)
         staging = f"{self.root}/_staging/{uuid.uuid4().hex}"
-        merged.write.partitionBy(self.part).parquet(staging)
+        # rebalance: AQE sizes the write tasks per partition value, so a
+        # bucket is neither one huge task nor scattered over every task.
+        merged.hint("rebalance", self.part).write.partitionBy(self.part).parquet(staging)
         (self.spark.read.schema(merged.schema).parquet(staging).hint("rebalance", self.part)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(self.part).parquet(self.data_path))
-        if batch_id is not None:
-            self.spark.createDataFrame([(batch_id,)], "batch_id long").coalesce(1) \
-                .write.mode("overwrite").parquet(f"{self.root}/_batches/{batch_id}")
+        self._mark(batch_id)
         self._fs.delete(self._Path(staging), True)
         return touched
