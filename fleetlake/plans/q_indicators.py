@@ -130,3 +130,38 @@ def point_lookup(spark, sf_dir):
     """One task row by id (the caller raises when it is missing)."""
     from ..operators.predicates import point_lookup as lookup
     return lookup(table(spark, sf_dir, "orders"), "o_orderkey", 1234)
+
+
+USAGE_SOURCES = {"createTime": "create_time", "vin": "vin", "totalHours": "total_hours",
+                 "activeHours": "active_hours", "idleHours": "idle_hours",
+                 "powerCycles": "power_cycles", "lastActivated": "last_activated"}
+
+
+@query("indicator_usage", "D8 S10", f"""
+WITH e AS (SELECT user_id, ts FROM events
+           WHERE ts >= TIMESTAMP '{P.EXPORT_START} 00:00:00' AND ts <= TIMESTAMP '{P.EXPORT_END} 00:00:00'),
+g AS (SELECT user_id, ts,
+             CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL
+                    OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE
+                  THEN 1 ELSE 0 END AS new_s FROM e),
+s AS (SELECT user_id, ts, sum(new_s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid
+      FROM g),
+ss AS (SELECT user_id, sid, min(ts) AS st, max(ts) AS la FROM s GROUP BY user_id, sid)
+SELECT strftime(max(la), '%Y-%m-%d %H:%M:%S') AS createTime, CAST(user_id AS VARCHAR) AS vin,
+       (epoch_us(max(la)) - epoch_us(min(st))) / 3.6e9 AS totalHours,
+       sum(epoch_us(la) - epoch_us(st)) / 3.6e9 AS activeHours,
+       ((epoch_us(max(la)) - epoch_us(min(st))) - sum(epoch_us(la) - epoch_us(st))) / 3.6e9 AS idleHours,
+       count(*) AS powerCycles,
+       strftime(max(st), '%Y-%m-%d %H:%M:%S') AS lastActivated
+FROM ss GROUP BY user_id
+""")
+def indicator_usage(spark, sf_dir):
+    """Usage indicator from real rows: activity sessions (gaps of at most 30
+    minutes) per device."""
+    from ..operators.predicates import closed_range
+    from ..operators.sessions import sessions, usage
+    from .indicators import INDICATORS, project
+    ev = table(spark, sf_dir, "events").filter(closed_range("ts", P.EXPORT_START, P.EXPORT_END))
+    per_device = usage(sessions(ev.select("user_id", "ts"), "user_id", "ts", 1800), "user_id")
+    per_device = per_device.withColumn("vin", F.col("user_id").cast("string"))
+    return project(INDICATORS["robot_usage"], per_device, USAGE_SOURCES)

@@ -55,3 +55,36 @@ def test_seek_page_matches_offset_page(spark):
     last = p2[-1]
     seek = [tuple(r) for r in seek_page(ev, ["ts", "event_id"], (last[1], last[0]), 20).collect()]
     assert seek == p3
+
+
+def brute_sessions(rows, gap):
+    out = []
+    for k in sorted({r[0] for r in rows}):
+        ts = sorted(r[1] for r in rows if r[0] == k)
+        start = last = ts[0]
+        n = 1
+        for t in ts[1:]:
+            if t - last <= gap:
+                last, n = t, n + 1
+            else:
+                out.append((k, start, last, n))
+                start = last = t
+                n = 1
+        out.append((k, start, last, n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bucket", ["hour", "day", "month"])
+def test_split_sessions_equal_brute_force(spark, bucket):
+    from fleetlake.operators.sessions import sessions
+    rnd = random.Random(11)
+    base = dt.datetime(2024, 1, 1, 22)
+    rows, t = [], {k: base for k in range(4)}
+    for i in range(600):
+        k = 0 if rnd.random() < 0.5 else rnd.randint(1, 3)              # device 0 is hot
+        t[k] = t[k] + dt.timedelta(minutes=rnd.choice([1, 5, 20, 29, 30, 31, 90]))
+        rows.append((k, t[k]))
+    df = spark.createDataFrame(rows, "k int, ts timestamp_ntz")
+    got = sorted(tuple(r) for r in sessions(df, "k", "ts", 1800, bucket=bucket)
+                 .select("k", "session_start", "session_last", "events").collect())
+    assert got == brute_sessions(rows, dt.timedelta(minutes=30))
