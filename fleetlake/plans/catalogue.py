@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import apply_defaults
 
@@ -26,11 +28,21 @@ class Registered:
 REGISTRY: dict[str, Registered] = {}
 
 
+def _day_columns_as_timestamps(df: DataFrame) -> DataFrame:
+    """Output convention of the registered queries: calendar days are given as
+    midnight ``timestamp_ntz`` (the same value a DuckDB TIMESTAMP holds), so
+    day columns compare alike whatever client turns them into Python values."""
+    days = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DateType)]
+    if not days:
+        return df
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in days})
+
+
 def query(name: str, ops: str, sql: str | None):
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             apply_defaults(spark)
-            return fn(spark, sf_dir)
+            return _day_columns_as_timestamps(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         REGISTRY[name] = Registered(name, run, sql.strip() if sql else None, ops)

@@ -172,7 +172,7 @@ def hourly_rollup(spark, sf_dir):
 
 
 @query("daily_rollup", "G5", f"""
-SELECT CAST(ts AS DATE) AS event_date, event_type, {_MEASURES_SQL},
+SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS event_date, event_type, {_MEASURES_SQL},
        count(DISTINCT user_id) AS devices
 FROM events GROUP BY 1, 2
 """)
@@ -184,7 +184,7 @@ def daily_rollup(spark, sf_dir):
 @query("multi_dim_cube", "G6", f"""
 SELECT event_type, event_date, {_MEASURES_SQL},
        CAST(GROUPING(event_type, event_date) AS BIGINT) AS grouping_level
-FROM (SELECT *, CAST(ts AS DATE) AS event_date FROM events) e
+FROM (SELECT *, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS event_date FROM events) e
 GROUP BY CUBE (event_type, event_date)
 """)
 def multi_dim_cube(spark, sf_dir):
@@ -225,7 +225,7 @@ def device_status_count(spark, sf_dir):
 
 
 @query("retention_filter", "B9", f"""
-SELECT *, CAST(ts AS DATE) AS dt FROM events
+SELECT *, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS dt FROM events
 WHERE CAST(ts AS DATE) >= DATE '{P.RETENTION_RUN_DAY}' - INTERVAL {P.RETENTION_DAYS} DAY
 """)
 def retention_filter(spark, sf_dir):
@@ -236,7 +236,7 @@ def retention_filter(spark, sf_dir):
 
 @query("ads_daily_layers", "B9 D10 Q1 G5 A8", DOC_SQL + """
 , f AS (
-  SELECT CAST(ts AS DATE) AS event_date, event_type AS device_type, device_id,
+  SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS event_date, event_type AS device_type, device_id,
          (['online', 'offline', 'fault', 'maintenance'])[k % 4 + 1] AS status,
          TRY_CAST(rtrim(CASE WHEN k % 10 = 0 THEN '%' WHEN k % 10 = 1 THEN 'n/a%'
                              WHEN k % 10 = 2 THEN NULL ELSE CAST(k AS VARCHAR) || '%' END, '%') AS INTEGER)

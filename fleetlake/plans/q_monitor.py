@@ -72,7 +72,7 @@ def threshold_alerts(spark, sf_dir):
 
 
 @query("ingest_health", "G9", f"""
-SELECT CAST(ts AS DATE) AS event_date, count(*) AS volume,
+SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS event_date, count(*) AS volume,
        count(*) FILTER (WHERE event_type = 'error') AS error_events,
        count(*) FILTER (WHERE event_type = 'error') / count(*) AS error_rate,
        count(*) FILTER (WHERE NOT (value >= {P.MIN_VALUE})

@@ -18,7 +18,7 @@ def _events_stream(spark, sf_dir):
 
 
 @query("stream_ingest_ods", "J1", """
-SELECT *, CAST(ts AS DATE) AS dt FROM events
+SELECT *, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS dt FROM events
 """)
 def stream_ingest_ods(spark, sf_dir):
     """Micro-batch ingest of events into a day-partitioned raw table, read back."""
