@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
-from ..operators.paging import page as page_rows
+from ..operators.paging import page as page_rows, seek_page as seek_rows
+from ..operators.predicates import closed_range, point_lookup as lookup
+from ..operators.sessions import sessions, usage
 from ..sources.tables import table
 from . import params as P
 from .catalogue import query
-from .indicators import TASK_SOURCES, IndicatorQuery, export_rows, indicator, total
+from .indicators import (INDICATORS, TASK_SOURCES, IndicatorQuery, export_rows, indicator,
+                         project, total)
 from .standins import event_view, task_view
 
 EVENT_Q = IndicatorQuery("robot_event", P.EVENT_START, P.EVENT_END, vin=P.EVENT_VIN)
@@ -116,11 +121,9 @@ ORDER BY ts, event_id LIMIT {P.PAGE_SIZE}
 """)
 def seek_page(spark, sf_dir):
     """Key-set page: the 20 rows after a (ts, event_id) key the client holds."""
-    import datetime as dt
-    from ..operators.paging import seek_page as seek
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     after = (dt.datetime.fromisoformat(SEEK_AFTER[0]), SEEK_AFTER[1])
-    return seek(ev, ["ts", "event_id"], after, P.PAGE_SIZE)
+    return seek_rows(ev, ["ts", "event_id"], after, P.PAGE_SIZE)
 
 
 @query("point_lookup", "E11 I4", """
@@ -128,7 +131,6 @@ SELECT * FROM orders WHERE o_orderkey = 1234
 """)
 def point_lookup(spark, sf_dir):
     """One task row by id (the caller raises when it is missing)."""
-    from ..operators.predicates import point_lookup as lookup
     return lookup(table(spark, sf_dir, "orders"), "o_orderkey", 1234)
 
 
@@ -158,9 +160,6 @@ FROM ss GROUP BY user_id
 def indicator_usage(spark, sf_dir):
     """Usage indicator from real rows: activity sessions (gaps of at most 30
     minutes) per device."""
-    from ..operators.predicates import closed_range
-    from ..operators.sessions import sessions, usage
-    from .indicators import INDICATORS, project
     ev = table(spark, sf_dir, "events").filter(closed_range("ts", P.EXPORT_START, P.EXPORT_END))
     per_device = usage(sessions(ev.select("user_id", "ts"), "user_id", "ts", 1800), "user_id")
     per_device = per_device.withColumn("vin", F.col("user_id").cast("string"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import percent_value
 from ..operators.partitioning import ensure_parallelism
 from ..operators.quality import Rule, error_summary, flag_rules
 from ..operators.rollups import batch_volume as volume, cube_rollup, sliding_rollup as sliding
@@ -13,7 +14,8 @@ from ..sources.documents import parse_documents
 from ..sources.tables import table
 from . import params as P
 from .catalogue import query
-from .layers import retention
+from ..session import scratch_path
+from .layers import Layers, retention
 from .standins import props_k
 
 KNOWN_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -95,7 +97,6 @@ SELECT doc_id, battery_level, TRY_CAST(rtrim(battery_level, '%') AS INTEGER) AS
 """)
 def percent_parse(spark, sf_dir):
     """Percent text (``"55%"``) to a number; anything else to null."""
-    from ..functions.scalars import percent_value
     docs = _docs(spark, sf_dir)
     return docs.select("doc_id", "battery_level", percent_value("battery_level").alias("battery_pct"))
 
@@ -253,8 +254,6 @@ GROUP BY event_date, device_type
 def ads_daily_layers(spark, sf_dir):
     """ODS documents -> DWD detail (quality-split) -> ADS daily roll-up, each a
     day-partitioned table in the shared folder; returns the ADS table."""
-    from ..session import scratch_path
-    from .layers import Layers
     lay = Layers(spark, scratch_path(spark, "layers"))
     ev = ensure_parallelism(table(spark, sf_dir, "events"))
     lay.ods_documents(documents_from_events(ev, with_day=True))

@@ -85,3 +85,26 @@ def event_rules_for_docs():
 
 def test_event_rules_are_columns():
     assert len(event_rules()) == 3
+
+
+def test_hot_key_work_is_split_by_bucket(spark):
+    """Sessions and next-match shuffle on (device, bucket) first, never on the
+    device alone for the per-event work."""
+    from fleetlake.operators.sequence import next_match_time
+    from fleetlake.operators.sessions import sessions
+    ev = spark.read.parquet(f"{SF01}/events.parquet")
+    p = plan(sessions(ev.select("user_id", "ts"), "user_id", "ts"))
+    first_exchange = [l for l in p.split("\n") if "Exchange hashpartitioning" in l][-1]
+    # keyed on the device and the bucket (Catalyst names the bucket expression)
+    assert "hashpartitioning(user_id" in first_exchange
+    assert "_groupingexpression" in first_exchange or "__b" in first_exchange
+    p2 = plan(next_match_time(ev, "user_id", "ts", "event_id", F.col("event_type") != "error"))
+    window_exchanges = [l for l in p2.split("\n") if "Exchange hashpartitioning(user_id" in l]
+    assert any("__bucket" in l for l in window_exchanges)
+
+
+def test_upsert_and_latest_state_use_partial_aggregation(spark):
+    from fleetlake.sinks.upsert import latest_per_key
+    ev = spark.read.parquet(f"{SF01}/events.parquet")
+    p = plan(latest_per_key(ev, ["user_id"], ["ts", "event_id"]))
+    assert "partial_max_by" in p and "Window" not in p
