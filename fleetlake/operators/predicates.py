@@ -135,5 +135,18 @@ def where(df: DataFrame, *preds: Column | None) -> DataFrame:
 
 
 def point_lookup(df: DataFrame, id_col: str, value) -> DataFrame:
-    """Rows with the id (the caller raises on an empty result)."""
+    """The row with the id, as a frame (empty when missing)."""
     return df.filter(F.col(id_col) == F.lit(value)).limit(1)
+
+
+class NotFound(KeyError):
+    pass
+
+
+def get_one(df: DataFrame, id_col: str, value):
+    """The row with the id as a ``Row``; raises ``NotFound`` when missing
+    (reads at most one row)."""
+    rows = point_lookup(df, id_col, value).take(1)
+    if not rows:
+        raise NotFound(f"{id_col}={value!r} does not exist")
+    return rows[0]

@@ -179,3 +179,43 @@ def test_dialects_and_urls():
     assert Source("MySQL", "h", 3306, "db").url() == "jdbc:mysql://h:3306/db"
     with pytest.raises(ValueError):
         dialect("excel")
+
+
+def test_point_lookup_raises_when_missing(spark):
+    from fleetlake.operators.predicates import NotFound, get_one
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    assert get_one(df, "id", 2).name == "b"
+    with pytest.raises(NotFound):
+        get_one(df, "id", 3)
+
+
+def test_labels_from_metadata(spark):
+    from fleetlake.operators.projection import with_labels
+    from fleetlake.plans.indicators import labelled
+    df = with_labels(spark.createDataFrame([(1, "x")], "vin int, kind string"), {"vin": "Device ID"})
+    assert labelled(df).columns == ["Device ID", "kind"]
+    assert labelled(df, {"kind": "Kind"}).columns == ["Device ID", "Kind"]
+
+
+def test_read_documents_explicit_schema(spark, tmp_dir):
+    from fleetlake.sources.documents import flatten, metrics_long, read_documents
+    lines = [
+        '{"device_id": "CAM-000001", "timestamp": "2024-01-01 10:00:00", "device_type": "camera",'
+        ' "status": "online", "location": {"district": "d", "street": "s", "latitude": 39.9,'
+        ' "longitude": 116.3}, "metrics": {"frame_rate": 25.0, "uptime": 99.5},'
+        ' "storage_remaining": "55%", "unknown_field": 1}',
+        '{"device_id": "ENV-000002", "timestamp": "2024-01-01 11:00:00", "device_type":'
+        ' "environmental_sensor", "metrics": {"pm25": 12.5}, "battery_level": "80%",'
+        ' "alerts": [{"alert_id": "A1", "severity": "high", "message": "m", "timestamp": "2024-01-01 11:00:00"}]}',
+        'not json at all',
+    ]
+    with open(f"{tmp_dir}/docs.json", "w") as fh:
+        fh.write("\n".join(lines) + "\n")
+    docs = read_documents(spark, f"{tmp_dir}/docs.json").withColumn("doc_id", F.monotonically_increasing_id())
+    rows = docs.collect()
+    assert len(rows) == 3 and sum(r["_corrupt_record"] is not None for r in rows) == 1
+    good = docs.filter(F.col("_corrupt_record").isNull())
+    flat = {r.device_id: r for r in flatten(good).collect()}
+    assert flat["CAM-000001"].n_metrics == 2 and flat["CAM-000001"].n_alerts == 0
+    assert flat["ENV-000002"].battery_pct == 80 and flat["ENV-000002"].n_alerts == 1
+    assert sorted(r.metric for r in metrics_long(good).collect()) == ["frame_rate", "pm25", "uptime"]
