@@ -16,14 +16,13 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Settings every session of ours wants; they are only applied where the
-# caller has not chosen a value already.
+# caller has not chosen a value already.  Write behaviour (dynamic partition
+# overwrite) is passed per write, never switched on for the whole session.
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
@@ -37,6 +36,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("FLEETLAKE_DRIVER_MEMORY", "16g"))
+        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in DEFAULT_CONF.items():
         builder = builder.config(key, value)

@@ -80,7 +80,7 @@ def read_table(spark: SparkSession, src: Source, table: str, *,
                 .option("connection.uri", f"mongodb://{src.host}:{src.port}")
                 .option("database", src.database).option("collection", table).load())
     if d == "kafka":
-        raise ValueError("use messages.bounded_read for Kafka topics")
+        raise ValueError("use messages.bounded_kafka_read for Kafka topics")
     url, driver = JDBC[d][0].format(host=src.host, port=src.port, database=src.database), JDBC[d][1]
     reader = (spark.read.format("jdbc").option("url", url).option("driver", driver)
               .option("dbtable", table).option("user", src.username)
@@ -107,7 +107,8 @@ def write_table(df: DataFrame, src: Source, table: str, mode: str = "append",
     if d == "files":
         w = df.write.mode(mode)
         if partition_by:
-            w = w.partitionBy(*partition_by)
+            # overwrite replaces only the partitions present in df (B2)
+            w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
         w.parquet(f"{src.path.rstrip('/')}/{table}")
         return
     if d == "mongodb":
