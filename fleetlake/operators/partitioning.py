@@ -33,7 +33,10 @@ def estimated_partitions(df: DataFrame) -> int:
     """Scan splits the input would be cut into (at least 1)."""
     est = estimated_bytes(df)
     if est is None:
-        return df.rdd.getNumPartitions()
+        try:
+            return df.rdd.getNumPartitions()
+        except Exception:      # no plan access (for example a remote session)
+            return 1
     split = _bytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
     return max(1, math.ceil(est / max(split, 1)))
 
