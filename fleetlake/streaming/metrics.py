@@ -59,16 +59,27 @@ def use_rocksdb_state(spark) -> None:
 
 
 def run_upserting(agg: DataFrame, table: KeyedTable, checkpoint: str,
-                  trigger: dict | None = None) -> StreamingQuery:
+                  trigger: dict | None = None, state_partitions: int | None = None) -> StreamingQuery:
     """Start ``agg`` in update mode, upserting every batch into ``table``.
 
     Window state grows with the number of open windows x keys; it lives in
     RocksDB rather than on the JVM heap (``use_rocksdb_state``).
+    ``state_partitions`` sets how many state stores the aggregation keeps
+    (fixed in the checkpoint at the first start); the session's shuffle
+    setting is only changed while the query starts.
     """
-    use_rocksdb_state(agg.sparkSession)
-    return (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-            .foreachBatch(upsert_batches(table))
-            .trigger(**(trigger or {"processingTime": "1 minute"})).start())
+    spark = agg.sparkSession
+    use_rocksdb_state(spark)
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if state_partitions:
+        spark.conf.set(key, str(state_partitions))
+    try:
+        return (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+                .foreachBatch(upsert_batches(table))
+                .trigger(**(trigger or {"processingTime": "1 minute"})).start())
+    finally:
+        spark.conf.set(key, before)
 
 
 def window_table(spark: SparkSession, root: str, dims: Sequence[str]) -> KeyedTable:
