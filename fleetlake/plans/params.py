@@ -15,8 +15,8 @@ DATE_RUN_DAY = "1999-01-01"         # upper bound = the day before
 
 OFFSET_START, OFFSET_MAX = 99, 1000  # bounded message read
 
-UPSERT_OLD_BELOW = 8000             # old batch: event_id < 8000
-UPSERT_NEW_FROM = 6000              # new batch: event_id >= 6000
+UPSERT_OLD_BEFORE = "2024-01-20 00:00:00"   # old batch: events before this time
+UPSERT_NEW_FROM = "2024-01-15 00:00:00"     # new batch: events from this time (overlap)
 OLD_STAMP = "2024-01-31 00:00:00"
 NEW_STAMP = "2024-02-01 00:00:00"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import datetime_text, exact_sum, narrow_decimal, seconds_exact
@@ -16,6 +18,10 @@ from .catalogue import query
 KEYS = ["user_id", "event_type"]
 
 
+def _ts(text: str) -> dt.datetime:
+    return dt.datetime.fromisoformat(text)
+
+
 def metric_batch(ev, run_ts):
     """Metric rows of one batch: one per (device, event type), stamped."""
     agg = ev.groupBy(*KEYS).agg(
@@ -35,24 +41,25 @@ FROM events WHERE {where} GROUP BY user_id, event_type
 
 
 @query("metric_upsert", "B3 B4 H1 K6 F6", f"""
-WITH o AS ({_BATCH_SQL.format(stamp=P.OLD_STAMP, where=f"event_id < {P.UPSERT_OLD_BELOW}")}),
-     n AS ({_BATCH_SQL.format(stamp=P.NEW_STAMP, where=f"event_id >= {P.UPSERT_NEW_FROM}")})
+WITH o AS ({_BATCH_SQL.format(stamp=P.OLD_STAMP, where=f"ts < TIMESTAMP '{P.UPSERT_OLD_BEFORE}'")}),
+     n AS ({_BATCH_SQL.format(stamp=P.NEW_STAMP, where=f"ts >= TIMESTAMP '{P.UPSERT_NEW_FROM}'")})
 SELECT * FROM n
 UNION ALL
 SELECT * FROM o WHERE NOT EXISTS
   (SELECT 1 FROM n WHERE n.user_id = o.user_id AND n.event_type = o.event_type)
 """)
 def metric_upsert(spark, sf_dir):
-    """Old metric table (ids < 8000) upserted with a new batch (ids >= 6000)."""
+    """Old metric table (events before Jan 20) upserted with a new batch
+    (events from Jan 15): overlapping keys take the new row."""
     ev = table(spark, sf_dir, "events")
-    old = metric_batch(ev.filter(F.col("event_id") < P.UPSERT_OLD_BELOW), P.OLD_STAMP)
-    new = metric_batch(ev.filter(F.col("event_id") >= P.UPSERT_NEW_FROM), P.NEW_STAMP)
+    old = metric_batch(ev.filter(F.col("ts") < F.lit(_ts(P.UPSERT_OLD_BEFORE))), P.OLD_STAMP)
+    new = metric_batch(ev.filter(F.col("ts") >= F.lit(_ts(P.UPSERT_NEW_FROM))), P.NEW_STAMP)
     return upsert(old, new, KEYS)
 
 
 @query("metric_table_upsert", "B3 B4 K6 F6", f"""
-WITH o AS ({_BATCH_SQL.format(stamp=P.OLD_STAMP, where=f"event_id < {P.UPSERT_OLD_BELOW}")}),
-     n AS ({_BATCH_SQL.format(stamp=P.NEW_STAMP, where=f"event_id >= {P.UPSERT_NEW_FROM}")})
+WITH o AS ({_BATCH_SQL.format(stamp=P.OLD_STAMP, where=f"ts < TIMESTAMP '{P.UPSERT_OLD_BEFORE}'")}),
+     n AS ({_BATCH_SQL.format(stamp=P.NEW_STAMP, where=f"ts >= TIMESTAMP '{P.UPSERT_NEW_FROM}'")})
 SELECT * FROM n
 UNION ALL
 SELECT * FROM o WHERE NOT EXISTS
@@ -63,8 +70,8 @@ def metric_table_upsert(spark, sf_dir):
     by key; each upsert rewrites only the buckets its batch touches)."""
     ev = table(spark, sf_dir, "events")
     t = KeyedTable(spark, scratch_path(spark, "metric_table"), KEYS, buckets=16)
-    t.upsert(metric_batch(ev.filter(F.col("event_id") < P.UPSERT_OLD_BELOW), P.OLD_STAMP))
-    t.upsert(metric_batch(ev.filter(F.col("event_id") >= P.UPSERT_NEW_FROM), P.NEW_STAMP))
+    t.upsert(metric_batch(ev.filter(F.col("ts") < F.lit(_ts(P.UPSERT_OLD_BEFORE))), P.OLD_STAMP))
+    t.upsert(metric_batch(ev.filter(F.col("ts") >= F.lit(_ts(P.UPSERT_NEW_FROM))), P.NEW_STAMP))
     return t.read()
 
 
