@@ -12,6 +12,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .partitioning import estimated_partitions
 
@@ -20,16 +21,27 @@ def _order(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+MAX_MERGE_ROWS = 5_000_000
+
+
 def page(df: DataFrame, order_by: Sequence[str | Column], page_no: int = 1,
-         page_size: int = 10) -> DataFrame:
+         page_size: int = 10, max_merge_rows: int = MAX_MERGE_ROWS) -> DataFrame:
     """``limit page_size offset (page_no - 1) * page_size`` over a total order.
 
     ``order_by`` must end in a unique column (an id) so pages never overlap.
+    A deep page over a (time, id) order whose top-k merge would exceed
+    ``max_merge_rows`` first takes the exact first ``offset + size`` rows with
+    ``bounded_top_k`` and pages inside those.
     """
     if page_no < 1 or page_size < 1:
         raise ValueError("page and page_size start at 1")
-    ordered = df.orderBy(*_order(order_by))
     offset = (page_no - 1) * page_size
+    k = offset + page_size
+    if (len(order_by) == 2 and all(isinstance(c, str) for c in order_by)
+            and isinstance(df.schema[order_by[0]].dataType, (T.TimestampType, T.TimestampNTZType))
+            and estimated_partitions(df) * k > max_merge_rows):
+        df = bounded_top_k(df, order_by[0], order_by[1], k, max_merge_rows=max_merge_rows)
+    ordered = df.orderBy(*_order(order_by))
     return (ordered.offset(offset) if offset else ordered).limit(page_size)
 
 
@@ -66,7 +78,7 @@ _GRAINS = ("day", "hour", "minute", "second", "millisecond", "microsecond")
 
 
 def bounded_top_k(df: DataFrame, ts: str, tiebreak: str, k: int,
-                  max_merge_rows: int = 5_000_000, max_candidates: int | None = None) -> DataFrame:
+                  max_merge_rows: int = MAX_MERGE_ROWS, max_candidates: int | None = None) -> DataFrame:
     """The first ``k`` rows by ``(ts, tiebreak)``, exactly, without one task
     merging ``k`` rows from every partition.
 

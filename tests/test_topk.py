@@ -31,3 +31,12 @@ def test_hot_bucket_and_nulls(spark):
         want = _ids(df.orderBy("ts", "event_id").limit(k))
         got = _ids(bounded_top_k(df, "ts", "event_id", k, max_merge_rows=0, max_candidates=10))
         assert sorted(got) == sorted(want), k
+
+
+def test_deep_page_through_histogram_path(spark):
+    from fleetlake.operators.paging import page
+    ev = spark.read.parquet(f"{SF01}/events.parquet").select("event_id", "ts")
+    for p_no in (1, 37, 250):
+        want = [r.event_id for r in page(ev, ["ts", "event_id"], p_no, 20).collect()]
+        got = [r.event_id for r in page(ev, ["ts", "event_id"], p_no, 20, max_merge_rows=0).collect()]
+        assert got == want, p_no
