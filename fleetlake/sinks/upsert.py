@@ -105,8 +105,9 @@ class KeyedTable:
     folder (job 1), then dynamic-overwrite those partitions of the table from
     the staging copy (job 2).  Nothing is read and overwritten in one job; a
     failed second job is repaired by running it again from the staging copy.
-    Batch ids (streaming) are recorded after the overwrite, so a replayed
-    batch is skipped; a replay before the record rewrites identical rows.
+    The last applied batch id (streaming) is recorded after the overwrite, so
+    a replayed batch is skipped; a replay before the record rewrites
+    identical rows.
     """
 
     BUCKET = "__bucket"
@@ -163,8 +164,21 @@ class KeyedTable:
             return None
         return df if keep_partition_column or self.part != self.BUCKET else df.drop(self.BUCKET)
 
+    def _last_batch(self) -> int | None:
+        path = self._Path(f"{self.root}/_last_batch")
+        if not self._fs.exists(path):
+            return None
+        stream = self._fs.open(path)
+        try:
+            return int(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
     def applied(self, batch_id: int) -> bool:
-        return self._exists(f"{self.root}/_batches/{batch_id}")
+        """Micro-batches are applied in id order, so one number says which
+        batches are done (a replay re-sends the last one)."""
+        last = self._last_batch()
+        return last is not None and batch_id <= last
 
     def upsert(self, incoming: DataFrame, order_by: Sequence[str | Column] | None = None,
                batch_id: int | None = None) -> list:
@@ -192,8 +206,19 @@ class KeyedTable:
             batch.unpersist()
 
     def _mark(self, batch_id: int | None) -> None:
-        if batch_id is not None:            # marker: an empty file per applied batch
-            self._fs.create(self._Path(f"{self.root}/_batches/{batch_id}"), True).close()
+        """Record the last applied batch id: written to a temporary file, then
+        renamed over the old record."""
+        if batch_id is None:
+            return
+        tmp = self._Path(f"{self.root}/_last_batch.{uuid.uuid4().hex}")
+        out = self._fs.create(tmp, True)
+        try:
+            out.write(bytearray(str(batch_id).encode("utf-8")))
+        finally:
+            out.close()
+        final = self._Path(f"{self.root}/_last_batch")
+        self._fs.delete(final, False)
+        self._fs.rename(tmp, final)
 
     def _upsert(self, batch: DataFrame, batch_id: int | None) -> list:
         # Partition values of the batch: at most the number of buckets / days.
