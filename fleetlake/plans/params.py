@@ -3,7 +3,10 @@
 # Indicator window and device (closed range, end at midnight: S1 default).
 EVENT_START, EVENT_END, EVENT_VIN = "2024-01-05", "2024-01-12", "8"
 TASK_START, TASK_END = "1997-01-01", "1997-12-31"
-EXPORT_START, EXPORT_END, EXPORT_LIMIT = "2024-01-01", "2024-01-31", 10000
+EXPORT_START, EXPORT_END = "2024-01-01", "2024-01-31"
+# The export row cap and the message-read cap are the
+# reference's defaults.
+EXPORT_LIMIT = 10000
 
 PAGE_NO, PAGE_SIZE = 3, 20          # offset 40, limit 20
 
@@ -13,7 +16,8 @@ TIME_UPPER = "2024-01-20 00:00:00"
 DATE_WATERMARK = "1998-01-01"
 DATE_RUN_DAY = "1999-01-01"         # upper bound = the day before
 
-OFFSET_START, OFFSET_MAX = 99, 1000  # bounded message read
+OFFSET_START = 99                    # bounded message read: after this offset ...
+OFFSET_MAX = 1000                    # ... at most this many (fixed value, see above)
 
 UPSERT_OLD_BEFORE = "2024-01-20 00:00:00"   # old batch: events before this time
 UPSERT_NEW_FROM = "2024-01-15 00:00:00"     # new batch: events from this time (overlap)
