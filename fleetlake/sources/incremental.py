@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir, scratch_path
+from ..session import checkpoint_dir
 
 # Initial watermark per increment-column type (C1).  The
 # datetime seed is the Unix epoch written in UTC+8.
@@ -168,8 +168,10 @@ class StateStore:
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
+        """``path`` defaults to one fixed folder under the shared checkpoint
+        folder, so every run of every job sees the same state."""
         self.spark = spark
-        self.path = path or scratch_path(spark, "sync_state")
+        self.path = path or f"{checkpoint_dir(spark)}/fleetlake/sync_state"
 
     def _log(self) -> DataFrame | None:
         try:
@@ -191,7 +193,10 @@ class StateStore:
     def commit(self, stats: DataFrame, updated_at: str) -> None:
         """Append the next watermark of each task in ``stats`` (C3/C4); tasks
         whose batch was empty keep their state untouched (C6)."""
-        seq = int(dt.datetime.now().timestamp() * 1e6)
+        # Commit order: later than every logged commit, even if the clock stepped back.
+        log = self._log()
+        last = log.agg(F.max("seq")).collect()[0][0] if log is not None else None
+        seq = max(int(dt.datetime.now().timestamp() * 1e6), (last or 0) + 1)
         rows = (stats.filter(F.col("batch_rows") > 0)
                 .select("task", F.col("next_watermark").alias("last_watermark"),
                         F.lit(True).alias("enabled"), F.lit(updated_at).alias("updated_at"),

@@ -115,3 +115,12 @@ def test_versioned_table(spark):
     t.upsert(spark.createDataFrame([("a", 2), ("b", 3)], "k string, v int"), ["k"])
     assert t.versions() == [1, 2]
     assert sorted(map(tuple, t.current().collect())) == [("a", 2), ("b", 3)]
+
+
+def test_default_state_path_is_shared_between_instances(spark):
+    a, b = StateStore(spark), StateStore(spark)
+    assert a.path == b.path and "fleetlake/sync_state" in a.path
+    task = f"shared-{__import__('uuid').uuid4().hex}"
+    a.commit(spark.createDataFrame([(task, 3, "42")], "task string, batch_rows long, next_watermark string"),
+             "2024-01-01 00:00:00")
+    assert b.get(task) == "42"
