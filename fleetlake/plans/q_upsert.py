@@ -7,13 +7,13 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions.scalars import datetime_text, exact_sum, narrow_decimal, seconds_exact
-from ..operators.predicates import closed_range, dynamic_filters, where
-from ..operators.projection import cast_by_suffix, select_keys_metric
+from ..operators.projection import cast_by_suffix
 from ..session import scratch_path
 from ..sinks.upsert import KeyedTable, stamp, upsert
 from ..sources.tables import table
 from . import params as P
 from .catalogue import query
+from .metric_store import get_metrics
 
 KEYS = ["user_id", "event_type"]
 
@@ -81,12 +81,12 @@ WHERE ts >= TIMESTAMP '{P.EVENT_START} 00:00:00' AND ts <= TIMESTAMP '{P.EVENT_E
   AND event_type = 'purchase'
 """)
 def metric_range_query(spark, sf_dir):
-    """Keys + default metric over a closed time range with dynamic filters
-    (a null filter value is skipped)."""
-    ev = table(spark, sf_dir, "events")
-    rows = where(ev, closed_range("ts", P.EVENT_START, P.EVENT_END),
-                 dynamic_filters(ev, {"EVENT_TYPE": "purchase", "user_id": None}))
-    return select_keys_metric(rows, ["ts", "user_id", "event_type"], value_columns=["value", "props"])
+    """Keys + default metric over a closed time range with dimensions given as
+    JSON (a null value is skipped), through the metric endpoint call."""
+    return get_metrics(table(spark, sf_dir, "events"), P.EVENT_START, P.EVENT_END,
+                       dimensions='{"EVENT_TYPE": "purchase", "user_id": null}',
+                       key_columns=["ts", "user_id", "event_type"],
+                       value_columns=["value", "props"], timestamp_column="ts")
 
 
 @query("infer_metric_types", "D6 D3 B4", f"""

@@ -219,3 +219,32 @@ def test_read_documents_explicit_schema(spark, tmp_dir):
     assert flat["CAM-000001"].n_metrics == 2 and flat["CAM-000001"].n_alerts == 0
     assert flat["ENV-000002"].battery_pct == 80 and flat["ENV-000002"].n_alerts == 1
     assert sorted(r.metric for r in metrics_long(good).collect()) == ["frame_rate", "pm25", "uptime"]
+
+
+def test_metric_store_calls(spark):
+    from decimal import Decimal
+    from fleetlake.plans.metric_store import get_metrics, query_metrics, store_metrics
+    from fleetlake.session import scratch_path
+    from fleetlake.sinks.upsert import KeyedTable
+    t = KeyedTable(spark, scratch_path(spark, "metric_store"), ["robot_id", "day"], buckets=4)
+    rows = spark.createDataFrame(
+        [(1, "2024-01-01", 3, Decimal("1.50")), (2, "2024-01-01", 5, Decimal("2.25"))],
+        "ROBOT_ID int, DAY string, TASK_COUNT int, AVG_SPEED decimal(10,2)")
+    store_metrics(t, rows, "2024-01-02 00:00:00")
+    store_metrics(t, rows.filter("ROBOT_ID = 2").withColumn("TASK_COUNT", F.lit(7)), "2024-01-03 00:00:00")
+    m = t.read()
+    assert {f.name: f.dataType.simpleString() for f in m.schema.fields} == {
+        "robot_id": "bigint", "day": "string", "task_count": "bigint", "avg_speed": "double",
+        "created_at": "string"}
+    got = {r.robot_id: (r.task_count, r.created_at) for r in m.collect()}
+    assert got == {1: (3, "2024-01-02 00:00:00"), 2: (7, "2024-01-03 00:00:00")}
+    q = query_metrics(m, "2024-01-03", "2024-01-03", {"ROBOT_ID": 2, "day": None},
+                      selected_fields=["robot_id", "TASK_COUNT"])
+    assert [tuple(r) for r in q.collect()] == [(2, 7)]
+    g = get_metrics(m, "2024-01-01T00:00:00Z", "2024-01-31", '{"day": "2024-01-01"}',
+                    key_columns=["robot_id"], value_columns=["task_count", "avg_speed"])
+    assert g.columns == ["robot_id", "task_count"] and g.count() == 2
+    with pytest.raises(Exception):
+        get_metrics(m, "2024-01-01", "2024-01-31", '{"nope": 1}', key_columns=["robot_id"])
+    with pytest.raises(ValueError):
+        get_metrics(m, "2024-13-01", "2024-01-31", None, key_columns=["robot_id"])
