@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import exact_sum
+from ..sinks.upsert import latest_per_key
 
 
 def measures(value: str = "value", prefix: str = "value") -> list[Column]:
@@ -71,9 +72,9 @@ def sliding_rollup(df: DataFrame, ts: str, size: str, slide: str, dims: Sequence
 
 def latest_state(df: DataFrame, key: str, order_by: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """H1: the latest row per key (``max_by`` over a struct, combined map-side)."""
-    order = F.struct(*[F.col(c) for c in order_by])
-    picked = df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("s"))
-    return picked.select(key, *[F.col(f"s.{c}").alias(c) for c in cols])
+    picked = latest_per_key(df.select(key, *cols, *[c for c in order_by if c not in cols]),
+                            [key], list(order_by))
+    return picked.select(key, *cols)
 
 
 def status_counts(df: DataFrame, key: str, order_by: Sequence[str], dims: Sequence[str]) -> DataFrame:
