@@ -108,3 +108,25 @@ def test_upsert_and_latest_state_use_partial_aggregation(spark):
     ev = spark.read.parquet(f"{SF01}/events.parquet")
     p = plan(latest_per_key(ev, ["user_id"], ["ts", "event_id"]))
     assert "partial_max_by" in p and "Window" not in p
+
+
+def test_sync_rows_shuffle_line_items_twice_without_broadcasts(spark):
+    """With every side too big to broadcast, line items are shuffled by order
+    key and by supplier key only (the customer nation rides on orders)."""
+    from fleetlake.plans.standins import sync_view
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        p = plan(sync_view(spark, SF01))
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    exchanges = [l for l in p.split("\n") if "Exchange hashpartitioning(" in l]
+    line_item_keys = [l for l in exchanges if "hashpartitioning(l_" in l]
+    assert len(line_item_keys) == 2
+    assert any("l_orderkey" in l for l in line_item_keys) and any("l_suppkey" in l for l in line_item_keys)
