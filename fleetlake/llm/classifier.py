@@ -185,22 +185,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text") -> DataFrame:
     """``docs`` with ``score``, the probability of label 1."""
-    spark = docs.sparkSession
-    X.small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c != "score"]
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "score"] + [T.StructField("score", T.DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(texts: pa.Array) -> list[pa.Array]:
         table, bias = shared.value
-        for batch in batches:
-            for lo, hi in X.slices(batch.column("_t")):
-                part = batch.slice(lo, hi - lo)
-                flat, at = _features(X.text_bytes(part.column("_t")))
-                total = np.concatenate(([0.0], np.cumsum(table[flat], dtype=np.float64)))
-                z = (total[at[1:]] - total[at[:-1]]) / np.maximum(1, np.diff(at)) + bias
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(1 / (1 + np.exp(-z)))],
-                                                 names=keep + ["score"])
-
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_t")) \
-        .mapInArrow(run, schema)
+        flat, at = _features(X.text_bytes(texts))
+        total = np.concatenate(([0.0], np.cumsum(table[flat], dtype=np.float64)))
+        z = (total[at[1:]] - total[at[:-1]]) / np.maximum(1, np.diff(at)) + bias
+        return [pa.array(1 / (1 + np.exp(-z)))]
+
+    return X.add_columns(docs, text, [("score", T.DoubleType())], lambda: judge)

@@ -157,7 +157,8 @@ def _log_gamma(x: Column) -> Column:
     y = x + 6
     low = F.log(x * (x + 1) * (x + 2)) + F.log((x + 3) * (x + 4) * (x + 5))
     r = 1 / y
-    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + r / 12 - r * r * r / 360 + r * r * r * r * r / 1260 - low
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + r / 12 - r * r * r / 360 + r * r * r * r * r / 1260 \
+        - r * r * r * r * r * r * r / 1680 + r * r * r * r * r * r * r * r * r / 1188 - low
 
 
 def _log_estimate(a: Column, b: Column) -> Column:

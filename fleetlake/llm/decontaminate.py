@@ -128,35 +128,32 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     ``n_hit``, ``items`` (sorted ids) and ``contaminated``."""
     spark = docs.sparkSession
     X.small_batches(spark)
-    added = [("n_words", T.LongType()), ("hit_spans", _SPANS), ("items", T.ArrayType(T.StringType()))]
-    names = {a for a, _ in added} | {"n_hit", "contaminated"}
-    keep = [c for c in docs.columns if c not in names]
-    schema = T.StructType([f for f in docs.schema.fields if f.name in keep]
-                          + [T.StructField(a, t) for a, t in added])
-    arrow = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
-             pa.list_(pa.string())]
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast("long").alias("n_words"),
-                      F.lit(None).cast(_SPANS).alias("hit_spans"),
-                      F.lit(None).cast("array<string>").alias("items"))
+    names = ("n_words", "hit_spans", "n_hit", "items", "contaminated")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    work = docs.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("t"),
+                       F.lit(None).cast("long").alias("n_words"), F.lit(None).cast(_SPANS).alias("hit_spans"),
+                       F.lit(None).cast("array<string>").alias("items"))
+    schema = work.schema
+    spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     parts = _slices(benchmark, item_id, "text", slice_chars)
     for part in chain([next(parts, [])], parts):
         shared = spark.sparkContext.broadcast(WindowSet(part, size))
 
         def run(batches, shared=shared):
             for batch in batches:
-                for lo, hi in X.slices(batch.column(text)):
+                for lo, hi in X.slices(batch.column(1)):
                     rows = batch.slice(lo, hi - lo)
-                    got = _scan_texts(X.text_bytes(rows.column(text)), shared.value)
-                    spans = [_joined(x[1], y) for x, y in zip(got, rows.column("hit_spans").to_pylist())]
-                    items = [sorted(x[2] | set(y or ())) for x, y in zip(got, rows.column("items").to_pylist())]
+                    got = _scan_texts(X.text_bytes(rows.column(1)), shared.value)
+                    spans = [_joined(x[1], y) for x, y in zip(got, rows.column(3).to_pylist())]
+                    items = [sorted(x[2] | set(y or ())) for x, y in zip(got, rows.column(4).to_pylist())]
                     yield pa.RecordBatch.from_arrays(
-                        [rows.column(c) for c in keep]
-                        + [pa.array([x[0] for x in got], arrow[0]), pa.array(spans, arrow[1]),
-                           pa.array(items, arrow[2])], names=keep + [a for a, _ in added])
+                        [rows.column(0), rows.column(1), pa.array([x[0] for x in got], pa.int64()),
+                         pa.array(spans, spans_kind), pa.array(items, pa.list_(pa.string()))], names=schema.names)
 
-        out = out.mapInArrow(run, schema)
+        work = work.mapInArrow(run, schema)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return out.withColumn("n_hit", n_hit).withColumn("contaminated", F.size("items") > 0)
+    return work.select("row.*", "n_words", "hit_spans", n_hit.alias("n_hit"), "items",
+                       (F.size("items") > 0).alias("contaminated"))
 
 
 def _joined(new: list[tuple[int, int]], before: list[dict] | None) -> list[dict]:

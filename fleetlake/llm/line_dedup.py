@@ -45,7 +45,7 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """The levels of runs; a run is a table bucketed and sorted by ``h1``."""
+    """The levels of runs; a run is a table bucketed and sorted by (h1, h2)."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
@@ -59,8 +59,8 @@ class LineRuns:
 
     def _store(self, keys: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        (keys.repartition(self.buckets, "h1").sortWithinPartitions("h1", "h2")
-             .write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").format("parquet")
+        (keys.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2")
+             .write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet")
              .option("path", shared_path(self.spark, name)).saveAsTable(name))
         return name
 
@@ -143,17 +143,17 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     # Lines are split before the join, so that each position below is one
     # lookup in a stored array.
-    left = docs.select(*[F.col(f"`{c}`") for c in keep if c != text], o.alias("_o"), th.alias("_th"),
-                       F.col(f"`{text}`").isNull().alias("_null"), F.split(body, "\n").alias("_lines"))
-    right = drops.withColumnsRenamed({"o": "_o", "th": "_th", "drops": "_drops"})
-    n = F.size("_lines")
-    left_over = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_drops"))
-    new = F.when(F.col("_null"), None).when(F.col("_drops").isNull(), F.array_join("_lines", "\n")) \
-        .otherwise(F.array_join(F.transform(left_over, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    joined = left.join(right, ["_o", "_th"], "left")
-    return joined.select(*[new.alias(text) if c == text else F.col(f"`{c}`") for c in keep],
-                         n.cast("long").alias("n_lines"),
-                         F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"))
+    rest = F.struct(*[F.col(f"`{c}`") for c in keep if c != text])
+    left = docs.select(rest.alias("row"), o.alias("o"), th.alias("th"), F.col(f"`{text}`").isNull().alias("void"),
+                       F.split(body, "\n").alias("lines"))
+    n = F.size("lines")
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("drops"))
+    new = F.when(F.col("void"), None).when(F.col("drops").isNull(), F.array_join("lines", "\n")) \
+        .otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
+    return left.join(drops, ["o", "th"], "left").select(
+        *[(new if c == text else F.col("row").getField(c)).alias(c) for c in keep],
+        n.cast("long").alias("n_lines"),
+        F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long").alias("n_dropped"))
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -152,8 +152,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, match: int
             .select("a", "b").distinct())
 
 
-def links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, shingle: int, percent: int,
-          match: int) -> DataFrame:
+def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, doc_id: str, text: str, shingle: int,
+          percent: int, match: int) -> DataFrame:
     """(node, root) for every class that is linked with another one."""
     posted = written(postings(classes, match), "postings")
     lists = posted.groupBy("token").agg(
@@ -181,7 +181,12 @@ def links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str, shingle:
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     rest = rest.join(stars, ["a", "b"], "left_anti")
     more = written(_confirmed(rest, classes, sets, match, percent), "links")
-    return components(roots.toDF("a", "b").unionByName(more), "a", "b")
+    # Texts under one id are one document.
+    several = signed.where("n > 0").groupBy("o").agg(F.min("f1").alias("x"), F.max("f1").alias("y")) \
+        .where("x <> y").select("o")
+    same = signed.join(several, "o", "left_semi").join(classes, ["f1", "f2"]) \
+        .select(F.col("o").alias("a"), F.col("rep").alias("b"))
+    return components(roots.toDF("a", "b").unionByName(more).unionByName(same), "a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
@@ -191,7 +196,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = written(signatures(docs, doc_id, text, shingle), "signatures")
     classes = written(signed.where("n > 0").groupBy("f1", "f2").agg(
         F.min("o").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    roots = links(docs, classes, doc_id, text, shingle, percent, match)
+    roots = links(docs, signed, classes, doc_id, text, shingle, percent, match)
     root_of = classes.select("f1", "f2", "rep").join(roots.toDF("rep", "root"), "rep", "left") \
         .select("f1", "f2", F.coalesce("root", "rep").alias("root"))
     component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("o"))

@@ -18,12 +18,9 @@ rows are judged alike, one result each; other columns are carried by
 
 from __future__ import annotations
 
-from typing import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as X
@@ -133,21 +130,10 @@ def _without(s: X.Scan, texts: list[bytes], lo: np.ndarray, doc: np.ndarray) ->
 def clean(docs: DataFrame, text: str = "text", with_text: bool = True) -> DataFrame:
     """``docs`` with the counts, the verdict ``kept`` and (``with_text``) the
     text without failing lines, ``clean_text``; no row is dropped here."""
-    X.small_batches(docs.sparkSession)
     added = _ADDED + ([("clean_text", T.StringType())] if with_text else [])
-    names = {a for a, _ in added}
-    keep = [c for c in docs.columns if c not in names]
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in names]
-                          + [T.StructField(a, t) for a, t in added])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in X.slices(batch.column("_text")):
-                part = batch.slice(lo, hi - lo)
-                got = _judge(X.text_bytes(part.column("_text")), with_text)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in keep] + [pa.array(got[a]) for a, _ in added],
-                    names=keep + [a for a, _ in added])
-
-    return docs.select(*[F.col(f"`{c}`") for c in keep],
-                       F.col(f"`{text}`").cast("string").alias("_text")).mapInArrow(run, schema)
+
+    def judge(texts: pa.Array) -> list[pa.Array]:
+        got = _judge(X.text_bytes(texts), with_text)
+        return [pa.array(got[name]) for name, _ in added]
+
+    return X.add_columns(docs, text, added, lambda: judge)

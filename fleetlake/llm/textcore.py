@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once; a longer single text is a chunk of its own.
 CHUNK = 4 << 20
@@ -92,6 +94,28 @@ def slices(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield lo, len(sizes)
 
 
+def add_columns(docs: DataFrame, text: str, added: list[tuple[str, T.DataType]],
+                make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+    """``docs`` with columns computed from its texts; columns of the same
+    names are replaced, all others carried.  ``make`` is called once in a
+    task; what it returns is called with slices of the texts."""
+    small_batches(docs.sparkSession)
+    names = [name for name, _ in added]
+    keep = [f for f in docs.schema.fields if f.name not in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = make()
+        for batch in batches:
+            for lo, hi in slices(batch.column(1)):
+                row, texts = (c.slice(lo, hi - lo) for c in batch.columns)
+                yield pa.RecordBatch.from_arrays(row.flatten() + judge(texts), names=[f.name for f in keep] + names)
+
+    # The row travels as one column, so that no name of it can clash.
+    row = F.struct(*[F.col(f"`{f.name}`") for f in keep])
+    return docs.select(row.alias("row"), F.col(f"`{text}`").cast("string").alias("text")) \
+        .mapInArrow(run, T.StructType(keep + [T.StructField(name, kind) for name, kind in added]))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The texts as bytes, null as empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]

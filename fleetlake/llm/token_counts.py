@@ -18,12 +18,11 @@ from __future__ import annotations
 
 import os
 from itertools import accumulate
-from typing import Callable, Iterator
+from typing import Callable
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as X
@@ -179,30 +178,25 @@ def count_edited(docs: DataFrame, tokenizer_path: str, pattern: str, text: str =
                  edits: Callable[[str], list[Edit]] = cleaning_edits, with_text: bool = True) -> DataFrame:
     """``docs`` with n_tokens, n_edits, n_tokens_edited, n_reencoded (the
     pre-tokens encoded again for the edits) and ``with_text`` edited_text."""
-    X.small_batches(docs.sparkSession)
     added = [(c, T.LongType()) for c in ("n_tokens", "n_edits", "n_tokens_edited", "n_reencoded")]
     added += [("edited_text", T.StringType())] if with_text else []
-    names = [c for c, _ in added]
-    keep = [c for c in docs.columns if c not in names]
-    schema = T.StructType([f for f in docs.schema.fields if f.name in keep] + [T.StructField(c, t) for c, t in added])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         count = counter(tokenizer_path, pattern)
-        for batch in batches:
-            for lo, hi in X.slices(batch.column("_t")):
-                part = batch.slice(lo, hi - lo)
-                rows = []
-                for t in part.column("_t").to_pylist():
-                    tree = Tree(t or "", count)
-                    n, todo = tree.total, edits(t or "")
-                    for e in todo:
-                        tree.edit(*e)
-                    rows.append((n, len(todo), tree.total, tree.encoded, tree.text)[:len(added)])
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(x) for x in zip(*rows)],
-                                                 names=keep + names)
-
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_t")) \
-        .mapInArrow(run, schema)
+
+        def judge(texts: pa.Array) -> list[pa.Array]:
+            rows = []
+            for t in texts.to_pylist():
+                tree = Tree(t or "", count)
+                n, todo = tree.total, edits(t or "")
+                for e in todo:
+                    tree.edit(*e)
+                rows.append((n, len(todo), tree.total, tree.encoded, tree.text))
+            return [pa.array([r[k] for r in rows]) for k in range(len(added))]
+
+        return judge
+
+    return X.add_columns(docs, text, added, make)
 
 
 def prefix_tokens(tree: Tree) -> list[int]:
