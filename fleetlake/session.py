@@ -61,11 +61,11 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """This application's folder under the one named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (tests, local runs) a
-    folder is created and registered, so later ``checkpoint()`` calls and
-    intermediate tables land in the same place.
+    Read from the session; only when it is unset and the master is local
+    (tests) a folder is created and registered.  On a cluster an unset folder
+    is an error: nothing shared may land on one machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -75,13 +75,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_value:
         sc.setCheckpointDir(conf_value)
         return (sc.getCheckpointDir() or conf_value).rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="fleetlake-ckpt-")
     sc.setCheckpointDir(local)
     return (sc.getCheckpointDir() or local).rstrip("/")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder itself, the same for every application: Spark keeps
+    each application's checkpoints in a folder of a random name inside it."""
+    conf_value = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return conf_value.rstrip("/") if conf_value else checkpoint_dir(spark).rpartition("/")[0]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under the shared folder."""
-    base = checkpoint_dir(spark)
-    # The checkpoint dir itself holds an RDD folder; keep our tables beside it.
-    return f"{base}/fleetlake/{name}/{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/fleetlake/{name}/{uuid.uuid4().hex}"

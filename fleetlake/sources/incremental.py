@@ -5,8 +5,8 @@ and only then commits the next watermark (S7), so a crash between the two
 replays the batch; the keyed upsert makes that replay harmless.
 
 The batch statistics that decide the next watermark (row count and max id)
-come from one aggregate over the batch, never from a second read of the
-source or from collecting rows.
+are observed while the batch is written, so the source is read once and no
+second copy of the increment is made.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..operators.predicates import literal
+from ..session import shared_root
 
 # Initial watermark per increment-column type (C1).  The
 # datetime seed is the Unix epoch written in UTC+8.
@@ -106,13 +108,13 @@ def increment_predicate(spec: SyncSpec, upper: str | None = None,
     if kind == "datetime":
         if upper is None:
             raise ValueError("datetime increments need the run's upper bound")
-        return (c > F.lit(_ts(wm))) & (c <= F.lit(_ts(upper)))
+        return (c > literal(_ts(wm))) & (c <= literal(_ts(upper)))
     if kind == "date":
         if run_day is None:
             raise ValueError("date increments need the run day")
         lo = dt.datetime.combine(_day(wm) + dt.timedelta(days=1), dt.time())
         hi = dt.datetime.combine(_day(run_day), dt.time())
-        return (c >= F.lit(lo)) & (c < F.lit(hi))
+        return (c >= literal(lo)) & (c < literal(hi))
     raise UnsupportedIncrement(kind)
 
 
@@ -123,9 +125,8 @@ def read_increment(source: DataFrame, spec: SyncSpec, upper: str | None = None,
     return source if pred is None else source.filter(pred)
 
 
-def batch_stats(batch: DataFrame, spec: SyncSpec, upper: str | None = None,
-                run_day: str | None = None) -> DataFrame:
-    """C3/C4/C6 as one aggregate row: ``batch_rows`` and ``next_watermark``.
+def batch_measures(spec: SyncSpec, upper: str | None = None, run_day: str | None = None) -> tuple[Column, Column]:
+    """C3/C4/C6 as two aggregates of a batch: its rows and the next watermark.
 
     * int: the max of the increment column, or the old watermark when the
       batch is empty (state untouched, C6);
@@ -133,18 +134,25 @@ def batch_stats(batch: DataFrame, spec: SyncSpec, upper: str | None = None,
     * date: the day before the run day.
     """
     spec = seeded(spec)
-    kind = spec.inc_column_type
-    n = F.count(F.lit(1))
     if spec.inc_or_full == "full":
-        nxt = F.lit(None).cast("string")
-    elif kind == "int":
+        nxt = F.max(F.lit(None).cast("string"))
+    elif spec.inc_column_type == "int":
         nxt = F.coalesce(F.max(spec.inc_column).cast("string"), F.lit(str(spec.last_watermark)))
-    elif kind == "datetime":
-        nxt = F.lit(upper)
+    elif spec.inc_column_type == "datetime":
+        nxt = F.coalesce(F.max(F.lit(upper)), F.lit(upper))
     else:
-        nxt = F.lit((_day(run_day) - dt.timedelta(days=1)).isoformat())
+        day = (_day(run_day) - dt.timedelta(days=1)).isoformat()
+        nxt = F.coalesce(F.max(F.lit(day)), F.lit(day))
+    return F.count(F.lit(1)), nxt
+
+
+def batch_stats(batch: DataFrame, spec: SyncSpec, upper: str | None = None,
+                run_day: str | None = None) -> DataFrame:
+    """The batch's measures as one row: task, inc_column_type, batch_rows,
+    next_watermark."""
+    n, nxt = batch_measures(spec, upper, run_day)
     return batch.agg(n.alias("batch_rows"), nxt.alias("next_watermark")) \
-        .select(F.lit(spec.name).alias("task"), F.lit(kind).alias("inc_column_type"),
+        .select(F.lit(spec.name).alias("task"), F.lit(seeded(spec).inc_column_type).alias("inc_column_type"),
                 "batch_rows", "next_watermark")
 
 
@@ -160,24 +168,27 @@ STATE_SCHEMA = T.StructType([
 
 
 class StateStore:
-    """Append-only commit log of watermarks under the shared folder.
+    """Append-only commit log of task states under a shared folder.
 
     A commit appends one small file; the current state of a task is its row
     with the highest ``seq``.  Nothing is overwritten in place, so a failed
-    commit leaves the previous state readable (C5: other tasks are kept).
+    commit leaves the previous state readable, and what a commit does not set
+    (the enabled flag, the watermark) is carried over (C5).
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        """``path`` defaults to one fixed folder under the shared checkpoint
-        folder, so every run of every job sees the same state."""
+        """``path`` defaults to one fixed folder under the one that
+        ``spark.checkpoint.dir`` names, the same for every application."""
         self.spark = spark
-        self.path = path or f"{checkpoint_dir(spark)}/fleetlake/sync_state"
+        self.path = path or f"{shared_root(spark)}/fleetlake/sync_state"
 
     def _log(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(STATE_SCHEMA).parquet(self.path)
-        except Exception:
-            return None
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
 
     def current(self) -> DataFrame:
         log = self._log()
@@ -186,22 +197,40 @@ class StateStore:
         latest = log.groupBy("task").agg(F.max_by(F.struct(*log.columns), "seq").alias("s"))
         return latest.select("s.*")
 
+    def _row(self, task: str):
+        rows = self.current().filter(F.col("task") == task).take(1)
+        return rows[0] if rows else None
+
     def get(self, task: str, default: str = "0") -> str:
-        rows = self.current().filter(F.col("task") == task).select("last_watermark").take(1)
-        return rows[0][0] if rows and rows[0][0] is not None else default
+        row = self._row(task)
+        return row.last_watermark if row and row.last_watermark is not None else default
 
-    def commit(self, stats: DataFrame, updated_at: str) -> None:
-        """Append the next watermark of each task in ``stats`` (C3/C4); tasks
-        whose batch was empty keep their state untouched (C6)."""
+    def enabled(self, task: str) -> bool:
+        """Whether the task may run; a task without a state may."""
+        row = self._row(task)
+        return row is None or row.enabled
+
+    def _append(self, rows: DataFrame) -> None:
         # Commit order: later than every logged commit, even if the clock stepped back.
         log = self._log()
         last = log.agg(F.max("seq")).collect()[0][0] if log is not None else None
         seq = max(int(dt.datetime.now().timestamp() * 1e6), (last or 0) + 1)
-        rows = (stats.filter(F.col("batch_rows") > 0)
-                .select("task", F.col("next_watermark").alias("last_watermark"),
-                        F.lit(True).alias("enabled"), F.lit(updated_at).alias("updated_at"),
-                        F.lit(seq).cast("long").alias("seq")))
-        rows.coalesce(1).write.mode("append").parquet(self.path)
+        (rows.withColumn("seq", F.lit(seq).cast("long")).select(*STATE_SCHEMA.fieldNames())
+         .coalesce(1).write.mode("append").parquet(self.path))
+
+    def set_enabled(self, task: str, enabled: bool, updated_at: str) -> None:
+        self._append(self.spark.createDataFrame(
+            [(task, self.get(task, default=None), enabled, updated_at)],
+            "task string, last_watermark string, enabled boolean, updated_at string"))
+
+    def commit(self, stats: DataFrame, updated_at: str) -> None:
+        """Append the next watermark of each task in ``stats`` (C3/C4); tasks
+        whose batch was empty keep their state untouched (C6)."""
+        flags = self.current().select(F.col("task").alias("__task"), F.col("enabled").alias("__enabled"))
+        done = stats.filter(F.col("batch_rows") > 0)
+        self._append(done.join(flags, done["task"] == flags["__task"], "left").select(
+            "task", F.col("next_watermark").alias("last_watermark"),
+            F.coalesce("__enabled", F.lit(True)).alias("enabled"), F.lit(updated_at).alias("updated_at")))
 
 
 def run_sync(spark: SparkSession, source: DataFrame, spec: SyncSpec, write, state: StateStore,
@@ -209,23 +238,27 @@ def run_sync(spark: SparkSession, source: DataFrame, spec: SyncSpec, write, stat
              run_ts: str | None = None, gate=None) -> dict:
     """One sync run in commit order (S7): read -> gate -> write -> state.
 
-    ``write(batch)`` performs the sink write; ``gate(batch)`` may raise to stop
-    before anything is written (B7).  The batch is checkpointed to the shared
-    folder first, so the write, the gate and the statistics all see the same
-    rows and an executor loss does not recompute the source read.
+    ``gate(batch)`` may raise to stop before anything is written (B7).
+    ``write(batch)`` performs the sink write; its first job over the batch
+    also yields the row count and the next watermark, so the watermark
+    committed is that of the rows written.  A disabled task is not run.
     """
+    if not state.enabled(spec.name):
+        return {"task": spec.name, "batch_rows": 0, "next_watermark": state.get(spec.name, default=None),
+                "inc_column_type": spec.inc_column_type}
     stored = state.get(spec.name, default=None) if spec.inc_or_full == "inc" else None
     if stored is not None:
         spec = replace(spec, last_watermark=stored)
     batch = read_increment(source, spec, upper, run_day)
-    checkpoint_dir(spark)                 # shared folder from the session
-    batch = batch.checkpoint(eager=True)
-    stats = batch_stats(batch, spec, upper, run_day).collect()[0].asDict()
-    if stats["batch_rows"] == 0:
-        return stats                      # C6: nothing written, state untouched
+    if batch.isEmpty():                   # C6: nothing written, state untouched
+        return batch_stats(batch.limit(0), spec, upper, run_day).collect()[0].asDict()
     if gate is not None:
         gate(batch)
-    write(batch)
+    seen = Observation()
+    n, nxt = batch_measures(spec, upper, run_day)
+    write(batch.observe(seen, n.alias("batch_rows"), nxt.alias("next_watermark")))
+    stats = {"task": spec.name, "inc_column_type": seeded(spec).inc_column_type, **seen.get}
     if spec.inc_or_full == "inc":
-        state.commit(spark.createDataFrame([stats]), run_ts or upper or run_day or "")
+        state.commit(spark.createDataFrame([stats], "task string, inc_column_type string, batch_rows long, "
+                                                    "next_watermark string"), run_ts or upper or run_day or "")
     return stats

@@ -117,10 +117,46 @@ def test_versioned_table(spark):
     assert sorted(map(tuple, t.current().collect())) == [("a", 2), ("b", 3)]
 
 
-def test_default_state_path_is_shared_between_instances(spark):
-    a, b = StateStore(spark), StateStore(spark)
-    assert a.path == b.path and "fleetlake/sync_state" in a.path
-    task = f"shared-{__import__('uuid').uuid4().hex}"
-    a.commit(spark.createDataFrame([(task, 3, "42")], "task string, batch_rows long, next_watermark string"),
-             "2024-01-01 00:00:00")
-    assert b.get(task) == "42"
+def test_state_is_shared_between_applications(tmp_dir):
+    """A second application that shares the folder goes on where the first ended."""
+    import subprocess
+    import sys
+    from conftest import SF001
+    code = f"""
+import sys
+sys.path.insert(0, {str(__import__('os').path.dirname(__import__('os').path.dirname(__import__('os').path.abspath(__file__))))!r})
+from pyspark.sql import SparkSession
+from fleetlake.sources.incremental import StateStore, SyncSpec, run_sync
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {tmp_dir!r}).getOrCreate())
+seen = []
+run_sync(spark, spark.range(1, 11), SyncSpec("t", "inc", "id", "int"), lambda b: seen.append(b.count()), StateStore(spark))
+print("COPIED", sum(seen), StateStore(spark).get("t"))
+"""
+    out = [subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300).stdout
+           for _ in range(2)]
+    assert ["COPIED 10 10" in out[0], "COPIED 0 10" in out[1]] == [True, True]
+
+
+def test_state_keeps_the_enabled_flag_and_raises_on_broken_files(spark, tmp_dir):
+    state = StateStore(spark, f"{tmp_dir}/state")
+    spec = SyncSpec("s", "inc", "id", "int")
+    run_sync(spark, spark.range(1, 5), spec, lambda b: b.count(), state)
+    state.set_enabled("s", False, "2024-01-01 00:00:00")
+    assert not state.enabled("s") and state.get("s") == "4"
+    ran = []
+    assert run_sync(spark, spark.range(1, 9), spec, lambda b: ran.append(b.count()), state)["batch_rows"] == 0
+    assert ran == [] and state.get("s") == "4"
+    state.commit(spark.createDataFrame([("s", 1, "6")], "task string, batch_rows long, next_watermark string"), "x")
+    assert not state.enabled("s") and state.get("s") == "6"           # a commit keeps the flag
+    with open(f"{tmp_dir}/state/part-broken.parquet", "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        state.get("s")
+
+
+def test_commit_takes_the_watermark_of_the_rows_written(spark, tmp_dir):
+    state, rows = StateStore(spark, f"{tmp_dir}/state"), []
+    stats = run_sync(spark, spark.range(1, 8), SyncSpec("w", "inc", "id", "int"),
+                     lambda b: rows.extend(r.id for r in b.collect()), state)
+    assert max(rows) == 7 and stats["next_watermark"] == "7" and state.get("w") == "7"
