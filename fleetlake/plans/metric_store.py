@@ -26,18 +26,22 @@ from pyspark.sql import types as T
 
 from ..operators.predicates import closed_range, dynamic_filters, parse_day, resolve_name, where
 from ..operators.projection import cast_by_suffix, select_keys_metric
-from ..sinks.upsert import KeyedTable, stamp
+from ..sinks.upsert import KeyedTable, latest_per_key, stamp
 
 
-def store_metrics(table: KeyedTable, rows: DataFrame, run_ts: str) -> list | None:
-    """Upsert metric rows into ``table`` (whole rows replaced, last write wins)."""
+def store_metrics(table: KeyedTable, rows: DataFrame, run_ts: str) -> list:
+    """Upsert metric rows into ``table``: whole rows replaced, last write wins,
+    and of several rows of a key in ``rows`` the last."""
+    rows = rows.withColumn("__row", F.monotonically_increasing_id())
     typed = cast_by_suffix(rows.select(*[
         F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType)
-        else F.col(f.name) for f in rows.schema.fields]))
-    return table.upsert(stamp(typed, run_ts))
+        else F.col(f.name) for f in rows.schema.fields if f.name != "__row"], F.col("__row").alias("__row_id")))
+    picked = latest_per_key(typed, table.keys, ["__row_id"]).drop("__row_id")
+    return table.upsert(stamp(picked, run_ts))
 
 
-def query_metrics(metrics: DataFrame, start_date, end_date, filters: Mapping | None = None,
+def query_metrics(metrics: DataFrame, start_date, end_date,
+                  filters: Mapping | Sequence[Mapping] | None = None,
                   timestamp_column: str = "created_at",
                   selected_fields: Sequence[str] | None = None) -> DataFrame:
     """Rows in ``[start, end]`` on the timestamp column matching every filter."""
@@ -51,20 +55,18 @@ def query_metrics(metrics: DataFrame, start_date, end_date, filters: Mapping | N
     return rows
 
 
-def parse_dimensions(dimensions: str | Mapping | None) -> dict:
-    """K8: the dimension filter given as JSON text (an object of name: value)."""
-    if dimensions is None or dimensions == "":
-        return {}
-    if isinstance(dimensions, Mapping):
-        return dict(dimensions)
-    value = json.loads(dimensions)
-    if not isinstance(value, dict):
-        raise ValueError("dimensions must be a JSON object")
-    return value
+def parse_dimensions(dimensions: str | Mapping | Sequence[Mapping] | None) -> list[dict]:
+    """K8: the dimension filter given as JSON text: a list of objects of
+    name: value (a single object counts as a list of one)."""
+    value = json.loads(dimensions) if isinstance(dimensions, str) and dimensions else dimensions or []
+    value = [value] if isinstance(value, Mapping) else list(value)
+    if not all(isinstance(v, Mapping) for v in value):
+        raise ValueError("dimensions must be a JSON list of objects")
+    return [dict(v) for v in value]
 
 
 def get_metrics(metrics: DataFrame, start_date: str, end_date: str,
-                dimensions: str | Mapping | None = None, metric: str | None = None,
+                dimensions: str | Mapping | Sequence[Mapping] | None = None, metric: str | None = None,
                 key_columns: Sequence[str] = (), value_columns: Sequence[str] | None = None,
                 timestamp_column: str = "created_at") -> DataFrame:
     """Keys plus one metric over a closed range, filtered by JSON dimensions."""
@@ -72,4 +74,6 @@ def get_metrics(metrics: DataFrame, start_date: str, end_date: str,
     rows = query_metrics(metrics, start, end, parse_dimensions(dimensions), timestamp_column)
     if metric is not None:
         resolve_name(metrics, metric)                          # unknown metric -> error
+        if value_columns is not None and metric.lower() not in {c.lower() for c in value_columns}:
+            raise ValueError(f"{metric!r} is not one of the value columns {list(value_columns)}")
     return select_keys_metric(rows, list(key_columns), metric, value_columns)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from ..functions.scalars import datetime_text, exact_sum, narrow_decimal, seconds_exact
+from ..operators.predicates import time_literal
 from ..operators.projection import cast_by_suffix
 from ..session import scratch_path
 from ..sinks.upsert import KeyedTable, stamp, upsert
@@ -18,15 +17,11 @@ from .metric_store import get_metrics
 KEYS = ["user_id", "event_type"]
 
 
-def _ts(text: str) -> dt.datetime:
-    return dt.datetime.fromisoformat(text)
-
-
 def metric_batch(ev, run_ts):
     """Metric rows of one batch: one per (device, event type), stamped."""
     agg = ev.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("event_count"),
-        F.sum(F.col("value").cast("decimal(18,2)")).alias("total_value"),
+        F.sum(F.col("value").cast("decimal(38,2)")).alias("total_value"),
         F.max("ts").alias("last_event_time"))
     # K6: the store keeps plain floats.
     return stamp(agg.withColumn("total_value", narrow_decimal("total_value")), run_ts)
@@ -34,7 +29,7 @@ def metric_batch(ev, run_ts):
 
 _BATCH_SQL = """
 SELECT user_id, event_type, count(*) AS event_count,
-       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value,
+       CAST(sum(CAST(round(value * 100) AS HUGEINT)) AS DOUBLE) / 100 AS total_value,
        max(ts) AS last_event_time, '{stamp}' AS created_at
 FROM events WHERE {where} GROUP BY user_id, event_type
 """
@@ -52,8 +47,8 @@ def metric_upsert(spark, sf_dir):
     """Old metric table (events before Jan 20) upserted with a new batch
     (events from Jan 15): overlapping keys take the new row."""
     ev = table(spark, sf_dir, "events")
-    old = metric_batch(ev.filter(F.col("ts") < F.lit(_ts(P.UPSERT_OLD_BEFORE))), P.OLD_STAMP)
-    new = metric_batch(ev.filter(F.col("ts") >= F.lit(_ts(P.UPSERT_NEW_FROM))), P.NEW_STAMP)
+    old = metric_batch(ev.filter(F.col("ts") < time_literal(P.UPSERT_OLD_BEFORE)), P.OLD_STAMP)
+    new = metric_batch(ev.filter(F.col("ts") >= time_literal(P.UPSERT_NEW_FROM)), P.NEW_STAMP)
     return upsert(old, new, KEYS)
 
 
@@ -70,9 +65,13 @@ def metric_table_upsert(spark, sf_dir):
     by key; each upsert rewrites only the buckets its batch touches)."""
     ev = table(spark, sf_dir, "events")
     t = KeyedTable(spark, scratch_path(spark, "metric_table"), KEYS, buckets=16)
-    t.upsert(metric_batch(ev.filter(F.col("ts") < F.lit(_ts(P.UPSERT_OLD_BEFORE))), P.OLD_STAMP))
-    t.upsert(metric_batch(ev.filter(F.col("ts") >= F.lit(_ts(P.UPSERT_NEW_FROM))), P.NEW_STAMP))
-    return t.read()
+    old = metric_batch(ev.filter(F.col("ts") < time_literal(P.UPSERT_OLD_BEFORE)), P.OLD_STAMP)
+    t.upsert(old.withColumn("__seq", F.lit(1)))
+    new = metric_batch(ev.filter(F.col("ts") >= time_literal(P.UPSERT_NEW_FROM)), P.NEW_STAMP)
+    # A key several times in a batch: an unfinished row, replaced by the later one.
+    t.upsert(new.withColumn("event_count", F.lit(0).cast("long")).withColumn("__seq", F.lit(0))
+             .unionByName(new.withColumn("__seq", F.lit(1))), order_by=["__seq"])
+    return t.read().drop("__seq")
 
 
 @query("metric_range_query", "D5 E8 A9 E2", f"""
@@ -82,16 +81,17 @@ WHERE ts >= TIMESTAMP '{P.EVENT_START} 00:00:00' AND ts <= TIMESTAMP '{P.EVENT_E
 """)
 def metric_range_query(spark, sf_dir):
     """Keys + default metric over a closed time range with dimensions given as
-    JSON (a null value is skipped), through the metric endpoint call."""
+    a
+    JSON list of objects (a null value is skipped), through the metric endpoint call."""
     return get_metrics(table(spark, sf_dir, "events"), P.EVENT_START, P.EVENT_END,
-                       dimensions='{"EVENT_TYPE": "purchase", "user_id": null}',
+                       dimensions='[{"EVENT_TYPE": "purchase"}, {"user_id": null}]',
                        key_columns=["ts", "user_id", "event_type"],
                        value_columns=["value", "props"], timestamp_column="ts")
 
 
 @query("infer_metric_types", "D6 D3 B4", f"""
 SELECT user_id, event_type, count(*) AS event_count,
-       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_value,
+       CAST(sum(CAST(round(value * 100) AS HUGEINT)) AS DOUBLE) / 100 / count(*) AS avg_value,
        (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS active_duration,
        strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen,
        '{P.NEW_STAMP}' AS created_at
@@ -103,7 +103,7 @@ def infer_metric_types(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     raw = ev.groupBy("user_id", "event_type").agg(
         F.count(F.lit(1)).cast("string").alias("EVENT_COUNT"),
-        (exact_sum("value") / F.count(F.lit(1))).cast("string").alias("AVG_VALUE"),
+        (exact_sum("value", 2) / F.count(F.lit(1))).cast("string").alias("AVG_VALUE"),
         seconds_exact(F.min("ts"), F.max("ts")).cast("string").alias("ACTIVE_DURATION"),
         datetime_text(F.max("ts")).alias("LAST_SEEN"))
     raw = raw.select(F.col("user_id").cast("string").alias("USER_ID"),

@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,13 +43,16 @@ def upsert(existing: DataFrame | None, incoming: DataFrame, keys: Sequence[str],
     """Replace whole rows by key; last write wins.
 
     ``order_by`` orders rows of the same key inside ``incoming`` (ingest order);
-    without it the batch must already hold one row per key.
+    without it the batch must already hold one row per key.  A null key
+    matches a null key.
     """
     keys = list(keys)
     batch = latest_per_key(incoming, keys, order_by) if order_by else incoming
     if existing is None:
         return batch
-    kept = existing.join(batch.select(*keys), keys, "left_anti")
+    taken = batch.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [existing[k].eqNullSafe(taken[f"__{k}"]) for k in keys])
+    kept = existing.join(taken, same, "left_anti")
     return batch.unionByName(kept.select(*batch.columns))
 
 
@@ -98,25 +101,28 @@ class KeyedTable:
     the key columns (``buckets``), or a partition column that the caller
     derives from the key (``partition_by``, for example the day of a window
     start that is part of the key).  So a key always lives in one partition,
-    and an upsert only needs the existing rows of the partitions its batch
-    touches (partition pruning on read).
-
-    One upsert: merge the touched partitions with the batch into a staging
-    folder (job 1), then dynamic-overwrite those partitions of the table from
-    the staging copy (job 2).  Nothing is read and overwritten in one job; a
-    failed second job is repaired by running it again from the staging copy.
-    The last applied batch id (streaming) is recorded after the overwrite, so
-    a replayed batch is skipped; a replay before the record rewrites
-    identical rows.
+    and an upsert only reads the partitions its batch touches.
+
+    One upsert writes the merged partitions to a new folder of its own and
+    then a manifest (``_manifest/<n>.json``), which names the folder of every
+    partition, the schema and the last applied batch id, and appears by one
+    rename.  The highest manifest is the table: a crash at any point before
+    the rename leaves the previous one in force, nothing live is ever deleted
+    or overwritten, and a replayed batch id is skipped.  Folders that none of
+    the last ``keep_versions`` manifests names are removed after a commit.
+
+    Null keys and null partition values are values like any other.
     """
 
     BUCKET = "__bucket"
+    #: Folder name of each row's partition; the column itself stays in the files.
+    PLACE = "__place"
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str],
                  partition_by: str | None = None, partition_expr: Column | None = None,
-                 buckets: int = 64):
+                 buckets: int = 64, keep_versions: int = 2):
         self.spark, self.root, self.keys = spark, root.rstrip("/"), list(keys)
-        self.part = partition_by or self.BUCKET
+        self.part, self.keep_versions = partition_by or self.BUCKET, max(1, keep_versions)
         if partition_by is None:
             partition_expr = F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(buckets))
         self.part_expr = partition_expr
@@ -124,116 +130,108 @@ class KeyedTable:
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    @property
-    def data_path(self) -> str:
-        return f"{self.root}/data"
+    # -- manifests
 
-    def _exists(self, path: str) -> bool:
-        return self._fs.exists(self._Path(path))
+    def versions(self) -> list[int]:
+        folder = self._Path(f"{self.root}/_manifest")
+        if not self._fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
 
-    def _schema(self) -> T.StructType | None:
-        """The table schema, stored at the first write (partition values are
-        read back with their written types, not re-inferred from folder names)."""
-        path = self._Path(f"{self.root}/_schema.json")
-        if not self._fs.exists(path):
+    def _manifest(self, version: int | None = None) -> dict | None:
+        versions = self.versions()
+        if not versions:
             return None
-        stream = self._fs.open(path)
+        stream = self._fs.open(self._Path(f"{self.root}/_manifest/{version or versions[-1]}.json"))
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return T.StructType.fromJson(json.loads(text))
 
-    def _save_schema(self, schema: T.StructType) -> None:
-        out = self._fs.create(self._Path(f"{self.root}/_schema.json"), True)
+    def _commit(self, manifest: dict) -> None:
+        version = (self.versions() or [0])[-1] + 1
+        draft = self._Path(f"{self.root}/_manifest/{uuid.uuid4().hex}.draft")
+        out = self._fs.create(draft, True)
         try:
-            out.write(bytearray(schema.json().encode("utf-8")))
+            out.write(bytearray(json.dumps(manifest).encode("utf-8")))
         finally:
             out.close()
-
-    def _read_data(self) -> DataFrame | None:
-        schema = self._schema()
-        if schema is None or not self._exists(self.data_path):
-            return None
-        # Partition columns come back last; restore the written column order.
-        return self.spark.read.schema(schema).parquet(self.data_path).select(*schema.fieldNames())
+        if not self._fs.rename(draft, self._Path(f"{self.root}/_manifest/{version}.json")):
+            raise RuntimeError(f"another writer committed version {version} of {self.root}")
+        self._vacuum()
+
+    def _vacuum(self) -> None:
+        """Remove what only manifests older than the kept ones name."""
+        versions = self.versions()
+        old, kept = versions[:-self.keep_versions], versions[-self.keep_versions:]
+        live = {f for v in kept for f in self._manifest(v)["folders"].values()}
+        for v in old:
+            for folder in set(self._manifest(v)["folders"].values()) - live:
+                self._fs.delete(self._Path(f"{self.root}/{folder}"), True)
+                whole = folder.rpartition("/")[0]          # the commit's own folder
+                if not any(f.startswith(f"{whole}/") for f in live):
+                    self._fs.delete(self._Path(f"{self.root}/{whole}"), True)
+            self._fs.delete(self._Path(f"{self.root}/_manifest/{v}.json"), False)
+
+    # -- reading
+
+    def _read(self, manifest: dict, places: Sequence[str] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(manifest["schema"])
+        folders = [f for p, f in manifest["folders"].items() if places is None or p in places]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in sorted(folders)])
 
     def read(self, keep_partition_column: bool = False) -> DataFrame | None:
-        df = self._read_data()
-        if df is None:
+        """The table as of now; later upserts do not change the frame, and it
+        stays readable for ``keep_versions`` of them."""
+        manifest = self._manifest()
+        if manifest is None:
             return None
+        df = self._read(manifest)
         return df if keep_partition_column or self.part != self.BUCKET else df.drop(self.BUCKET)
 
-    def _last_batch(self) -> int | None:
-        path = self._Path(f"{self.root}/_last_batch")
-        if not self._fs.exists(path):
-            return None
-        stream = self._fs.open(path)
-        try:
-            return int(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
     def applied(self, batch_id: int) -> bool:
         """Micro-batches are applied in id order, so one number says which
         batches are done (a replay re-sends the last one)."""
-        last = self._last_batch()
+        manifest = self._manifest()
+        last = manifest["last_batch"] if manifest else None
         return last is not None and batch_id <= last
 
+    # -- writing
+
     def upsert(self, incoming: DataFrame, order_by: Sequence[str | Column] | None = None,
                batch_id: int | None = None) -> list:
-        """Upsert ``incoming``; returns the partition values rewritten (``None``
-        for the first write, ``[]`` when nothing was done)."""
+        """Upsert ``incoming``; returns the partition values rewritten
+        (``[]`` when nothing was done)."""
         if batch_id is not None and self.applied(batch_id):
             return []
         batch = latest_per_key(incoming, self.keys, order_by) if order_by else incoming
         if self.part_expr is not None:
             batch = batch.withColumn(self.part, self.part_expr)
-        if self._read_data() is None:
-            # First write: nothing to merge with and nothing read from the
-            # target path, so the batch goes straight to the table.
-            self._save_schema(batch.schema)
-            (batch.hint("rebalance", self.part).write.mode("overwrite")
-             .option("partitionOverwriteMode", "dynamic")
-             .partitionBy(self.part).parquet(self.data_path))
-            self._mark(batch_id)
-            return None
-        # The batch feeds two jobs (its partition values, then the merge).
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            return self._upsert(batch, batch_id)
-        finally:
-            batch.unpersist()
-
-    def _mark(self, batch_id: int | None) -> None:
-        """Record the last applied batch id: written to a temporary file, then
-        renamed over the old record."""
-        if batch_id is None:
-            return
-        tmp = self._Path(f"{self.root}/_last_batch.{uuid.uuid4().hex}")
-        out = self._fs.create(tmp, True)
-        try:
-            out.write(bytearray(str(batch_id).encode("utf-8")))
-        finally:
-            out.close()
-        final = self._Path(f"{self.root}/_last_batch")
-        self._fs.delete(final, False)
-        self._fs.rename(tmp, final)
-
-    def _upsert(self, batch: DataFrame, batch_id: int | None) -> list:
-        # Partition values of the batch: at most the number of buckets / days.
-        touched = [r[0] for r in batch.select(self.part).distinct().collect()]
-        if not touched:
-            return []
-        existing = self._read_data().filter(F.col(self.part).isin(touched))
-        merged = upsert(existing, batch, self.keys)
+        manifest = self._manifest() or {"folders": {}, "schema": json.loads(batch.schema.json()), "last_batch": None}
+        # The batch is read twice below: once for its partitions, once for its rows.
         staging = f"{self.root}/_staging/{uuid.uuid4().hex}"
-        # rebalance: AQE sizes the write tasks per partition value, so a
-        # bucket is neither one huge task nor scattered over every task.
-        merged.hint("rebalance", self.part).write.partitionBy(self.part).parquet(staging)
-        (self.spark.read.schema(merged.schema).parquet(staging).hint("rebalance", self.part)
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(self.part).parquet(self.data_path))
-        self._mark(batch_id)
+        batch.write.parquet(staging)
+        batch = self.spark.read.schema(batch.schema).parquet(staging)
+        # At most the number of buckets, or of partition values in the batch.
+        touched = [tuple(r) for r in batch.select(self.part, self._place()).distinct().collect()]
+        if touched:
+            merged = upsert(self._read(manifest, [p for _, p in touched]), batch, self.keys)
+            folder = f"data/{uuid.uuid4().hex}"
+            # rebalance: AQE sizes the write tasks per partition value, so a
+            # bucket is neither one huge task nor scattered over every task.
+            merged.withColumn(self.PLACE, self._place()).hint("rebalance", self.PLACE) \
+                .write.partitionBy(self.PLACE).parquet(f"{self.root}/{folder}")
+            folders = manifest["folders"] | {p: f"{folder}/{self.PLACE}={p}" for _, p in touched}
+            manifest = {"folders": folders, "schema": json.loads(merged.schema.json()), "last_batch": manifest["last_batch"]}
+        if touched or batch_id is not None:
+            self._commit(manifest | ({"last_batch": batch_id} if batch_id is not None else {}))
         self._fs.delete(self._Path(staging), True)
-        return touched
+        return [value for value, _ in touched]
+
+    def _place(self) -> Column:
+        """A folder name without any character that a path would escape."""
+        return F.coalesce(F.concat(F.lit("p"), F.hex(F.encode(F.col(self.part).cast("string"), "UTF-8"))),
+                          F.lit("null")).alias(self.PLACE)

@@ -20,13 +20,13 @@ from ..sinks.upsert import KeyedTable
 
 
 def sliding_metrics(stream: DataFrame, ts: str, size: str, slide: str, dims: Sequence[str],
-                    value: str = "value", watermark: str = "10 minutes") -> DataFrame:
+                    value: str = "value", watermark: str = "10 minutes", scale: int = 2) -> DataFrame:
     """Windowed count and exact sum per ``dims``; state is dropped once the
     watermark passes a window's end."""
     ev = stream.withColumn("__et", F.col(ts).cast("timestamp")).withWatermark("__et", watermark)
     w = F.window("__et", size, slide)
     return (ev.groupBy(w.alias("w"), *dims)
-            .agg(F.count(F.lit(1)).alias("events"), exact_sum(value).alias("value_sum"))
+            .agg(F.count(F.lit(1)).alias("events"), exact_sum(value, scale).alias("value_sum"))
             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                     F.col("w.end").cast("timestamp_ntz").alias("window_end"), *dims,
                     "events", "value_sum"))
@@ -84,6 +84,7 @@ def run_upserting(agg: DataFrame, table: KeyedTable, checkpoint: str,
 
 def window_table(spark: SparkSession, root: str, dims: Sequence[str]) -> KeyedTable:
     """The keyed sink for ``sliding_metrics``: key (window_start, dims),
-    partitioned by the window's day, so a batch rewrites only recent days."""
-    return KeyedTable(spark, root, ["window_start", *dims], partition_by="dt",
-                      partition_expr=F.to_date("window_start"))
+    partitioned by the window's hour, so a batch rewrites only the hours whose
+    windows it touches."""
+    return KeyedTable(spark, root, ["window_start", *dims], partition_by="hr",
+                      partition_expr=F.date_trunc("hour", "window_start").cast("timestamp_ntz"))

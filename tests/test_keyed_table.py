@@ -1,6 +1,5 @@
 """Keyed upsert that rewrites only touched partitions."""
 
-import glob
 import os
 
 from pyspark.sql import functions as F
@@ -10,10 +9,6 @@ from fleetlake.sinks.upsert import KeyedTable, upsert
 from conftest import SF01
 
 
-def _files(root, part):
-    return sorted(glob.glob(f"{root.replace('file:', '')}/data/{part}=*/*.parquet"))
-
-
 def test_bucketed_upsert_matches_full_upsert(spark):
     ev = spark.read.parquet(f"{SF01}/events.parquet")
     old = ev.filter("event_id < 8000").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
@@ -26,18 +21,63 @@ def test_bucketed_upsert_matches_full_upsert(spark):
 
 
 def test_only_touched_partitions_rewritten_and_replay_skipped(spark):
-    root = scratch_path(spark, "kt2")
-    t = KeyedTable(spark, root, ["day", "k"], partition_by="day")
+    t = KeyedTable(spark, scratch_path(spark, "kt2"), ["day", "k"], partition_by="day")
     first = spark.createDataFrame([("2024-01-01", "a", 1), ("2024-01-02", "b", 2)], "day string, k string, v int")
     t.upsert(first, batch_id=0)
-    day1 = _files(root, "day")
-    untouched = [f for f in day1 if "day=2024-01-01" in f]
+    before = t._manifest()["folders"]
     second = spark.createDataFrame([("2024-01-02", "b", 20), ("2024-01-02", "c", 3), ("2024-01-02", "c", 4)],
                                    "day string, k string, v int")
     touched = t.upsert(second, order_by=["v"], batch_id=1)
-    assert [str(x) for x in touched] == ["2024-01-02"]
-    assert [f for f in _files(root, "day") if "day=2024-01-01" in f] == untouched   # same files
+    assert touched == ["2024-01-02"]
+    after = t._manifest()["folders"]
+    assert sum(after[p] == before[p] for p in before) == 1                          # the other day's folder stays
     assert t.read().schema == first.schema
     got = sorted((r.day, r.k, r.v) for r in t.read().collect())
     assert got == [("2024-01-01", "a", 1), ("2024-01-02", "b", 20), ("2024-01-02", "c", 4)]
     assert t.upsert(second, batch_id=1) == []                                      # replay skipped
+
+
+def test_null_keys_and_null_partitions(spark):
+    t = KeyedTable(spark, scratch_path(spark, "kt3"), ["k"], partition_by="day")
+    schema = "day string, k string, v int"
+    t.upsert(spark.createDataFrame([(None, "a", 1), (None, "b", 2), ("x/y=1", None, 3)], schema))
+    t.upsert(spark.createDataFrame([(None, "a", 10), ("x/y=1", None, 30)], schema))
+    got = sorted(((r.day, r.k, r.v) for r in t.read().collect()), key=repr)
+    assert got == sorted([(None, "a", 10), (None, "b", 2), ("x/y=1", None, 30)], key=repr)
+
+
+def test_crash_before_the_manifest_leaves_the_table_as_it_was(spark, monkeypatch):
+    import pytest
+    t = KeyedTable(spark, scratch_path(spark, "kt4"), ["k"], buckets=2)
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    t.upsert(rows)
+
+    def crash(self, manifest):
+        raise OSError("lost")
+    with monkeypatch.context() as m:
+        m.setattr(KeyedTable, "_commit", crash)
+        with pytest.raises(OSError):
+            t.upsert(rows.withColumn("v", F.lit(9)))
+    again = KeyedTable(spark, t.root, ["k"], buckets=2)
+    assert sorted(map(tuple, again.read().collect())) == [("a", 1), ("b", 2)]
+    again.upsert(rows.withColumn("v", F.lit(9)))
+    assert sorted(map(tuple, again.read().collect())) == [("a", 9), ("b", 9)]
+
+
+def test_old_folders_are_removed_and_kept_versions_stay_readable(spark):
+    t = KeyedTable(spark, scratch_path(spark, "kt5"), ["k"], buckets=1, keep_versions=2)
+    frames = []
+    for v in range(4):
+        t.upsert(spark.createDataFrame([("a", v)], "k string, v int"))
+        frames.append(t.read())
+    assert t.versions() == [3, 4]
+    assert [f.collect()[0].v for f in frames[2:]] == [2, 3]
+    assert len(os.listdir(f"{t.root.replace('file:', '')}/data")) == 2
+
+
+def test_store_metrics_keeps_the_last_row_of_a_key(spark):
+    from fleetlake.plans.metric_store import store_metrics
+    t = KeyedTable(spark, scratch_path(spark, "kt6"), ["robot_id"], buckets=2)
+    store_metrics(t, spark.createDataFrame([(1, 3), (2, 5), (1, 7), (None, 1), (None, 2)], "ROBOT_ID long, TASK_COUNT long"),
+                  "2024-01-01 00:00:00")
+    assert sorted(((r.robot_id, r.task_count) for r in t.read().collect()), key=repr) == [(1, 7), (2, 5), (None, 2)]
