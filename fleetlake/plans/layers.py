@@ -1,11 +1,12 @@
 """Layer tables ODS -> DWD -> ADS.
 
-* ODS: raw device documents as JSON text, partitioned by day, kept forever.
+* ODS: raw documents, partitioned by day and batch, kept forever.  A batch
+  adds to its days; sent again, it replaces only itself.
 * DWD: flattened detail rows that passed the quality rules, by day, 90 days.
 * ADS: hourly/daily roll-ups and the cube, by day, 365 days.
 
-Each write uses dynamic partition overwrite, so a re-run of a day replaces
-only that day's partitions.  Reads of a layer for a time range also get the
+DWD and ADS writes use dynamic partition overwrite, so a re-run of a day
+replaces only that day's partitions.  Reads of a layer for a time range also get the
 matching ``dt`` predicate, so Spark prunes partitions instead of listing and
 opening every day (``PartitionFilters`` in the plan).
 """
@@ -15,12 +16,13 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.predicates import literal, time_literal
 from ..operators.quality import Rule, flag_rules
 from ..operators.rollups import cube_rollup, time_rollup
-from ..sources.documents import flatten, parse_documents
+from ..sources.documents import document_time, flatten
 
 # Retention per layer in days (None = forever).
 RETENTION_DAYS = {"ods": None, "dwd": 90, "ads": 365}
@@ -49,7 +51,7 @@ def retention(df: DataFrame, dt_col: str, run_day, days: int | None, ts: str | N
     cutoff = _day(run_day) - dt.timedelta(days=days)
     out = df.filter(F.col(dt_col) >= F.lit(cutoff))
     if ts is not None:
-        out = out.filter(F.col(ts) >= F.lit(dt.datetime.combine(cutoff, dt.time())))
+        out = out.filter(F.col(ts) >= time_literal(cutoff))
     return out
 
 
@@ -57,7 +59,7 @@ def time_range_with_partitions(df: DataFrame, ts: str, start: dt.datetime, end:
                                dt_col: str = "dt") -> DataFrame:
     """Range on the time column plus the derived day range on the partition
     column, so a layer read prunes partitions (the hand-added rewrite)."""
-    return df.filter((F.col(ts) >= F.lit(start)) & (F.col(ts) <= F.lit(end))
+    return df.filter((F.col(ts) >= literal(start)) & (F.col(ts) <= literal(end))
                      & (F.col(dt_col) >= F.lit(start.date())) & (F.col(dt_col) <= F.lit(end.date())))
 
 
@@ -65,11 +67,17 @@ def time_range_with_partitions(df: DataFrame, ts: str, start: dt.datetime, end:
 class Layers:
     spark: SparkSession
     root: str
+    #: What one ``dt`` folder holds; coarser than a day for sparse tables.
+    grain: str = "day"
+
+    def slot(self, c) -> Column:
+        """The ``dt`` folder of a day or time."""
+        return F.to_date(F.date_trunc(self.grain, c))
 
     def path(self, layer: str, name: str) -> str:
         return f"{self.root.rstrip('/')}/{layer}/{name}"
 
-    def write(self, df: DataFrame, layer: str, name: str, dt_col: str = "dt") -> None:
+    def write(self, df: DataFrame, layer: str, name: str, dt_col: str = "dt", batch_col: str | None = None) -> None:
         """Dynamic partition overwrite by day.
 
         The ``rebalance`` hint lets AQE size the write tasks by the day column:
@@ -78,35 +86,33 @@ class Layers:
         """
         (df.hint("rebalance", dt_col).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic")
-         .partitionBy(dt_col).parquet(self.path(layer, name)))
+         .partitionBy(dt_col, *([batch_col] if batch_col else [])).parquet(self.path(layer, name)))
 
     def read(self, layer: str, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(layer, name))
 
-    def ods_documents(self, docs_json: DataFrame) -> None:
-        """ODS: raw JSON documents (``doc_id``, ``doc``) by day.
+    def ods_documents(self, docs: DataFrame, batch_id: str) -> None:
+        """ODS: raw documents (``doc_id`` and the document's columns) by day
+        and batch.
 
-        The day comes from a ``dt`` column when the producer has it (no JSON
-        parse), else from the document's ``timestamp`` field.
+        The day comes from a ``dt`` column when the producer has it, else from
+        the document's ``timestamp`` (a time that cannot be read has no day).
         """
-        if "dt" not in docs_json.columns:
-            docs_json = docs_json.withColumn(
-                "dt", F.to_date(F.substring(F.get_json_object("doc", "$.timestamp"), 1, 10)))
-        self.write(docs_json, "ods", "device_documents")
+        day = F.col("dt") if "dt" in docs.columns else document_time("timestamp")
+        self.write(docs.withColumn("dt", self.slot(day)).withColumn("batch_id", F.lit(batch_id)), "ods", "device_documents", batch_col="batch_id")
 
     def dwd_devices(self, rules: list[Rule], days=None) -> tuple[DataFrame, DataFrame]:
-        """DWD: parse + flatten the ODS documents and flag them with the
-        quality rules, in one pass and one write (``dq_pass`` per row).
+        """DWD: flatten the ODS documents and flag them with the quality
+        rules, in one pass and one write (``dq_pass`` per row).
 
-        Returns (passing rows, rejected rows) as reads of that table; the
-        ``dq_pass`` filter is pushed into the scan.
+        ``days`` limits the run to the days that new batches touched; each is
+        rebuilt from all its batches.  Returns (passing rows, rejected rows)
+        as reads of that table; the ``dq_pass`` filter is pushed into the scan.
         """
         ods = self.read("ods", "device_documents")
         if days is not None:
             ods = ods.filter(F.col("dt").isin([_day(d) for d in days]))
-        detail = flatten(parse_documents(ods, keep=("doc_id",)))
-        flagged = flag_rules(detail.withColumn("dt", F.to_date("event_time")), rules)
-        self.write(flagged, "dwd", "device_checked")
+        self.write(flag_rules(flatten(ods, keep=("dt",)), rules), "dwd", "device_checked")
         return self.dwd_good(), self.dwd_rejects()
 
     def dwd_good(self) -> DataFrame:
@@ -116,21 +122,23 @@ class Layers:
     def dwd_rejects(self) -> DataFrame:
         return self.read("dwd", "device_checked").filter(~F.col("dq_pass"))
 
-    def ads_rollups(self, value: str = "battery_pct",
-                    tables: tuple[str, ...] = ("hourly", "daily", "cube")) -> None:
+    def ads_rollups(self, value: str = "battery_pct", scale: int = 0,
+                    tables: tuple[str, ...] = ("hourly", "daily", "cube"), days=None) -> None:
         """ADS: hourly and daily roll-ups and the type x status cube per day
-        (each a day-partitioned table; ``tables`` picks which to rebuild)."""
+        (each a day-partitioned table; ``tables`` picks which to rebuild,
+        ``days`` the days that changed)."""
         dwd = self.dwd_good()
+        if days is not None:
+            dwd = dwd.filter(F.col("dt").isin([_day(d) for d in days]))
         if "hourly" in tables:
-            hourly = time_rollup(dwd, "event_time", "hour", ["device_type"], value=value)
-            self.write(hourly.withColumn("dt", F.to_date("bucket_start")), "ads", "hourly")
+            hourly = time_rollup(dwd, "event_time", "hour", ["device_type"], value=value, scale=scale)
+            self.write(hourly.withColumn("dt", self.slot("bucket_start")), "ads", "hourly")
         if "daily" in tables:
-            daily = time_rollup(dwd, "event_time", "day", ["device_type"], value=value,
+            daily = time_rollup(dwd, "event_time", "day", ["device_type"], value=value, scale=scale,
                                 distinct_of="device_id")
-            self.write(daily.withColumn("dt", F.col("event_date")), "ads", "daily")
+            self.write(daily.withColumn("dt", self.slot("event_date")), "ads", "daily")
         if "cube" in tables:
-            cube = cube_rollup(dwd.withColumn("dt", F.to_date("event_time")),
-                               ["device_type", "status"], value=value, fixed=["dt"])
+            cube = cube_rollup(dwd, ["device_type", "status"], value=value, scale=scale, fixed=["dt"])
             self.write(cube, "ads", "cube")
 
     def apply_retention(self, run_day) -> dict[str, int]:

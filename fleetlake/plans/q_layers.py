@@ -5,100 +5,85 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent_value
-from ..operators.partitioning import ensure_parallelism
 from ..operators.quality import Rule, error_summary, flag_rules
 from ..operators.rollups import batch_volume as volume, cube_rollup, sliding_rollup as sliding
 from ..operators.rollups import status_counts, time_rollup
-from ..sources.documents import STATUSES, alerts_long, documents_from_events, flatten, metrics_long
-from ..sources.documents import parse_documents
+from ..sources.documents import STATUSES, alerts_long, flatten, metrics_long
 from ..sources.tables import table
 from . import params as P
 from .catalogue import query
 from ..session import scratch_path
 from .layers import Layers, retention
-from .standins import props_k
+from .standins import order_documents, props_k
 
 KNOWN_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 DOC_SQL = """
-WITH d AS (
-  SELECT event_id AS doc_id, event_type, user_id, ts, value,
-         TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-         upper(substr(event_type, 1, 3)) || '-' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS device_id
-  FROM events)
+WITH li AS (
+  SELECT l_orderkey, CAST(count(*) AS DOUBLE) AS lines, max(l_quantity) AS max_quantity,
+         min(l_extendedprice) AS min_price, max(l_discount) AS max_discount,
+         count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned
+  FROM lineitem GROUP BY l_orderkey),
+d AS (
+  SELECT o_orderkey AS doc_id, c_name AS device_id, date_trunc('second', o_orderdate) AS event_time,
+         o_orderpriority AS device_type, o_orderstatus AS status, n_name AS district, c_mktsegment AS street,
+         CAST(round(max_discount * 100) AS INTEGER) AS battery_pct, o_totalprice, li.*
+  FROM orders LEFT JOIN li ON o_orderkey = l_orderkey
+  LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey)
 """
 
 
-def _docs(spark, sf_dir):
-    """ODS: raw JSON documents, read back with the explicit schema (DWD input).
-
-    JSON building and parsing is the expensive per-row step, so the scan is
-    spread over at least the default parallelism first (no-op on large inputs).
-    """
-    ev = ensure_parallelism(table(spark, sf_dir, "events"))
-    return parse_documents(documents_from_events(ev))
-
-
 @query("device_doc_flatten", "A8 D10 K10", DOC_SQL + """
-SELECT doc_id, device_id, date_trunc('second', ts) AS event_time, event_type AS device_type,
-       '192.168.' || CAST(user_id % 256 AS VARCHAR) || '.' || CAST(k % 254 + 1 AS VARCHAR) AS ip_address,
-       (['online', 'offline', 'fault', 'maintenance'])[k % 4 + 1] AS status,
-       'district_' || CAST(user_id % 8 AS VARCHAR) AS district,
-       'street_' || CAST(user_id % 13 AS VARCHAR) AS street,
-       CAST(39.9 AS DOUBLE) + CAST((user_id % 200) - 100 AS DOUBLE) / CAST(1000.0 AS DOUBLE) AS latitude,
-       CAST(116.3 AS DOUBLE) + CAST((user_id % 150) - 75 AS DOUBLE) / CAST(1000.0 AS DOUBLE) AS longitude,
-       TRY_CAST(rtrim(CASE WHEN k % 10 = 0 THEN '%' WHEN k % 10 = 1 THEN 'n/a%'
-                           WHEN k % 10 = 2 THEN NULL ELSE CAST(k AS VARCHAR) || '%' END, '%') AS INTEGER)
-         AS battery_pct,
-       CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 3 WHEN 'error' THEN 3 ELSE 2 END
-         AS n_metrics,
-       CASE WHEN event_type = 'error' THEN 1 + k % 2 ELSE 0 END AS n_alerts
+SELECT doc_id, device_id, event_time, device_type, status, district, street, battery_pct,
+       CASE WHEN lines IS NULL THEN 1 ELSE 4 END AS n_metrics, CAST(coalesce(n_returned, 0) AS INTEGER) AS n_alerts
 FROM d
 """)
 def device_doc_flatten(spark, sf_dir):
     """Nested device documents flattened to one detail row each."""
-    return flatten(_docs(spark, sf_dir))
+    return flatten(order_documents(spark, sf_dir)).drop("ip_address", "latitude", "longitude")
 
 
 @query("metrics_long", "D10 K9", DOC_SQL + """
-SELECT doc_id, device_id, event_type AS device_type, 'value' AS metric, value AS metric_value FROM d
-UNION ALL
-SELECT doc_id, device_id, event_type, 'k', CAST(k AS DOUBLE) FROM d WHERE event_type <> 'signup'
-UNION ALL
-SELECT doc_id, device_id, event_type, 'amount_bucket', CAST(floor(value / 10) AS DOUBLE)
-FROM d WHERE event_type = 'purchase'
-UNION ALL
-SELECT doc_id, device_id, event_type, 'error_code', CAST(k % 7 AS DOUBLE)
-FROM d WHERE event_type = 'error'
+SELECT doc_id, device_id, device_type, 'total_price' AS metric, o_totalprice AS metric_value FROM d
+UNION ALL SELECT doc_id, device_id, device_type, 'lines', lines FROM d WHERE lines IS NOT NULL
+UNION ALL SELECT doc_id, device_id, device_type, 'max_quantity', max_quantity FROM d WHERE lines IS NOT NULL
+UNION ALL SELECT doc_id, device_id, device_type, 'min_price', min_price FROM d WHERE lines IS NOT NULL
 """)
 def metrics_long_q(spark, sf_dir):
-    """The per-type metrics map exploded to long form."""
-    return metrics_long(_docs(spark, sf_dir))
+    """The metrics map exploded to long form."""
+    return metrics_long(order_documents(spark, sf_dir))
 
 
-@query("alerts_explode", "D10", DOC_SQL + """
-SELECT doc_id, device_id, 'ALT-' || CAST(doc_id AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS alert_id,
-       (['low', 'medium', 'high', 'critical'])[(k + i) % 4 + 1] AS severity,
-       'code ' || CAST(k AS VARCHAR) AS message, date_trunc('second', ts) AS alert_time
-FROM (SELECT *, unnest(generate_series(0, k % 2)) AS i FROM d WHERE event_type = 'error') x
+@query("alerts_explode", "D10", """
+SELECT o_orderkey AS doc_id, c_name AS device_id, l_partkey || '-' || l_suppkey || '-' || l_linenumber AS alert_id,
+       l_linestatus AS severity, 'returned ' || CAST(trunc(l_quantity) AS BIGINT) AS message,
+       date_trunc('second', l_shipdate) AS alert_time
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
+WHERE l_returnflag = 'R'
 """)
 def alerts_explode(spark, sf_dir):
     """One row per alert of the documents that carry alerts."""
-    return alerts_long(_docs(spark, sf_dir))
+    return alerts_long(order_documents(spark, sf_dir))
 
 
 @query("percent_parse", "K10", """
-WITH d AS (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
-b AS (SELECT event_id AS doc_id,
-             CASE WHEN k % 10 = 0 THEN '%' WHEN k % 10 = 1 THEN 'n/a%'
-                  WHEN k % 10 = 2 THEN NULL ELSE CAST(k AS VARCHAR) || '%' END AS battery_level
-      FROM d)
-SELECT doc_id, battery_level, TRY_CAST(rtrim(battery_level, '%') AS INTEGER) AS battery_pct FROM b
+SELECT l_orderkey, l_linenumber, l_discount, CAST(round(l_discount * 100) AS INTEGER) || '%' AS discount_text,
+       CAST(round(l_discount * 100) AS INTEGER) AS discount_pct,
+       CASE WHEN l_returnflag = 'R' THEN NULL ELSE CAST(round(l_tax * 100) AS INTEGER) END AS tax_pct
+FROM lineitem
 """)
 def percent_parse(spark, sf_dir):
     """Percent text (``"55%"``) to a number; anything else to null."""
-    docs = _docs(spark, sf_dir)
-    return docs.select("doc_id", "battery_level", percent_value("battery_level").alias("battery_pct"))
+    li = table(spark, sf_dir, "lineitem")
+
+    def percent(c):
+        return F.concat(F.round(F.col(c) * 100).cast("int").cast("string"), F.lit("%"))
+
+    tax = F.when(F.col("l_returnflag") == "R", F.lit("n/a%")).otherwise(percent("l_tax"))
+    return li.select("l_orderkey", "l_linenumber", "l_discount", percent("l_discount").alias("discount_text"),
+                     tax.alias("tax_text")) \
+        .select("l_orderkey", "l_linenumber", "l_discount", "discount_text",
+                percent_value("discount_text").alias("discount_pct"), percent_value("tax_text").alias("tax_pct"))
 
 
 def event_rules():
@@ -159,8 +144,8 @@ def batch_volume(spark, sf_dir):
 
 
 _MEASURES_SQL = """count(*) AS events,
-       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value_sum,
-       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS value_avg,
+       CAST(sum(CAST(round(value * 100) AS HUGEINT)) AS DOUBLE) / 100 AS value_sum,
+       CAST(sum(CAST(round(value * 100) AS HUGEINT)) AS DOUBLE) / 100 / count(value) AS value_avg,
        min(value) AS value_min, max(value) AS value_max"""
 
 
@@ -196,7 +181,7 @@ def multi_dim_cube(spark, sf_dir):
 
 @query("sliding_rollup", "H2 J2", """
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type,
-       count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value_sum
+       count(*) AS events, CAST(sum(CAST(round(value * 100) AS HUGEINT)) AS DOUBLE) / 100 AS value_sum
 FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE AS window_start
       FROM (SELECT *, unnest(generate_series(0, 3)) AS i FROM events) x) y
 GROUP BY window_start, event_type
@@ -236,27 +221,21 @@ def retention_filter(spark, sf_dir):
 
 
 @query("ads_daily_layers", "B9 D10 Q1 G5 A8", DOC_SQL + """
-, f AS (
-  SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS event_date, event_type AS device_type, device_id,
-         (['online', 'offline', 'fault', 'maintenance'])[k % 4 + 1] AS status,
-         TRY_CAST(rtrim(CASE WHEN k % 10 = 0 THEN '%' WHEN k % 10 = 1 THEN 'n/a%'
-                             WHEN k % 10 = 2 THEN NULL ELSE CAST(k AS VARCHAR) || '%' END, '%') AS INTEGER)
-           AS battery_pct
-  FROM d)
-SELECT event_date, device_type, count(*) AS events,
-       CAST(sum(CAST(battery_pct AS DECIMAL(18,2))) AS DOUBLE) AS value_sum,
-       CAST(sum(CAST(battery_pct AS DECIMAL(18,2))) AS DOUBLE) / count(battery_pct) AS value_avg,
-       min(battery_pct) AS value_min, max(battery_pct) AS value_max,
-       count(DISTINCT device_id) AS devices
-FROM f WHERE status IS NOT NULL AND battery_pct IS NOT NULL
-GROUP BY event_date, device_type
+SELECT CAST(CAST(event_time AS DATE) AS TIMESTAMP) AS event_date, device_type, count(*) AS events,
+       CAST(sum(battery_pct) AS DOUBLE) AS value_sum, CAST(sum(battery_pct) AS DOUBLE) / count(battery_pct) AS value_avg,
+       min(battery_pct) AS value_min, max(battery_pct) AS value_max, count(DISTINCT device_id) AS devices
+FROM d WHERE status IS NOT NULL AND battery_pct IS NOT NULL GROUP BY 1, 2
 """)
 def ads_daily_layers(spark, sf_dir):
     """ODS documents -> DWD detail (quality-split) -> ADS daily roll-up, each a
-    day-partitioned table in the shared folder; returns the ADS table."""
-    lay = Layers(spark, scratch_path(spark, "layers"))
-    ev = ensure_parallelism(table(spark, sf_dir, "events"))
-    lay.ods_documents(documents_from_events(ev, with_day=True))
+    day-partitioned table in the shared folder; returns the ADS table.  The
+    documents arrive in two batches that share days, one of them sent twice."""
+    lay = Layers(spark, scratch_path(spark, "layers"), grain="year")     # few orders a day
+    docs = order_documents(spark, sf_dir)
+    done = F.col("status") == "F"
+    lay.ods_documents(docs.filter(done), "finished")
+    for _ in range(2):
+        lay.ods_documents(docs.filter(~F.coalesce(done, F.lit(False))), "open")
     lay.dwd_devices(device_rules())
     lay.ads_rollups(value="battery_pct", tables=("daily",))
     return lay.read("ads", "daily").drop("dt")
@@ -265,4 +244,5 @@ def ads_daily_layers(spark, sf_dir):
 def device_rules():
     """DWD quality rules on flattened device rows."""
     return [Rule("known_status", F.col("status").isNotNull()),
+            Rule("time_ok", F.col("event_time").isNotNull()),
             Rule("battery_ok", F.col("battery_pct").isNotNull())]

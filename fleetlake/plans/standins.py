@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import json_int, seconds_between
-from ..operators.joins import checked_broadcast
+from ..functions.scalars import datetime_text, json_int, seconds_between
 from ..sources.tables import table
 
 
@@ -20,11 +19,11 @@ def props_k(c: str = "props"):
 
 
 def event_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event: vin = user_id as text, event_type, event_time = ts, description = props."""
+    """Event: vin = user_id, event_type, event_time = ts, description = props."""
     ev = table(spark, sf_dir, "events")
     return ev.select(
         F.col("event_id").alias("id"),
-        F.col("user_id").cast("string").alias("vin"),
+        F.col("user_id").alias("vin"),       # text in the contract; kept as stored so filters reach the scan
         "event_type",
         F.col("ts").alias("event_time"),
         F.col("props").alias("description"),
@@ -46,7 +45,7 @@ def task_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = orders.join(ends, orders.o_orderkey == ends.l_orderkey, "left")
     return t.select(
         F.col("o_orderkey").alias("id"),
-        F.col("o_custkey").cast("string").alias("vin"),
+        F.col("o_custkey").alias("vin"),
         F.col("o_orderpriority").alias("task_type"),
         F.col("o_orderstatus").alias("status"),
         F.col("o_orderdate").alias("task_start_time"),
@@ -58,7 +57,7 @@ def task_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source registry: id = nation key, name = nation name, type = region name."""
     nation = table(spark, sf_dir, "nation")
-    region = checked_broadcast(table(spark, sf_dir, "region"), max_rows=10_000)
+    region = table(spark, sf_dir, "region")
     return (nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
             .select(F.col("n_nationkey").alias("id"),
                     F.col("n_name").alias("name"),
@@ -92,6 +91,43 @@ def sync_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device document: one per order, nested from its rows.
+
+    device = customer, type = priority, status = order status, location = the
+    customer's nation and market segment, metrics = a map of the order's
+    numbers, alerts = its returned lines (null when there are none), battery
+    text = the largest discount in percent.
+    """
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).cast("double").alias("lines"), F.max("l_quantity").alias("max_quantity"),
+        F.min("l_extendedprice").alias("min_price"), F.max("l_discount").alias("max_discount"),
+        F.collect_list(F.when(F.col("l_returnflag") == "R", F.struct(
+            F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber").alias("alert_id"),
+            F.col("l_linestatus").alias("severity"),
+            F.concat(F.lit("returned "), F.col("l_quantity").cast("long").cast("string")).alias("message"),
+            datetime_text("l_shipdate").alias("timestamp")))).alias("returned"))   # nulls are left out
+    orders = table(spark, sf_dir, "orders")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = (orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
+            .join(customer, orders.o_custkey == customer.c_custkey, "left")
+            .join(nation, customer.c_nationkey == nation.n_nationkey, "left"))
+    metrics = F.when(F.col("lines").isNull(), F.create_map(F.lit("total_price"), F.col("o_totalprice"))).otherwise(
+        F.create_map(F.lit("total_price"), F.col("o_totalprice"), F.lit("lines"), F.col("lines"),
+                     F.lit("max_quantity"), F.col("max_quantity"), F.lit("min_price"), F.col("min_price")))
+    return rows.select(
+        F.col("o_orderkey").alias("doc_id"), F.col("c_name").alias("device_id"),
+        datetime_text("o_orderdate").alias("timestamp"), F.col("o_orderpriority").alias("device_type"),
+        F.lit(None).cast("string").alias("ip_address"), F.col("o_orderstatus").alias("status"),
+        F.struct(F.col("n_name").alias("district"), F.col("c_mktsegment").alias("street"),
+                 F.lit(None).cast("double").alias("latitude"),
+                 F.lit(None).cast("double").alias("longitude")).alias("location"),
+        metrics.alias("metrics"), F.when(F.size("returned") > 0, F.col("returned")).alias("alerts"),
+        F.concat(F.round(F.col("max_discount") * 100).cast("int").cast("string"), F.lit("%")).alias("battery_level"),
+        F.to_date("o_orderdate").alias("dt"))
+
+
 def audit_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access audit: one request per event; no address when ``k % 10 = 0``."""
     ev = table(spark, sf_dir, "events").withColumn("__k", props_k())   # parsed once

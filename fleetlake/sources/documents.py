@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import DATETIME_TEXT_FORMAT, datetime_text, percent_value
+from ..functions.scalars import percent_value
 
+# The schema of a device document.
 ALERT = T.StructType([
     T.StructField("alert_id", T.StringType()),
     T.StructField("severity", T.StringType()),
@@ -58,9 +59,8 @@ DEVICE_DOCUMENT = T.StructType([
     T.StructField("energy_saved", T.DoubleType()),
 ])
 
-# Device statuses and alert severities.
+# Device statuses.
 STATUSES = ["online", "offline", "fault", "maintenance"]
-SEVERITIES = ["low", "medium", "high", "critical"]
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -77,92 +77,33 @@ def parse_documents(df: DataFrame, text_col: str = "doc", keep: tuple[str, ...]
         .select(*keep, "d.*")
 
 
-def _pick(values: list[str], idx: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx % len(values)).cast("int") + 1)
-
-
-def documents_from_events(ev: DataFrame, with_day: bool = False) -> DataFrame:
-    """Stand-in: one device document (JSON text) per event.
-
-    type = event type; metrics from ``value`` and ``k`` (key set depends on the
-    type); alerts only on ``error`` events (1 or 2 of them).  ``k`` and the
-    time text are computed once in a first projection; Catalyst keeps that
-    projection because inlining would repeat the JSON extraction.
-    """
-    base = ev.select("event_id", "user_id", "event_type", "value",
-                     F.get_json_object("props", "$.k").try_cast("int").alias("__k"),
-                     datetime_text("ts").alias("__ts"), F.to_date("ts").alias("dt"))
-    k, uid, ts_text = F.col("__k"), F.col("user_id"), F.col("__ts")
-    metrics = (
-        F.when(F.col("event_type") == "signup", F.create_map(F.lit("value"), F.col("value")))
-        .when(F.col("event_type") == "purchase",
-              F.create_map(F.lit("value"), F.col("value"), F.lit("k"), k.cast("double"),
-                           F.lit("amount_bucket"), F.floor(F.col("value") / 10).cast("double")))
-        .when(F.col("event_type") == "error",
-              F.create_map(F.lit("value"), F.col("value"), F.lit("k"), k.cast("double"),
-                           F.lit("error_code"), (k % 7).cast("double")))
-        .otherwise(F.create_map(F.lit("value"), F.col("value"), F.lit("k"), k.cast("double"))))
-    n_alerts = F.lit(1) + k % 2
-    alerts = F.when(
-        F.col("event_type") == "error",
-        F.transform(F.sequence(F.lit(0), n_alerts - 1), lambda i: F.struct(
-            F.concat(F.lit("ALT-"), F.col("event_id").cast("string"), F.lit("-"), i.cast("string")).alias("alert_id"),
-            _pick(SEVERITIES, k + i).alias("severity"),
-            F.concat(F.lit("code "), k.cast("string")).alias("message"),
-            ts_text.alias("timestamp"))))
-    battery = (F.when(k % 10 == 0, F.lit("%")).when(k % 10 == 1, F.lit("n/a%"))
-               .when(k % 10 == 2, F.lit(None).cast("string"))
-               .otherwise(F.concat(k.cast("string"), F.lit("%"))))
-    doc = F.struct(
-        F.concat(F.upper(F.substring("event_type", 1, 3)), F.lit("-"),
-                 F.lpad(uid.cast("string"), 6, "0")).alias("device_id"),
-        ts_text.alias("timestamp"),
-        F.col("event_type").alias("device_type"),
-        F.concat_ws(".", F.lit("192.168"), (uid % 256).cast("string"), (k % 254 + 1).cast("string")).alias("ip_address"),
-        _pick(STATUSES, k).alias("status"),
-        F.struct(F.concat(F.lit("district_"), (uid % 8).cast("string")).alias("district"),
-                 F.concat(F.lit("street_"), (uid % 13).cast("string")).alias("street"),
-                 (F.lit(39.9) + ((uid % 200) - 100) / F.lit(1000.0)).alias("latitude"),
-                 (F.lit(116.3) + ((uid % 150) - 75) / F.lit(1000.0)).alias("longitude")).alias("location"),
-        metrics.alias("metrics"),
-        alerts.alias("alerts"),
-        battery.alias("battery_level"),
-    )
-    extra = ["dt"] if with_day else []
-    return base.select(F.col("event_id").alias("doc_id"), F.to_json(doc).alias("doc"), *extra)
+def document_time(c) -> Column:
+    """A document's time text (a blank or ``T`` between day and time); null
+    where it cannot be read, so one bad document does not stop a layer."""
+    return F.col(c).try_cast("timestamp_ntz")
 
 
-def flatten(docs: DataFrame) -> DataFrame:
+def flatten(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One detail row per document; struct fields lifted, counts of the
     nested collections, percent text parsed (K10), time parsed."""
     return docs.select(
-        "doc_id", "device_id",
-        F.to_timestamp_ntz("timestamp", F.lit(DATETIME_TEXT_FORMAT)).alias("event_time"),
+        "doc_id", "device_id", document_time("timestamp").alias("event_time"),
         "device_type", "ip_address", "status",
         F.col("location.district").alias("district"), F.col("location.street").alias("street"),
         F.col("location.latitude").alias("latitude"), F.col("location.longitude").alias("longitude"),
         percent_value("battery_level").alias("battery_pct"),
         F.when(F.col("metrics").isNull(), 0).otherwise(F.size("metrics")).alias("n_metrics"),
-        F.when(F.col("alerts").isNull(), 0).otherwise(F.size("alerts")).alias("n_alerts"),
+        F.when(F.col("alerts").isNull(), 0).otherwise(F.size("alerts")).alias("n_alerts"), *keep,
     )
 
 
 def metrics_long(docs: DataFrame) -> DataFrame:
-    """The metrics map as (metric, metric_value) rows.
-
-    ``posexplode_outer`` + dropping the rows without a position is exactly
-    ``explode``, but it keeps the optimizer from inferring a
-    ``size(metrics) > 0`` filter below the parse, which would parse every
-    document twice.
-    """
-    return (docs.select("doc_id", "device_id", "device_type",
-                        F.posexplode_outer("metrics").alias("__pos", "metric", "metric_value"))
-            .filter(F.col("__pos").isNotNull()).drop("__pos"))
+    """The metrics map as (metric, metric_value) rows."""
+    return docs.select("doc_id", "device_id", "device_type", F.explode("metrics").alias("metric", "metric_value"))
 
 
 def alerts_long(docs: DataFrame) -> DataFrame:
     """One row per alert (documents without alerts yield none)."""
-    return (docs.select("doc_id", "device_id", F.posexplode_outer("alerts").alias("__pos", "a"))
-            .filter(F.col("__pos").isNotNull())      # see metrics_long
+    return (docs.select("doc_id", "device_id", F.explode("alerts").alias("a"))
             .select("doc_id", "device_id", "a.alert_id", "a.severity", "a.message",
-                    F.to_timestamp_ntz("a.timestamp", F.lit(DATETIME_TEXT_FORMAT)).alias("alert_time")))
+                    document_time("a.timestamp").alias("alert_time")))
