@@ -5,8 +5,6 @@ Each returns a ``Column`` so it stays inside whole-stage codegen.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,15 +23,12 @@ def datetime_text(c) -> Column:
     return F.date_format(_col(c), DATETIME_TEXT_FORMAT)
 
 
-def date_text(c) -> Column:
-    return F.date_format(_col(c), DATE_TEXT_FORMAT)
-
-
 def iso_json(c, options: dict | None = None) -> Column:
-    """K2/K8: JSON text of a struct or map, datetimes as ISO text at any depth."""
+    """K2/K8: JSON text of a struct or map, datetimes as ISO text at any
+    depth, null fields written as ``null``."""
     opts = {"timestampFormat": ISO_TIMESTAMP_FORMAT,
             "timestampNTZFormat": ISO_TIMESTAMP_FORMAT,
-            "dateFormat": DATE_TEXT_FORMAT}
+            "dateFormat": DATE_TEXT_FORMAT, "ignoreNullFields": "false"}
     opts.update(options or {})
     return F.to_json(_col(c), opts)
 
@@ -61,35 +56,39 @@ def seconds_between(start, end) -> Column:
     return F.timestamp_diff("SECOND", _col(start), _col(end))
 
 
-def day_shift(c, days: int) -> Column:
-    """Date shift; ``days=-1`` is yesterday."""
-    return F.date_add(_col(c), days)
-
-
 def narrow_decimal(c) -> Column:
     """K6: exact decimal -> double, the way the metric store keeps numbers."""
     return _col(c).cast("double")
 
 
-def plain_text(c) -> Column:
-    """K7: identifiers and enum values as plain text."""
-    return _col(c).cast("string")
-
-
-def exact_sum(c, scale: int = 2) -> Column:
-    """Order-independent sum of values with ``scale`` decimals: summed as
-    decimal, returned as double, so every run and every partitioning gives the
-    same bits (a double sum depends on the order rows arrive in)."""
-    return F.sum(_col(c).cast(f"decimal(18,{scale})")).cast("double")
+def known_number(c) -> Column:
+    """A measure's value, with NaN as missing: sums, counts, minima and maxima
+    of a measure all leave NaN out."""
+    x = _col(c).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
-_CAMEL = re.compile(r"_([a-zA-Z])")
+def exact_sum(c, scale: int) -> Column:
+    """Order-independent sum of a measure declared to have ``scale`` decimals:
+    summed as decimal, returned as double, so every run and every partitioning
+    gives the same bits.  A value that has more decimals, or does not fit
+    ``decimal(38, scale)``, raises instead of being rounded."""
+    x = known_number(c)
+    exact = x.try_cast(f"decimal(38,{scale})")
+    wrong = F.raise_error(F.concat(F.lit(f"value does not fit {scale} decimals: "), x.cast("string")))
+    fits = exact.isNotNull() & (exact.cast("double") == x)
+    return F.sum(F.when(x.isNull() | fits, exact).otherwise(wrong.cast(f"decimal(38,{scale})"))).cast("double")
 
 
 def lower_camel(name: str) -> str:
-    """``user_login_count`` -> ``userLoginCount`` (first letter lower-cased)."""
-    s = _CAMEL.sub(lambda m: m.group(1).upper(), name)
-    return s[:1].lower() + s[1:]
+    """``user_login_count`` -> ``userLoginCount``: the words between
+    underscores are joined, each but the first with a capital; an underscore
+    before anything but a letter stays, and the first letter is small."""
+    first, *words = name.split("_")
+    joined = first
+    for word in words:
+        joined += word[0].upper() + word[1:] if word[:1].isascii() and word[:1].isalpha() else "_" + word
+    return joined[:1].lower() + joined[1:]
 
 
 def seconds_exact(start, end) -> Column:

@@ -1,9 +1,8 @@
 """Anomalies (Q2, D9) and multi-level threshold alerts (Q3).
 
 Rules are data: a list of (condition, label) pairs becomes a ``when`` chain
-(first match wins), and per-type thresholds are a small literal table that is
-broadcast - its size is the number of rules, fixed by the caller, not by the
-data.
+(first match wins), and per-type thresholds are a literal table that Spark
+joins as its size allows.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import datetime_text
-from ..session import checkpoint_dir
 from .sequence import next_match_time
 
 
@@ -38,19 +36,20 @@ def anomalies(events: DataFrame, key: str, ts: str, tiebreak: str, is_anomaly: C
     that resolution (the episode); counted with a ``groupBy`` and joined back,
     so a long episode is combined map-side rather than held in one window.
 
-    The anomaly rows feed both the output and the episode counts; they are
-    checkpointed to the shared folder once, so the sort over every event is
-    not run twice.
+    Only (key, ts, tiebreak, flag) of the events goes through the sequence
+    step; the anomalies' other columns are joined back by ``tiebreak``, which
+    must be unique.
     """
-    flagged = events.withColumn("__anom", is_anomaly)
-    resolved = next_match_time(flagged, key, ts, tiebreak, ~F.col("__anom"), bucket=bucket,
-                               out="__resolved")
-    checkpoint_dir(events.sparkSession)
-    anom = resolved.filter("__anom").checkpoint(eager=True)
-    episodes = (anom.groupBy(key, "__resolved").agg(F.count(F.lit(1)).alias("alertCount")))
-    joined = anom.join(episodes, (anom[key] == episodes[key])
-                       & anom["__resolved"].eqNullSafe(episodes["__resolved"]), "left") \
-        .select(anom["*"], episodes["alertCount"])
+    narrow = events.select(key, ts, tiebreak, F.coalesce(is_anomaly, F.lit(False)).alias("__anom"))
+    resolved = next_match_time(narrow, key, ts, tiebreak, ~F.col("__anom"), bucket=bucket, out="__resolved") \
+        .filter("__anom").select(F.col(key).alias("__key"), F.col(tiebreak).alias("__id"), "__resolved")
+    episodes = resolved.groupBy(F.col("__key").alias("__k"), F.col("__resolved").alias("__r")) \
+        .agg(F.count(F.lit(1)).alias("alertCount"))
+    counted = resolved.join(episodes, resolved["__key"].eqNullSafe(episodes["__k"])
+                            & resolved["__resolved"].eqNullSafe(episodes["__r"])) \
+        .select("__id", "__resolved", "alertCount")
+    anom = events.filter(is_anomaly)
+    joined = anom.join(counted, anom[tiebreak] == counted["__id"])
     return joined.select(
         datetime_text(ts).alias("createTime"),
         F.col(key).cast("string").alias("vin"),
@@ -76,8 +75,7 @@ def threshold_alerts(df: DataFrame, value: str, table: DataFrame, key: str = "ev
     """Q3: ``critical`` when value >= crit, else ``warning`` when >= warn;
     rows below both levels are not alerts.  Keys without a row use ``default``."""
     how = "left" if default is not None else "inner"
-    t = F.broadcast(table)   # size = number of configured rules
-    joined = df.join(t, key, how)
+    joined = df.join(table, key, how)
     if default is not None:
         joined = joined.withColumn("warn", F.coalesce("warn", F.lit(default[0]))) \
                        .withColumn("crit", F.coalesce("crit", F.lit(default[1])))

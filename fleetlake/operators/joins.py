@@ -1,90 +1,66 @@
-"""Joins (F1-F6) and the broadcast guard.
-
-A side is broadcast only behind ``checked_broadcast``: Catalyst's size
-estimate (no job; for file scans the bytes on disk, an upper bound for a
-filtered side since no selectivity is assumed), or, when no estimate exists,
-a bounded row count (``limit(n+1).count()``).  Anything above the bound is
-joined by shuffle; AQE may still switch to a broadcast at runtime from the
-measured shuffle size.
+"""Joins (F1-F6).
+
+No side is broadcast by hint: Spark broadcasts a side under the session's
+threshold, AQE decides again from measured shuffle sizes, and anything larger
+is joined by shuffle with skewed partitions split.
 """
 
 from __future__ import annotations
 
 from typing import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_BYTES = 32 * 1024 * 1024
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate for the optimized plan (no job is run)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                   max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> bool:
-    est = estimated_bytes(df)
-    if est is not None:
-        return est <= max_bytes
-    # No estimate: bounded check, stops reading once max_rows + 1 rows are seen.
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                      max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """``broadcast(df)`` when its size is proven under the bound, else ``df``."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
+from .predicates import one_of
 
 
 def role_lookup(rows: DataFrame, dim: DataFrame, roles: Sequence[tuple[str, str]],
-                dim_key: str = "id", dim_cols: Sequence[str] = ("name", "type"),
-                max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                dim_key: str = "id", dim_cols: Sequence[str] = ("name", "type")) -> DataFrame:
     """join the same dimension once per role (left join, S14).
 
     ``roles`` holds (foreign key column, output prefix) pairs, for example
     ``[("source_id", "source"), ("target_id", "target")]``.
     """
-    small = checked_broadcast(dim.select(dim_key, *dim_cols), max_rows=max_rows)
     out = rows
     for fk, prefix in roles:
-        side = small.select(F.col(dim_key).alias(f"__{prefix}_key"),
+        side = dim.select(F.col(dim_key).alias(f"__{prefix}_key"),
                             *[F.col(c).alias(f"{prefix}_{c}") for c in dim_cols])
         out = out.join(side, out[fk] == side[f"__{prefix}_key"], "left").drop(f"__{prefix}_key")
     return out
 
 
 def filter_through(rows: DataFrame, fk: str, dim: DataFrame, dim_key: str,
-                   dim_col: str, values: Iterable | None,
-                   max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """F2/E5: keep rows whose referenced dimension row has ``dim_col`` in ``values``.
+                   dim_col: str, values: Iterable | None) -> DataFrame:
+    """F2/E5: keep rows whose referenced dimension row has ``dim_col`` in
+    ``values``; an absent or empty list is no filter.
 
     A left-semi join against the filtered dimension: no columns are added and
     each row is kept at most once.
     """
-    if values is None:
+    wanted = one_of(dim_col, values)
+    if wanted is None:
         return rows
-    keys = dim.filter(F.col(dim_col).isin(list(values))).select(F.col(dim_key).alias("__fk"))
-    keys = checked_broadcast(keys, max_rows=max_rows)
+    keys = dim.filter(wanted).select(F.col(dim_key).alias("__fk"))
     return rows.join(keys, rows[fk] == keys["__fk"], "left_semi")
 
 
+def unknown_key(fk: str, dim: DataFrame, dim_key: str) -> Column:
+    """whether ``fk`` has no dimension row (a null key has none)."""
+    keys = dim.select(F.col(dim_key).alias("__k"))
+    return ~keys.where(F.col("__k") == F.col(fk).outer()).exists()
+
+
 def reject_unknown(rows: DataFrame, fks: Sequence[str], dim: DataFrame, dim_key: str) -> DataFrame:
     """rows whose foreign key (any of ``fks``) has no dimension row.
 
-    One anti-join per key; null keys count as unknown.
+    One pass: each key is an existence join that only adds a flag, so equal
+    rows stay as often as they come and a repeated dimension key does no harm.
     """
-    keys = dim.select(F.col(dim_key).alias("__k")).distinct()
-    bad = None
-    for fk in fks:
-        missing = rows.join(keys, rows[fk] == keys["__k"], "left_anti")
-        bad = missing if bad is None else bad.unionByName(missing)
-    return bad.distinct() if len(fks) > 1 else bad
+    bad = unknown_key(fks[0], dim, dim_key)
+    for fk in fks[1:]:
+        bad = bad | unknown_key(fk, dim, dim_key)
+    return rows.where(bad)
 
 
 def new_unique(candidates: DataFrame, existing: DataFrame, key: Sequence[str] | str,
@@ -96,7 +72,7 @@ def new_unique(candidates: DataFrame, existing: DataFrame, key: Sequence[str] |
     sent to one task whole.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    fresh = candidates.join(existing.select(*keys).distinct(), keys, "left_anti")
+    fresh = candidates.join(existing.select(*keys), keys, "left_anti")
     if order_by is None:
         return fresh.dropDuplicates(keys)
     order = [order_by] if isinstance(order_by, str) else list(order_by)

@@ -12,35 +12,25 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .partitioning import estimated_partitions
+from .predicates import literal
 
 
 def _order(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-MAX_MERGE_ROWS = 5_000_000
-
-
 def page(df: DataFrame, order_by: Sequence[str | Column], page_no: int = 1,
-         page_size: int = 10, max_merge_rows: int = MAX_MERGE_ROWS) -> DataFrame:
+         page_size: int = 10) -> DataFrame:
     """``limit page_size offset (page_no - 1) * page_size`` over a total order.
 
     ``order_by`` must end in a unique column (an id) so pages never overlap.
-    A deep page over a (time, id) order whose top-k merge would exceed
-    ``max_merge_rows`` first takes the exact first ``offset + size`` rows with
-    ``bounded_top_k`` and pages inside those.
+    The merge keeps ``offset + size`` rows: for deep pages use ``seek_page``,
+    or page inside ``narrowed_top_k``.
     """
     if page_no < 1 or page_size < 1:
         raise ValueError("page and page_size start at 1")
     offset = (page_no - 1) * page_size
-    k = offset + page_size
-    if (len(order_by) == 2 and all(isinstance(c, str) for c in order_by)
-            and isinstance(df.schema[order_by[0]].dataType, (T.TimestampType, T.TimestampNTZType))
-            and estimated_partitions(df) * k > max_merge_rows):
-        df = bounded_top_k(df, order_by[0], order_by[1], k, max_merge_rows=max_merge_rows)
     ordered = df.orderBy(*_order(order_by))
     return (ordered.offset(offset) if offset else ordered).limit(page_size)
 
@@ -55,19 +45,14 @@ def seek_page(df: DataFrame, order_by: Sequence[str], after: Sequence | None,
     if after is not None:
         pred = None
         for i in range(len(order_by) - 1, -1, -1):
-            here = F.col(order_by[i]) > F.lit(after[i])
+            here = F.col(order_by[i]) > literal(after[i])
             if pred is not None:
-                here = here | ((F.col(order_by[i]) == F.lit(after[i])) & pred)
+                here = here | ((F.col(order_by[i]) == literal(after[i])) & pred)
             pred = here
         df = df.filter(pred)
     return df.orderBy(*order_by).limit(page_size)
 
 
-def capped(df: DataFrame, order_by: Sequence[str | Column], limit: int) -> DataFrame:
-    """The first ``limit`` rows in a total order (export cap)."""
-    return df.orderBy(*_order(order_by)).limit(limit)
-
-
 def exists(df: DataFrame) -> bool:
     """I4: any row at all (reads at most one row)."""
     return len(df.take(1)) > 0
@@ -77,30 +62,25 @@ def exists(df: DataFrame) -> bool:
 _GRAINS = ("day", "hour", "minute", "second", "millisecond", "microsecond")
 
 
-def bounded_top_k(df: DataFrame, ts: str, tiebreak: str, k: int,
-                  max_merge_rows: int = MAX_MERGE_ROWS, max_candidates: int | None = None) -> DataFrame:
+def narrowed_top_k(df: DataFrame, ts: str, tiebreak: str, k: int) -> DataFrame:
     """The first ``k`` rows by ``(ts, tiebreak)``, exactly, without one task
-    merging ``k`` rows from every partition.
+    merging ``k`` rows from every partition; for callers with a large ``k``.
 
     ``orderBy().limit(k)`` keeps ``k`` rows per partition and merges them in a
-    single task: fine while ``partitions x k`` is small (the common case, used
-    directly up to ``max_merge_rows``).  Beyond that the cut point is found
-    first: per-bucket counts of ``ts`` (day, then hour, ... inside the bucket
-    that holds the k-th row) give a bound ``ts < E`` whose rows include the
-    answer and number fewer than ``k + max_candidates``.  Each step is a small
-    ``groupBy`` whose result has at most a few thousand rows (the buckets of one
-    coarser bucket), so only counts reach the driver, and the final top-k
-    merges at most that many rows.  Null times sort first, as in ``orderBy``.
+    single task.  Here the cut point is found first: per-bucket counts of
+    ``ts`` (day, then hour, ... inside the bucket that holds the k-th row)
+    give a bound ``ts < E`` whose rows include the answer and number fewer
+    than ``2 k``, as far as the finest grain allows.  Each step is a small
+    ``groupBy`` whose result has at most a few thousand rows (the buckets of
+    one coarser bucket), so only counts reach the driver.  Null times sort
+    first, as in ``orderBy``.
     """
-    if estimated_partitions(df) * k <= max_merge_rows:
-        return df.orderBy(ts, tiebreak).limit(k)
-    bound = max_candidates or max(k, 100_000)
     col = F.col(ts)
     sure = 0                      # rows certainly before the window [lo, hi)
     lo = hi = None
     for level, grain in enumerate(_GRAINS):
-        window = df if lo is None else df.filter((col >= F.lit(lo)) & (col < F.lit(hi)))
-        counts = (window.groupBy(F.date_trunc(grain, col).alias("b"))
+        window = df if lo is None else df.filter((col >= literal(lo)) & (col < literal(hi)))
+        counts = (window.groupBy(F.date_trunc(grain, col).cast("timestamp_ntz").alias("b"))
                   .agg(F.count(F.lit(1)).alias("n")).collect())
         if level == 0:
             nulls = sum(r["n"] for r in counts if r["b"] is None)
@@ -118,9 +98,9 @@ def bounded_top_k(df: DataFrame, ts: str, tiebreak: str, k: int,
                 return df.orderBy(ts, tiebreak).limit(k)
             break
         lo, hi = cut["b"], _bucket_end(cut["b"], grain)
-        if cut["n"] <= bound:
+        if cut["n"] <= k:
             break
-    return df.filter(col.isNull() | (col < F.lit(hi))).orderBy(ts, tiebreak).limit(k)
+    return df.filter(col.isNull() | (col < literal(hi))).orderBy(ts, tiebreak).limit(k)
 
 
 def _bucket_end(start, grain: str):

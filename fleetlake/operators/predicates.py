@@ -41,7 +41,23 @@ def parse_day(text: str | dt.date | dt.datetime | None) -> dt.datetime | None:
     s = text.strip()
     if len(s) == 10:
         return dt.datetime.strptime(s, "%Y-%m-%d")
-    return dt.datetime.fromisoformat(s[:-1] if s.endswith("Z") else s).replace(tzinfo=None)
+    moment = dt.datetime.fromisoformat(s[:-1] if s.endswith("Z") else s)
+    # An offset is applied, not dropped: the wall time kept is UTC.
+    return moment.astimezone(dt.timezone.utc).replace(tzinfo=None) if moment.tzinfo else moment
+
+
+def literal(value: Any) -> Column:
+    """A bound value.  Times are bound as text cast to ``timestamp_ntz`` (a
+    constant after folding, so it is still pushed to the scan): a Python
+    datetime literal would shift with the time zone of the driver's system."""
+    if isinstance(value, dt.datetime):
+        return F.lit(value.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.lit(value)
+
+
+def time_literal(value) -> Column:
+    """Day or time text (or a date, datetime) as a ``timestamp_ntz`` constant."""
+    return literal(parse_day(value))
 
 
 def all_of(preds: Iterable[Column | None]) -> Column:
@@ -55,7 +71,7 @@ def optional_eq(c: str | Column, value: Any) -> Column | None:
     if value is None:
         return None
     col = F.col(c) if isinstance(c, str) else c
-    return col == F.lit(value)
+    return col == literal(value)
 
 
 def closed_range(c: str | Column, start, end, end_inclusive_day: bool = False) -> Column:
@@ -67,10 +83,10 @@ def closed_range(c: str | Column, start, end, end_inclusive_day: bool = False) -
     """
     col = F.col(c) if isinstance(c, str) else c
     lo, hi = parse_day(start), parse_day(end)
-    pred = col >= F.lit(lo)
+    pred = col >= literal(lo)
     if end_inclusive_day:
-        return pred & (col < F.lit(hi + dt.timedelta(days=1)))
-    return pred & (col <= F.lit(hi))
+        return pred & (col < literal(hi + dt.timedelta(days=1)))
+    return pred & (col <= literal(hi))
 
 
 def open_range(c: str | Column, start=None, end=None) -> Column | None:
@@ -78,9 +94,9 @@ def open_range(c: str | Column, start=None, end=None) -> Column | None:
     col = F.col(c) if isinstance(c, str) else c
     parts = []
     if start is not None:
-        parts.append(col >= F.lit(parse_day(start)))
+        parts.append(col >= time_literal(start))
     if end is not None:
-        parts.append(col <= F.lit(parse_day(end)))
+        parts.append(col <= time_literal(end))
     return all_of(parts) if parts else None
 
 
@@ -117,14 +133,16 @@ def is_null(c: str | Column) -> Column:
 
 def since_day(c: str | Column, day) -> Column:
     """The 'today' test, ``c >= day`` with the day passed in (never the clock)."""
-    return (F.col(c) if isinstance(c, str) else c) >= F.lit(parse_day(day))
+    return (F.col(c) if isinstance(c, str) else c) >= time_literal(day)
 
 
-def dynamic_filters(df: DataFrame, filters: Mapping[str, Any] | None) -> Column | None:
-    """AND of ``name = value`` pairs; null values are skipped; names checked."""
+def dynamic_filters(df: DataFrame, filters: Mapping[str, Any] | Iterable[Mapping[str, Any]] | None) -> Column | None:
+    """AND of ``name = value`` pairs, given as one mapping or a list of
+    mappings; null values are skipped; names checked."""
     if not filters:
         return None
-    preds = [F.col(resolve_name(df, k)) == F.lit(v) for k, v in filters.items() if v is not None]
+    pairs = [kv for m in ([filters] if isinstance(filters, Mapping) else filters) for kv in m.items()]
+    preds = [F.col(resolve_name(df, k)) == literal(v) for k, v in pairs if v is not None]
     return all_of(preds) if preds else None
 
 
@@ -136,7 +154,7 @@ def where(df: DataFrame, *preds: Column | None) -> DataFrame:
 
 def point_lookup(df: DataFrame, id_col: str, value) -> DataFrame:
     """The row with the id, as a frame (empty when missing)."""
-    return df.filter(F.col(id_col) == F.lit(value)).limit(1)
+    return df.filter(F.col(id_col) == literal(value)).limit(1)
 
 
 class NotFound(KeyError):

@@ -86,6 +86,7 @@ def cast_by_suffix(df: DataFrame) -> DataFrame:
 
 # The transformer registry - name -> function(Column) -> Column.
 TRANSFORMERS: dict[str, Callable[[Column], Column]] = {
+    "datetime": datetime_text,
     "datetime_to_string": datetime_text,
 }
 

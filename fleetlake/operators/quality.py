@@ -35,14 +35,6 @@ def flag_rules(df: DataFrame, rules: Sequence[Rule], keep: Sequence[str] | None
     return base.withColumn("dq_pass", passed).withColumn("dq_failed_rules", failed)
 
 
-def split(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
-    """Q1: (passing rows, rejected rows with their failed rules)."""
-    flagged = flag_rules(df, rules, keep=df.columns)
-    good = flagged.filter("dq_pass").select(*df.columns)
-    bad = flagged.filter(~F.col("dq_pass")).select(*df.columns, "dq_failed_rules")
-    return good, bad
-
-
 def error_summary(df: DataFrame, bad: Column, record_limit: int = 0,
                   ratio_limit: float = 0.02) -> DataFrame:
     """Total, bad count and ratio in one aggregate; ``passed`` when neither

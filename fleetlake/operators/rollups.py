@@ -2,8 +2,8 @@
 
 Every aggregate here is a ``groupBy``/``cube``/``window`` with partial
 (map-side) aggregation, so a hot group is combined in each task before the
-shuffle and never travels whole.  Sums of 2-decimal measures are exact
-decimals (order-independent), returned as double.
+shuffle and never travels whole.  Sums are exact decimals of the measure's
+declared scale (order-independent), returned as double.
 """
 
 from __future__ import annotations
@@ -13,59 +13,63 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import exact_sum
+from ..functions.scalars import exact_sum, known_number
 from ..sinks.upsert import latest_per_key
 
 
-def measures(value: str = "value", prefix: str = "value") -> list[Column]:
-    n = F.count(F.lit(1))
-    total = exact_sum(value)
-    return [n.alias("events"), total.alias(f"{prefix}_sum"),
-            (total / F.count(value)).alias(f"{prefix}_avg"),
-            F.min(value).alias(f"{prefix}_min"), F.max(value).alias(f"{prefix}_max")]
+def measures(value: str, scale: int, prefix: str = "value") -> list[Column]:
+    """Rows, and sum, average, minimum and maximum of the known values (NaN
+    counts as missing in all four); ``scale`` is the measure's declared number
+    of decimals (see ``exact_sum``)."""
+    known = known_number(value)
+    total = exact_sum(value, scale)
+    return [F.count(F.lit(1)).alias("events"), total.alias(f"{prefix}_sum"),
+            (total / F.count(known)).alias(f"{prefix}_avg"),
+            F.min(F.when(known.isNotNull(), F.col(value))).alias(f"{prefix}_min"),
+            F.max(F.when(known.isNotNull(), F.col(value))).alias(f"{prefix}_max")]
 
 
 def time_rollup(df: DataFrame, ts: str, grain: str, dims: Sequence[str], value: str = "value",
-                distinct_of: str | None = None) -> DataFrame:
+                scale: int = 2, distinct_of: str | None = None) -> DataFrame:
     """Per ``grain`` ('hour', 'day', ...) and dimensions.
 
-    'day' produces a DATE column ``event_date``; finer grains a timestamp
+    'day' produces a DATE column ``event_date``; finer grains a wall time
     ``bucket_start`` (``date_trunc``).
     """
     if grain == "day":
         key = F.to_date(ts).alias("event_date")
     else:
-        key = F.date_trunc(grain, F.col(ts)).alias("bucket_start")
-    aggs = measures(value)
+        key = F.date_trunc(grain, F.col(ts)).cast("timestamp_ntz").alias("bucket_start")
+    aggs = measures(value, scale)
     if distinct_of:
         aggs.append(F.countDistinct(distinct_of).alias("devices"))
     return df.groupBy(key, *dims).agg(*aggs)
 
 
 def cube_rollup(df: DataFrame, dims: Sequence[str | Column], value: str = "value",
-                fixed: Sequence[str] = ()) -> DataFrame:
+                scale: int = 2, fixed: Sequence[str] = ()) -> DataFrame:
     """Every combination of ``dims`` in one pass (``cube`` + ``grouping_id``).
 
     ``fixed`` columns are grouped in every combination (for example the day
     partition of a layer table), via grouping sets.
     """
     if not fixed:
-        return df.cube(*dims).agg(*measures(value), F.grouping_id().alias("grouping_level"))
+        return df.cube(*dims).agg(*measures(value, scale), F.grouping_id().alias("grouping_level"))
     from itertools import combinations
     names = list(dims)
     sets = [[F.col(c) for c in list(fixed) + list(combo)]
             for r in range(len(names), -1, -1) for combo in combinations(names, r)]
     return (df.groupingSets(sets, *[F.col(c) for c in list(fixed) + names])
-            .agg(*measures(value), F.grouping_id().alias("grouping_level")))
+            .agg(*measures(value, scale), F.grouping_id().alias("grouping_level")))
 
 
 def sliding_rollup(df: DataFrame, ts: str, size: str, slide: str, dims: Sequence[str],
-                   value: str = "value") -> DataFrame:
+                   value: str = "value", scale: int = 2) -> DataFrame:
     """H2/J2 (batch twin): windows of ``size`` every ``slide``, start inclusive,
     end exclusive; the window struct is split into two columns."""
     w = F.window(ts, size, slide)
     return (df.groupBy(w.alias("w"), *dims)
-            .agg(F.count(F.lit(1)).alias("events"), exact_sum(value).alias("value_sum"))
+            .agg(F.count(F.lit(1)).alias("events"), exact_sum(value, scale).alias("value_sum"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                     *dims, "events", "value_sum"))
 
@@ -87,3 +91,11 @@ def batch_volume(df: DataFrame, task: str | Column, id_col: str) -> DataFrame:
     """Rows per task with the id bounds of its batch."""
     return df.groupBy(task).agg(F.count(F.lit(1)).alias("batch_rows"),
                                 F.min(id_col).alias("first_id"), F.max(id_col).alias("last_id"))
+
+
+def delays(df: DataFrame, event_time: str, arrival: str) -> DataFrame:
+    """Seconds from event to arrival per event day."""
+    late = F.timestamp_diff("SECOND", F.col(event_time), F.col(arrival))
+    return df.groupBy(F.to_date(event_time).alias("event_date")).agg(
+        F.count(F.lit(1)).alias("volume"), (F.sum(late).cast("double") / F.count(late)).alias("delay_avg"),
+        F.min(late).alias("delay_min"), F.max(late).alias("delay_max"))

@@ -39,8 +39,10 @@ def next_match_time(df: DataFrame, key: str, ts: str, tiebreak: str, is_match: C
 
     buckets = rows.groupBy(key, b).agg(F.min(match_ts).alias("__first"))
     later = Window.partitionBy(key).orderBy(F.col(b).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(key, b, F.min("__first").over(later).alias("__later"))
+    buckets = buckets.select(F.col(key).alias("__k"), F.col(b).alias("__b"),
+                             F.min("__first").over(later).alias("__later"))
 
-    joined = rows.join(buckets, [key, b], "left")
+    # Rows without a key are one key of their own.
+    joined = rows.join(buckets, rows[key].eqNullSafe(buckets["__k"]) & rows[b].eqNullSafe(buckets["__b"]), "left")
     return (joined.withColumn(out, F.coalesce("__in", "__later"))
-            .drop(b, "__m", "__in", "__later"))
+            .drop(b, "__m", "__in", "__later", "__k", "__b"))

@@ -20,7 +20,7 @@ from ..operators.projection import apply_transformers, include_exclude
 from ..sinks.writers import export_csv, export_name
 from ..sources.incremental import StateStore, SyncSpec, run_sync
 from ..sources.messages import keyed_json
-from .indicators import INDICATORS, IndicatorQuery, export_rows, indicator, total
+from .indicators import INDICATORS, IndicatorQuery, export_rows, export_summary, indicator, total
 
 MAX_PAGE_SIZE = 100
 
@@ -38,12 +38,13 @@ def query_indicator_data(view: DataFrame, start_date: str, end_date: str, indica
 
 
 def export_indicator_data(view: DataFrame, start_date: str, end_date: str, indicator_type: str,
-                          folder: str, vin: str | None = None, limit: int = 10000,
-                          sources: Mapping[str, str] | None = None) -> str:
-    """Labelled CSV export of the first ``limit`` rows; returns the output path."""
+                          folder: str, vin: str | None = None, limit: int | None = None,
+                          sources: Mapping[str, str] | None = None) -> tuple[str, DataFrame]:
+    """Labelled CSV export of every matching row, or of the first ``limit``;
+    returns the output path and the summary (matching, exported, truncated)."""
     q = IndicatorQuery(indicator_type, start_date, end_date, vin=vin)
     rows = export_rows(view, q, limit=limit, sources=dict(sources or {}))
-    return export_csv(rows, folder, export_name(indicator_type, start_date, end_date))
+    return export_csv(rows, folder, export_name(indicator_type, start_date, end_date)), export_summary(view, q, limit)
 
 
 def get_security_audits(audit: DataFrame, run_day, page: int = 1, page_size: int = 10,

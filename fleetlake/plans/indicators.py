@@ -11,9 +11,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import datetime_text
-from ..operators.paging import bounded_top_k, page as page_rows
+from ..operators.paging import page as page_rows
 from ..operators.predicates import closed_range, optional_eq, where
 
 DATETIME_FMT = "%Y-%m-%d %H:%M:%S"
@@ -73,7 +74,7 @@ INDICATORS: dict[str, IndicatorSpec] = {
         _c("alertCount", "int", "Alert count"))),
     "robot_event": IndicatorSpec("robot_event", (
         _c("vin", "string", "Device ID"), _c("eventType", "string", "Event type"),
-        _c("eventTime", "datetime", "Event time"), _c("description", "string", "Description"),
+        _c("eventTime", "string", "Event time"), _c("description", "string", "Description"),
         _c("recordTime", "datetime", "Record time")),
         time_column="event_time", order=("event_time", "id"), live=True),
     "environment": IndicatorSpec("environment", (
@@ -106,7 +107,8 @@ def project(spec: IndicatorSpec, view: DataFrame, sources: dict[str, str] | None
     cols: list[Column] = []
     for cs in spec.columns:
         src = F.col(sources.get(cs.name, _source_name(cs.name)))
-        if cs.kind == "datetime":
+        stored = view.schema[sources.get(cs.name, _source_name(cs.name))].dataType
+        if cs.kind == "datetime" or isinstance(stored, (T.TimestampType, T.TimestampNTZType)):
             src = datetime_text(src)
         else:
             src = src.cast(_SPARK_TYPE[cs.kind])
@@ -127,10 +129,19 @@ class IndicatorQuery:
     extra: dict = field(default_factory=dict)
 
 
+def device_is(view: DataFrame, column: str, device: str | None) -> Column | None:
+    """Equality on the device id as it is stored, so it reaches the scan: text
+    that is no number matches no numeric id."""
+    if device is None or not isinstance(view.schema[column].dataType, T.IntegralType):
+        return optional_eq(column, device)
+    text = str(device).strip()
+    return optional_eq(column, int(text)) if text.isascii() and text.lstrip("-").isdigit() else F.lit(False)
+
+
 def filtered(spec: IndicatorSpec, view: DataFrame, q: IndicatorQuery) -> DataFrame:
     """E1 + E2 on the source view (before projection, so the scan gets them)."""
     return where(view,
-                 optional_eq("vin", q.vin),
+                 device_is(view, "vin", q.vin),
                  closed_range(spec.time_column, q.start_date, q.end_date, q.end_inclusive_day))
 
 
@@ -168,15 +179,19 @@ def labelled(df: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
     return df.withColumnsRenamed(mapping) if mapping else df
 
 
-def export_rows(view: DataFrame, q: IndicatorQuery, limit: int = 10000,
+def export_rows(view: DataFrame, q: IndicatorQuery, limit: int | None = None,
                 sources: dict[str, str] | None = None) -> DataFrame:
-    """I3 + D4: the first ``limit`` rows in (time, id) order, labelled.
-
-    ``bounded_top_k`` is a plain per-partition top-k while partitions x limit is
-    small, and narrows the cut point by time histograms first when it is not,
-    so the final merge never holds more than about ``limit`` + a bucket.
-    """
+    """I3 + D4: every matching row, labelled; with ``limit`` the first ``limit``
+    rows in (time, id) order (``export_summary`` says whether that cut any)."""
     spec = INDICATORS[q.kind]
-    time_col, id_col = spec.order
-    rows = bounded_top_k(filtered(spec, view, q), time_col, id_col, limit)
+    rows = filtered(spec, view, q)
+    if limit is not None:
+        rows = rows.orderBy(*spec.order).limit(limit)
     return labelled(project(spec, rows, sources))
+
+
+def export_summary(view: DataFrame, q: IndicatorQuery, limit: int | None = None) -> DataFrame:
+    """One row about an export: matching rows, exported rows, truncated."""
+    n = F.col("total")
+    kept = n if limit is None else F.least(n, F.lit(limit).cast("long"))
+    return total(view, q).select(n.alias("matching"), kept.alias("exported"), (kept < n).alias("truncated"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.audit import audit_filter, audit_summary as summary, with_client_ip
+from ..operators.audit import append_audit, audit_filter, audit_summary as summary, with_client_ip
+from ..operators.predicates import time_literal
+from ..session import scratch_path
 from ..sources.tables import table
 from . import params as P
 from .catalogue import query
@@ -76,3 +78,14 @@ def client_ip_parse(spark, sf_dir):
                     F.concat(F.lit("172.16."), (F.col("user_id") % 256).cast("string"),
                              F.lit(".1")).alias("peer"))
     return with_client_ip(req, "forwarded", "peer")
+
+
+@query("audit_append", "B10 K5", AUDIT_SQL + "SELECT * FROM audit")
+def audit_append(spark, sf_dir):
+    """Audit rows appended day by day of arrival (two appends), read back."""
+    audit = audit_view(spark, sf_dir)
+    path = scratch_path(spark, "audit")
+    first = F.col("create_time") < time_literal(P.RUN_DAY)
+    append_audit(audit.filter(first), path)
+    append_audit(audit.filter(~first), path)
+    return spark.read.parquet(path)

@@ -7,14 +7,15 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..operators.paging import page as page_rows, seek_page as seek_rows
-from ..operators.partitioning import ensure_parallelism
 from ..operators.predicates import closed_range, point_lookup as lookup
 from ..operators.sessions import sessions, usage
 from ..sources.tables import table
+from ..session import scratch_path
 from . import params as P
+from .api import export_indicator_data
 from .catalogue import query
-from .indicators import (INDICATORS, TASK_SOURCES, IndicatorQuery, export_rows, indicator,
-                         project, total)
+from .indicators import (INDICATORS, TASK_SOURCES, IndicatorQuery, export_rows, export_summary,
+                         indicator, project, total)
 from .standins import event_view, task_view
 
 EVENT_Q = IndicatorQuery("robot_event", P.EVENT_START, P.EVENT_END, vin=P.EVENT_VIN)
@@ -76,7 +77,7 @@ FROM tasks GROUP BY vin, task_type
 def task_stats(spark, sf_dir):
     """Per device and task type: count, finished count, duration sum/avg/min/max."""
     t = task_view(spark, sf_dir)
-    return (t.groupBy("vin", F.col("task_type").alias("taskType"))
+    return (t.groupBy(F.col("vin").cast("string").alias("vin"), F.col("task_type").alias("taskType"))
             .agg(F.count(F.lit(1)).alias("tasks"),
                  F.count("task_usage_time").alias("finished"),
                  F.sum("task_usage_time").alias("total_duration"),
@@ -96,20 +97,45 @@ def page(spark, sf_dir):
     return page_rows(ev, ["ts", "event_id"], P.PAGE_NO, P.PAGE_SIZE)
 
 
-@query("export_labelled", "D4 I3 B6", f"""
+_EXPORT_SQL = f"""
 SELECT CAST(user_id AS VARCHAR) AS "Device ID", event_type AS "Event type",
        strftime(ts, '%Y-%m-%d %H:%M:%S') AS "Event time", props AS "Description",
        strftime(ts, '%Y-%m-%d %H:%M:%S') AS "Record time"
 FROM events
 WHERE ts >= TIMESTAMP '{P.EXPORT_START} 00:00:00' AND ts <= TIMESTAMP '{P.EXPORT_END} 00:00:00'
-ORDER BY ts, event_id LIMIT {P.EXPORT_LIMIT}
-""")
+"""
+EXPORT_Q = IndicatorQuery("robot_event", P.EXPORT_START, P.EXPORT_END)
+
+
+@query("export_labelled", "D4 I3 B6", _EXPORT_SQL)
 def export_labelled(spark, sf_dir):
-    """Export: first 10,000 rows of the event indicator, columns named by label."""
-    q = IndicatorQuery("robot_event", P.EXPORT_START, P.EXPORT_END)
-    return export_rows(event_view(spark, sf_dir), q, limit=P.EXPORT_LIMIT)
+    """Export: every row of the event indicator in range, columns named by label."""
+    return export_rows(event_view(spark, sf_dir), EXPORT_Q)
+
+
+@query("export_limited", "D4 I3", _EXPORT_SQL + f"ORDER BY ts, event_id LIMIT {P.EXPORT_LIMIT}")
+def export_limited(spark, sf_dir):
+    """The same export with a limit that the caller states."""
+    return export_rows(event_view(spark, sf_dir), EXPORT_Q, limit=P.EXPORT_LIMIT)
+
+
+@query("export_truncated", "I3 G1", f"""
+SELECT count(*) AS matching, least(count(*), {P.EXPORT_LIMIT}) AS exported,
+       count(*) > {P.EXPORT_LIMIT} AS truncated
+FROM events
+WHERE ts >= TIMESTAMP '{P.EXPORT_START} 00:00:00' AND ts <= TIMESTAMP '{P.EXPORT_END} 00:00:00'
+""")
+def export_truncated(spark, sf_dir):
+    """What the limit of the export left out, for its caller to see."""
+    return export_summary(event_view(spark, sf_dir), EXPORT_Q, P.EXPORT_LIMIT)
 
 
+@query("export_csv", "B6 D4 S12", _EXPORT_SQL)
+def export_csv_read_back(spark, sf_dir):
+    """The export written as CSV and read back."""
+    path, _ = export_indicator_data(event_view(spark, sf_dir), P.EXPORT_START, P.EXPORT_END, "robot_event",
+                                    scratch_path(spark, "export"))
+    return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
 SEEK_AFTER = ("2024-01-15 00:00:00", 0)
@@ -162,8 +188,6 @@ def indicator_usage(spark, sf_dir):
     """Usage indicator from real rows: activity sessions (gaps of at most 30
     minutes) per device."""
     ev = table(spark, sf_dir, "events").filter(closed_range("ts", P.EXPORT_START, P.EXPORT_END))
-    # sessionizing sorts every event: spread a single-split scan over the cores
-    ev = ensure_parallelism(ev.select("user_id", "ts"))
-    per_device = usage(sessions(ev, "user_id", "ts", 1800), "user_id")
+    per_device = usage(sessions(ev.select("user_id", "ts"), "user_id", "ts", 1800), "user_id")
     per_device = per_device.withColumn("vin", F.col("user_id").cast("string"))
     return project(INDICATORS["robot_usage"], per_device, USAGE_SOURCES)

@@ -56,31 +56,33 @@ def role_dim_filter(spark, sf_dir):
     return role_lookup(rows, reg, ROLES)
 
 
-@query("fk_reject", "F4", f"""
-SELECT o_orderkey, o_custkey FROM orders
-WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < {P.FK_CUT})
-   OR o_custkey IS NULL
+@query("fk_reject", "F4", _SYNC_SQL + f"""
+, open_reg AS (SELECT id FROM reg WHERE type <> '{P.FK_CLOSED_REGION}')
+SELECT * FROM sync
+WHERE source_id IS NULL OR target_id IS NULL
+   OR source_id NOT IN (SELECT id FROM open_reg) OR target_id NOT IN (SELECT id FROM open_reg)
 """)
 def fk_reject(spark, sf_dir):
-    """Orders whose customer is missing from a cut customer dimension."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    dim = table(spark, sf_dir, "customer").filter(F.col("c_custkey") < P.FK_CUT)
-    return reject_unknown(orders, ["o_custkey"], dim, "c_custkey")
-
-
-@query("unique_new_rows", "F5 I4", f"""
-SELECT * FROM customer n
-WHERE c_custkey >= {P.UNIQUE_NEW_FROM}
-  AND NOT EXISTS (SELECT 1 FROM customer e
-                  WHERE e.c_custkey < {P.UNIQUE_EXISTING_BELOW} AND e.c_name = n.c_name)
-QUALIFY row_number() OVER (PARTITION BY c_name ORDER BY c_custkey) = 1
+    """Sync rows whose source or target is not an open registry entry."""
+    reg = registry_view(spark, sf_dir)
+    return reject_unknown(sync_view(spark, sf_dir), ["source_id", "target_id"],
+                          reg.filter(F.col("type") != P.FK_CLOSED_REGION), "id")
+
+
+@query("unique_new_rows", "F5 I4", """
+SELECT DISTINCT ON (o_custkey, o_orderpriority) * FROM orders n
+WHERE o_orderstatus = 'O'
+  AND NOT EXISTS (SELECT 1 FROM orders e WHERE e.o_orderstatus <> 'O' AND e.o_custkey = n.o_custkey
+                    AND e.o_orderpriority = n.o_orderpriority)
+ORDER BY o_custkey, o_orderpriority, o_orderkey
 """)
 def unique_new_rows(spark, sf_dir):
-    """New customers whose name is not taken yet; first row per name in the batch."""
-    cust = table(spark, sf_dir, "customer")
-    existing = cust.filter(F.col("c_custkey") < P.UNIQUE_EXISTING_BELOW)
-    candidates = cust.filter(F.col("c_custkey") >= P.UNIQUE_NEW_FROM)
-    return new_unique(candidates, existing, "c_name", order_by="c_custkey")
+    """Open orders whose (customer, priority) no other order has taken yet; the
+    first order per pair."""
+    orders = table(spark, sf_dir, "orders")
+    existing = orders.filter(F.col("o_orderstatus") != "O")
+    candidates = orders.filter(F.col("o_orderstatus") == "O")
+    return new_unique(candidates, existing, ["o_custkey", "o_orderpriority"], order_by="o_orderkey")
 
 
 @query("or_search", "E6 E4", """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import seconds_exact
 from ..operators.alerts import anomalies, first_label, threshold_alerts as alerts
 from ..operators.alerts import threshold_table
+from ..operators.rollups import delays
 from ..sources.tables import table
 from . import params as P
 from .catalogue import query
@@ -102,3 +103,19 @@ def ingest_health(spark, sf_dir):
         (F.col("error_events") / F.col("volume")).alias("error_rate"),
         "bad_rows", (F.col("bad_rows") / F.col("volume")).alias("bad_rate"),
         "last_event_time", seconds_exact("last_event_time", day_end).alias("lag_seconds"))
+
+
+@query("ingest_delay", "G9", """
+SELECT CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS event_date, count(*) AS volume,
+       CAST(sum(epoch(l_shipdate) - epoch(o_orderdate)) AS DOUBLE) / count(*) AS delay_avg,
+       CAST(min(epoch(l_shipdate) - epoch(o_orderdate)) AS BIGINT) AS delay_min,
+       CAST(max(epoch(l_shipdate) - epoch(o_orderdate)) AS BIGINT) AS delay_max
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1
+""")
+def ingest_delay(spark, sf_dir):
+    """Delay between a record's event time and its arrival, per event day: a
+    line's order date and ship date."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    rows = li.join(orders, li.l_orderkey == orders.o_orderkey)
+    return delays(rows, "o_orderdate", "l_shipdate")

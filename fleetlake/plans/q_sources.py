@@ -91,6 +91,7 @@ def next_watermark(spark, sf_dir):
 
 @query("to_keyed_json", "B5 K2 K8 J3", """
 SELECT event_type AS topic, CAST(user_id AS VARCHAR) AS key,
+       CAST(CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 7) AS BIGINT) % 12 AS INTEGER) AS partition,
        '{"event_id":' || event_id
        || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')
        || '","user_id":' || user_id
@@ -100,6 +101,7 @@ SELECT event_type AS topic, CAST(user_id AS VARCHAR) AS key,
 FROM events
 """)
 def to_keyed_json(spark, sf_dir):
-    """One message per event: topic = event type, key = device, value = row JSON."""
+    """One message per event: topic = event type, key = device, value = row
+    JSON, partition by key."""
     ev = table(spark, sf_dir, "events")
-    return keyed_json(ev, "user_id", topic=F.col("event_type"))
+    return keyed_json(ev, "user_id", topic=F.col("event_type"), partitions=12)

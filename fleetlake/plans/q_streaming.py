@@ -3,6 +3,11 @@ Structured Streaming over the events file (``availableNow`` trigger)."""
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from ..operators.predicates import literal
 from ..session import scratch_path
 from ..sources.tables import table
 from ..streaming.ingest import file_stream, ingest, with_day
@@ -31,7 +36,7 @@ def stream_ingest_ods(spark, sf_dir):
 
 @query("stream_sliding_rollup", "J2 J5 J6", """
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type,
-       count(*) AS events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value_sum
+       count(*) AS events, CAST(sum(CAST(round(value * 100) AS HUGEINT)) AS DOUBLE) / 100 AS value_sum
 FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE AS window_start
       FROM (SELECT *, unnest(generate_series(0, 3)) AS i FROM events) x) y
 GROUP BY window_start, event_type
@@ -46,4 +51,29 @@ def stream_sliding_rollup(spark, sf_dir):
     q = run_upserting(agg, target, f"{out}/_checkpoint", trigger={"availableNow": True},
                       state_partitions=spark.sparkContext.defaultParallelism)
     q.awaitTermination()
-    return target.read().drop("dt")
+    return target.read().drop("hr")
+
+
+@query("stream_late_rows", "J6 J1", """
+SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type,
+       count(*) AS events, CAST(sum(CAST(round(value * 100) AS HUGEINT)) AS DOUBLE) / 100 AS value_sum
+FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY GROUP BY ALL
+""")
+def stream_late_rows(spark, sf_dir):
+    """Recent events arrive first, older ones with a second file: the watermark
+    (2 days) drops those from the aggregates, although the raw files keep them."""
+    out = scratch_path(spark, "stream_late")
+    ev = table(spark, sf_dir, "events")
+    cut = ev.agg(F.max("ts")).head()[0] - dt.timedelta(days=10)
+    recent = F.col("ts") >= literal(cut)
+    ev.filter(recent).write.parquet(f"{out}/arriving/first")
+    aggregate = None
+    for late in (False, True):
+        if late:
+            ev.filter(~recent).write.parquet(f"{out}/arriving/second")
+        stream = file_stream(spark, f"{out}/arriving/*", ev.schema)
+        agg = sliding_metrics(stream, "ts", "1 day", "1 day", ["event_type"], watermark="2 days")
+        aggregate = window_table(spark, f"{out}/table", ["event_type"])
+        run_upserting(agg, aggregate, f"{out}/_checkpoint", trigger={"availableNow": True},
+                      state_partitions=spark.sparkContext.defaultParallelism).awaitTermination()
+    return aggregate.read().drop("hr")

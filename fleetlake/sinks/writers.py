@@ -7,7 +7,7 @@ file (S12: Spark's writer adds no byte-order mark).
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -20,7 +20,7 @@ def export_name(indicator: str, start: str, end: str) -> str:
 def export_csv(df: DataFrame, folder: str, name: str) -> str:
     """Header CSV under ``folder/name`` (multi-part); returns the path."""
     path = f"{folder.rstrip('/')}/{name}"
-    (df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8")
+    (df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("escape", '"')
      .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path))
     return path
 
@@ -38,3 +38,15 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str])
     the partition-level form of the reference's delete-then-insert hook."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))
+
+
+def with_hooks(df: DataFrame, write: Callable[[DataFrame], None],
+               before: Sequence[Callable[[], None]] = (), after: Sequence[Callable[[], None]] = ()) -> None:
+    """B2: a write between hooks (for example delete-then-insert of a day); a
+    hook that raises stops what follows, and after-hooks run only once the
+    write is complete."""
+    for hook in before:
+        hook()
+    write(df)
+    for hook in after:
+        hook()

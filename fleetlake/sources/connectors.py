@@ -11,6 +11,8 @@ written against the public connector options but are not exercised by tests.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from string import Formatter
+from urllib.parse import quote_plus
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +64,26 @@ class Source:
         return JDBC[d][0].format(host=self.host, port=self.port, database=self.database)
 
 
+def mongo_uri(src: Source) -> str:
+    """The connection address with its credentials, if any."""
+    login = f"{quote_plus(src.username)}:{quote_plus(src.password)}@" if src.username else ""
+    return f"mongodb://{login}{src.host}:{src.port}"
+
+
+def read_query(spark: SparkSession, src: Source, sql: str, fetch_size: int = 10_000) -> DataFrame:
+    """A1: a lazy DataFrame over a configured query text, run by the source;
+    later filters are added around it.  For files, the query names tables as
+    ``{table}`` and Spark runs it."""
+    d = dialect(src.type)
+    if d == "files":
+        names = {n for _, n, _, _ in Formatter().parse(sql) if n}
+        return spark.sql(sql, **{n: spark.read.parquet(f"{src.path.rstrip('/')}/{n}.parquet") for n in names})
+    if d not in JDBC:
+        raise ValueError(f"{src.type} takes no query text")
+    return (spark.read.format("jdbc").option("url", src.url()).option("driver", JDBC[d][1]).option("query", sql)
+            .option("user", src.username).option("password", src.password).option("fetchsize", fetch_size).load())
+
+
 def read_table(spark: SparkSession, src: Source, table: str, *,
                partition_column: str | None = None, lower: int | None = None,
                upper: int | None = None, num_partitions: int = 1,
@@ -77,11 +99,11 @@ def read_table(spark: SparkSession, src: Source, table: str, *,
         return spark.read.parquet(f"{src.path.rstrip('/')}/{table}")
     if d == "mongodb":
         return (spark.read.format("mongodb")
-                .option("connection.uri", f"mongodb://{src.host}:{src.port}")
+                .option("connection.uri", mongo_uri(src))
                 .option("database", src.database).option("collection", table).load())
     if d == "kafka":
         raise ValueError("use messages.bounded_kafka_read for Kafka topics")
-    url, driver = JDBC[d][0].format(host=src.host, port=src.port, database=src.database), JDBC[d][1]
+    url, driver = src.url(), JDBC[d][1]
     reader = (spark.read.format("jdbc").option("url", url).option("driver", driver)
               .option("dbtable", table).option("user", src.username)
               .option("password", src.password).option("fetchsize", fetch_size))
@@ -113,10 +135,14 @@ def write_table(df: DataFrame, src: Source, table: str, mode: str = "append",
         return
     if d == "mongodb":
         (df.write.format("mongodb").mode(mode)
-         .option("connection.uri", f"mongodb://{src.host}:{src.port}")
+         .option("connection.uri", mongo_uri(src))
          .option("database", src.database).option("collection", table).save())
         return
-    url, driver = JDBC[d][0].format(host=src.host, port=src.port, database=src.database), JDBC[d][1]
+    if d == "kafka":
+        (df.write.format("kafka").option("kafka.bootstrap.servers", f"{src.host}:{src.port}")
+         .option("topic", table).save())
+        return
+    url, driver = src.url(), JDBC[d][1]
     w = (df.write.format("jdbc").mode(mode).option("url", url).option("driver", driver)
          .option("dbtable", table).option("user", src.username).option("password", src.password)
          .option("truncate", "true").option("batchsize", 10_000))

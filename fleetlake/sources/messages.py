@@ -17,19 +17,29 @@ from ..functions.scalars import iso_json
 
 
 def keyed_json(df: DataFrame, key_column: str, topic: str | Column | None = None,
-               value_columns: list[str] | None = None) -> DataFrame:
+               value_columns: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """``key`` = text of ``key_column``, ``value`` = JSON of the row.
 
-    ``topic`` may be a column (J3: one topic per device type).
+    ``topic`` may be a column (J3: one topic per device type).  With
+    ``partitions`` a ``partition`` column sends all messages of a key to one
+    partition of that many (the sink honours it).
     """
     cols = value_columns or df.columns
     out = [F.col(key_column).cast("string").alias("key"),
            iso_json(F.struct(*[F.col(c) for c in cols])).alias("value")]
+    if partitions:
+        out.append(key_partition(F.col(key_column).cast("string"), partitions).alias("partition"))
     if topic is not None:
         out.insert(0, (F.lit(topic) if isinstance(topic, str) else topic).alias("topic"))
     return df.select(*out)
 
 
+def key_partition(key: Column, partitions: int) -> Column:
+    """A partition number from the first 28 bits of the key's MD5; no key, no
+    choice."""
+    return F.pmod(F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("long"), F.lit(partitions)).cast("int")
+
+
 def send(messages: DataFrame, bootstrap_servers: str, topic: str | None = None) -> None:
     """Write a ``(topic?, key, value)`` frame to Kafka (needs the Kafka connector)."""
     w = messages.write.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers)
@@ -39,18 +49,18 @@ def send(messages: DataFrame, bootstrap_servers: str, topic: str | None = None)
 
 
 def bounded_kafka_read(spark: SparkSession, bootstrap_servers: str, topic: str,
-                       start_offset: int | None = None, max_messages: int = 1000,
+                       max_messages: int, start_offset: int | None = None,
                        partition: int = 0) -> DataFrame:
     """A7 over Kafka: partition ``partition`` from ``start_offset + 1`` (earliest
-    when absent), at most ``max_messages`` records.  Batch read; no consumer
-    group state is kept, the caller stores the last offset it processed."""
+    when absent), at most ``max_messages`` records, as the caller states.
+
+    The read is open at the far end: offsets may have gaps, so an end counted
+    from the start could return nothing although more follows.  Batch read;
+    no consumer group state is kept, the caller stores the last offset it
+    processed."""
     tp = json.dumps({topic: [partition]})
-    if start_offset is None:
-        starting = "earliest"
-        ending = "latest"
-    else:
-        starting = json.dumps({topic: {str(partition): start_offset + 1}})
-        ending = json.dumps({topic: {str(partition): start_offset + 1 + max_messages}})
+    starting = "earliest" if start_offset is None else json.dumps({topic: {str(partition): start_offset + 1}})
+    ending = "latest"
     df = (spark.read.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers)
           .option("assign", tp).option("startingOffsets", starting)
           .option("endingOffsets", ending).load())

@@ -19,8 +19,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Register the tables as temp views so SQL and DataFrame code share them."""
-    for name in names:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)

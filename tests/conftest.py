@@ -17,7 +17,8 @@ def spark():
     b = (SparkSession.builder.master("local[*]").appName("fleetlake-tests")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false"))
+         .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.sql.maxMetadataStringLength", "2000"))
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
     s = b.getOrCreate()

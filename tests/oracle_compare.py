@@ -67,7 +67,7 @@ def duck_rows(con, sql):
 
 
 def compare(spark, sf_dir, names=None, verbose=True):
-    from __spark_entry__ import oracle_sql, queries
+    from fleetlake.plans.catalogue import oracle_sql, queries
     qs, sqls = queries(), oracle_sql()
     con = duck(sf_dir)
     results = {}

@@ -22,8 +22,11 @@ def test_indicator_page_and_total(spark):
 
 
 def test_export_writes_labelled_csv(spark, tmp_dir):
-    path = api.export_indicator_data(event_view(spark, SF01), "2024-01-01", "2024-01-31",
-                                     "robot_event", tmp_dir, limit=500)
+    path, summary = api.export_indicator_data(event_view(spark, SF01), "2024-01-01", "2024-01-31",
+                                              "robot_event", tmp_dir, limit=500)
+    assert tuple(summary.head()) == (10000, 500, True)
+    assert tuple(api.export_indicator_data(event_view(spark, SF01), "2024-01-01", "2024-01-31", "robot_event",
+                                           f"{tmp_dir}/all")[1].head()) == (10000, 10000, False)
     assert path.endswith("robot_event_2024-01-01_2024-01-31")
     back = spark.read.option("header", True).csv(path)
     assert back.count() == 500 and "Event time" in back.columns

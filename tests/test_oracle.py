@@ -2,7 +2,8 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from fleetlake.plans.catalogue import oracle_sql, queries
 from conftest import SF01
 from oracle_compare import compare
 

@@ -4,12 +4,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
-from fleetlake.operators.joins import checked_broadcast, fits_broadcast
+from fleetlake.plans.catalogue import queries
 from fleetlake.plans.layers import Layers, retention, time_range_with_partitions
-from fleetlake.plans.q_layers import event_rules
+from fleetlake.plans.q_layers import device_rules, event_rules
+from fleetlake.plans.standins import order_documents
 from fleetlake.session import scratch_path
-from fleetlake.sources.documents import documents_from_events
 from conftest import SF01
 
 
@@ -19,10 +18,23 @@ def plan(df):
 
 def test_indicator_filter_and_pruning_reach_scan(spark):
     p = plan(queries()["indicator_event"](spark, SF01))
-    assert "PushedFilters: [IsNotNull(ts), IsNotNull(user_id)" in p or "GreaterThanOrEqual(ts" in p
-    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,props:string>" in p \
-        or "ReadSchema: struct<" in p
-    assert "value:double" not in p.split("ReadSchema")[1].split("\n")[0]
+    pushed = p.split("PushedFilters: [")[1].split("\n")[0]
+    assert "EqualTo(user_id,8)" in pushed
+    assert "GreaterThanOrEqual(ts,2024-01-05T00:00" in pushed and "LessThanOrEqual(ts,2024-01-12T00:00" in pushed
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,props:string>" in p
+
+
+def test_anomaly_window_carries_narrow_rows(spark):
+    """Only key, time, id and flag go through the window's exchange."""
+    p = plan(queries()["anomaly_resolution"](spark, SF01))
+    window_scan = [l for l in p.split("\n") if "ReadSchema" in l and "props" not in l]
+    assert window_scan and all("value" not in l for l in window_scan)
+    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+
+
+def test_unknown_keys_take_one_pass(spark):
+    p = plan(queries()["fk_reject"](spark, SF01))
+    assert p.count("lineitem.parquet") == 1 and p.count("ExistenceJoin") == 2
 
 
 def test_incremental_scan_pushes_predicate(spark):
@@ -32,18 +44,7 @@ def test_incremental_scan_pushes_predicate(spark):
 
 def test_role_lookup_broadcasts_registry(spark):
     p = plan(queries()["role_dim_lookup"](spark, SF01))
-    assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
-
-
-def test_broadcast_guard(spark):
-    small = spark.range(10)
-    assert fits_broadcast(small, max_rows=100)
-    big = spark.range(0, 10_000_000).filter(F.col("id") % 2 == 0)
-    assert not fits_broadcast(big, max_rows=1000, max_bytes=1)
-    assert not fits_broadcast(spark.read.parquet(f"{SF01}/lineitem.parquet"), max_bytes=1024)
-    assert fits_broadcast(spark.read.parquet(f"{SF01}/region.parquet"), max_bytes=1024 * 1024)
-    assert "broadcast" not in checked_broadcast(big, max_rows=1000, max_bytes=1)._jdf.queryExecution() \
-        .logical().toString().lower()
+    assert "BroadcastHashJoin" in p
 
 
 def test_page_is_top_k_not_full_sort(spark):
@@ -58,29 +59,36 @@ def test_aggregates_are_partial(spark):
 
 
 def test_layers_partition_pruning_and_retention(spark):
-    root = scratch_path(spark, "layers_test")
-    lay = Layers(spark, root)
-    ev = spark.read.parquet(f"{SF01}/events.parquet")
-    lay.ods_documents(documents_from_events(ev))
-    good, bad = lay.dwd_devices(event_rules_for_docs())
+    lay = Layers(spark, scratch_path(spark, "layers_test"), grain="day")
+    docs = order_documents(spark, SF01).filter("dt >= '2001-06-01'")
+    lay.ods_documents(docs, "a")
+    good, bad = lay.dwd_devices(device_rules())
     lay.ads_rollups()
     dwd = lay.dwd_good()
-    q = time_range_with_partitions(dwd, "event_time", dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 12))
+    q = time_range_with_partitions(dwd, "event_time", dt.datetime(2001, 6, 10), dt.datetime(2001, 6, 12))
     p = plan(q)
     assert "PartitionFilters: [isnotnull(dt" in p and "dt#" in p
-    kept = retention(dwd, "dt", "2024-01-30", 10)
-    assert kept.agg(F.min("dt")).collect()[0][0] >= dt.date(2024, 1, 20)
-    total = good.count() + bad.count()
-    assert total == ev.count()
-    removed = lay.apply_retention("2024-04-15")          # DWD keeps 90 days
+    kept = retention(dwd, "dt", "2001-07-30", 10)
+    assert kept.agg(F.min("dt")).collect()[0][0] >= dt.date(2001, 7, 20)
+    assert good.count() + bad.count() == docs.count() > 0
+    removed = lay.apply_retention("2001-10-15")          # DWD keeps 90 days
     assert removed["dwd"] > 0
-    assert lay.dwd_good().agg(F.min("dt")).collect()[0][0] >= dt.date(2024, 1, 16)
-
-
-def event_rules_for_docs():
-    from fleetlake.operators.quality import Rule
-    return [Rule("known_status", F.col("status").isNotNull()),
-            Rule("battery_ok", F.col("battery_pct").isNotNull())]
+    assert lay.dwd_good().agg(F.min("dt")).collect()[0][0] >= dt.date(2001, 7, 17)
+
+
+def test_ods_keeps_every_batch_of_a_day(spark):
+    lay = Layers(spark, scratch_path(spark, "ods_test"))
+    docs = order_documents(spark, SF01).filter("doc_id < 40").withColumn("dt", F.lit(dt.date(2024, 1, 1)))
+    bad_time = docs.filter("doc_id = 5").withColumn("timestamp", F.lit("yesterday")) \
+        .withColumn("doc_id", F.lit(1000).cast("long"))
+    lay.ods_documents(docs.filter("doc_id < 20"), "a")
+    lay.ods_documents(docs.filter("doc_id >= 20").unionByName(bad_time), "b")
+    lay.ods_documents(docs.filter("doc_id >= 20").unionByName(bad_time), "b")        # sent again
+    assert lay.read("ods", "device_documents").count() == docs.count() + 1
+    good, bad = lay.dwd_devices(device_rules(), days=["2024-01-01"])
+    assert [r.doc_id for r in bad.filter("dq_failed_rules like '%time_ok%'").collect()] == [1000]
+    lay.ads_rollups(tables=("daily",), days=["2024-01-01"])
+    assert lay.read("ads", "daily").agg(F.sum("events")).collect()[0][0] == good.count()
 
 
 def test_event_rules_are_columns():

@@ -3,7 +3,7 @@
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from fleetlake.plans.catalogue import queries
 from fleetlake.session import scratch_path
 from fleetlake.sinks.upsert import KeyedTable, upsert
 from fleetlake.sources.incremental import StateStore, SyncSpec, run_sync

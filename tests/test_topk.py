@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlake.operators.paging import bounded_top_k
+from fleetlake.operators.paging import narrowed_top_k
 from conftest import SF01
 
 
@@ -17,7 +17,7 @@ def _ids(df):
 def test_forced_histogram_path_matches(spark, k):
     ev = spark.read.parquet(f"{SF01}/events.parquet").select("event_id", "ts", "value")
     want = _ids(ev.orderBy("ts", "event_id").limit(k))
-    got = bounded_top_k(ev, "ts", "event_id", k, max_merge_rows=0, max_candidates=50)
+    got = narrowed_top_k(ev, "ts", "event_id", k)
     assert sorted(_ids(got)) == sorted(want)
 
 
@@ -29,14 +29,14 @@ def test_hot_bucket_and_nulls(spark):
     df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").repartition(4)
     for k in (3, 5, 6, 100, 2000, 3010, 3100):
         want = _ids(df.orderBy("ts", "event_id").limit(k))
-        got = _ids(bounded_top_k(df, "ts", "event_id", k, max_merge_rows=0, max_candidates=10))
+        got = _ids(narrowed_top_k(df, "ts", "event_id", k))
         assert sorted(got) == sorted(want), k
 
 
-def test_deep_page_through_histogram_path(spark):
+def test_deep_page_inside_the_narrowed_rows(spark):
     from fleetlake.operators.paging import page
     ev = spark.read.parquet(f"{SF01}/events.parquet").select("event_id", "ts")
     for p_no in (1, 37, 250):
-        want = [r.event_id for r in page(ev, ["ts", "event_id"], p_no, 20).collect()]
-        got = [r.event_id for r in page(ev, ["ts", "event_id"], p_no, 20, max_merge_rows=0).collect()]
-        assert got == want, p_no
+        want = _ids(page(ev, ["ts", "event_id"], p_no, 20))
+        inside = narrowed_top_k(ev, "ts", "event_id", p_no * 20)
+        assert _ids(page(inside, ["ts", "event_id"], p_no, 20)) == want, p_no
