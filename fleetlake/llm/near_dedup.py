@@ -14,9 +14,11 @@ agrees in fewer than ``T`` coordinates with a probability near 1e-7, so:
 * links are confirmed on the full sets.
 
 A list is never expanded into all its pairs.  First each list's most typical
-class (the one whose values are most common) meets all others.  Then only
-classes of a list that are still in different components meet, and of those
-only pairs with one side outside the list's largest component.
+class (the one whose values are most common) meets all others.  Classes whose
+lists still hold several components are then posted anew under the rarest
+shingles of their full sets, and two of them meet only if they are in
+different components, one outside the list's largest, and the shingles from
+the meeting point on still suffice for the similarity.
 
 Defined cases: empty and null texts have an empty set and are linked with
 nothing; with 1 to 4 words the whole sequence is the one shingle; rows with a
@@ -152,6 +154,31 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, match: int
             .select("a", "b").distinct())
 
 
+def _mixed(lists: DataFrame) -> DataFrame:
+    """The rows (token, root, ...) of lists with several components, and each
+    list's largest one as ``main``."""
+    parts = lists.groupBy("token", "root").agg(F.count("*").alias("size"))
+    main = parts.groupBy("token").agg(F.max(F.struct("size", "root"))["root"].alias("main"),
+                                      F.count("*").alias("roots")).where("roots > 1").select("token", "main")
+    return lists.join(main, "token")
+
+
+def _set_prefixes(full: DataFrame, percent: int) -> DataFrame:
+    """(token, rep, root, n, ahead): each class under the rarest shingles of
+    its full set, one of which it shares with any class similar enough;
+    ``ahead`` counts the shingles from this one on, so the overlap of two
+    classes that first meet here is at most the smaller ``ahead``."""
+    shingles = full.select("rep", "root", "n", F.explode("set").alias("token"))
+    common = shingles.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    held = shingles.join(common, "token").groupBy("rep", "root", "n").agg(
+        F.sort_array(F.collect_list(F.struct("f", "token"))).alias("held"))  # at most the set
+    shared = F.size("held")
+    length = shared - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    return held.where(length > 0).select("rep", "root", "n", shared.alias("shared"),
+                                         F.posexplode(F.slice("held", F.lit(1), length)).alias("at", "p")) \
+        .select("p.token", "rep", "root", "n", (F.col("shared") - F.col("at")).alias("ahead"))
+
+
 def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, doc_id: str, text: str, shingle: int,
           percent: int, match: int) -> DataFrame:
     """(node, root) for every class that is linked with another one."""
@@ -169,16 +196,17 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, doc_id: str, t
     roots = components(found, "a", "b")
 
     # What the typical classes did not bring together.
-    labelled = posted.join(roots.toDF("rep", "root"), "rep", "left") \
-        .select("token", "rep", F.coalesce("root", "rep").alias("root"))
-    parts = labelled.groupBy("token", "root").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("token").agg(F.max(F.struct("n", "root"))["root"].alias("main"),
-                                       F.count("*").alias("roots")).where("roots > 1").select("token", "main")
-    mixed = written(labelled.join(mixed, "token"), "mixed-lists")
-    outside = mixed.where("root <> main").select("token", F.col("rep").alias("x"), F.col("root").alias("rx"))
-    rest = (outside.join(mixed.select("token", F.col("rep").alias("y"), F.col("root").alias("ry"), "main"), "token")
-            .where((F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y"))))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    left = _mixed(posted.select("token", "rep").join(roots.toDF("rep", "root"), "rep", "left")
+                  .select("token", "rep", F.coalesce("root", "rep").alias("root"))).select("rep", "root").distinct()
+    full = sets.join(left, "rep").select("rep", "root", "set", F.size("set").alias("n"))
+    mixed = written(_mixed(_set_prefixes(full, percent)), "mixed-lists")
+    x, y = mixed.where("root <> main").alias("x"), mixed.alias("y")
+    both = F.col("x.n") + F.col("y.n")
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
+                  & ((F.col("y.root") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
+                  & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+                  & ((100 + percent) * F.least("x.ahead", "y.ahead") >= percent * both)) \
+        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     rest = rest.join(stars, ["a", "b"], "left_anti")
     more = written(_confirmed(rest, classes, sets, match, percent), "links")
     # Texts under one id are one document.
