@@ -20,6 +20,7 @@ import os
 from itertools import accumulate
 from typing import Callable
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,7 +33,9 @@ LEAF = 64
 #: A pre-token's end depends on at most this many characters after it.
 CONTEXT = 3
 #: Distinct pre-tokens a worker remembers before it starts anew.
-KEEP = 400_000
+KEEP = 600_000
+#: Pre-tokens encoded in one string.
+JOINED = 256
 #: Edit: (first character, characters taken out, text put in).
 Edit = tuple[int, int, str]
 
@@ -50,13 +53,27 @@ class Counter:
         self.pattern = regex.compile(pattern)
         self.known: dict[str, int] = {}
 
-    def counts(self, pieces: list[str]) -> list[int]:
-        new = list(set(pieces) - self.known.keys())
+    def learn(self, pieces: set[str]) -> None:
+        """Encode what is new among ``pieces``."""
+        new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > KEEP:
-            self.known, new = {}, list(set(pieces))
-        if new:
-            got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update(zip(new, map(len, got)))
+            self.known, new = {}, list(pieces)
+        # Pieces of a blank and letters stay apart when they are put together.
+        joined = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        alone = [p for p in new if not (p[0] == " " and p[1:].isalpha())]
+        groups = [joined[i:i + JOINED] for i in range(0, len(joined), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
+            n = np.bincount(e.word_ids, minlength=len(group)).tolist()
+            if len(n) == len(group):
+                self.known.update(zip(group, n))
+            else:  # a letter to us, not to the tokenizer
+                alone += group
+        got = self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)
+        self.known.update(zip(alone, map(len, got)))
+
+    def counts(self, pieces: list[str]) -> list[int]:
+        if not all(map(self.known.__contains__, pieces)):
+            self.learn(set(pieces))
         return list(map(self.known.__getitem__, pieces))
 
 
@@ -68,24 +85,34 @@ def counter(tokenizer_path: str, pattern: str) -> Counter:
 
 class Tree:
     """Leaves of (characters, tokens) pairs, one per pre-token, under a
-    binary tree of sums kept as two heaps."""
+    binary tree of sums kept as two heaps.  Leaves that no edit has touched
+    are slices of the first count."""
 
-    def __init__(self, text: str, count: Counter):
+    def __init__(self, text: str, count: Counter, pieces: list[str] | None = None):
         self.text, self.count, self.encoded = text, count, 0
-        pieces = count.pattern.findall(text)
-        pairs = list(zip(map(len, pieces), count.counts(pieces)))
-        self.leaves = [pairs[i:i + LEAF] for i in range(0, len(pairs), LEAF)] or [[]]
-        width = 1
-        while width < len(self.leaves):
-            width *= 2
-        self.width = width
-        self.chars, self.tokens = [0] * (2 * width), [0] * (2 * width)
-        for k, leaf in enumerate(self.leaves):
-            self.chars[width + k] = sum(c for c, _ in leaf)
-            self.tokens[width + k] = sum(n for _, n in leaf)
-        for k in range(width - 1, 0, -1):
-            self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-            self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
+        pieces = count.pattern.findall(text) if pieces is None else pieces
+        chars = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        tokens = np.array(count.counts(pieces), np.int64)
+        self.base, self.changed = (chars, tokens), {}
+        self.n_leaves = max(1, -(-len(pieces) // LEAF))
+        self.width = 1 << (self.n_leaves - 1).bit_length()
+        self.chars, self.tokens = (self._heap(x) for x in (chars, tokens))
+
+    def _heap(self, x: np.ndarray) -> list[int]:
+        sums = np.zeros(self.width, np.int64)
+        if len(x):
+            sums[:self.n_leaves] = np.add.reduceat(x, np.arange(0, len(x), LEAF))
+        levels = [sums]
+        while len(levels[-1]) > 1:
+            levels.append(levels[-1].reshape(-1, 2).sum(axis=1))
+        return [0] + np.concatenate(levels[::-1]).tolist()
+
+    def leaf(self, k: int) -> list[tuple[int, int]]:
+        """(characters, tokens) of the pre-tokens in a leaf."""
+        if k not in self.changed:
+            at = slice(k * LEAF, (k + 1) * LEAF)
+            self.changed[k] = list(zip(*(x[at].tolist() for x in self.base)))
+        return self.changed[k]
 
     @property
     def total(self) -> int:
@@ -102,7 +129,7 @@ class Tree:
         return k - self.width, first
 
     def _set(self, leaf: int, pairs: list[tuple[int, int]]) -> None:
-        self.leaves[leaf] = pairs
+        self.changed[leaf] = pairs
         k = self.width + leaf
         self.chars[k], self.tokens[k] = sum(c for c, _ in pairs), sum(n for _, n in pairs)
         while k > 1:
@@ -120,11 +147,11 @@ class Tree:
         # more before the edit; pre-tokens ending there cannot have changed.
         leaf, begin = self._find(max(0, at - CONTEXT))
         skip = 0
-        for c, _ in self.leaves[leaf]:
+        for c, _ in self.leaf(leaf):
             if begin + c > at - CONTEXT:
                 break
             begin, skip = begin + c, skip + 1
-        first_leaf, before = leaf, self.leaves[leaf][:skip]
+        first_leaf, before = leaf, self.leaf(leaf)[:skip]
 
         # Old boundaries behind the edit, and new pre-tokens until they meet.
         old, place = begin, skip
@@ -132,11 +159,11 @@ class Tree:
         met = False
         for m in self.count.pattern.finditer(self.text, begin):
             while old + shift < now or old < old_end:  # old boundaries left behind
-                while leaf < len(self.leaves) and place >= len(self.leaves[leaf]):
+                while leaf < self.n_leaves and place >= len(self.leaf(leaf)):
                     leaf, place = leaf + 1, 0
-                if leaf >= len(self.leaves):
+                if leaf >= self.n_leaves:
                     break
-                old, place = old + self.leaves[leaf][place][0], place + 1
+                old, place = old + self.leaf(leaf)[place][0], place + 1
             if now >= at + len(put) and old >= old_end and old + shift == now:
                 met = True
                 break
@@ -145,14 +172,14 @@ class Tree:
         self.encoded += len(pieces)
         new = before + list(zip(map(len, pieces), self.count.counts(pieces)))
         if not met:  # re-encoded to the end
-            leaf, place = len(self.leaves), 0
+            leaf, place = self.n_leaves, 0
         if leaf == first_leaf:
-            self._set(first_leaf, new + self.leaves[leaf][place:])
+            self._set(first_leaf, new + self.leaf(leaf)[place:])
             return
-        for k in range(first_leaf + 1, min(leaf, len(self.leaves))):
+        for k in range(first_leaf + 1, min(leaf, self.n_leaves)):
             self._set(k, [])
-        if leaf < len(self.leaves):
-            self._set(leaf, self.leaves[leaf][place:])
+        if leaf < self.n_leaves:
+            self._set(leaf, self.leaf(leaf)[place:])
         self._set(first_leaf, new)
 
 
@@ -185,10 +212,12 @@ def count_edited(docs: DataFrame, tokenizer_path: str, pattern: str, text: str =
         count = counter(tokenizer_path, pattern)
 
         def judge(texts: pa.Array) -> list[pa.Array]:
-            rows = []
-            for t in texts.to_pylist():
-                tree = Tree(t or "", count)
-                n, todo = tree.total, edits(t or "")
+            rows, whole = [], [t or "" for t in texts.to_pylist()]
+            pieces = [count.pattern.findall(t) for t in whole]
+            count.learn(set().union(*pieces))
+            for t, own in zip(whole, pieces):
+                tree = Tree(t, count, own)
+                n, todo = tree.total, edits(t)
                 for e in todo:
                     tree.edit(*e)
                 rows.append((n, len(todo), tree.total, tree.encoded, tree.text))
@@ -201,4 +230,4 @@ def count_edited(docs: DataFrame, tokenizer_path: str, pattern: str, text: str =
 
 def prefix_tokens(tree: Tree) -> list[int]:
     """Tokens before each leaf, from the leaf sums."""
-    return list(accumulate(tree.tokens[tree.width:tree.width + len(tree.leaves)], initial=0))[:-1]
+    return list(accumulate(tree.tokens[tree.width:tree.width + tree.n_leaves], initial=0))[:-1]
