@@ -37,119 +37,103 @@ from .shared import written
 DEPTH = 4
 #: Characters of text in a block, on average.
 BLOCK = 16 << 20
-TOKEN, GRAM = 0, 1
+#: Texts are counted this many bytes at a time.
+PASS = 1 << 20
 _END_BYTE = b"\xff"  # never part of UTF-8
-_END_TOKEN = 1
 _U = np.uint64
-
-
-class KeyIndex:
-    """Positions of known 64-bit keys: one probe of a table for most, a
-    binary search for the few whose slot went to a later key."""
-
-    def __init__(self, keys: np.ndarray, weight: np.ndarray | None = None):
-        self.keys = keys  # ascending
-        bits = max(10, int(np.ceil(np.log2(max(1, len(keys))))) + 2)
-        self.shift = _U(64 - bits)
-        self.table = np.zeros(1 << bits, np.int32)
-        order = np.arange(len(keys)) if weight is None else np.argsort(weight, kind="stable")
-        self.table[self._slot(keys[order])] = order
-
-    def _slot(self, x: np.ndarray) -> np.ndarray:
-        return (x * _U(0x9E3779B97F4A7C15)) >> self.shift
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        at = self.table[self._slot(x)]
-        lost = np.flatnonzero(self.keys[at] != x)
-        if len(lost):
-            at[lost] = np.searchsorted(self.keys, x[lost])
-        return at
+#: Keys of words have the highest bit set, those of byte strings do not.
+_WORD = _U(1 << 63)
+_END_TOKEN = _U(1 << 63 | 1)
 
 
 def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(key of every byte with its context, first key of each text and the
     end); the end mark of a text included."""
     pad = b"\0" * depth
-    buf = np.frombuffer(b"".join([pad + t + _END_BYTE for t in texts]), np.uint8)
-    n = len(buf) - depth
-    key = np.zeros(n, np.uint64)
-    for k in range(depth + 1):
-        key = (key << _U(8)) | buf[k:k + n]
+    raw = b"".join([pad + t + _END_BYTE for t in texts])
+    n = len(raw) - depth
+    # Eight bytes from each position, the first in the highest place.
+    key = np.ndarray((n,), ">u8", raw + b"\0" * 8, strides=(1,)).astype(np.uint64) >> _U(8 * (7 - depth))
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     at = np.concatenate(([0], np.cumsum(sizes)))
-    # A text's keys begin where its padding does; those inside the padding of
-    # the next text are left out.
-    begin = at[:-1] + depth * np.arange(len(texts))
-    inside = np.zeros(n + depth + 1, np.int8)
-    np.add.at(inside, begin, 1)
-    np.add.at(inside, begin + sizes, -1)
-    return key[np.cumsum(inside[:n], dtype=np.int8) > 0], at
-
-
-def _chunks(column: pa.Array):
-    for lo, hi in X.slices(column):
-        yield lo, hi, X.text_bytes(column.slice(lo, hi - lo))
+    # A text's keys begin where its padding does; those that reach from one
+    # text into the padding of the next are left out.
+    between = ((at[1:-1] + depth * np.arange(len(texts) - 1))[:, None] + np.arange(depth)).ravel()
+    return np.delete(key, between) if len(between) else key, at
+
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(key of every word, first word of each text and the end)."""
+    s = X.scan(texts, X.BLANKS, lower=True)
+    return s.hash | _WORD, s.words_at
+
+
+def _tally(parts) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, how many of each are marked) of (keys, marks) parts."""
+    keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+    index = X.KeyIndex(keys)
+    for x, marked in parts:
+        at, lost = index.find(x)
+        known = marked.copy()
+        known[lost] = False
+        if len(keys):
+            n += np.bincount(at[known], minlength=len(keys))
+        if len(lost):
+            new, count = np.unique(x[lost], return_inverse=True)
+            count = np.bincount(count, weights=marked[lost], minlength=len(new)).astype(np.int64)
+            place = np.searchsorted(keys, new)
+            keys, n = np.insert(keys, place, new), np.insert(n, place, count)
+            index = X.KeyIndex(keys)
+    return keys, n
 
 
 def _block_counts(table: pa.Table, depth: int) -> pa.Table:
     block = table.column("block")[0].as_py()
     texts = table.column("t").combine_chunks()
     train = ~np.asarray(table.column("held_out"))
-    out = []
-    for kind in (TOKEN, GRAM):
-        def keys_of(texts):
-            if kind == GRAM:
-                return _grams(texts, depth)
-            s = X.scan(texts, X.BLANKS, lower=True)
-            return s.hash, s.words_at
-        keys = np.empty(0, np.uint64)
-        for lo, hi, part in _chunks(texts):
-            keys = np.union1d(keys, np.unique(keys_of(part)[0]))
-        if kind == TOKEN:
-            keys = np.union1d(keys, np.array([_END_TOKEN], np.uint64))
-        index, count = KeyIndex(keys), np.zeros(len(keys), np.int64)
-        for lo, hi, part in _chunks(texts):
-            found, at = keys_of(part)
-            used = np.repeat(train[lo:hi], np.diff(at))
-            count += np.bincount(index.find(found[used]), minlength=len(keys))
-        if kind == TOKEN:
-            count[index.find(np.array([_END_TOKEN], np.uint64))] += int(train.sum())
-        out.append(pa.table({"block": pa.array(np.full(len(keys), block)), "kind": pa.array(np.full(len(keys), kind, np.int32)),
-                             "key": pa.array(keys.view(np.int64)), "n": pa.array(count)}))
-    return pa.concat_tables(out)
-
-
-def _block_scores(docs: pa.Table, values: pa.Table, depth: int) -> pa.Table:
+
+    def parts(keys_of):
+        for lo, hi in X.slices(texts, PASS):
+            found, at = keys_of(X.text_bytes(texts.slice(lo, hi - lo)))
+            yield found, np.repeat(train[lo:hi], np.diff(at))
+
+    keys, n = _tally(parts(lambda t: _grams(t, depth)))
+    words, m = _tally(parts(_tokens))
+    keys = np.concatenate((keys, words, [_END_TOKEN]))
+    n = np.concatenate((n, m, [train.sum()]))
+    return pa.table({"block": pa.array(np.full(len(keys), block)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n)})
+
+
+def _block_scores(docs: pa.Table, values: pa.Table, depth: int, train_tokens: int, train_words: int) -> pa.Table:
     texts = docs.column("t").combine_chunks()
-    kind = np.asarray(values.column("kind"))
     keys, value = np.asarray(values.column("key")).view(np.uint64), np.asarray(values.column("value"))
-    known, got = np.asarray(values.column("known")), {}
-    for k in (TOKEN, GRAM):
-        mine = np.flatnonzero(kind == k)
-        mine = mine[np.argsort(keys[mine])]
-        got[k] = (KeyIndex(keys[mine], value[mine]), value[mine], known[mine])
-    n_tokens, n_known, base, score = [], [], [], []
+    order = np.argsort(keys)
+    keys, value = keys[order], value[order]
+    split = int(np.searchsorted(keys, _WORD))
+    # The likeliest byte strings are the commonest: they get the first probe.
+    grams, gram_value = X.KeyIndex(keys[:split], value[:split]), value[:split]
+    words, count = X.KeyIndex(keys[split:], value[split:]), value[split:]
+    word_value = np.log10(count + 0.5) - np.log10(train_tokens + 0.5 * (train_words + 1))
+    end = int(words.find(np.array([_END_TOKEN]))[0][0])
+    columns = [[] for _ in range(5)]
 
     def sums(x, at):
         total = np.concatenate(([0], np.cumsum(x)))
         return total[at[1:]] - total[at[:-1]]
 
-    index, value, known = got[TOKEN]
-    end = index.find(np.array([_END_TOKEN], np.uint64))[0]
-    for lo, hi, part in _chunks(texts):
-        s = X.scan(part, X.BLANKS, lower=True)
-        at = index.find(s.hash)
-        n_tokens.append(s.counts + 1)
-        n_known.append(sums(known[at], s.words_at) + known[end])
-        base.append(sums(value[at], s.words_at) + value[end])
-        keys, first = _grams(part, depth)
-        score.append(sums(got[GRAM][1][got[GRAM][0].find(keys)], first))
-    return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"),
-                     "n_tokens": pa.array(np.concatenate(n_tokens).astype(np.int64)),
-                     "n_known": pa.array(np.concatenate(n_known).astype(np.int64)),
-                     "n_bytes": pa.array(np.array([len(t) for t in X.text_bytes(texts)], np.int64)),
-                     "base_score": pa.array(np.concatenate(base).astype(np.float64)),
-                     "score": pa.array(np.concatenate(score).astype(np.float64))})
+    for lo, hi in X.slices(texts, PASS):
+        part = X.text_bytes(texts.slice(lo, hi - lo))
+        found, first = _tokens(part)
+        at = words.find(found)[0]
+        string, begin = _grams(part, depth)
+        for column, x in zip(columns, (
+                np.diff(first) + 1, sums(count[at] > 0, first) + (count[end] > 0), np.diff(begin) - 1,
+                sums(word_value[at], first) + word_value[end], sums(gram_value[grams.find(string)[0]], begin))):
+            column.append(x)
+    got = [np.concatenate(c) for c in columns]
+    return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out")}
+                    | {name: pa.array(x.astype(kind)) for name, kind, x in zip(
+                        ("n_tokens", "n_known", "n_bytes", "base_score", "score"), "qqqdd", got)})
 
 
 def _log_gamma(x: Column) -> Column:
@@ -227,18 +211,15 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     blocks = chars // block_chars + 1
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)))
     counts = written(rows.groupBy("block").applyInArrow(
-        lambda t: _block_counts(t, depth), "block long, kind int, key long, n long"), "counts")
-    total = written(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    size = total.where(F.col("kind") == TOKEN).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-                                                   F.count_if(F.col("n") > 0).alias("v")).head()
-    tokens = total.where(F.col("kind") == TOKEN).select(
-        "kind", "key", (F.log10(F.col("n") + 0.5) - F.log10(F.lit(size.n + 0.5 * (size.v + 1)))).alias("value"),
-        (F.col("n") > 0).cast("long").alias("known"))
-    grams = tree_values(total.where(F.col("kind") == GRAM).select("key", "n"), depth) \
-        .select(F.lit(GRAM).alias("kind"), "key", "value", F.lit(0).cast("long").alias("known"))
-    replies = counts.select("block", "kind", "key").join(tokens.unionByName(grams), ["kind", "key"])
+        lambda t: _block_counts(t, depth), "block long, key long, n long"), "counts")
+    total = written(counts.groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    words = total.where("key < 0")
+    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).head()
+    values = words.select("key", F.col("n").cast("double").alias("value")) \
+        .unionByName(tree_values(total.where("key >= 0"), depth))
+    replies = counts.select("block", "key").join(values, "key")
     out = rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        lambda left, right: _block_scores(left, right, depth),
+        lambda left, right: _block_scores(left, right, depth, size.n, size.v),
         "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(size.n).cast("long")) \
         .withColumn("code_length", -F.col("score") * 3.3219280948873626 / (F.col("n_bytes") + 1))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textcore as X
-from .wordpieces import word_ids
+from .wordpieces import pieces, word_ids
 
 SIZE = 4096
 END_ID = 2
@@ -56,31 +56,39 @@ def cuts(position: np.ndarray, cost: np.ndarray, size: int) -> list[int]:
     """Indices of the chosen cuts among ``position`` (ascending, from 0, no
     gap above ``size``), the first and the last included."""
     n = len(position)
-    exact: list[list[int]] = [[] for _ in range(n)]
+    at, source = [], []  # cuts, and the cuts a power of two before them
     k = 1
     while k <= size:
-        at = np.searchsorted(position, position - k)
-        fit = np.flatnonzero((position >= k) & (position[at] == position - k))
-        for j, i in zip(fit.tolist(), at[fit].tolist()):
-            exact[j].append(i)
+        i = np.searchsorted(position, position - k)
+        fit = np.flatnonzero((position >= k) & (position[i] == position - k))
+        at.append(fit)
+        source.append(i[fit])
         k *= 2
+    at, source = np.concatenate(at), np.concatenate(source)
+    order = np.argsort(at, kind="stable")
+    exact = source[order].tolist()
+    upto = np.searchsorted(at[order], np.arange(n), "right").tolist()
     p, c = position.tolist(), cost.tolist()
     best, back = [0.0] * n, [0] * n
-    queue: deque[int] = deque([0])  # best(i) + p(i) ascending
+    queue: deque[tuple] = deque([(0.0, 0, 0)])  # (best(i) + p(i), p(i), i), ascending
+    e = upto[0]
     for j in range(1, n):
         pj = p[j]
-        while pj - p[queue[0]] > size:
+        while pj - queue[0][1] > size:
             queue.popleft()
-        i = queue[0]
-        least, source = best[i] + p[i] + size - pj, i
-        for i in exact[j]:
-            if best[i] < least:
-                least, source = best[i], i
-        best[j], back[j] = least + c[j], source
-        value = best[j] + pj
-        while queue and best[queue[-1]] + p[queue[-1]] >= value:
+        value, _, i = queue[0]
+        least = value + size - pj
+        while e < upto[j]:
+            if best[exact[e]] < least:
+                i = exact[e]
+                least = best[i]
+            e += 1
+        best[j] = least = least + c[j]
+        back[j] = i
+        value = least + pj
+        while queue and queue[-1][0] >= value:
             queue.pop()
-        queue.append(j)
+        queue.append((value, pj, j))
     chosen, j = [n - 1], n - 1
     while j:
         j = back[j]
@@ -178,7 +186,7 @@ def tokenize(texts: list[bytes], tokenizer_path: str, end_id: int) -> tuple[np.n
     """(ids of all texts, ends of sentences, first id of each text, ids of
     each text)."""
     words = word_ids(tokenizer_path)
-    s = X.scan(texts, X.BLANKS)
+    s = pieces(texts, words.special)
     begin, size = words.of(s)
     before = np.cumsum(size) - size
     place = before + s.doc  # one end id for each earlier text
@@ -187,7 +195,7 @@ def tokenize(texts: list[bytes], tokenizer_path: str, end_id: int) -> tuple[np.n
     tokens[np.repeat(place - before, size) + within] = words.ids[np.repeat(begin - before, size) + within]
     totals = np.concatenate(([0], np.cumsum(size)))
     bounds = totals[s.words_at] + np.arange(s.n + 1)
-    stops = _TERMINAL[s.buf[s.end - 1]] if len(s.end) else np.empty(0, bool)
+    stops = _TERMINAL[s.buf[s.end - 1]] & X.BLANKS[s.buf[s.end]]
     return tokens, (place + size)[stops], bounds[:-1], np.diff(bounds)
 
 

@@ -214,3 +214,31 @@ def per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+class KeyIndex:
+    """Positions of known 64-bit keys: one probe of a table for most, a
+    binary search for the few whose slot went to a later key."""
+
+    def __init__(self, keys: np.ndarray, weight: np.ndarray | None = None):
+        self.keys = keys  # ascending
+        bits = max(10, int(np.ceil(np.log2(max(1, len(keys))))) + 2)
+        self.shift = _U(64 - bits)
+        self.table = np.zeros(1 << bits, np.int32)
+        order = np.arange(len(keys)) if weight is None else np.argsort(weight, kind="stable")
+        self.table[self._slot(keys[order])] = order
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return (x * _U(0x9E3779B97F4A7C15)) >> self.shift
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, which of ``x`` are no known keys)."""
+        if not len(self.keys):
+            return np.zeros(len(x), np.int32), np.arange(len(x))
+        at = self.table[self._slot(x)]
+        lost = np.flatnonzero(self.keys[at] != x)
+        if len(lost):
+            near = np.searchsorted(self.keys, x[lost]).clip(max=len(self.keys) - 1)
+            at[lost] = near
+            lost = lost[self.keys[near] != x[lost]]
+        return at, lost

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlake.llm import catalogue, classifier, context_tree
+from fleetlake.llm import textcore as X
 from . import brute
 from .conftest import ODD_TEXTS
 
@@ -84,9 +85,11 @@ def test_context_tree_odd_cases(spark, odd, no_docs):
 def test_key_index_finds_every_key():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 40, 50_000, dtype=np.uint64))
-    index = context_tree.KeyIndex(keys)
+    index = X.KeyIndex(keys)
     ask = rng.choice(keys, 200_000)
-    assert np.array_equal(keys[index.find(ask)], ask)
+    at, lost = index.find(ask)
+    assert np.array_equal(keys[at], ask) and not len(lost)
+    assert index.find(np.array([keys[0], keys[-1] + 1, 5], np.uint64))[1].tolist() == [1, 2] and 5 not in keys
 
 
 def test_context_tree_learns(spark):
