@@ -145,4 +145,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the whole result."""
-    return {"op8_near_dedup": near_dedup.SQL.strip(), "op10_line_dedup": line_dedup.SQL.strip()}
+    return {"op4_decontaminate": decontaminate.SQL.strip(), "op5_quality_rules": quality_rules.SQL.strip(),
+            "op8_near_dedup": near_dedup.SQL.strip(), "op10_line_dedup": line_dedup.SQL.strip()}

@@ -137,3 +137,44 @@ def clean(docs: DataFrame, text: str = "text", with_text: bool = True) -> DataFr
         return [pa.array(got[name]) for name, _ in added]
 
     return X.add_columns(docs, text, added, lambda: judge)
+
+
+SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+trigrams AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+twice AS (
+  SELECT doc_id, count(DISTINCT p) AS n
+  FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p
+        FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM trigrams) WHERE n > 1)
+  GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)),
+judged AS (
+  SELECT doc_id, line, length(array_to_string(w, '')) AS chars,
+         len([x FOR x IN w IF x IN ('|', '>')]) AS marks, len(w) AS n,
+         length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols
+  FROM lines WHERE len(w) > 0),
+failed AS (
+  SELECT doc_id, line, chars, 100 * symbols > 10 * chars OR (marks >= 2 AND n - marks < 4 * marks)
+         OR regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{phrases}') AS bad
+  FROM judged),
+per_doc AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+         count(*) FILTER (bad) AS n_lines_failed, coalesce(sum(chars) FILTER (bad), 0) AS chars_lost
+  FROM failed GROUP BY doc_id),
+base AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(twice.n, 0) AS n_repeat_words,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_lines_failed, 0) AS n_lines_failed,
+         CAST(coalesce(chars_lost, 0) AS BIGINT) AS chars_lost
+  FROM t LEFT JOIN per_doc USING (doc_id) LEFT JOIN twice USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * chars_lost <= 30 * word_chars AS kept
+FROM base
+""".replace("{phrases}", "|".join(BOILERPLATE))

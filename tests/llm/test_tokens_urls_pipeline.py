@@ -228,7 +228,7 @@ def test_pipeline_matches_plain_python(spark):
             assert not brute.contaminated(tok.decode(whole[:-1]), items)[-1]
 
 
-@pytest.mark.parametrize("name", ["op8_near_dedup", "op10_line_dedup"])
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_sql_oracles(spark, name):
     from oracle_compare import duck, rows_of
     df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
