@@ -83,6 +83,12 @@ class LineRuns:
             for old in full:
                 self.spark.sql(f"DROP TABLE IF EXISTS {old}")
 
+    def forget(self) -> None:
+        """Take the runs out of the catalogue; their files stay."""
+        for level in self.levels:
+            for name in level:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def later(self, lines: DataFrame) -> DataFrame:
         """The lines whose key belongs to a smaller document."""
         out = None
@@ -124,10 +130,11 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             batch = batch.where(o > lo)
         if hi is not None:
             batch = batch.where(o <= hi)
-        lines = _lines(batch, doc_id, text, min_chars)
+        lines = written(_lines(batch, doc_id, text, min_chars), "batch-lines")  # read once for each run
         runs.add(lines.groupBy("h1", "h2").agg(F.min("o").alias("owner")))
         drops = runs.later(lines).groupBy("o", "th").agg(F.collect_set("pos").alias("drops"))
         parts.append(written(drops, "line-drops"))
+    runs.forget()
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
