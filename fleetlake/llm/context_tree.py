@@ -121,14 +121,20 @@ def _block_scores(docs: pa.Table, values: pa.Table, depth: int, train_tokens: in
         total = np.concatenate(([0], np.cumsum(x)))
         return total[at[1:]] - total[at[:-1]]
 
+    def places(index, x):
+        at, lost = index.find(x)
+        if len(lost):  # the texts of the two passes differ
+            raise ValueError("a block's texts are not those it was counted with")
+        return at
+
     for lo, hi in X.slices(texts, PASS):
         part = X.text_bytes(texts.slice(lo, hi - lo))
         found, first = _tokens(part)
-        at = words.find(found)[0]
+        at = places(words, found)
         string, begin = _grams(part, depth)
         for column, x in zip(columns, (
                 np.diff(first) + 1, sums(count[at] > 0, first) + (count[end] > 0), np.diff(begin) - 1,
-                sums(word_value[at], first) + word_value[end], sums(gram_value[grams.find(string)[0]], begin))):
+                sums(word_value[at], first) + word_value[end], sums(gram_value[places(grams, string)], begin))):
             column.append(x)
     got = [np.concatenate(c) for c in columns]
     return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out")}
