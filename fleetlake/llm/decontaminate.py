@@ -32,7 +32,7 @@ from . import textcore as X
 
 SIZE = 10
 #: Characters of benchmark text in one broadcast set.
-SLICE_CHARS = 32_000_000
+SLICE_CHARS = 2_000_000
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()),
                                    T.StructField("end", T.LongType())]))
