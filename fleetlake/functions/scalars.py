@@ -61,6 +61,13 @@ def narrow_decimal(c) -> Column:
     return _col(c).cast("double")
 
 
+def uuid_text(c) -> Column:
+    """K7: a 16-byte identifier as its usual text; other bytes as hex."""
+    h = F.lower(F.hex(_col(c)))
+    parts = [F.substring(h, i, n) for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.when(F.length(h) == 32, F.concat_ws("-", *parts)).otherwise(h)
+
+
 def known_number(c) -> Column:
     """A measure's value, with NaN as missing: sums, counts, minima and maxima
     of a measure all leave NaN out."""

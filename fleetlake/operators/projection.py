@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import datetime_text, lower_camel
+from ..functions.scalars import datetime_text, lower_camel, uuid_text
 from .predicates import resolve_name
 
 
@@ -41,9 +41,15 @@ def datetimes_as_text(df: DataFrame) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
+def identifiers_as_text(df: DataFrame) -> DataFrame:
+    """K7 on every binary column; enum values are text already."""
+    return df.select(*[uuid_text(f.name).alias(f.name) if isinstance(f.dataType, T.BinaryType) else F.col(f.name)
+                       for f in df.schema.fields])
+
+
 def as_records(df: DataFrame, include=None, exclude=None) -> DataFrame:
-    """Row-to-dict shaping: D1 + K1 + D2 in one projection."""
-    return camel_case_columns(datetimes_as_text(include_exclude(df, include, exclude)))
+    """Row-to-dict shaping: D1 + K1 + K7 + D2 in one projection."""
+    return camel_case_columns(identifiers_as_text(datetimes_as_text(include_exclude(df, include, exclude))))
 
 
 def select_keys_metric(df: DataFrame, keys: Sequence[str], metric: str | None = None,

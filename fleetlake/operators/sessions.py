@@ -4,16 +4,18 @@ Two consecutive events of a device belong to one session when the later one
 comes at most ``gap`` after the earlier one (``session_window`` semantics:
 a session reaches to its last event + gap, inclusive).
 
-1. Sessions are built per (device, time bucket) with ``session_window``:
-   the shuffle key includes the bucket, so a device's events spread over
-   many tasks.
-2. Partial sessions that touch across a bucket edge are merged with a second
-   ``session_window`` over the partial sessions, whose gap is per row:
-   ``(last - start) + gap``.  A partial session thus reaches exactly to
-   ``last + gap``, and the next one merges when it starts no later than that.
-   Partial sessions of one bucket are more than ``gap`` apart, so only
-   sessions cut by a bucket edge are joined again.
-   The second step sees one row per partial session, not per event.
+1. Events of a device in one slot of ``gap`` length are at most ``gap``
+   apart, so they are one session: each (device, slot) is a plain aggregate,
+   combined in every task before the shuffle, however dense a device is.
+2. Sessions are built per (device, time bucket) with ``session_window`` over
+   the slots: the shuffle key includes the bucket, so a device's slots spread
+   over many tasks.  The gap is per row, ``(last - start) + gap``, so a slot
+   reaches exactly to ``last + gap``.
+3. Partial sessions that touch across a bucket edge are merged the same way.
+   Those of one bucket are more than ``gap`` apart, so only sessions cut by a
+   bucket edge are joined again.
+
+Events without a time are in no session.
 """
 
 from __future__ import annotations
@@ -29,19 +31,17 @@ def _micros(c: Column) -> Column:
 def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int = 1800,
              bucket: str = "day") -> DataFrame:
     """One row per session: ``key, session_start, session_last, events``."""
-    gap = f"{gap_seconds} seconds"
-    partial = (df.groupBy(key, F.date_trunc(bucket, F.col(ts)).alias("__b"),
-                          F.session_window(F.col(ts), gap).alias("__w"))
-               .agg(F.min(ts).alias("session_start"), F.max(ts).alias("session_last"),
-                    F.count(F.lit(1)).alias("events")))
-    reach = F.concat(
-        (_micros(F.col("session_last")) - _micros(F.col("session_start"))
-         + F.lit(gap_seconds * 1_000_000)).cast("string"), F.lit(" microseconds"))
-    merged = (partial.groupBy(key, F.session_window("session_start", reach).alias("__w"))
-              .agg(F.min("session_start").alias("session_start"),
-                   F.max("session_last").alias("session_last"),
-                   F.sum("events").alias("events")))
-    return merged.drop("__w")
+    gap = gap_seconds * 1_000_000
+    spans = [F.min("session_start").alias("session_start"), F.max("session_last").alias("session_last"),
+             F.sum("events").alias("events")]
+    reach = F.concat((_micros(F.col("session_last")) - _micros(F.col("session_start")) + F.lit(gap)).cast("string"),
+                     F.lit(" microseconds"))
+    window = F.session_window("session_start", reach).alias("__w")
+    slots = df.filter(F.col(ts).isNotNull()) \
+        .groupBy(key, F.floor(_micros(F.col(ts)) / F.lit(gap)).alias("__slot")) \
+        .agg(F.min(ts).alias("session_start"), F.max(ts).alias("session_last"), F.count(F.lit(1)).alias("events"))
+    partial = slots.groupBy(key, F.date_trunc(bucket, "session_start").alias("__b"), window).agg(*spans)
+    return partial.groupBy(key, window).agg(*spans).drop("__w")
 
 
 def usage(sessions_df: DataFrame, key: str) -> DataFrame:

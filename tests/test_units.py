@@ -346,3 +346,11 @@ def test_results_do_not_depend_on_the_zone_of_the_system(zone):
     done = subprocess.run([sys.executable, f"{here}/oracle_compare.py", "/root/testdata/sf0.001", *names],
                           env=os.environ | {"TZ": zone}, capture_output=True, text=True, timeout=900)
     assert done.returncode == 0, done.stdout[-2000:]
+
+
+def test_records_give_identifiers_as_text(spark):
+    import uuid
+    from fleetlake.operators.projection import as_records
+    u = uuid.uuid4()
+    df = spark.createDataFrame([(bytearray(u.bytes), bytearray(b"\x01\xff"), None)], "user_id binary, raw binary, none_id binary")
+    assert tuple(as_records(df).collect()[0]) == (str(u), "01ff", None)
