@@ -20,10 +20,13 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = both.groupBy("node").agg(F.min("root").alias("m")).select("node", F.least("node", "m").alias("m"))
+        # Written, so that AQE may split the links of a node that very many have.
+        least = written(both.groupBy("node").agg(F.min("root").alias("m"))
+                        .select("node", F.least("node", "m").alias("m")), "least")
         large = both.join(least, "node").where("root > node") \
             .select(F.col("root").alias("node"), F.col("m").alias("root")).distinct()
-        least = large.groupBy("node").agg(F.min("root").alias("m"))
+        large = written(large, "links")
+        least = written(large.groupBy("node").agg(F.min("root").alias("m")), "least")
         small = large.join(least, "node").select(F.col("root").alias("node"), F.col("m").alias("root")) \
             .unionByName(least.select("node", F.col("m").alias("root"))).where("node <> root").distinct()
         edges = written(small, "links")

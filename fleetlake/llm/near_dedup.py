@@ -111,7 +111,8 @@ def postings(classes: DataFrame, match: int = T) -> DataFrame:
     pairs, rarest first; ``score`` is higher the more common its values."""
     tokens = classes.select("rep", F.posexplode("sig").alias("k", "v")).select(
         "rep", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v").cast("long")).alias("token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    # Written, so that AQE may split the tokens of a very common value below.
+    common = written(tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "common-values")
     held = tokens.join(common, "token").groupBy("rep").agg(
         F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))  # at most K of a text
     size = F.size("held")
@@ -151,7 +152,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, match: int
     inter = F.size(F.array_intersect("xa", "xb"))
     return (near.join(sets.toDF("b", "xb"), "b").join(sets.toDF("a", "xa"), "a")
             .where(100 * inter >= percent * (F.size("xa") + F.size("xb") - inter))
-            .select("a", "b").distinct())
+            .select("a", "b"))
 
 
 def _mixed(lists: DataFrame) -> DataFrame:
@@ -160,7 +161,7 @@ def _mixed(lists: DataFrame) -> DataFrame:
     parts = lists.groupBy("token", "root").agg(F.count("*").alias("size"))
     main = parts.groupBy("token").agg(F.max(F.struct("size", "root"))["root"].alias("main"),
                                       F.count("*").alias("roots")).where("roots > 1").select("token", "main")
-    return lists.join(main, "token")
+    return lists.join(written(main, "mixed-lists"), "token")
 
 
 def _set_prefixes(full: DataFrame, percent: int) -> DataFrame:
@@ -169,7 +170,7 @@ def _set_prefixes(full: DataFrame, percent: int) -> DataFrame:
     ``ahead`` counts the shingles from this one on, so the overlap of two
     classes that first meet here is at most the smaller ``ahead``."""
     shingles = full.select("rep", "root", "n", F.explode("set").alias("token"))
-    common = shingles.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    common = written(shingles.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"), "common-shingles")
     held = shingles.join(common, "token").groupBy("rep", "root", "n").agg(
         F.sort_array(F.collect_list(F.struct("f", "token"))).alias("held"))  # at most the set
     shared = F.size("held")
@@ -185,7 +186,7 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, doc_id: str, t
     posted = written(postings(classes, match), "postings")
     lists = posted.groupBy("token").agg(
         F.max(F.struct("score", (-F.col("rep")).alias("rep"))).alias("top"), F.count("*").alias("n"))
-    lists = lists.where("n > 1").select("token", (-F.col("top.rep")).alias("pivot"))
+    lists = written(lists.where("n > 1").select("token", (-F.col("top.rep")).alias("pivot")), "lists")
     in_list = posted.join(lists, "token")
     sets = written(_full_sets(docs, in_list.select("rep").distinct(), doc_id, text, shingle), "sets")
 
@@ -196,10 +197,11 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, doc_id: str, t
     roots = components(found, "a", "b")
 
     # What the typical classes did not bring together.
-    left = _mixed(posted.select("token", "rep").join(roots.toDF("rep", "root"), "rep", "left")
-                  .select("token", "rep", F.coalesce("root", "rep").alias("root"))).select("rep", "root").distinct()
+    rooted = written(posted.select("token", "rep").join(roots.toDF("rep", "root"), "rep", "left")
+                     .select("token", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
+    left = written(_mixed(rooted).select("rep", "root").distinct(), "unsettled")
     full = sets.join(left, "rep").select("rep", "root", "set", F.size("set").alias("n"))
-    mixed = written(_mixed(_set_prefixes(full, percent)), "mixed-lists")
+    mixed = written(_mixed(written(_set_prefixes(full, percent), "prefixes")), "mixed-lists")
     x, y = mixed.where("root <> main").alias("x"), mixed.alias("y")
     both = F.col("x.n") + F.col("y.n")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
