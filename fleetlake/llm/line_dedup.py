@@ -1,18 +1,19 @@
 """Line dedup against levelled sorted runs of line hashes.
 
 Documents are taken in batches of ascending id.  A batch's distinct line keys
-(128-bit hashes) are merge-anti-joined with every run kept so far; what is
-left is new and becomes a run of its own at level 0, bucketed and sorted by
-the hash, with the smallest id that holds each key.  When a level holds
+(128-bit hashes) are merge-joined with every run kept so far; those that no
+run has are new and become a run of their own at level 0, bucketed and sorted
+by the hash, with the smallest id that holds each key.  When a level holds
 ``fanout`` runs they are compacted into one run of the next level.  A line
-goes when the run that holds its key names a smaller document.
+goes when its key's owner, named by a run or new, is a smaller document.
 
 A key is the line without blanks (``\\x20\\x09-\\x0D``) at both ends and with
 A-Z lower-cased; keys of fewer than ``min_chars`` code points never go.
 
-DataFrame functions only.  A key that a third of all lines share is combined
-in each task before any shuffle of keys; the join of lines and runs is a
-sort-merge join whose line side AQE may split.
+DataFrame functions only.  Only distinct keys meet the runs: a key that a
+third of all lines share is combined in each task before the shuffle.  Lines
+are joined only with the keys that some of them lose, in a sort-merge join
+whose line side AQE may split.
 
 Defined cases: null text is one empty line; rows with a null id count as one
 document after all others; rows that share an id are one document; equal rows
@@ -64,10 +65,18 @@ class LineRuns:
              .option("path", shared_path(self.spark, name)).saveAsTable(name))
         return name
 
+    def owners(self, keys: DataFrame) -> DataFrame:
+        """``keys`` (h1, h2, first, last; distinct) with ``owner``, the document
+        that the run with the key names, else null."""
+        owner = F.lit(None).cast("long")
+        for k, run in enumerate(self.runs()):
+            held = run.withColumnRenamed("owner", f"owner{k}").hint("merge")
+            keys = keys.join(held, ["h1", "h2"], "left")
+            owner = F.coalesce(F.col(f"owner{k}"), owner)   # no key is in two runs
+        return keys.select("h1", "h2", "first", "last", owner.alias("owner"))
+
     def add(self, keys: DataFrame) -> None:
-        """Keep those of ``keys`` (h1, h2, owner; distinct) that no run has."""
-        for run in self.runs():
-            keys = keys.join(run.hint("merge"), ["h1", "h2"], "left_anti")
+        """Store keys (h1, h2, owner) that no run has as a run of level 0."""
         self._place(self._store(keys), 0)
 
     def _place(self, name: str, level: int) -> None:
@@ -89,14 +98,6 @@ class LineRuns:
             for name in level:
                 self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
-    def later(self, lines: DataFrame) -> DataFrame:
-        """The lines whose key belongs to a smaller document."""
-        out = None
-        for run in self.runs():
-            found = lines.join(run, ["h1", "h2"]).where(F.col("owner") < F.col("o"))
-            out = found if out is None else out.unionByName(found)
-        return out.select("o", "th", "pos")
-
 
 def _identified(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, Column, Column]:
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -131,8 +132,13 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if hi is not None:
             batch = batch.where(o <= hi)
         lines = written(_lines(batch, doc_id, text, min_chars), "batch-lines")  # read once for each run
-        runs.add(lines.groupBy("h1", "h2").agg(F.min("o").alias("owner")))
-        drops = runs.later(lines).groupBy("o", "th").agg(F.collect_set("pos").alias("drops"))
+        keys = lines.groupBy("h1", "h2").agg(F.min("o").alias("first"), F.max("o").alias("last"))
+        keys = written(runs.owners(keys), "batch-keys")
+        owner = F.coalesce("owner", "first")
+        runs.add(keys.where("owner IS NULL").select("h1", "h2", owner.alias("owner")))
+        repeated = keys.select("h1", "h2", owner.alias("owner"), "last").where("owner < last").drop("last")
+        drops = lines.join(repeated, ["h1", "h2"]).where("owner < o") \
+            .groupBy("o", "th").agg(F.collect_set("pos").alias("drops"))
         parts.append(written(drops, "line-drops"))
     runs.forget()
     out = parts[0]

@@ -22,8 +22,11 @@ def test_line_dedup_matches_plain_python(odd, small_docs, no_docs):
 def test_line_runs_are_compacted(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     for k in range(5):
-        keys = spark.range(k * 3, k * 3 + 6).selectExpr("id AS h1", "id AS h2", f"{k}L AS owner")
-        runs.add(keys)
+        keys = spark.range(k * 3, k * 3 + 6).selectExpr("id AS h1", "id AS h2", f"{k}L AS first", f"{k}L AS last")
+        owned = runs.owners(keys)
+        assert {r.h1: r.owner for r in owned.collect()} == {
+            h: (max(0, (h - 3) // 3) if k and h < k * 3 + 3 else None) for h in range(k * 3, k * 3 + 6)}
+        runs.add(owned.where("owner IS NULL").selectExpr("h1", "h2", "first AS owner"))
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     owners = {r.h1: r.owner for run in runs.runs() for r in run.collect()}
     assert owners == {h: max(0, (h - 3) // 3) for h in range(18)}
