@@ -1,15 +1,10 @@
-"""Keyed upsert (B3, B4, F6, H1) and the versioned table swap.
+"""Keyed upsert (B3, B4, F6, H1) and the keyed table.
 
 ``upsert(existing, incoming, keys)`` keeps, per key, the incoming row when
 there is one and the existing row otherwise; within one batch the latest row
 wins.  It is one shuffle on the key for the anti-join; the in-batch choice is
 a ``max_by`` aggregate, combined map-side, so a key holding a third of the
 batch never lands in one task whole.
-
-Without a table format (no MERGE on the classpath) a table is a folder of
-versions: each upsert writes version n+1 next to version n and the reader
-takes the highest complete version.  Nothing is read and overwritten in the
-same job, and a failed write leaves version n current.
 """
 
 from __future__ import annotations
@@ -56,44 +51,6 @@ def upsert(existing: DataFrame | None, incoming: DataFrame, keys: Sequence[str],
     return batch.unionByName(kept.select(*batch.columns))
 
 
-class VersionedTable:
-    """A Parquet table kept as ``root/v=<n>`` folders (swap by new version)."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[int]:
-        root = self._Path(self.root)
-        if not self._fs.exists(root):
-            return []
-        out = []
-        for st in self._fs.listStatus(root):
-            name = st.getPath().getName()
-            if name.startswith("v=") and self._fs.exists(self._Path(st.getPath(), "_SUCCESS")):
-                out.append(int(name[2:]))
-        return sorted(out)
-
-    def current(self) -> DataFrame | None:
-        vs = self.versions()
-        return self.spark.read.parquet(f"{self.root}/v={vs[-1]}") if vs else None
-
-    def upsert(self, incoming: DataFrame, keys: Sequence[str],
-               order_by: Sequence[str | Column] | None = None,
-               partition_by: Sequence[str] | None = None) -> int:
-        """Write ``upsert(current, incoming)`` as the next version; returns it."""
-        vs = self.versions()
-        nxt = (vs[-1] + 1) if vs else 1
-        result = upsert(self.current(), incoming, keys, order_by)
-        w = result.write.mode("overwrite")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(f"{self.root}/v={nxt}")
-        return nxt
-
-
 class KeyedTable:
     """A Parquet table upserted by key, rewriting only the partitions touched.
 

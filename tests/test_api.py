@@ -1,7 +1,5 @@
 """The list / indicator / audit / task entry points over the stand-in views."""
 
-import glob
-
 from pyspark.sql import functions as F
 
 from fleetlake.plans import api

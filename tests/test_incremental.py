@@ -1,13 +1,13 @@
 """Watermark reads, state commits and the keyed upsert."""
 
 import datetime as dt
+import os
 
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from fleetlake.session import scratch_path
-from fleetlake.sinks.upsert import VersionedTable, latest_per_key, upsert
+from fleetlake.sinks.upsert import latest_per_key, upsert
 from fleetlake.sources.incremental import (SyncSpec, StateStore, UnsupportedIncrement, batch_stats,
                                            initial_watermark, read_increment, run_sync, updated)
 
@@ -107,24 +107,13 @@ def test_latest_per_key_hot_key(spark):
     assert got == {0: 4999, 1: 4998}
 
 
-def test_versioned_table(spark):
-    root = scratch_path(spark, "vt_test")
-    t = VersionedTable(spark, root)
-    assert t.current() is None
-    t.upsert(spark.createDataFrame([("a", 1)], "k string, v int"), ["k"])
-    t.upsert(spark.createDataFrame([("a", 2), ("b", 3)], "k string, v int"), ["k"])
-    assert t.versions() == [1, 2]
-    assert sorted(map(tuple, t.current().collect())) == [("a", 2), ("b", 3)]
-
-
 def test_state_is_shared_between_applications(tmp_dir):
     """A second application that shares the folder goes on where the first ended."""
     import subprocess
     import sys
-    from conftest import SF001
     code = f"""
 import sys
-sys.path.insert(0, {str(__import__('os').path.dirname(__import__('os').path.dirname(__import__('os').path.abspath(__file__))))!r})
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
 from pyspark.sql import SparkSession
 from fleetlake.sources.incremental import StateStore, SyncSpec, run_sync
 spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")

@@ -1,11 +1,8 @@
 """Streaming twins: output = batch result, restart adds nothing, late rows dropped."""
 
 import datetime as dt
-import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from fleetlake.operators.rollups import sliding_rollup
 from fleetlake.streaming.ingest import file_stream, ingest, with_day
 from fleetlake.streaming.metrics import run_upserting, sliding_metrics, window_table

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from fleetlake.operators.paging import narrowed_top_k
 from conftest import SF01
