@@ -37,8 +37,6 @@ from .shared import written
 DEPTH = 4
 #: Characters of text in a block, on average.
 BLOCK = 16 << 20
-#: Texts are counted this many bytes at a time.
-PASS = 1 << 20
 _END_BYTE = b"\xff"  # never part of UTF-8
 _U = np.uint64
 #: Keys of words have the highest bit set, those of byte strings do not.
@@ -93,7 +91,7 @@ def _block_counts(table: pa.Table, depth: int) -> pa.Table:
     train = ~np.asarray(table.column("held_out"))
 
     def parts(keys_of):
-        for lo, hi in X.slices(texts, PASS):
+        for lo, hi in X.slices(texts):
             found, at = keys_of(X.text_bytes(texts.slice(lo, hi - lo)))
             yield found, np.repeat(train[lo:hi], np.diff(at))
 
@@ -127,7 +125,7 @@ def _block_scores(docs: pa.Table, values: pa.Table, depth: int, train_tokens: in
             raise ValueError("a block's texts are not those it was counted with")
         return at
 
-    for lo, hi in X.slices(texts, PASS):
+    for lo, hi in X.slices(texts):
         part = X.text_bytes(texts.slice(lo, hi - lo))
         found, first = _tokens(part)
         at = places(words, found)

@@ -43,6 +43,8 @@ END_ID = 2
 SENTENCE_COST = 8
 WORD_COST = 32
 BLOCK = 1 << 20
+#: Bytes of text tokenized at once.
+TEXT_BYTES = 4 << 20
 #: Steps of cuts inside a run of tokens without sentence ends.
 LONG_STEP = 256
 #: Windows at a block's end that the next block decides again.
@@ -208,7 +210,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = _Stream(size, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for lo, hi in X.slices(batch.column("t")):
+            for lo, hi in X.slices(batch.column("t"), TEXT_BYTES):
                 part = batch.slice(lo, hi - lo)
                 stream.add(*tokenize(X.text_bytes(part.column("t")), tokenizer_path, end_id),
                            part.column("d").to_pylist())

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text handled at once; a longer single text is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Rows of an Arrow batch between Spark and Python.
 BATCH_ROWS = 1000
 
