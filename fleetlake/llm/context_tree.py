@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import textcore as X
 from .shared import written
 
-DEPTH = 4
+DEPTH = 6
 #: Characters of text in a block, on average.
 BLOCK = 16 << 20
 _END_BYTE = b"\xff"  # never part of UTF-8
