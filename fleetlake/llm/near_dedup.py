@@ -21,9 +21,10 @@ different components, one outside the list's largest, and the shingles from
 the meeting point on still suffice for the similarity.
 
 Defined cases: empty and null texts have an empty set and are linked with
-nothing; with 1 to 4 words the whole sequence is the one shingle; rows with a
-null id count as one document after all others; rows that share an id are one
-document, linked if any of its texts is; an empty table gives an empty
+nothing; with 1 to 4 words the whole sequence is the one shingle; each row
+with a null id is a document of its own after all others, so of null-id
+copies one stays, and none where an id has the text; rows that share an id are
+one document, linked if any of its texts is; an empty table gives an empty
 result.
 """
 
@@ -46,7 +47,7 @@ PERCENT = 75
 K = 48
 T = 20
 
-_LAST = (1 << 63) - 1
+_FIRST, _LAST = -(1 << 63), (1 << 63) - 1
 _U = np.uint64
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 1 << 63, K, dtype=np.uint64) | _U(1)
@@ -80,9 +81,38 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return sig.view(np.int32), prints[0].view(np.int64), prints[1].view(np.int64)
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(o, n, f1, f2, sig): id, set size, set fingerprint, signature."""
-    X.small_batches(docs.sparkSession)
+class Numbered:
+    """Rows of ``docs`` as (o, row), where ``o`` is a number of the document:
+    its id less ``shift``, and from ``after`` on one for each row without an
+    id.  Such rows are written, so that every pass gives them the same one."""
+
+    def __init__(self, docs: DataFrame, doc_id: str):
+        own = F.col(f"`{doc_id}`").cast("long")
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        low, high, lost = docs.agg(F.min(own), F.max(own), F.count_if(own.isNull())).head()
+        self.shift, self.after = 0, None
+        self.named, self.nameless = docs.select(own.alias("o"), row), None
+        if lost:
+            rows = written(docs.where(own.isNull()).select(F.monotonically_increasing_id().alias("o"), row), "no-id")
+            width = rows.agg(F.max("o")).head()[0] + 1
+            low, high = (0, -1) if high is None else (low, high)
+            self.shift = max(0, high + width - _LAST)
+            if low - self.shift < _FIRST:
+                raise ValueError("the ids leave no numbers for the rows without one")
+            self.after = high + 1 - self.shift
+            self.nameless = rows.select((F.col("o") + F.lit(self.after)).alias("o"), "row")
+            self.named = docs.where(own.isNotNull()).select((own - F.lit(self.shift)).alias("o"), row)
+        self.rows = self.named.unionByName(self.nameless) if lost else self.named
+
+    def id_of(self, o):
+        """The id behind a number, null for a row without one."""
+        return o if self.after is None else F.when(o < self.after, o + F.lit(self.shift))
+
+
+def signatures(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(o, n, f1, f2, sig) of texts (o, t): number of the document, set size,
+    set fingerprint, signature."""
+    X.small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,9 +131,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel()))],
                     names=["o", "n", "f1", "f2", "sig"])
 
-    return docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("o"),
-                       F.col(f"`{text}`").cast("string").alias("t")) \
-        .mapInArrow(run, "o long, n long, f1 long, f2 long, sig array<int>")
+    return texts.mapInArrow(run, "o long, n long, f1 long, f2 long, sig array<int>")
 
 
 def postings(classes: DataFrame, match: int = T) -> DataFrame:
@@ -122,7 +150,7 @@ def postings(classes: DataFrame, match: int = T) -> DataFrame:
         F.explode(F.slice("held", F.lit(1), size - (match - 1))).alias("p")).select("p.token", "rep", "score")
 
 
-def _full_sets(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+def _full_sets(texts: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     """(rep, n, set) of the classes that are in some list."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,9 +163,8 @@ def _full_sets(docs: DataFrame, reps: DataFrame, doc_id: str, text: str, shingle
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))],
                     names=["rep", "set"])
 
-    texts = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("rep"),
-                        F.col(f"`{text}`").cast("string").alias("t"))
-    return texts.join(reps, "rep", "left_semi").mapInArrow(run, "rep long, set array<long>")
+    return texts.withColumnRenamed("o", "rep").join(reps, "rep", "left_semi") \
+        .mapInArrow(run, "rep long, set array<long>")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, match: int, percent: int) -> DataFrame:
@@ -180,15 +207,15 @@ def _set_prefixes(full: DataFrame, percent: int) -> DataFrame:
         .select("p.token", "rep", "root", "n", (F.col("shared") - F.col("at")).alias("ahead"))
 
 
-def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, doc_id: str, text: str, shingle: int,
-          percent: int, match: int) -> DataFrame:
+def links(texts: DataFrame, signed: DataFrame, classes: DataFrame, shingle: int, percent: int,
+          match: int) -> DataFrame:
     """(node, root) for every class that is linked with another one."""
     posted = written(postings(classes, match), "postings")
     lists = posted.groupBy("token").agg(
         F.max(F.struct("score", (-F.col("rep")).alias("rep"))).alias("top"), F.count("*").alias("n"))
     lists = written(lists.where("n > 1").select("token", (-F.col("top.rep")).alias("pivot")), "lists")
     in_list = posted.join(lists, "token")
-    sets = written(_full_sets(docs, in_list.select("rep").distinct(), doc_id, text, shingle), "sets")
+    sets = written(_full_sets(texts, in_list.select("rep").distinct(), shingle), "sets")
 
     stars = written(in_list.where("rep <> pivot")
                     .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(),
@@ -219,29 +246,39 @@ def links(docs: DataFrame, signed: DataFrame, classes: DataFrame, doc_id: str, t
     return components(roots.toDF("a", "b").unionByName(more).unionByName(same), "a", "b")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    percent: int = PERCENT, match: int = T) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (the
-    smallest id reachable) and kept (whether that is its own)."""
-    signed = written(signatures(docs, doc_id, text, shingle), "signatures")
+def _components(numbered: Numbered, text: str, shingle: int = SHINGLE, percent: int = PERCENT,
+                match: int = T) -> DataFrame:
+    """(o, n, component) of every row; a component is the smallest number
+    reachable."""
+    texts = numbered.rows.select("o", F.col(f"row.`{text}`").cast("string").alias("t"))
+    signed = written(signatures(texts, shingle), "signatures")
     classes = written(signed.where("n > 0").groupBy("f1", "f2").agg(
         F.min("o").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    roots = links(docs, signed, classes, doc_id, text, shingle, percent, match)
+    roots = links(texts, signed, classes, shingle, percent, match)
     root_of = classes.select("f1", "f2", "rep").join(roots.toDF("rep", "root"), "rep", "left") \
         .select("f1", "f2", F.coalesce("root", "rep").alias("root"))
     component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("o"))
-    return (signed.select("o", "n", "f1", "f2").join(root_of, ["f1", "f2"], "left")
-            .select("o", "n", component.alias("component"))
-            .select(F.when(F.col("o") < _LAST, F.col("o")).alias("doc_id"), F.col("n").alias("n_shingles"),
-                    F.when(F.col("component") < _LAST, F.col("component")).alias("component_id"),
-                    (F.col("o") == F.col("component")).alias("kept")))
+    return signed.select("o", "n", "f1", "f2").join(root_of, ["f1", "f2"], "left") \
+        .select("o", "n", component.alias("component"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                    percent: int = PERCENT, match: int = T) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the
+    smallest id reachable, null if only rows without an id are) and kept
+    (whether that is its own; one of rows without an id)."""
+    numbered = Numbered(docs, doc_id)
+    return _components(numbered, text, shingle, percent, match).select(
+        numbered.id_of(F.col("o")).alias("doc_id"), F.col("n").alias("n_shingles"),
+        numbered.id_of(F.col("component")).alias("component_id"), (F.col("o") == F.col("component")).alias("kept"))
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``docs`` without those that a smaller id stands for; same columns."""
-    gone = near_duplicates(docs, doc_id, text, **settings).where(~F.col("kept")) \
-        .select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    """``docs`` without those that a smaller id, or another row if they have
+    none, stands for; same columns."""
+    numbered = Numbered(docs, doc_id)
+    gone = _components(numbered, text, **settings).where("o <> component").select("o").distinct()
+    return numbered.rows.join(gone, "o", "left_anti").select("row.*")
 
 
 SQL = r"""

@@ -76,6 +76,24 @@ def test_near_duplicates_odd_cases(odd, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
 
 
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    r = random.Random(9)
+    one, two, three, four = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    near = four + " and more"
+    docs = [(1, one), (2, two), (2**63 - 1, three), (None, one), (None, two), (None, four), (None, near), (None, four)]
+    docs += [(None, " ".join(f"v{r.randrange(10**6)}" for _ in range(20))) for _ in range(30)] + [(None, ""), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = near_dedup.near_duplicates(df)
+    assert components_of(got) == [(1, 56, 1, True), (2, 56, 2, True), (2**63 - 1, 56, 2**63 - 1, True)]
+    lost = [(r.component_id, r.kept) for r in got.where("doc_id is null").collect()]
+    assert sorted(lost, key=repr) == sorted([(1, False), (2, False)] + [(None, False)] * 2 + [(None, True)] * 33, key=repr)
+    left = near_dedup.drop_copies(df).collect()
+    assert sorted(r.doc_id for r in left if r.doc_id) == [1, 2, 2**63 - 1]
+    texts = [r.text for r in left if r.doc_id is None]
+    assert len(texts) == 33 and not {one, two} & set(texts) and len({four, near} & set(texts)) == 1
+    assert near_dedup.drop_copies(df.where("doc_id is null")).count() == 35
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(1, 200).selectExpr("id AS a", "id - 1 AS b").unionByName(
         spark.createDataFrame([(500, 700), (700, 600), (500, 500)], "a long, b long"))
