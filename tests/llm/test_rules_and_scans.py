@@ -74,6 +74,18 @@ def test_license_wording_differences():
     assert known.best(b"You need a driving licence for this vehicle.") is None
 
 
+PROSE = "the old harbour town lies between two hills and its market opens early on most days of the long summer "
+
+
+@pytest.mark.parametrize("name,_,wording", license_scan.TEMPLATES)
+def test_each_template_is_found_inside_a_long_line(name, _, wording):
+    known = license_scan.Templates()
+    for n in (20, 50, 150, 300, 1500):
+        line = (PROSE * 20)[:n] + ". " + wording + " " + (PROSE * 20)[:n]
+        found = [known.best(b) for _, b in license_scan.blocks(line.encode())]
+        assert [(f["license"], f["n_diff"]) for f in found if f] == [(name, 0)], n
+
+
 def test_license_scan_frame(odd, no_docs):
     out = license_scan.scan(odd)
     assert {r.doc_id for r in out.where("size(found) > 0").collect()} == {15}
