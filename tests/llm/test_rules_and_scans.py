@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from fleetlake.llm import catalogue, decontaminate, license_scan, quality_rules
@@ -86,6 +88,34 @@ def test_each_template_is_found_inside_a_long_line(name, _, wording):
         assert [(f["license"], f["n_diff"]) for f in found if f] == [(name, 0)], n
 
 
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+def test_wrapped_wordings_are_found(prefix):
+    known = license_scan.Templates()
+    for name, _, wording in license_scan.TEMPLATES:
+        for width in (70, 30):
+            lines = textwrap.wrap(PROSE * 3 + ". " + wording + " " + PROSE * 3, width, break_on_hyphens=False)
+            text = "\r\n".join(prefix + x for x in lines)
+            found = [known.best(b) for _, b in license_scan.blocks(text.encode())]
+            assert [(f["license"], f["n_diff"]) for f in found if f] == [(name, 0)], (name, width)
+
+
+def licenses(text):
+    known = license_scan.Templates()
+    return [f["license"] for _, b in license_scan.blocks(text.encode()) for f in known.findings(b)]
+
+
+def test_license_titles_and_spdx_lines():
+    for name, title in license_scan.TITLES:
+        for text in (title, "some words\n# " + title.upper() + "\n\nmore words", title + "\r\n" + PROSE):
+            assert licenses(text) == [name], text
+        assert licenses("unlike the " + title + " of old") == []
+    assert licenses("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + PROSE) == ["GPL-3.0"]
+    for line, want in (("MIT", ["MIT"]), ("GPL-3.0-or-later", ["GPL-3.0-or-later"]), ("Apache-2.0 */", ["Apache-2.0"]),
+                       ("(MIT OR Apache-2.0) AND BSD-3-Clause", ["MIT", "Apache-2.0", "BSD-3-Clause"]),
+                       ("GPL-2.0-only WITH Classpath-exception-2.0 or MIT-0 -->", ["GPL-2.0-only", "MIT-0"]), ("", [])):
+        assert licenses("// SPDX-License-Identifier: " + line + "\nint main()") == want, line
+
+
 def test_license_scan_frame(odd, no_docs):
     out = license_scan.scan(odd)
     assert {r.doc_id for r in out.where("size(found) > 0").collect()} == {15}
