@@ -116,6 +116,20 @@ def test_license_titles_and_spdx_lines():
         assert licenses("// SPDX-License-Identifier: " + line + "\nint main()") == want, line
 
 
+def test_all_licenses_of_a_line_are_found(spark):
+    two = "Licensed under CC BY 4.0. Released under the MIT License."
+    every = " ".join(wording for _, _, wording in license_scan.TEMPLATES)
+    far = "All rights reserved. " + PROSE * 12 + "Released under the MIT License."
+    texts = [two, "é " + far, every, two + " " + two]
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        for f in r.found:
+            assert r.text.encode()[f.start:f.start + 3].isalnum() and f.n_diff == 0
+    got = {r.doc_id: [f.license for f in r.found] for r in rows}
+    assert got[0] == ["CC-BY-4.0", "MIT"] and got[1] == ["Proprietary", "MIT"] and got[3] == got[0] * 2
+    assert got[2] == [name for name, _, _ in license_scan.TEMPLATES]
+
+
 def test_license_scan_frame(odd, no_docs):
     out = license_scan.scan(odd)
     assert {r.doc_id for r in out.where("size(found) > 0").collect()} == {15}
