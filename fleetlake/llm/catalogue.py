@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (classifier, context_tree, decontaminate, license_scan, line_dedup, near_dedup, packing,
-               quality_rules, token_counts, url_filter)
+               periodic_runs, pivot_index, quality_rules, token_alignment, token_counts, url_filter)
 
 #: Labels are learned from ids outside this fold.
 QUALITY_FOLDS, QUALITY_FOLD = 3, 1
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
+#: Every such vec_id is a query.
+SEARCH_EVERY = 100
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +99,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup(_texts(spark, sf_dir)))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizations of every document."""
+    return token_alignment.digest(_texts(spark, sf_dir), public_tokenizers.path(BYTE_TOKENIZER),
+                                  public_tokenizers.path(PIECE_TOKENIZER))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document."""
+    return periodic_runs.runs(_texts(spark, sf_dir), with_text=False, order=periodic_runs.planted_order)
+
+
+def op13_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth."""
+    return pivot_index.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % SEARCH_EVERY == 0)
+
+
 def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of ``documents``, with ``n_chars`` of the text as it is."""
     if "n_chars" in columns:
@@ -139,7 +158,8 @@ STAGES = [("quality_classifier", keep_quality), ("line_dedup", drop_lines), ("ne
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fns = [op1_quality_classifier, op2_url_filter, op3_packing, op4_decontaminate, op5_quality_rules,
-           op6_license_scan, op7_context_tree, op8_near_dedup, op9_token_counts, op10_line_dedup]
+           op6_license_scan, op7_context_tree, op8_near_dedup, op9_token_counts, op10_line_dedup,
+           op11_token_alignment, op12_periodic_runs, op13_pivot_index]
     return {f.__name__: f for f in fns}
 
 
