@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..operators.predicates import literal
 from ..session import scratch_path
 from ..sources.tables import table
-from ..streaming.ingest import file_stream, ingest, with_day
-from ..streaming.metrics import run_upserting, sliding_metrics, window_table
+from ..streaming.ingest import file_stream, ingest, ingest_batches, with_day
+from ..streaming.metrics import late_rows, run_appending, run_upserting, sliding_metrics, window_table
 from .catalogue import query
 
 
@@ -51,7 +51,7 @@ def stream_sliding_rollup(spark, sf_dir):
     q = run_upserting(agg, target, f"{out}/_checkpoint", trigger={"availableNow": True},
                       state_partitions=spark.sparkContext.defaultParallelism)
     q.awaitTermination()
-    return target.read().drop("hr")
+    return target.read()
 
 
 @query("stream_late_rows", "J6 J1", """
@@ -76,4 +76,44 @@ def stream_late_rows(spark, sf_dir):
         aggregate = window_table(spark, f"{out}/table", ["event_type"])
         run_upserting(agg, aggregate, f"{out}/_checkpoint", trigger={"availableNow": True},
                       state_partitions=spark.sparkContext.defaultParallelism).awaitTermination()
-    return aggregate.read().drop("hr")
+    return aggregate.read()
+
+
+_CLOSED = """date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY"""
+
+
+@query("stream_closed_windows", "J2 J6", """
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type,
+       count(*) AS events, CAST(sum(CAST(round(value * 100) AS HUGEINT)) AS DOUBLE) / 100 AS value_sum
+FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - i * INTERVAL 15 MINUTE AS window_start
+      FROM (SELECT *, unnest(generate_series(0, 3)) AS i FROM events) x) y
+WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+GROUP BY window_start, event_type
+""")
+def stream_closed_windows(spark, sf_dir):
+    """Sliding windows appended once each, when the watermark has passed them;
+    those still open at the end are not there."""
+    out = scratch_path(spark, "stream_closed")
+    agg = sliding_metrics(_events_stream(spark, sf_dir), "ts", "1 hour", "15 minutes", ["event_type"], watermark="1 hour")
+    run_appending(agg, f"{out}/data", f"{out}/_checkpoint", trigger={"availableNow": True},
+                  state_partitions=spark.sparkContext.defaultParallelism).awaitTermination()
+    return spark.read.schema(agg.schema).parquet(f"{out}/data")
+
+
+@query("stream_late_side", "J6 J1", f"""
+SELECT *, CAST(1 AS BIGINT) AS batch_id FROM events
+WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 10 DAY AND {_CLOSED}
+""")
+def stream_late_side(spark, sf_dir):
+    """The rows that ``stream_late_rows`` leaves out: the second file's rows
+    whose day had closed before it arrived, from the raw layer."""
+    out = scratch_path(spark, "stream_late_side")
+    ev = table(spark, sf_dir, "events")
+    cut = ev.agg(F.max("ts")).head()[0] - dt.timedelta(days=10)
+    recent = F.col("ts") >= literal(cut)
+    for name, part in (("first", recent), ("second", ~recent)):
+        ev.filter(part).write.parquet(f"{out}/arriving/{name}")
+        ingest_batches(file_stream(spark, f"{out}/arriving/*", ev.schema), f"{out}/raw", f"{out}/_checkpoint",
+                       trigger={"availableNow": True}).awaitTermination()
+    raw = spark.read.schema(ev.schema.add("batch_id", "long")).parquet(f"{out}/raw")
+    return late_rows(raw, "ts", "1 day", "1 day", "2 days")

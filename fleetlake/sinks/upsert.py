@@ -1,4 +1,4 @@
-"""Keyed upsert (B3, B4, F6, H1) and the keyed table.
+"""Keyed upsert (B3, B4, F6, H1) and the table it keeps.
 
 ``upsert(existing, incoming, keys)`` keeps, per key, the incoming row when
 there is one and the existing row otherwise; within one batch the latest row
@@ -9,14 +9,11 @@ batch never lands in one task whole.
 
 from __future__ import annotations
 
-import json
-import uuid
 from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
@@ -52,143 +49,94 @@ def upsert(existing: DataFrame | None, incoming: DataFrame, keys: Sequence[str],
 
 
 class KeyedTable:
-    """A Parquet table upserted by key, rewriting only the partitions touched.
+    """A Parquet table upserted by key through dynamic partition overwrite.
 
     Rows are placed in partitions by a function of the key: a hash bucket of
-    the key columns (``buckets``), or a partition column that the caller
+    the key columns (``buckets``), or a column or expression that the caller
     derives from the key (``partition_by``, for example the day of a window
     start that is part of the key).  So a key always lives in one partition,
-    and an upsert only reads the partitions its batch touches.
+    and an upsert reads and rewrites only the partitions its batch touches.
 
-    One upsert writes the merged partitions to a new folder of its own and
-    then a manifest (``_manifest/<n>.json``), which names the folder of every
-    partition, the schema and the last applied batch id, and appears by one
-    rename.  The highest manifest is the table: a crash at any point before
-    the rename leaves the previous one in force, nothing live is ever deleted
-    or overwritten, and a replayed batch id is skipped.  Folders that none of
-    the last ``keep_versions`` manifests names are removed after a commit.
+    One upsert joins the batch with those partitions, writes the result to a
+    staged table and overwrites the partitions from it.  The staged table is
+    complete once its success marker is there: a crash before that changes
+    nothing, one after it is made good by the next upsert, which first
+    overwrites from what is staged.  Each row carries the id of the batch that
+    wrote it, so a micro-batch sent again is recognised in the partitions it
+    touches and skipped.  A table has one writer; readers see a partition
+    change when it is overwritten.
 
     Null keys and null partition values are values like any other.
     """
 
-    BUCKET = "__bucket"
-    #: Folder name of each row's partition; the column itself stays in the files.
-    PLACE = "__place"
+    #: Folder of each row's partition, and the batch that wrote the row.
+    PLACE, BATCH = "__place", "__batch"
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str],
-                 partition_by: str | None = None, partition_expr: Column | None = None,
-                 buckets: int = 64, keep_versions: int = 2):
+                 partition_by: str | Column | None = None, buckets: int = 64):
         self.spark, self.root, self.keys = spark, root.rstrip("/"), list(keys)
-        self.part, self.keep_versions = partition_by or self.BUCKET, max(1, keep_versions)
+        self.data, self.staged = f"{self.root}/data", f"{self.root}/staged"
         if partition_by is None:
-            partition_expr = F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(buckets))
-        self.part_expr = partition_expr
-        jvm = spark._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+            partition_by = F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(buckets))
+        value = F.col(partition_by) if isinstance(partition_by, str) else partition_by
+        # A letter in front keeps folder names text.
+        self.place = F.coalesce(F.concat(F.lit("p"), value.cast("string")), F.lit("none"))
 
-    # -- manifests
+    def _file(self, path: str):
+        file = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return file.getFileSystem(self.spark._jsc.hadoopConfiguration()), file
 
-    def versions(self) -> list[int]:
-        folder = self._Path(f"{self.root}/_manifest")
-        if not self._fs.exists(folder):
-            return []
-        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
-
-    def _manifest(self, version: int | None = None) -> dict | None:
-        versions = self.versions()
-        if not versions:
-            return None
-        stream = self._fs.open(self._Path(f"{self.root}/_manifest/{version or versions[-1]}.json"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def _commit(self, manifest: dict) -> None:
-        version = (self.versions() or [0])[-1] + 1
-        draft = self._Path(f"{self.root}/_manifest/{uuid.uuid4().hex}.draft")
-        out = self._fs.create(draft, True)
-        try:
-            out.write(bytearray(json.dumps(manifest).encode("utf-8")))
-        finally:
-            out.close()
-        if not self._fs.rename(draft, self._Path(f"{self.root}/_manifest/{version}.json")):
-            raise RuntimeError(f"another writer committed version {version} of {self.root}")
-        self._vacuum()
-
-    def _vacuum(self) -> None:
-        """Remove what only manifests older than the kept ones name."""
-        versions = self.versions()
-        old, kept = versions[:-self.keep_versions], versions[-self.keep_versions:]
-        live = {f for v in kept for f in self._manifest(v)["folders"].values()}
-        for v in old:
-            for folder in set(self._manifest(v)["folders"].values()) - live:
-                self._fs.delete(self._Path(f"{self.root}/{folder}"), True)
-                whole = folder.rpartition("/")[0]          # the commit's own folder
-                if not any(f.startswith(f"{whole}/") for f in live):
-                    self._fs.delete(self._Path(f"{self.root}/{whole}"), True)
-            self._fs.delete(self._Path(f"{self.root}/_manifest/{v}.json"), False)
-
-    # -- reading
-
-    def _read(self, manifest: dict, places: Sequence[str] | None = None) -> DataFrame:
-        schema = T.StructType.fromJson(manifest["schema"])
-        folders = [f for p, f in manifest["folders"].items() if places is None or p in places]
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in sorted(folders)])
-
-    def read(self, keep_partition_column: bool = False) -> DataFrame | None:
-        """The table as of now; later upserts do not change the frame, and it
-        stays readable for ``keep_versions`` of them."""
-        manifest = self._manifest()
-        if manifest is None:
-            return None
-        df = self._read(manifest)
-        return df if keep_partition_column or self.part != self.BUCKET else df.drop(self.BUCKET)
+    def _exists(self, path: str) -> bool:
+        fs, file = self._file(path)
+        return fs.exists(file)
 
-    def applied(self, batch_id: int) -> bool:
-        """Micro-batches are applied in id order, so one number says which
-        batches are done (a replay re-sends the last one)."""
-        manifest = self._manifest()
-        last = manifest["last_batch"] if manifest else None
-        return last is not None and batch_id <= last
+    def _rows(self, path: str, schema=None) -> DataFrame:
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(path)
+
+    def read(self) -> DataFrame | None:
+        """The table as of now, without the columns of its own."""
+        return self._rows(self.data).drop(self.PLACE, self.BATCH) if self._exists(self.data) else None
 
-    # -- writing
+    def applied(self, batch_id: int) -> bool:
+        """Whether a micro-batch, or a later one, has written rows that are
+        still there."""
+        return self._exists(self.data) and not self._rows(self.data).where(F.col(self.BATCH) >= batch_id).isEmpty()
 
     def upsert(self, incoming: DataFrame, order_by: Sequence[str | Column] | None = None,
-               batch_id: int | None = None) -> list:
+               batch_id: int | None = None) -> list[str]:
         """Upsert ``incoming``; returns the partition values rewritten
         (``[]`` when nothing was done)."""
-        if batch_id is not None and self.applied(batch_id):
-            return []
+        self.recover()
         batch = latest_per_key(incoming, self.keys, order_by) if order_by else incoming
-        if self.part_expr is not None:
-            batch = batch.withColumn(self.part, self.part_expr)
-        manifest = self._manifest() or {"folders": {}, "schema": json.loads(batch.schema.json()), "last_batch": None}
-        # The batch is read twice below: once for its partitions, once for its rows.
-        staging = f"{self.root}/_staging/{uuid.uuid4().hex}"
-        batch.write.parquet(staging)
-        batch = self.spark.read.schema(batch.schema).parquet(staging)
+        batch = batch.withColumn(self.BATCH, F.lit(batch_id).cast("long")).withColumn(self.PLACE, self.place)
+        # Read twice below: once for its partitions, once for its rows.
+        received = f"{self.root}/received"
+        batch.write.mode("overwrite").parquet(received)
+        batch = self._rows(received, batch.schema)
         # At most the number of buckets, or of partition values in the batch.
-        touched = [tuple(r) for r in batch.select(self.part, self._place()).distinct().collect()]
-        if touched:
-            merged = upsert(self._read(manifest, [p for _, p in touched]), batch, self.keys)
-            folder = f"data/{uuid.uuid4().hex}"
-            # rebalance: AQE sizes the write tasks per partition value, so a
-            # bucket is neither one huge task nor scattered over every task.
-            merged.withColumn(self.PLACE, self._place()).hint("rebalance", self.PLACE) \
-                .write.partitionBy(self.PLACE).parquet(f"{self.root}/{folder}")
-            folders = manifest["folders"] | {p: f"{folder}/{self.PLACE}={p}" for _, p in touched}
-            manifest = {"folders": folders, "schema": json.loads(merged.schema.json()), "last_batch": manifest["last_batch"]}
-        if touched or batch_id is not None:
-            self._commit(manifest | ({"last_batch": batch_id} if batch_id is not None else {}))
-        self._fs.delete(self._Path(staging), True)
-        return [value for value, _ in touched]
-
-    def _place(self) -> Column:
-        """A folder name without any character that a path would escape."""
-        return F.coalesce(F.concat(F.lit("p"), F.hex(F.encode(F.col(self.part).cast("string"), "UTF-8"))),
-                          F.lit("null")).alias(self.PLACE)
+        touched = sorted(r[0] for r in batch.select(self.PLACE).distinct().collect())
+        if not touched:
+            return []
+        merged = batch
+        if self._exists(self.data):
+            existing = self._rows(self.data, batch.schema).where(F.col(self.PLACE).isin(touched))
+            if batch_id is not None and not existing.where(F.col(self.BATCH) >= batch_id).isEmpty():
+                return []
+            merged = upsert(existing, batch, self.keys)
+        # rebalance: AQE sizes the write tasks per partition value, so a
+        # bucket is neither one huge task nor scattered over every task.
+        merged.hint("rebalance", self.PLACE).write.mode("overwrite").partitionBy(self.PLACE).parquet(self.staged)
+        self._publish()
+        return [p[1:] if p != "none" else None for p in touched]
+
+    def _publish(self) -> None:
+        (self._rows(self.staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(self.PLACE).parquet(self.data))
+        fs, file = self._file(self.staged)
+        fs.delete(file, True)
+
+    def recover(self) -> None:
+        """Overwrite from a staged table that was complete but not published."""
+        if self._exists(f"{self.staged}/_SUCCESS"):
+            self._publish()

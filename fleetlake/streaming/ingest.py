@@ -61,5 +61,17 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str
     return w.trigger(**(trigger or DEFAULT_TRIGGER)).start()
 
 
+def ingest_batches(stream: DataFrame, path: str, checkpoint: str, batch: str = "batch_id",
+                   partition_by: tuple[str, ...] = (), trigger: dict | None = None) -> StreamingQuery:
+    """Append every row to the raw layer with the micro-batch that brought
+    it, as its first partition column.  A batch sent again overwrites itself."""
+    def write(rows: DataFrame, batch_id: int) -> None:
+        (rows.withColumn(batch, F.lit(batch_id).cast("long")).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(batch, *partition_by).parquet(path))
+
+    return (stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+            .trigger(**(trigger or DEFAULT_TRIGGER)).start())
+
+
 def with_day(df: DataFrame, ts: str, out: str = "dt") -> DataFrame:
     return df.withColumn(out, F.to_date(ts))

@@ -1,17 +1,18 @@
-"""Real-time sliding-window metrics with a watermark (J2, J6) and the
-per-batch upsert sink (J5).
+"""Real-time sliding-window metrics with a watermark (J2, J6): open windows
+upserted per micro-batch (J5), closed windows appended once.
 
 Event time must be ``TIMESTAMP`` for ``withWatermark``; ``timestamp_ntz``
 columns are cast (the session time zone is UTC, so wall times are kept).
-Rows older than the watermark are dropped from the aggregates by Spark (J6)
-- they are still in the raw layer, which ``ingest`` writes unconditionally.
+Rows older than the watermark are dropped from the aggregates by Spark (J6);
+they are still in the raw layer, which ``ingest`` writes unconditionally, and
+``late_rows`` finds them there.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,8 +37,8 @@ def upsert_batches(table: KeyedTable):
     """A ``foreachBatch`` function that upserts each micro-batch by key.
 
     Only the table partitions the batch touches are rewritten (recent windows
-    in a windowed aggregate), and a batch id already recorded by the table is
-    skipped, so every batch is applied once even when the stream replays it.
+    in a windowed aggregate), and a batch whose rows the table already holds
+    is skipped, so every batch is applied once even when the stream replays it.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         table.upsert(batch, batch_id=batch_id)
@@ -58,33 +59,60 @@ def use_rocksdb_state(spark) -> None:
         spark.conf.set(key, ROCKSDB_PROVIDER)
 
 
-def run_upserting(agg: DataFrame, table: KeyedTable, checkpoint: str,
-                  trigger: dict | None = None, state_partitions: int | None = None) -> StreamingQuery:
-    """Start ``agg`` in update mode, upserting every batch into ``table``.
-
-    Window state grows with the number of open windows x keys; it lives in
-    RocksDB rather than on the JVM heap (``use_rocksdb_state``).
-    ``state_partitions`` sets how many state stores the aggregation keeps
-    (fixed in the checkpoint at the first start); the session's shuffle
-    setting is only changed while the query starts.
-    """
-    spark = agg.sparkSession
+def _start(writer, spark: SparkSession, checkpoint: str, trigger: dict | None, state_partitions: int | None) -> StreamingQuery:
+    """Start a stateful query.  Window state grows with the number of open
+    windows x keys; it lives in RocksDB rather than on the JVM heap.
+    ``state_partitions`` sets how many state stores it keeps (fixed in the
+    checkpoint at the first start); the session's settings are only changed
+    while the query starts."""
+    provider, partitions = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+    before = {k: spark.conf.get(k, None) for k in (provider, partitions)}
     use_rocksdb_state(spark)
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
     if state_partitions:
-        spark.conf.set(key, str(state_partitions))
+        spark.conf.set(partitions, str(state_partitions))
     try:
-        return (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-                .foreachBatch(upsert_batches(table))
-                .trigger(**(trigger or {"processingTime": "1 minute"})).start())
+        return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def run_upserting(agg: DataFrame, table: KeyedTable, checkpoint: str,
+                  trigger: dict | None = None, state_partitions: int | None = None) -> StreamingQuery:
+    """``agg`` in update mode; every micro-batch is upserted into ``table``."""
+    return _start(agg.writeStream.outputMode("update").foreachBatch(upsert_batches(table)),
+                  agg.sparkSession, checkpoint, trigger, state_partitions)
+
+
+def run_appending(agg: DataFrame, path: str, checkpoint: str, partition_by: Sequence[str] = (),
+                  trigger: dict | None = None, state_partitions: int | None = None) -> StreamingQuery:
+    """``agg`` in append mode into the exactly-once file sink.  A window
+    is written once, when the watermark has passed its end; nothing is ever
+    rewritten, and windows still open are kept in the state."""
+    writer = agg.writeStream.outputMode("append").format("parquet").option("path", path)
+    return _start(writer.partitionBy(*partition_by) if partition_by else writer,
+                  agg.sparkSession, checkpoint, trigger, state_partitions)
+
+
+def late_rows(raw: DataFrame, ts: str, size: str, slide: str, watermark: str, batch: str = "batch_id") -> DataFrame:
+    """The rows of a raw table that came too late for their last window:
+    it had ended at the watermark their micro-batch began with, which is the
+    latest time in earlier batches less the delay (as ``interval`` text).
+
+    One row per micro-batch passes through the running maximum."""
+    before = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
+    known = raw.groupBy(batch).agg(F.max(ts).alias("__t")) \
+        .select(F.col(batch).alias("__b"), (F.max("__t").over(before) - F.expr(f"interval {watermark}")).alias("__known"))
+    end = F.window(F.col(ts), slide).getField("start") + F.expr(f"interval {size}")
+    return raw.withColumn("__end", end).join(known, (F.col(batch) == F.col("__b")) & (F.col("__end") <= F.col("__known"))) \
+        .drop("__b", "__known", "__end")
 
 
-def window_table(spark: SparkSession, root: str, dims: Sequence[str]) -> KeyedTable:
+def window_table(spark: SparkSession, root: str, dims: Sequence[str], grain: str = "day") -> KeyedTable:
     """The keyed sink for ``sliding_metrics``: key (window_start, dims),
-    partitioned by the window's hour, so a batch rewrites only the hours whose
+    partitioned by the window's day, so a batch rewrites only the days whose
     windows it touches."""
-    return KeyedTable(spark, root, ["window_start", *dims], partition_by="hr",
-                      partition_expr=F.date_trunc("hour", "window_start").cast("timestamp_ntz"))
+    return KeyedTable(spark, root, ["window_start", *dims], partition_by=F.to_date(F.date_trunc(grain, "window_start")))

@@ -4,8 +4,8 @@ import datetime as dt
 import tempfile
 
 from fleetlake.operators.rollups import sliding_rollup
-from fleetlake.streaming.ingest import file_stream, ingest, with_day
-from fleetlake.streaming.metrics import run_upserting, sliding_metrics, window_table
+from fleetlake.streaming.ingest import file_stream, ingest, ingest_batches, with_day
+from fleetlake.streaming.metrics import late_rows, run_appending, run_upserting, sliding_metrics, window_table
 
 SCHEMA = "id long, ts timestamp_ntz, kind string, value double"
 
@@ -38,14 +38,14 @@ def test_stream_equals_batch_and_restart_is_idempotent(spark):
     run()
     _write(spark, src, rows[100:], "part2")
     table = run()                      # restart from the checkpoint, new file only
-    first = _rows(table.read().drop("hr"))
+    first = _rows(table.read())
     table = run()                      # nothing new: same result
-    assert _rows(table.read().drop("hr")) == first
+    assert _rows(table.read()) == first
     assert table.applied(0)
     # a replayed batch id is skipped by the sink
-    replay = spark.createDataFrame([(t0, t0, "zz", 1, 1.0)], table.read().drop("hr").schema)
+    replay = spark.createDataFrame([(t0, t0, "zz", 1, 1.0)], table.read().schema)
     assert table.upsert(replay, batch_id=0) == []
-    assert _rows(table.read().drop("hr")) == first
+    assert _rows(table.read()) == first
     batch = sliding_rollup(spark.createDataFrame(rows, SCHEMA), "ts", "1 hour", "15 minutes", ["kind"])
     assert first == _rows(batch)
 
@@ -78,3 +78,32 @@ def test_late_row_dropped_from_aggregate_kept_in_raw(spark):
                trigger={"availableNow": True})
     q.awaitTermination()
     assert spark.read.parquet(f"{raw}/data").count() == 3     # but it is in the raw layer
+
+
+def test_closed_windows_are_appended_once_and_late_rows_are_found(spark):
+    src, out = tempfile.mkdtemp(prefix="fl-src-"), tempfile.mkdtemp(prefix="fl-out-")
+    t0 = dt.datetime(2024, 1, 1)
+    schema = spark.createDataFrame([], SCHEMA).schema
+    rows = [(i, t0 + dt.timedelta(minutes=11 * i), "a" if i % 3 else "b", i % 7 + 0.5) for i in range(100)]
+    late = [(1000 + i, t0 + dt.timedelta(minutes=7 * i), "a", 1.0) for i in range(20)]
+    edge = t0 + dt.timedelta(minutes=11 * 99)
+    parts = [("p1", rows), ("p2", late + [(2000, edge + dt.timedelta(hours=8), "a", 2.0)]), ("p3", [])]
+    seen = []
+    for name, part in parts:
+        if part:
+            _write(spark, src, part, name)
+        s = file_stream(spark, f"{src}/*", schema)
+        run_appending(sliding_metrics(s, "ts", "1 hour", "15 minutes", ["kind"], watermark="2 hours"), f"{out}/windows",
+                      f"{out}/ckpt", trigger={"availableNow": True}, state_partitions=3).awaitTermination()
+        ingest_batches(s, f"{out}/raw", f"{out}/ckpt2", trigger={"availableNow": True}).awaitTermination()
+        seen.append(_rows(spark.read.parquet(f"{out}/windows")))
+    last = edge + dt.timedelta(hours=8)
+    batch = sliding_rollup(spark.createDataFrame(rows, SCHEMA), "ts", "1 hour", "15 minutes", ["kind"])
+    want = [[r for r in _rows(batch) if r[1] <= top - dt.timedelta(hours=2)] for top in (edge, last)]
+    assert seen == [want[0], want[1], want[1]]
+    raw = spark.read.parquet(f"{out}/raw")
+    assert raw.count() == 121
+    found = late_rows(raw, "ts", "1 hour", "15 minutes", "2 hours")
+    # The last quarter hour of a late row's windows had ended an hour after its start.
+    closed = {i for i, t, _, _ in late if t - (t - t0) % dt.timedelta(minutes=15) + dt.timedelta(hours=1) <= edge - dt.timedelta(hours=2)}
+    assert {r.id for r in found.collect()} == closed == set(range(1000, 1020))
