@@ -61,7 +61,8 @@ class KeyedTable:
     staged table and overwrites the partitions from it.  The staged table is
     complete once its success marker is there: a crash before that changes
     nothing, one after it is made good by the next upsert, which first
-    overwrites from what is staged.  Each row carries the id of the batch that
+    overwrites from what is staged.  The first upsert writes the table itself,
+    which is there once its own marker is.  Each row carries the id of the batch that
     wrote it, so a micro-batch sent again is recognised in the partitions it
     touches and skipped.  A table has one writer; readers see a partition
     change when it is overwritten.
@@ -86,8 +87,9 @@ class KeyedTable:
         file = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return file.getFileSystem(self.spark._jsc.hadoopConfiguration()), file
 
-    def _exists(self, path: str) -> bool:
-        fs, file = self._file(path)
+    def _complete(self, path: str) -> bool:
+        """Whether a write to ``path`` has been committed."""
+        fs, file = self._file(f"{path}/_SUCCESS")
         return fs.exists(file)
 
     def _rows(self, path: str, schema=None) -> DataFrame:
@@ -96,12 +98,12 @@ class KeyedTable:
 
     def read(self) -> DataFrame | None:
         """The table as of now, without the columns of its own."""
-        return self._rows(self.data).drop(self.PLACE, self.BATCH) if self._exists(self.data) else None
+        return self._rows(self.data).drop(self.PLACE, self.BATCH) if self._complete(self.data) else None
 
     def applied(self, batch_id: int) -> bool:
         """Whether a micro-batch, or a later one, has written rows that are
         still there."""
-        return self._exists(self.data) and not self._rows(self.data).where(F.col(self.BATCH) >= batch_id).isEmpty()
+        return self._complete(self.data) and not self._rows(self.data).where(F.col(self.BATCH) >= batch_id).isEmpty()
 
     def upsert(self, incoming: DataFrame, order_by: Sequence[str | Column] | None = None,
                batch_id: int | None = None) -> list[str]:
@@ -110,25 +112,28 @@ class KeyedTable:
         self.recover()
         batch = latest_per_key(incoming, self.keys, order_by) if order_by else incoming
         batch = batch.withColumn(self.BATCH, F.lit(batch_id).cast("long")).withColumn(self.PLACE, self.place)
-        # Read twice below: once for its partitions, once for its rows.
-        received = f"{self.root}/received"
-        batch.write.mode("overwrite").parquet(received)
-        batch = self._rows(received, batch.schema)
-        # At most the number of buckets, or of partition values in the batch.
-        touched = sorted(r[0] for r in batch.select(self.PLACE).distinct().collect())
-        if not touched:
-            return []
-        merged = batch
-        if self._exists(self.data):
-            existing = self._rows(self.data, batch.schema).where(F.col(self.PLACE).isin(touched))
-            if batch_id is not None and not existing.where(F.col(self.BATCH) >= batch_id).isEmpty():
+        batch = batch.persist()  # read twice: for its partitions and for its rows
+        try:
+            # At most the number of buckets, or of partition values in the batch.
+            touched = sorted(r[0] for r in batch.select(self.PLACE).distinct().collect())
+            if not touched:
                 return []
-            merged = upsert(existing, batch, self.keys)
+            if not self._complete(self.data):
+                self._write(batch, self.data)
+            else:
+                existing = self._rows(self.data, batch.schema).where(F.col(self.PLACE).isin(touched))
+                if batch_id is not None and not existing.where(F.col(self.BATCH) >= batch_id).isEmpty():
+                    return []
+                self._write(upsert(existing, batch, self.keys), self.staged)
+                self._publish()
+        finally:
+            batch.unpersist()
+        return [p[1:] if p != "none" else None for p in touched]
+
+    def _write(self, rows: DataFrame, path: str) -> None:
         # rebalance: AQE sizes the write tasks per partition value, so a
         # bucket is neither one huge task nor scattered over every task.
-        merged.hint("rebalance", self.PLACE).write.mode("overwrite").partitionBy(self.PLACE).parquet(self.staged)
-        self._publish()
-        return [p[1:] if p != "none" else None for p in touched]
+        rows.hint("rebalance", self.PLACE).write.mode("overwrite").partitionBy(self.PLACE).parquet(path)
 
     def _publish(self) -> None:
         (self._rows(self.staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -138,5 +143,5 @@ class KeyedTable:
 
     def recover(self) -> None:
         """Overwrite from a staged table that was complete but not published."""
-        if self._exists(f"{self.staged}/_SUCCESS"):
+        if self._complete(self.staged):
             self._publish()
