@@ -75,16 +75,24 @@ def known_number(c) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def exact_sum(c, scale: int) -> Column:
-    """Order-independent sum of a measure declared to have ``scale`` decimals:
-    summed as decimal, returned as double, so every run and every partitioning
-    gives the same bits.  A value that has more decimals, or does not fit
-    ``decimal(38, scale)``, raises instead of being rounded."""
+def exact_sum(c, scale: int | None) -> Column:
+    """``total`` as double."""
+    return total(c, scale).cast("double")
+
+
+def total(c, scale: int | None) -> Column:
+    """Sum of a measure.  Declared to have ``scale`` decimals, it is summed as
+    decimal, so every run and every partitioning gives the same bits; a value
+    that has more decimals, or does not fit ``decimal(38, scale)``, raises
+    instead of being rounded.  Without a scale (real-valued telemetry) it is a
+    sum of doubles, whose last bits depend on the order."""
     x = known_number(c)
+    if scale is None:
+        return F.sum(x)
     exact = x.try_cast(f"decimal(38,{scale})")
     wrong = F.raise_error(F.concat(F.lit(f"value does not fit {scale} decimals: "), x.cast("string")))
     fits = exact.isNotNull() & (exact.cast("double") == x)
-    return F.sum(F.when(x.isNull() | fits, exact).otherwise(wrong.cast(f"decimal(38,{scale})"))).cast("double")
+    return F.sum(F.when(x.isNull() | fits, exact).otherwise(wrong.cast(f"decimal(38,{scale})")))
 
 
 def lower_camel(name: str) -> str:

@@ -35,23 +35,28 @@ def parse_day(text: str | dt.date | dt.datetime | None) -> dt.datetime | None:
     Raises on malformed text, as the reference does.
     """
     if text is None or isinstance(text, dt.datetime):
-        return text
+        return text and wall_time(text)
     if isinstance(text, dt.date):
         return dt.datetime(text.year, text.month, text.day)
     s = text.strip()
     if len(s) == 10:
         return dt.datetime.strptime(s, "%Y-%m-%d")
-    moment = dt.datetime.fromisoformat(s[:-1] if s.endswith("Z") else s)
     # An offset is applied, not dropped: the wall time kept is UTC.
+    return wall_time(dt.datetime.fromisoformat(s[:-1] if s.endswith("Z") else s))
+
+
+def wall_time(moment: dt.datetime) -> dt.datetime:
+    """A time with an offset as the wall time in UTC (S13); others as they are."""
     return moment.astimezone(dt.timezone.utc).replace(tzinfo=None) if moment.tzinfo else moment
 
 
 def literal(value: Any) -> Column:
     """A bound value.  Times are bound as text cast to ``timestamp_ntz`` (a
     constant after folding, so it is still pushed to the scan): a Python
-    datetime literal would shift with the time zone of the driver's system."""
+    datetime literal would shift with the time zone of the driver's system.
+    An offset is applied, not dropped."""
     if isinstance(value, dt.datetime):
-        return F.lit(value.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+        return F.lit(wall_time(value).isoformat(sep=" ")).cast("timestamp_ntz")
     return F.lit(value)
 
 

@@ -9,6 +9,11 @@ DWD and ADS writes use dynamic partition overwrite, so a re-run of a day
 replaces only that day's partitions.  Reads of a layer for a time range also get the
 matching ``dt`` predicate, so Spark prunes partitions instead of listing and
 opening every day (``PartitionFilters`` in the plan).
+
+A ``dt`` folder holds one slot of the layers' grain (a day, or a week, month,
+quarter or year for sparse tables) and is named by its first day.  Bounds given
+as days or times always pass through ``slot_start``, and a folder goes only
+when its last day has expired.
 """
 
 from __future__ import annotations
@@ -19,9 +24,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.predicates import literal, time_literal
+from ..operators.predicates import literal, time_literal, wall_time
 from ..operators.quality import Rule, flag_rules
-from ..operators.rollups import cube_rollup, time_rollup
+from ..operators.rollups import cube_rollup, partials, time_rollup
 from ..sources.documents import document_time, flatten
 
 # Retention per layer in days (None = forever).
@@ -40,27 +45,50 @@ def _is_day(text: str) -> bool:
         return False
 
 
-def retention(df: DataFrame, dt_col: str, run_day, days: int | None, ts: str | None = None) -> DataFrame:
+#: Months of the grains that are whole months.
+_MONTHS = {"month": 1, "quarter": 3, "year": 12}
+
+
+def slot_start(day, grain: str) -> dt.date:
+    """The first day of the slot that holds ``day``."""
+    day = _day(day)
+    if grain == "day":
+        return day
+    if grain == "week":
+        return day - dt.timedelta(days=day.weekday())
+    return dt.date(day.year, (day.month - 1) // _MONTHS[grain] * _MONTHS[grain] + 1, 1)
+
+
+def slot_end(start: dt.date, grain: str) -> dt.date:
+    """The last day of the slot that begins on ``start``."""
+    span = {"day": 1, "week": 7}.get(grain) or 31 * _MONTHS[grain] + 1
+    return slot_start(start + dt.timedelta(days=span), grain) - dt.timedelta(days=1)
+
+
+def retention(df: DataFrame, dt_col: str, run_day, days: int | None, ts: str | None = None,
+              grain: str = "day") -> DataFrame:
     """Keep the last ``days`` days up to ``run_day``.
 
     The predicate goes on ``dt_col`` (partition pruning on a layer table) and,
-    when given, on the raw timestamp ``ts`` too (row-group pruning in the scan).
+    when given, on the raw timestamp ``ts`` too (row-group pruning in the scan;
+    needed to cut inside a slot coarser than a day).
     """
     if days is None:
         return df
     cutoff = _day(run_day) - dt.timedelta(days=days)
-    out = df.filter(F.col(dt_col) >= F.lit(cutoff))
+    out = df.filter(F.col(dt_col) >= F.lit(slot_start(cutoff, grain)))
     if ts is not None:
         out = out.filter(F.col(ts) >= time_literal(cutoff))
     return out
 
 
 def time_range_with_partitions(df: DataFrame, ts: str, start: dt.datetime, end: dt.datetime,
-                               dt_col: str = "dt") -> DataFrame:
-    """Range on the time column plus the derived day range on the partition
-    column, so a layer read prunes partitions (the hand-added rewrite)."""
+                               dt_col: str = "dt", grain: str = "day") -> DataFrame:
+    """Range on the time column plus the derived range of slots on the
+    partition column, so a layer read prunes partitions (the hand-added rewrite)."""
+    first, last = (slot_start(wall_time(t).date(), grain) for t in (start, end))
     return df.filter((F.col(ts) >= literal(start)) & (F.col(ts) <= literal(end))
-                     & (F.col(dt_col) >= F.lit(start.date())) & (F.col(dt_col) <= F.lit(end.date())))
+                     & (F.col(dt_col) >= F.lit(first)) & (F.col(dt_col) <= F.lit(last)))
 
 
 @dataclass
@@ -105,13 +133,13 @@ class Layers:
         """DWD: flatten the ODS documents and flag them with the quality
         rules, in one pass and one write (``dq_pass`` per row).
 
-        ``days`` limits the run to the days that new batches touched; each is
-        rebuilt from all its batches.  Returns (passing rows, rejected rows)
+        ``days`` limits the run to the days that new batches touched; the slot
+        of each is rebuilt from all its batches.  Returns (passing rows, rejected rows)
         as reads of that table; the ``dq_pass`` filter is pushed into the scan.
         """
         ods = self.read("ods", "device_documents")
         if days is not None:
-            ods = ods.filter(F.col("dt").isin([_day(d) for d in days]))
+            ods = ods.filter(self._in_slots(days))
         self.write(flag_rules(flatten(ods, keep=("dt",)), rules), "dwd", "device_checked")
         return self.dwd_good(), self.dwd_rejects()
 
@@ -122,14 +150,21 @@ class Layers:
     def dwd_rejects(self) -> DataFrame:
         return self.read("dwd", "device_checked").filter(~F.col("dq_pass"))
 
-    def ads_rollups(self, value: str = "battery_pct", scale: int = 0,
+    def ads_partials(self, rows: DataFrame, ts: str, dims: list[str], device: str, value: str = "value",
+                     scale: int | None = None, name: str = "hourly_partials") -> None:
+        """ADS: hourly partials of the slots that ``rows`` (whole slots of
+        detail) hold; days, weeks and cubes are merged from this table alone."""
+        parts = partials(rows, ts, dims, device, value, scale)
+        self.write(parts.withColumn("dt", self.slot("bucket_start")), "ads", name)
+
+    def ads_rollups(self, value: str = "battery_pct", scale: int | None = None,
                     tables: tuple[str, ...] = ("hourly", "daily", "cube"), days=None) -> None:
         """ADS: hourly and daily roll-ups and the type x status cube per day
-        (each a day-partitioned table; ``tables`` picks which to rebuild,
-        ``days`` the days that changed)."""
+        (each partitioned by slot; ``tables`` picks which to rebuild, ``days``
+        the days that changed)."""
         dwd = self.dwd_good()
         if days is not None:
-            dwd = dwd.filter(F.col("dt").isin([_day(d) for d in days]))
+            dwd = dwd.filter(self._in_slots(days))
         if "hourly" in tables:
             hourly = time_rollup(dwd, "event_time", "hour", ["device_type"], value=value, scale=scale)
             self.write(hourly.withColumn("dt", self.slot("bucket_start")), "ads", "hourly")
@@ -141,9 +176,13 @@ class Layers:
             cube = cube_rollup(dwd, ["device_type", "status"], value=value, scale=scale, fixed=["dt"])
             self.write(cube, "ads", "cube")
 
+    def _in_slots(self, days) -> Column:
+        return F.col("dt").isin(sorted({slot_start(d, self.grain) for d in days}))
+
     def apply_retention(self, run_day) -> dict[str, int]:
-        """Drop day partitions older than each layer's retention (dynamic
-        overwrite cannot delete, so old ``dt=`` folders are removed directly)."""
+        """Drop the slots whose last day is older than each layer's retention
+        (dynamic overwrite cannot delete, so old ``dt=`` folders are removed
+        directly)."""
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
         removed = {}
@@ -161,7 +200,7 @@ class Layers:
                     continue
                 for part in fs.listStatus(table_status.getPath()):
                     name = part.getPath().getName()
-                    if name.startswith("dt=") and _is_day(name[3:]) and _day(name[3:]) < cutoff:
+                    if name.startswith("dt=") and _is_day(name[3:]) and slot_end(_day(name[3:]), self.grain) < cutoff:
                         fs.delete(part.getPath(), True)
                         n += 1
             removed[layer] = n

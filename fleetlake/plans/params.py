@@ -22,6 +22,8 @@ UPSERT_NEW_FROM = "2024-01-15 00:00:00"     # new batch: events from this time (
 OLD_STAMP = "2024-01-31 00:00:00"
 NEW_STAMP = "2024-02-01 00:00:00"
 
+VALUE_SCALE = 2                     # decimals of events.value
+
 RUN_DAY = "2024-01-30"              # "today" of the audit summary
 AUDIT_USER_PART = "7"
 RETENTION_DAYS, RETENTION_RUN_DAY = 10, "2024-01-30"

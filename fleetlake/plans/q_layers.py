@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import percent_value
 from ..operators.quality import Rule, error_summary, flag_rules
-from ..operators.rollups import batch_volume as volume, cube_rollup, sliding_rollup as sliding
+from ..operators.predicates import time_literal
+from ..operators.rollups import batch_volume as volume, cube_rollup, merge, merge_cube, sliding_rollup as sliding
 from ..operators.rollups import status_counts, time_rollup
 from ..sources.documents import STATUSES, alerts_long, flatten, metrics_long
 from ..sources.tables import table
@@ -154,7 +155,7 @@ SELECT date_trunc('hour', ts) AS bucket_start, event_type, {_MEASURES_SQL}
 FROM events GROUP BY 1, 2
 """)
 def hourly_rollup(spark, sf_dir):
-    return time_rollup(table(spark, sf_dir, "events"), "ts", "hour", ["event_type"])
+    return time_rollup(table(spark, sf_dir, "events"), "ts", "hour", ["event_type"], scale=P.VALUE_SCALE)
 
 
 @query("daily_rollup", "G5", f"""
@@ -163,7 +164,7 @@ SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS event_date, event_type, {_MEASURES
 FROM events GROUP BY 1, 2
 """)
 def daily_rollup(spark, sf_dir):
-    return time_rollup(table(spark, sf_dir, "events"), "ts", "day", ["event_type"],
+    return time_rollup(table(spark, sf_dir, "events"), "ts", "day", ["event_type"], scale=P.VALUE_SCALE,
                        distinct_of="user_id")
 
 
@@ -176,7 +177,41 @@ GROUP BY CUBE (event_type, event_date)
 def multi_dim_cube(spark, sf_dir):
     """Every combination of event type and day, with the grouping level."""
     ev = table(spark, sf_dir, "events").withColumn("event_date", F.to_date("ts"))
-    return cube_rollup(ev, ["event_type", "event_date"])
+    return cube_rollup(ev, ["event_type", "event_date"], scale=P.VALUE_SCALE)
+
+
+def _kept_partials(spark, sf_dir):
+    """The hourly partials after two increments: the first days, then the
+    last ones with the day between them once more."""
+    ev = table(spark, sf_dir, "events")
+    lay = Layers(spark, scratch_path(spark, "partials"))
+    for days in (F.col("ts") < time_literal(P.UPSERT_OLD_BEFORE), F.col("ts") >= time_literal(P.UPSERT_NEW_FROM)):
+        lay.ads_partials(ev.filter(days), "ts", ["event_type"], "user_id", scale=P.VALUE_SCALE)
+    return lay.read("ads", "hourly_partials")
+
+
+@query("daily_from_hours", "G5 B9", f"""
+SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS event_date, event_type, {_MEASURES_SQL},
+       count(DISTINCT user_id) AS devices
+FROM events GROUP BY 1, 2
+""")
+def daily_from_hours(spark, sf_dir):
+    """The daily roll-up with exact devices from hourly partials kept in two
+    increments; the events are not scanned again."""
+    return merge(_kept_partials(spark, sf_dir), [F.to_date("bucket_start").alias("event_date"), "event_type"])
+
+
+@query("cube_from_hours", "G6 B9", f"""
+SELECT event_type, event_date, {_MEASURES_SQL}, count(DISTINCT user_id) AS devices,
+       CAST(GROUPING(event_type, event_date) AS BIGINT) AS grouping_level
+FROM (SELECT *, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS event_date FROM events) e
+GROUP BY CUBE (event_type, event_date)
+""")
+def cube_from_hours(spark, sf_dir):
+    """The cube with exact devices in every combination, from the same
+    partials."""
+    parts = _kept_partials(spark, sf_dir).withColumn("event_date", F.to_date("bucket_start"))
+    return merge_cube(parts, ["event_type", "event_date"])
 
 
 @query("sliding_rollup", "H2 J2", """
@@ -188,7 +223,7 @@ GROUP BY window_start, event_type
 """)
 def sliding_rollup(spark, sf_dir):
     """One-hour windows sliding every 15 minutes, per event type."""
-    return sliding(table(spark, sf_dir, "events"), "ts", "1 hour", "15 minutes", ["event_type"])
+    return sliding(table(spark, sf_dir, "events"), "ts", "1 hour", "15 minutes", ["event_type"], scale=P.VALUE_SCALE)
 
 
 @query("device_status_count", "G7 H1", """
@@ -237,7 +272,7 @@ def ads_daily_layers(spark, sf_dir):
     for _ in range(2):
         lay.ods_documents(docs.filter(~F.coalesce(done, F.lit(False))), "open")
     lay.dwd_devices(device_rules())
-    lay.ads_rollups(value="battery_pct", tables=("daily",))
+    lay.ads_rollups(value="battery_pct", scale=0, tables=("daily",))
     return lay.read("ads", "daily").drop("dt")
 
 

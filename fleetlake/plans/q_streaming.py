@@ -12,6 +12,7 @@ from ..session import scratch_path
 from ..sources.tables import table
 from ..streaming.ingest import file_stream, ingest, ingest_batches, with_day
 from ..streaming.metrics import late_rows, run_appending, run_upserting, sliding_metrics, window_table
+from . import params as P
 from .catalogue import query
 
 
@@ -45,7 +46,7 @@ def stream_sliding_rollup(spark, sf_dir):
     """Watermarked sliding windows in update mode, upserted per micro-batch."""
     out = scratch_path(spark, "stream_sliding")
     agg = sliding_metrics(_events_stream(spark, sf_dir), "ts", "1 hour", "15 minutes",
-                          ["event_type"], watermark="1 hour")
+                          ["event_type"], watermark="1 hour", scale=P.VALUE_SCALE)
     target = window_table(spark, f"{out}/table", ["event_type"])
     # One state store per core: each holds an even share of the open windows.
     q = run_upserting(agg, target, f"{out}/_checkpoint", trigger={"availableNow": True},
@@ -72,7 +73,7 @@ def stream_late_rows(spark, sf_dir):
         if late:
             ev.filter(~recent).write.parquet(f"{out}/arriving/second")
         stream = file_stream(spark, f"{out}/arriving/*", ev.schema)
-        agg = sliding_metrics(stream, "ts", "1 day", "1 day", ["event_type"], watermark="2 days")
+        agg = sliding_metrics(stream, "ts", "1 day", "1 day", ["event_type"], watermark="2 days", scale=P.VALUE_SCALE)
         aggregate = window_table(spark, f"{out}/table", ["event_type"])
         run_upserting(agg, aggregate, f"{out}/_checkpoint", trigger={"availableNow": True},
                       state_partitions=spark.sparkContext.defaultParallelism).awaitTermination()
@@ -94,7 +95,7 @@ def stream_closed_windows(spark, sf_dir):
     """Sliding windows appended once each, when the watermark has passed them;
     those still open at the end are not there."""
     out = scratch_path(spark, "stream_closed")
-    agg = sliding_metrics(_events_stream(spark, sf_dir), "ts", "1 hour", "15 minutes", ["event_type"], watermark="1 hour")
+    agg = sliding_metrics(_events_stream(spark, sf_dir), "ts", "1 hour", "15 minutes", ["event_type"], watermark="1 hour", scale=P.VALUE_SCALE)
     run_appending(agg, f"{out}/data", f"{out}/_checkpoint", trigger={"availableNow": True},
                   state_partitions=spark.sparkContext.defaultParallelism).awaitTermination()
     return spark.read.schema(agg.schema).parquet(f"{out}/data")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.predicates import literal
+from ..operators.predicates import literal, parse_day
 from ..session import shared_root
 
 # Initial watermark per increment-column type (C1).  The
@@ -81,7 +81,8 @@ def updated(old: SyncSpec, new: SyncSpec) -> SyncSpec:
 
 
 def _ts(text: str) -> dt.datetime:
-    return dt.datetime.fromisoformat(text.replace("Z", "")).replace(tzinfo=None)
+    """A watermark or bound; an offset in the text is applied."""
+    return parse_day(text)
 
 
 def _day(text: str) -> dt.date:

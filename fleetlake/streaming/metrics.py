@@ -21,7 +21,7 @@ from ..sinks.upsert import KeyedTable
 
 
 def sliding_metrics(stream: DataFrame, ts: str, size: str, slide: str, dims: Sequence[str],
-                    value: str = "value", watermark: str = "10 minutes", scale: int = 2) -> DataFrame:
+                    value: str = "value", watermark: str = "10 minutes", scale: int | None = None) -> DataFrame:
     """Windowed count and exact sum per ``dims``; state is dropped once the
     watermark passes a window's end."""
     ev = stream.withColumn("__et", F.col(ts).cast("timestamp")).withWatermark("__et", watermark)

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetlake.plans.catalogue import queries
@@ -138,3 +139,90 @@ def test_sync_rows_shuffle_line_items_twice_without_broadcasts(spark):
     line_item_keys = [l for l in exchanges if "hashpartitioning(l_" in l]
     assert len(line_item_keys) == 2
     assert any("l_orderkey" in l for l in line_item_keys) and any("l_suppkey" in l for l in line_item_keys)
+
+
+def test_coarse_slots_lose_nothing(spark):
+    """Rows of March and December in layers of weeks, months, quarters and
+    years: ranges find them, retention keeps them until their last day."""
+    from fleetlake.plans.layers import slot_end, slot_start
+    from fleetlake.session import scratch_path
+    rows = [(1, "d1", "1997-03-05 10:00:00", "t", "F", "1997-03-05"), (2, "d2", "1997-12-30 11:30:00", "t", "F", "1997-12-30")]
+    docs = spark.createDataFrame(rows, "doc_id long, device_id string, timestamp string, device_type string, status string, dt string") \
+        .selectExpr("*", "cast(null as string) ip_address", "'5%' battery_level", "cast(null as map<string, double>) metrics",
+                    "cast(null as array<struct<alert_id: string>>) alerts",
+                    "cast(null as struct<district: string, street: string, latitude: double, longitude: double>) location") \
+        .withColumn("dt", F.to_date("dt"))
+    for grain in ("day", "week", "month", "quarter", "year"):
+        for d in (dt.date(1996, 2, 29), dt.date(1997, 12, 30), dt.date(1998, 1, 1)):
+            s = slot_start(d, grain)
+            assert s == spark.range(1).select(F.to_date(F.date_trunc(grain, F.lit(d)))).head()[0]
+            assert s <= d <= slot_end(s, grain) and slot_start(slot_end(s, grain) + dt.timedelta(days=1), grain) > d
+        lay = Layers(spark, scratch_path(spark, f"grain_{grain}"), grain=grain)
+        lay.ods_documents(docs, "b")
+        good, _ = lay.dwd_devices([], days=["1997-12-30"])
+        assert good.count() == (2 if grain == "year" else 1)
+        lay.dwd_devices([])
+        found = time_range_with_partitions(lay.dwd_good(), "event_time", dt.datetime(1997, 3, 4), dt.datetime(1997, 6, 1), grain=grain)
+        assert [r.device_id for r in found.collect()] == ["d1"]
+        lay.ads_rollups(value="battery_pct", scale=0, tables=("daily",), days=["1997-03-05", "1997-12-30"])
+        assert lay.read("ads", "daily").count() == 2
+        lay.apply_retention("1998-02-01")                      # ADS keeps 365 days: both rows stay
+        assert lay.read("ads", "daily").count() == 2
+        assert {r.device_id for r in lay.dwd_good().collect()} == ({"d1", "d2"} if grain == "year" else {"d2"})
+        assert retention(lay.dwd_good(), "dt", "1998-02-01", 90, ts="event_time", grain=grain).count() == 1
+
+
+def test_merged_days_and_cube_read_the_partials_only(spark):
+    from fleetlake.operators.rollups import merge, merge_cube
+    from fleetlake.session import scratch_path
+    lay = Layers(spark, scratch_path(spark, "only_partials"))
+    rows = spark.createDataFrame(
+        [(dt.datetime(2024, 1, d, h, 5), "ab"[(d + h) % 2], u, u / 4 if u % 5 else float("nan"))
+         for d in (1, 2, 3) for h in (0, 5, 23) for u in (1, 2, 5, 40_000, 10**9 + d, None) if u is not None]
+        + [(dt.datetime(2024, 1, 1), "a", None, 1.0)], "ts timestamp_ntz, kind string, device long, value double")
+    lay.ads_partials(rows, "ts", ["kind"], "device", scale=2)
+    lay.ads_partials(rows.where("ts >= '2024-01-03'"), "ts", ["kind"], "device", scale=2)     # a day once more
+    parts = lay.read("ads", "hourly_partials")
+    day = merge(parts, [F.to_date("bucket_start").alias("day"), "kind"])
+    cube = merge_cube(parts.withColumn("day", F.to_date("bucket_start")), ["kind", "day"])
+    for out in (day, cube):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hourly_partials" in plan and "events" not in plan.split("ReadSchema")[0].split("Location")[-1]
+    rows = rows.withColumn("day", F.to_date("ts"))
+    for r in cube.collect():
+        own = rows.where((F.col("kind") == r.kind) if r.kind else F.lit(True)).where((F.col("day") == F.lit(r.day)) if r.day else F.lit(True))
+        known = own.where(~F.isnan("value"))
+        want = own.agg(F.count("*"), F.countDistinct("device")).head() + known.agg(F.sum("value"), F.min("value"), F.max("value")).head()
+        assert (r.events, r.devices, r.value_sum, r.value_min, r.value_max) == tuple(want)
+    assert {tuple(r) for r in day.collect()} == {
+        (r.day, r.kind, r.events, r.value_sum, r.value_avg, r.value_min, r.value_max, r.devices)
+        for r in cube.where("grouping_level = 0").collect()}
+
+
+def test_windows_are_sums_of_panes(spark):
+    from fleetlake.operators.rollups import sliding_rollup
+    rows = spark.range(500).select((F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("id * interval 7 minutes")).alias("ts"),
+                                   (F.col("id") % 3).alias("k"), (F.col("id") / 7).alias("value"))
+    out = sliding_rollup(rows, "ts", "1 hour", "15 minutes", ["k"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and plan.index("Generate") < plan.rindex("Aggregate")   # only panes are multiplied
+    w = F.window("ts", "1 hour", "15 minutes")
+    want = {(r.s, r.e, r.k): (r.n, r.v) for r in rows.groupBy(w.alias("w"), "k").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+            .select("w.start", "w.end", "k", "n", "v").toDF("s", "e", "k", "n", "v").collect()}
+    got = {(r.window_start, r.window_end, r.k): (r.events, r.value_sum) for r in out.collect()}
+    assert got.keys() == want.keys() and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in ((got[k], want[k]) for k in want))
+    with pytest.raises(ValueError):
+        sliding_rollup(rows, "ts", "1 hour", "25 minutes", ["k"])
+
+
+def test_offsets_of_times_are_applied(spark):
+    from fleetlake.operators.predicates import closed_range, open_range
+    from fleetlake.sources.incremental import SyncSpec, read_increment
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 5),)], "ts timestamp_ntz")
+    aware = dt.timezone(dt.timedelta(hours=8))
+    lo, hi = dt.datetime(2024, 1, 1, 12, tzinfo=aware), dt.datetime(2024, 1, 1, 14, tzinfo=aware)    # 04:00-06:00 UTC
+    for pred in (closed_range("ts", lo, hi), open_range("ts", lo, hi), closed_range("ts", lo.isoformat(), hi.isoformat())):
+        assert df.where(pred).count() == 1
+    spec = SyncSpec("t", "inc", "ts", "datetime", "2024-01-01T12:00:00+08:00")
+    assert read_increment(df, spec, upper="2024-01-01T14:00:00+08:00").count() == 1
+    assert read_increment(df, spec, upper="2024-01-01T04:30:00Z").count() == 0
