@@ -63,4 +63,4 @@ def oracle_sql() -> dict[str, str]:
 def _load():
     # Importing the modules registers their queries.
     from . import q_indicators, q_sources, q_upsert, q_shaping, q_joins, q_audit, q_layers, q_monitor  # noqa: F401
-    from . import q_streaming  # noqa: F401
+    from . import q_streaming, q_sync  # noqa: F401

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.predicates import literal
 from ..session import scratch_path
 from ..sources.tables import table
+from ..streaming.anomalies import PAIR, recovery_pairs, resolutions, settled_until
 from ..streaming.ingest import file_stream, ingest, ingest_batches, with_day
 from ..streaming.metrics import late_rows, run_appending, run_upserting, sliding_metrics, window_table
 from . import params as P
@@ -118,3 +119,30 @@ def stream_late_side(spark, sf_dir):
                        trigger={"availableNow": True}).awaitTermination()
     raw = spark.read.schema(ev.schema.add("batch_id", "long")).parquet(f"{out}/raw")
     return late_rows(raw, "ts", "1 day", "1 day", "2 days")
+
+
+_BOUND, _DELAY = "12 hours", "1 hour"
+
+
+@query("stream_anomaly_resolution", "Q2 D9", """
+WITH settled AS (
+  SELECT date_trunc('milliseconds', least(max(ts) FILTER (WHERE event_type = 'error'),
+                                          max(ts) FILTER (WHERE event_type <> 'error')) - INTERVAL 1 HOUR) AS until FROM events)
+SELECT e.event_id AS anomaly_id, e.user_id AS device, e.ts AS detected, min(o.ts) AS resolved,
+       min(o.ts) IS NOT NULL AS is_resolved
+FROM events e LEFT JOIN events o
+  ON o.user_id = e.user_id AND o.event_type <> 'error' AND o.ts <= e.ts + INTERVAL 12 HOUR
+ AND (o.ts > e.ts OR o.ts = e.ts AND o.event_id > e.event_id)
+WHERE e.event_type = 'error' AND e.ts + INTERVAL 12 HOUR <= (SELECT until FROM settled)
+GROUP BY 1, 2, 3
+""")
+def stream_anomaly_resolution(spark, sf_dir):
+    """Errors and their first recovery within 12 hours, by a stream-stream
+    left outer join; those without one are there too, once it is certain."""
+    out = scratch_path(spark, "stream_anomalies")
+    pairs = recovery_pairs(_events_stream(spark, sf_dir), "user_id", "ts", "event_id",
+                           F.col("event_type") == "error", _BOUND, _DELAY)
+    q = run_appending(pairs, f"{out}/data", f"{out}/_checkpoint", trigger={"availableNow": True},
+                      state_partitions=spark.sparkContext.defaultParallelism)
+    q.awaitTermination()
+    return resolutions(spark.read.schema(pairs.schema).parquet(f"{out}/data").select(*PAIR), _BOUND, settled_until(q))

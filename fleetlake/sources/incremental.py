@@ -4,6 +4,10 @@ A sync reads ``(watermark, upper]`` of its increment column, writes the rows,
 and only then commits the next watermark (S7), so a crash between the two
 replays the batch; the keyed upsert makes that replay harmless.
 
+``run_stream_sync`` runs the same definition continuously: the stream's
+checkpoint is its state, the definition's watermark is where it begins, and
+``write`` is the same.
+
 The batch statistics that decide the next watermark (row count and max id)
 are observed while the batch is written, so the source is read once and no
 second copy of the increment is made.
@@ -18,6 +22,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.predicates import literal, parse_day
 from ..session import shared_root
@@ -224,6 +229,13 @@ class StateStore:
             [(task, self.get(task, default=None), enabled, updated_at)],
             "task string, last_watermark string, enabled boolean, updated_at string"))
 
+    def reset(self, spec: SyncSpec, updated_at: str) -> None:
+        """The watermark of a changed definition takes the place of the
+        stored one."""
+        self._append(self.spark.createDataFrame(
+            [(spec.name, spec.last_watermark, self.enabled(spec.name), updated_at)],
+            "task string, last_watermark string, enabled boolean, updated_at string"))
+
     def commit(self, stats: DataFrame, updated_at: str) -> None:
         """Append the next watermark of each task in ``stats`` (C3/C4); tasks
         whose batch was empty keep their state untouched (C6)."""
@@ -263,3 +275,35 @@ def run_sync(spark: SparkSession, source: DataFrame, spec: SyncSpec, write, stat
         state.commit(spark.createDataFrame([stats], "task string, inc_column_type string, batch_rows long, "
                                                     "next_watermark string"), run_ts or upper or run_day or "")
     return stats
+
+
+def lower_bound(spec: SyncSpec) -> Column | None:
+    """Where a definition begins, without an end: a stream takes what comes."""
+    spec = seeded(spec)
+    if spec.inc_or_full == "full":
+        return None
+    kind, wm = spec.inc_column_type, spec.last_watermark
+    if kind == "int":
+        return F.col(spec.inc_column) > F.lit(int(wm))
+    if kind == "datetime":
+        return F.col(spec.inc_column) > literal(_ts(wm))
+    return F.col(spec.inc_column) >= literal(dt.datetime.combine(_day(wm) + dt.timedelta(days=1), dt.time()))
+
+
+def run_stream_sync(source: DataFrame, spec: SyncSpec, write, checkpoint: str, state: StateStore | None = None,
+                    trigger: dict | None = None) -> StreamingQuery:
+    """The continuous run of a definition over a streaming ``source``.
+
+    Each micro-batch goes through ``write``, which must bear being called
+    again with the same rows (an upsert); empty ones do not (C6).  A watermark
+    that scheduled runs left in ``state`` is where the stream begins."""
+    stored = state.get(spec.name, default=None) if state is not None and spec.inc_or_full == "inc" else None
+    first = lower_bound(replace(spec, last_watermark=stored) if stored is not None else spec)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            write(batch)
+
+    rows = source if first is None else source.where(first)
+    return (rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
+            .trigger(**(trigger or {"processingTime": "1 minute"})).start())
