@@ -8,9 +8,9 @@ failed rule names; the limit check is one aggregate row.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Sequence
+from typing import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -56,3 +56,25 @@ def enforce(summary_row: dict) -> None:
         raise ErrorLimitExceeded(
             f"{summary_row['bad_rows']} bad of {summary_row['total_rows']} rows "
             f"(limits: {summary_row['record_limit']} records, {summary_row['ratio_limit']:.2%})")
+
+
+def limited_write(df: DataFrame, bad: Column, staged: str, publish: Callable[[DataFrame], None],
+                  record_limit: int = 0, ratio_limit: float = 0.02) -> dict:
+    """B7 in one pass over the source: rows and bad rows are counted while the
+    rows are written to the ``staged`` folder; ``publish`` gets that table only
+    if the limit holds.  Otherwise ``ErrorLimitExceeded`` carries the counts,
+    nothing is published, and the staged rows stay for inspection."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("total_rows"), F.count_if(F.coalesce(bad, F.lit(True))).alias("bad_rows")) \
+        .write.mode("overwrite").parquet(staged)
+    counts = seen.get
+    ratio = counts["bad_rows"] / counts["total_rows"] if counts["total_rows"] else 0.0
+    summary = {**counts, "bad_ratio": ratio, "record_limit": record_limit, "ratio_limit": ratio_limit,
+               "passed": counts["bad_rows"] <= record_limit and ratio <= ratio_limit}
+    try:
+        enforce(summary)
+    except ErrorLimitExceeded as refused:
+        refused.summary = summary
+        raise
+    publish(df.sparkSession.read.schema(df.schema).parquet(staged))
+    return summary

@@ -15,6 +15,7 @@ DATE_WATERMARK = "1998-01-01"
 DATE_RUN_DAY = "1999-01-01"         # upper bound = the day before
 
 OFFSET_START = 99                    # bounded message read: after this offset ...
+SEGMENT = 1000                       # offsets of one log segment
 OFFSET_MAX = 1000                    # ... at most this many, as the caller states
 
 UPSERT_OLD_BEFORE = "2024-01-20 00:00:00"   # old batch: events before this time

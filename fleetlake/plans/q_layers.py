@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent_value
-from ..operators.quality import Rule, error_summary, flag_rules
+from ..operators.quality import ErrorLimitExceeded, Rule, error_summary, flag_rules, limited_write
 from ..operators.predicates import time_literal
 from ..operators.rollups import batch_volume as volume, cube_rollup, merge, merge_cube, sliding_rollup as sliding
 from ..operators.rollups import status_counts, time_rollup
-from ..sources.documents import STATUSES, alerts_long, flatten, metrics_long
+from ..sinks.writers import overwrite_partitions, with_hooks
+from ..sources.documents import (STATUSES, alerts_long, field, flatten, flatten_variants, metrics_long, read_variants,
+                                 readable, variant_metrics)
 from ..sources.tables import table
 from . import params as P
 from .catalogue import query
@@ -281,3 +283,104 @@ def device_rules():
     return [Rule("known_status", F.col("status").isNotNull()),
             Rule("time_ok", F.col("event_time").isNotNull()),
             Rule("battery_ok", F.col("battery_pct").isNotNull())]
+
+
+_UNREADABLE = 97                     # every such document arrives cut off
+
+
+def _json_documents(spark, sf_dir):
+    """The device documents as JSON lines in files, some cut off in the middle."""
+    docs = order_documents(spark, sf_dir).drop("dt")
+    text = F.to_json(F.struct(*docs.columns))
+    path = scratch_path(spark, "json_documents")
+    docs.select(F.when(F.col("doc_id") % _UNREADABLE == 0, F.substring(text, 1, 60)).otherwise(text).alias("value")) \
+        .write.text(path)
+    return read_variants(spark, path)
+
+
+@query("json_documents", "A8 D10 K9 K10", DOC_SQL + f"""
+SELECT doc_id, device_id, event_time, device_type, status, district, street, battery_pct,
+       CASE WHEN lines IS NULL THEN 1 ELSE 4 END AS n_metrics, CAST(coalesce(n_returned, 0) AS INTEGER) AS n_alerts
+FROM d WHERE doc_id % {_UNREADABLE} <> 0
+""")
+def json_documents(spark, sf_dir):
+    """JSON documents read as VARIANT and flattened, unreadable ones left out."""
+    return flatten_variants(_json_documents(spark, sf_dir)).drop("ip_address", "latitude", "longitude")
+
+
+@query("json_metrics", "A8 D10 K9", DOC_SQL + f""", m AS (
+SELECT doc_id, device_id, device_type, 'total_price' AS metric, o_totalprice AS metric_value FROM d
+UNION ALL SELECT doc_id, device_id, device_type, 'lines', lines FROM d WHERE lines IS NOT NULL
+UNION ALL SELECT doc_id, device_id, device_type, 'max_quantity', max_quantity FROM d WHERE lines IS NOT NULL
+UNION ALL SELECT doc_id, device_id, device_type, 'min_price', min_price FROM d WHERE lines IS NOT NULL)
+SELECT * FROM m WHERE doc_id % {_UNREADABLE} <> 0
+""")
+def json_metrics(spark, sf_dir):
+    """Every key of the documents' metrics objects as a row."""
+    return variant_metrics(_json_documents(spark, sf_dir))
+
+
+@query("json_rejects", "A8 Q1 B7", f"""
+SELECT count(*) AS documents, count(*) FILTER (WHERE o_orderkey % {_UNREADABLE} = 0) AS unreadable,
+       CAST(coalesce(sum(CASE WHEN o_orderkey % {_UNREADABLE} = 0 THEN 60 END), 0) AS BIGINT) AS unreadable_chars
+FROM orders
+""")
+def json_rejects(spark, sf_dir):
+    """How many texts are no JSON document, and how long they are."""
+    docs = _json_documents(spark, sf_dir)
+    bad = ~readable(docs)
+    return docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if(bad).alias("unreadable"),
+                    F.coalesce(F.sum(F.when(bad, F.length("value"))), F.lit(0)).cast("long").alias("unreadable_chars"))
+
+
+@query("props_variant", "K9", """
+SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+       json_extract_string(props, '$.missing') AS missing FROM events
+""")
+def props_variant(spark, sf_dir):
+    """Fields of the events' JSON text through VARIANT."""
+    ev = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("doc"))
+    return ev.select("event_id", field("$.k", "int").alias("k"), field("$.missing", "string").alias("missing"))
+
+
+@query("limited_publish", "B7 B1", f"""
+WITH c AS (SELECT count(*) AS total_rows, count(*) FILTER (WHERE NOT (value >= {P.MIN_VALUE}) OR value IS NULL) AS low_rows,
+                  count(*) FILTER (WHERE event_type = 'error') AS error_rows FROM events)
+SELECT 'low values' AS load, total_rows, low_rows AS bad_rows, true AS passed, total_rows AS published FROM c
+UNION ALL SELECT 'errors', total_rows, error_rows, false, 0 FROM c
+""")
+def limited_publish(spark, sf_dir):
+    """Two loads of the events under the limit of 2 % bad rows, each counted
+    while it is staged: one is published, the other refused."""
+    out = scratch_path(spark, "limited_publish")
+    ev = table(spark, sf_dir, "events")
+    loads = {"low values": ~(F.col("value") >= F.lit(P.MIN_VALUE)), "errors": F.col("event_type") == "error"}
+    log = []
+    for n, (name, bad) in enumerate(loads.items()):
+        target, published = f"{out}/target{n}", 0
+        try:
+            summary = limited_write(ev, bad, f"{out}/staged{n}", lambda rows: rows.write.parquet(target),
+                                    record_limit=1 << 62, ratio_limit=P.ERROR_LIMIT_RATIO)
+            published = spark.read.parquet(target).count()
+        except ErrorLimitExceeded as refused:
+            summary = refused.summary
+        log.append((name, summary["total_rows"], summary["bad_rows"], summary["passed"], published))
+    return spark.createDataFrame(log, "load string, total_rows long, bad_rows long, passed boolean, published long")
+
+
+@query("day_replace", "B2 B9", f"""
+SELECT *, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS dt FROM events
+WHERE NOT (CAST(ts AS DATE) = DATE '{P.EVENT_START}' AND event_type = 'error')
+""")
+def day_replace(spark, sf_dir):
+    """A day deleted and inserted again between hooks: the day's partition is
+    overwritten by its corrected rows (no errors), all others stay."""
+    path = f"{scratch_path(spark, 'day_replace')}/events"
+    ev = table(spark, sf_dir, "events").withColumn("dt", F.to_date("ts"))
+    ev.write.partitionBy("dt").parquet(path)
+    day = F.col("dt") == F.lit(P.EVENT_START).cast("date")
+    corrected = ev.where(day & (F.col("event_type") != "error"))
+    steps = []
+    with_hooks(corrected, lambda rows: overwrite_partitions(rows, path, ["dt"]),
+               before=[lambda: steps.append("before")], after=[lambda: steps.append("after")])
+    return spark.read.schema(ev.schema).parquet(path).select(*ev.columns)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import uuid_text
+from ..operators.predicates import open_range, parse_day, where
 from ..session import scratch_path
-from ..sources.connectors import Source, read_table, write_table
+from ..sources.connectors import Source, read_query, read_table, write_table
 from ..sources.incremental import SyncSpec, batch_stats, read_increment
-from ..sources.messages import bounded_slice, keyed_json
+from ..sources.messages import append_segments, bounded_log_read, bounded_slice, keyed_json
 from ..sources.tables import table
 from . import params as P
 from .catalogue import query
@@ -105,3 +107,50 @@ def to_keyed_json(spark, sf_dir):
     JSON, partition by key."""
     ev = table(spark, sf_dir, "events")
     return keyed_json(ev, "user_id", topic=F.col("event_type"), partitions=12)
+
+
+@query("bounded_log_read", "A7", f"""
+SELECT * FROM events WHERE event_id > {P.OFFSET_START} AND event_id % 5 <> 3
+ORDER BY event_id LIMIT {P.OFFSET_MAX}
+""")
+def bounded_log(spark, sf_dir):
+    """At most 1,000 records after offset 99 of a log with gaps, kept in
+    segments: only the segments that hold them are read."""
+    root = scratch_path(spark, "event_log")
+    append_segments(table(spark, sf_dir, "events").where(F.col("event_id") % 5 != 3), root, "event_id", P.SEGMENT)
+    return bounded_log_read(spark, root, "event_id", P.OFFSET_START, P.OFFSET_MAX)
+
+
+@query("query_text_read", "A1 E8", f"""
+SELECT c_mktsegment, n_name, count(*) AS orders, max(o_orderdate) AS last_order
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE o_orderstatus = 'F' AND n_name <> 'FRANCE' GROUP BY c_mktsegment, n_name
+""")
+def query_text_read(spark, sf_dir):
+    """A configured query text run by the source; a later filter is added
+    around it."""
+    text = ("SELECT c_mktsegment, n_name, count(*) AS orders, max(o_orderdate) AS last_order FROM {orders} "
+            "JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey "
+            "WHERE o_orderstatus = 'F' GROUP BY c_mktsegment, n_name")
+    return read_query(spark, Source("files", path=sf_dir), text).where(F.col("n_name") != "FRANCE")
+
+
+@query("iso_range", "K3 K4 E3", """
+SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-09 22:30:00'
+""")
+def iso_range(spark, sf_dir):
+    """Events between a day and an ISO time with an offset, both as text."""
+    start, end = parse_day(P.EVENT_START), parse_day("2024-01-10T06:30:00+08:00")
+    return where(table(spark, sf_dir, "events"), open_range("ts", start, end))
+
+
+@query("plain_identifiers", "K7", """
+SELECT event_id, substr(md5(props), 1, 8) || '-' || substr(md5(props), 9, 4) || '-' || substr(md5(props), 13, 4) || '-'
+       || substr(md5(props), 17, 4) || '-' || substr(md5(props), 21, 12) AS identifier,
+       substr(md5(props), 1, 6) AS short FROM events
+""")
+def plain_identifiers(spark, sf_dir):
+    """Binary identifiers as plain text: 16 bytes as a UUID, others as hex."""
+    raw = F.unhex(F.md5("props"))
+    return table(spark, sf_dir, "events").select("event_id", uuid_text(raw).alias("identifier"),
+                                                 uuid_text(F.substring(raw, 1, 3)).alias("short"))

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from ..operators.predicates import literal
 from ..session import scratch_path
+from ..sources.messages import publish
 from ..sources.tables import table
+from ..streaming import compaction
 from ..streaming.anomalies import PAIR, recovery_pairs, resolutions, settled_until
 from ..streaming.ingest import file_stream, ingest, ingest_batches, with_day
 from ..streaming.metrics import late_rows, run_appending, run_upserting, sliding_metrics, window_table
 from . import params as P
 from .catalogue import query
+from .q_layers import KNOWN_TYPES
 
 
 def _events_stream(spark, sf_dir):
@@ -133,7 +136,7 @@ SELECT e.event_id AS anomaly_id, e.user_id AS device, e.ts AS detected, min(o.ts
 FROM events e LEFT JOIN events o
   ON o.user_id = e.user_id AND o.event_type <> 'error' AND o.ts <= e.ts + INTERVAL 12 HOUR
  AND (o.ts > e.ts OR o.ts = e.ts AND o.event_id > e.event_id)
-WHERE e.event_type = 'error' AND e.ts + INTERVAL 12 HOUR <= (SELECT until FROM settled)
+WHERE e.event_type = 'error' AND e.ts + INTERVAL 12 HOUR < (SELECT until FROM settled)
 GROUP BY 1, 2, 3
 """)
 def stream_anomaly_resolution(spark, sf_dir):
@@ -146,3 +149,40 @@ def stream_anomaly_resolution(spark, sf_dir):
                       state_partitions=spark.sparkContext.defaultParallelism)
     q.awaitTermination()
     return resolutions(spark.read.schema(pairs.schema).parquet(f"{out}/data").select(*PAIR), _BOUND, settled_until(q))
+
+
+@query("stream_topics", "J3 B5 K2", """
+SELECT event_type AS topic, CAST(user_id AS VARCHAR) AS key,
+       CAST(CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 7) AS BIGINT) % 3 AS INTEGER) AS partition,
+       '{"event_id":' || event_id
+       || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')
+       || '","user_id":' || user_id
+       || ',"event_type":' || to_json(event_type)
+       || ',"value":' || CAST(value AS VARCHAR)
+       || ',"props":' || to_json(props) || '}' AS value
+FROM events
+""")
+def stream_topics(spark, sf_dir):
+    """A topic per event type with three partitions each, written by a stream
+    and read back."""
+    out = scratch_path(spark, "stream_topics")
+    publish(_events_stream(spark, sf_dir), f"{out}/topics", f"{out}/_checkpoint", "user_id", "event_type", KNOWN_TYPES,
+            trigger={"availableNow": True}).awaitTermination()
+    return spark.read.schema("key string, value string, topic string, partition int").parquet(f"{out}/topics") \
+        .select("topic", "key", "partition", "value")
+
+
+@query("stream_compaction", "B9 J1", """
+SELECT *, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS dt FROM events
+""")
+def stream_compaction(spark, sf_dir):
+    """Events arriving in several files, a micro-batch each; the days that
+    have closed are rewritten by size, the last day stays as it came."""
+    out = scratch_path(spark, "stream_compaction")
+    ev = table(spark, sf_dir, "events")
+    ev.repartition(4, "event_id").write.parquet(f"{out}/arriving/all")
+    compaction.ingest_days(file_stream(spark, f"{out}/arriving/*", ev.schema, max_files_per_trigger=1), "ts",
+                           f"{out}/raw", f"{out}/_checkpoint", trigger={"availableNow": True}).awaitTermination()
+    last = ev.agg(F.max(F.to_date("ts"))).head()[0]
+    compaction.compact(spark, f"{out}/raw", f"{out}/closed", ev.schema, last)
+    return compaction.read(spark, f"{out}/raw", f"{out}/closed", ev.schema).select(*ev.columns, "dt")

@@ -83,6 +83,65 @@ def document_time(c) -> Column:
     return F.col(c).try_cast("timestamp_ntz")
 
 
+def read_variants(spark: SparkSession, path: str) -> DataFrame:
+    """A8 without a fixed schema: JSON lines as ``doc`` (VARIANT), so that keys
+    which only some device types have stay readable.  ``doc`` is null where
+    the text cannot be read; the text itself is kept."""
+    return spark.read.text(path).select("value", F.try_parse_json("value").alias("doc"))
+
+
+def readable(docs: DataFrame) -> Column:
+    """Whether a text is one JSON object."""
+    return F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
+
+
+def unreadable(docs: DataFrame) -> DataFrame:
+    """The rejected texts."""
+    return docs.where(~readable(docs)).select("value")
+
+
+def field(path: str, kind: str, doc: str = "doc") -> Column:
+    """K9: one field of a VARIANT; null where it is missing or of another type."""
+    return F.try_variant_get(doc, path, kind)
+
+
+def flatten_variants(docs: DataFrame) -> DataFrame:
+    """D10 on VARIANT documents: the columns of ``flatten``."""
+    lifted = docs.where(readable(docs)).select(
+        field("$.doc_id", "bigint").alias("doc_id"),
+        *[field(f"$.{c}", "string").alias(c) for c in ("device_id", "timestamp", "device_type", "ip_address", "status", "battery_level")],
+        field("$.location", "variant").alias("location"), field("$.metrics", "map<string, variant>").alias("metrics"),
+        field("$.alerts", "array<variant>").alias("alerts"))
+    return lifted.select(
+        "doc_id", "device_id", document_time("timestamp").alias("event_time"), "device_type", "ip_address", "status",
+        *[field(f"$.{c}", kind, "location").alias(c) for c, kind in (
+            ("district", "string"), ("street", "string"), ("latitude", "double"), ("longitude", "double"))],
+        percent_value("battery_level").alias("battery_pct"),
+        *[F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).alias(f"n_{c}") for c in ("metrics", "alerts")])
+
+
+def variant_metrics(docs: DataFrame) -> DataFrame:
+    """Every key of the metrics object as a row, whatever the device
+    type calls it; values that are no numbers are null."""
+    rows = docs.where(readable(docs)).select(
+        field("$.doc_id", "bigint").alias("doc_id"), field("$.device_id", "string").alias("device_id"),
+        field("$.device_type", "string").alias("device_type"), field("$.metrics", "variant").alias("metrics"))
+    each = docs.sparkSession.tvf.variant_explode(F.col("metrics").outer())
+    return rows.lateralJoin(each).select("doc_id", "device_id", "device_type", F.col("key").alias("metric"),
+                                         field("$", "double", "value").alias("metric_value"))
+
+
+def variant_alerts(docs: DataFrame) -> DataFrame:
+    """One row per element of the alerts list."""
+    rows = docs.where(readable(docs)).select(
+        field("$.doc_id", "bigint").alias("doc_id"), field("$.device_id", "string").alias("device_id"),
+        field("$.alerts", "variant").alias("alerts"))
+    each = docs.sparkSession.tvf.variant_explode(F.col("alerts").outer())
+    return rows.lateralJoin(each).select(
+        "doc_id", "device_id", *[field(f"$.{c}", "string", "value").alias(c) for c in ("alert_id", "severity", "message")],
+        field("$.timestamp", "string", "value").try_cast("timestamp_ntz").alias("alert_time"))
+
+
 def flatten(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One detail row per document; struct fields lifted, counts of the
     nested collections, percent text parsed (K10), time parsed."""

@@ -3,15 +3,22 @@
 A message is ``(topic, key, value)``: the key is the text of the key column
 and the value the JSON of the whole row with datetimes as ISO text.  Writing
 goes through Spark's Kafka sink when the connector is on the classpath; the
-same frame can be written to files for tests.
+same frame can be written to files (``publish``: a folder per topic and
+partition).
+
+A log kept as files is a folder of segments, each a range of offsets
+(``append_segments``), with an index of one row per segment.  A bounded read
+chooses its segments from the index, so it opens only files that hold wanted
+records, however long the log and whatever its gaps.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import iso_json
 
@@ -50,17 +57,18 @@ def send(messages: DataFrame, bootstrap_servers: str, topic: str | None = None)
 
 def bounded_kafka_read(spark: SparkSession, bootstrap_servers: str, topic: str,
                        max_messages: int, start_offset: int | None = None,
-                       partition: int = 0) -> DataFrame:
+                       partition: int = 0, span: int | None = None) -> DataFrame:
     """A7 over Kafka: partition ``partition`` from ``start_offset + 1`` (earliest
     when absent), at most ``max_messages`` records, as the caller states.
 
-    The read is open at the far end: offsets may have gaps, so an end counted
-    from the start could return nothing although more follows.  Batch read;
-    no consumer group state is kept, the caller stores the last offset it
-    processed."""
+    With ``span`` the read ends that many offsets after its start, so one call
+    never reads the rest of the log; offsets may have gaps, so the caller goes
+    on with a wider span when fewer records than asked come back.  Without it
+    the far end is open.  Batch read; no consumer group state is kept, the
+    caller stores the last offset it processed."""
     tp = json.dumps({topic: [partition]})
     starting = "earliest" if start_offset is None else json.dumps({topic: {str(partition): start_offset + 1}})
-    ending = "latest"
+    ending = "latest" if span is None else json.dumps({topic: {str(partition): (start_offset or 0) + 1 + span}})
     df = (spark.read.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers)
           .option("assign", tp).option("startingOffsets", starting)
           .option("endingOffsets", ending).load())
@@ -76,3 +84,61 @@ def bounded_slice(log: DataFrame, offset_column: str, start_offset: int | None,
     the cap is a per-partition top-k, so no task ever holds the whole log."""
     rows = log if start_offset is None else log.filter(F.col(offset_column) > F.lit(start_offset))
     return rows.orderBy(offset_column).limit(max_messages)
+
+
+def append_segments(rows: DataFrame, root: str, offset_column: str, segment: int) -> None:
+    """Append records to a log folder: one segment per ``segment`` offsets
+    (``data/segment=<n>``), and its first and last offset and number of rows
+    in the index.  Segments present in ``rows`` are replaced, so a repeated
+    append changes nothing; ``rows`` holds whole segments."""
+    placed = rows.withColumn("segment", F.floor(F.col(offset_column) / segment).cast("long"))
+    (placed.repartition("segment").sortWithinPartitions("segment", offset_column).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("segment").parquet(f"{root}/data"))
+    numbers = [r[0] for r in placed.select("segment").distinct().collect()]
+    index = rows.sparkSession.read.parquet(f"{root}/data").where(F.col("segment").isin(numbers)) \
+        .groupBy("segment").agg(F.min(offset_column).alias("first"), F.max(offset_column).alias("last"), F.count("*").alias("rows"))
+    (index.withColumn("part", F.col("segment")).coalesce(1).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{root}/index"))
+
+
+def segments_for(spark: SparkSession, root: str, start_offset: int | None, max_messages: int) -> list[int]:
+    """The segments that hold the first ``max_messages`` records after
+    ``start_offset``: at most as many as the records asked for, plus one."""
+    index = spark.read.parquet(f"{root}/index")
+    if start_offset is not None:
+        index = index.where(F.col("last") > start_offset)
+    # Only what certainly lies after the start counts towards the limit.
+    whole = F.col("rows") if start_offset is None else F.when(F.col("first") > start_offset, F.col("rows")).otherwise(0)
+    nearest = index.withColumn("n", whole).orderBy("first").limit(max_messages + 1)
+    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = nearest.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < max_messages)
+    return [r.segment for r in chosen.select("segment").collect()]
+
+
+def bounded_log_read(spark: SparkSession, root: str, offset_column: str, start_offset: int | None,
+                     max_messages: int) -> DataFrame:
+    """A7 with a bounded far end: at most ``max_messages`` records after
+    ``start_offset``, in offset order, from the segments that hold them."""
+    wanted = segments_for(spark, root, start_offset, max_messages)
+    log = spark.read.parquet(f"{root}/data").where(F.col("segment").isin(wanted)).drop("segment")
+    return bounded_slice(log, offset_column, start_offset, max_messages)
+
+
+def publish(stream: DataFrame, path: str, checkpoint: str, key_column: str, topic_column: str, topics: list[str],
+            partitions: int = 3, trigger: dict | None = None) -> StreamingQuery:
+    """Keyed JSON of every row of a stream into ``path``, a folder per topic
+    and partition.  All messages of a key go to one partition of its topic;
+    one task writes one partition of one topic.  A micro-batch sent again
+    replaces itself.  Rows of a topic not in ``topics`` raise."""
+    number = F.array_position(F.array(*[F.lit(t) for t in topics]), F.col("topic"))
+    place = F.when(number > 0, (number - 1).cast("int") * partitions + F.coalesce("partition", F.lit(0))) \
+        .otherwise(F.raise_error(F.concat(F.lit("unknown topic: "), F.coalesce("topic", F.lit("null")))).cast("int"))
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        messages = keyed_json(rows, key_column, topic=F.col(topic_column), partitions=partitions)
+        (messages.repartitionById(len(topics) * partitions, place).withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id", "topic", "partition").parquet(path))
+
+    return (stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+            .trigger(**(trigger or {"processingTime": "1 minute"})).start())

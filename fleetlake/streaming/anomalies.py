@@ -55,8 +55,8 @@ def settled_until(query: StreamingQuery) -> dt.datetime | None:
 
 def resolutions(pairs: DataFrame, bound: str, until: dt.datetime | None = None) -> DataFrame:
     """One row per anomaly: its first recovery within the bound, if any.  With
-    ``until``, the anomalies whose bound had passed then: they are final."""
+    ``until``, the anomalies whose bound had ended before: they are final."""
     if until is not None:
-        pairs = pairs.where(F.col("detected") + F.expr(f"interval {bound}") <= literal(until))
+        pairs = pairs.where(F.col("detected") + F.expr(f"interval {bound}") < literal(until))
     return pairs.groupBy("anomaly_id", "device", "detected").agg(F.min("recovered").alias("resolved")) \
         .withColumn("is_resolved", F.col("resolved").isNotNull())

@@ -60,7 +60,7 @@ def test_stream_sync_of_a_full_copy_and_of_days(spark, tmp_dir):
 def _brute(rows, bound, until):
     out = set()
     for i, t, d, kind in rows:
-        if kind == "error" and t + bound <= until:
+        if kind == "error" and t + bound < until:
             later = [u for j, u, e, k in rows if k != "error" and e == d and d is not None and t <= u <= t + bound and (u, j) > (t, i)]
             out.add((i, d, t, min(later, default=None), bool(later)))
     return out
