@@ -9,25 +9,36 @@ context, a fixed probability that mixes all depths.
 
 The model is as large as the corpus makes it, so it is never in one place:
 
-1. texts are dealt into blocks of about ``BLOCK`` characters; each block
-   gives its distinct byte strings of ``DEPTH + 1`` bytes (and words, for the
-   base score) with their counts in training texts;
-2. counts are summed over the blocks and the tree is built level by level
-   with joins and aggregates (a node has at most 256 children);
-3. each block gets back the values of just the strings it holds, and scores
-   its texts.
+1. texts are put together, as they are read, in blocks of about ``BLOCK``
+   bytes; a block is written with its distinct byte strings of ``DEPTH + 1``
+   bytes (and words, for the base score) and their counts in training texts,
+   dealt into buckets by the ``SPLIT`` bytes before the last;
+2. each bucket sums its strings over the blocks, one block after the other,
+   and builds the levels below ``SPLIT``, which lie in it whole; the few nodes
+   at ``SPLIT`` and above are joined and aggregated by Spark, up and down;
+3. each bucket walks down its levels and answers the blocks with the values
+   of just the strings they hold; each block scores its texts.
+
+A string is one number in a sorted, packed list from beginning to end (its
+eight decisions are unfolded only while its bucket is worked on), and a task
+holds one bucket's distinct strings, or one block, at a time.  The number of
+buckets follows the amount of text.
 
 A text is preceded by zero bytes and followed by one end mark, which is
 scored too.  Defined cases: null is the empty text; rows with a null id are
 training rows; repeated rows count each time and score alike; an empty table
 gives an empty result; with no training row every decision has probability
-1/2.
+1/2.  Answers are rounded to 2^-36 of a decimal digit per byte.
 """
 
 from __future__ import annotations
 
+from typing import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +46,17 @@ from . import textcore as X
 from .shared import written
 
 DEPTH = 6
-#: Characters of text in a block, on average.
-BLOCK = 16 << 20
+#: Bytes of text in a block; more only where one text is longer.
+BLOCK = 32 << 20
+#: Levels from the root that Spark joins; those below are built per bucket.
+SPLIT = 3
+#: Characters of text for each bucket, and buckets at least.
+BUCKET = 4 << 20
+LEAST_BUCKETS = 64
+#: Strings waiting to be merged with those a task already holds.
+PENDING = 1 << 21
+#: Steps of one decimal digit in an answer.
+DIGIT = float(1 << 36)
 _END_BYTE = b"\xff"  # never part of UTF-8
 _U = np.uint64
 #: Keys of words have the highest bit set, those of byte strings do not.
@@ -66,82 +86,276 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return s.hash | _WORD, s.words_at
 
 
-def _tally(parts) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct keys, how many of each are marked) of (keys, marks) parts."""
-    keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
-    index = X.KeyIndex(keys)
-    for x, marked in parts:
-        at, lost = index.find(x)
-        known = marked.copy()
-        known[lost] = False
-        if len(keys):
-            n += np.bincount(at[known], minlength=len(keys))
-        if len(lost):
-            new, count = np.unique(x[lost], return_inverse=True)
-            count = np.bincount(count, weights=marked[lost], minlength=len(new)).astype(np.int64)
-            place = np.searchsorted(keys, new)
-            keys, n = np.insert(keys, place, new), np.insert(n, place, count)
-            index = X.KeyIndex(keys)
-    return keys, n
-
-
-def _block_counts(table: pa.Table, depth: int) -> pa.Table:
-    block = table.column("block")[0].as_py()
-    texts = table.column("t").combine_chunks()
-    train = ~np.asarray(table.column("held_out"))
-
-    def parts(keys_of):
-        for lo, hi in X.slices(texts):
-            found, at = keys_of(X.text_bytes(texts.slice(lo, hi - lo)))
-            yield found, np.repeat(train[lo:hi], np.diff(at))
-
-    keys, n = _tally(parts(lambda t: _grams(t, depth)))
-    words, m = _tally(parts(_tokens))
-    keys = np.concatenate((keys, words, [_END_TOKEN]))
-    n = np.concatenate((n, m, [train.sum()]))
-    return pa.table({"block": pa.array(np.full(len(keys), block)), "key": pa.array(keys.view(np.int64)), "n": pa.array(n)})
-
-
-def _block_scores(docs: pa.Table, values: pa.Table, depth: int, train_tokens: int, train_words: int) -> pa.Table:
-    texts = docs.column("t").combine_chunks()
-    keys, value = np.asarray(values.column("key")).view(np.uint64), np.asarray(values.column("value"))
-    order = np.argsort(keys)
-    keys, value = keys[order], value[order]
-    split = int(np.searchsorted(keys, _WORD))
-    # The likeliest byte strings are the commonest: they get the first probe.
-    grams, gram_value = X.KeyIndex(keys[:split], value[:split]), value[:split]
-    words, count = X.KeyIndex(keys[split:], value[split:]), value[split:]
-    word_value = np.log10(count + 0.5) - np.log10(train_tokens + 0.5 * (train_words + 1))
-    end = int(words.find(np.array([_END_TOKEN]))[0][0])
-    columns = [[] for _ in range(5)]
-
-    def sums(x, at):
-        total = np.concatenate(([0], np.cumsum(x)))
-        return total[at[1:]] - total[at[:-1]]
+class Tally:
+    """Distinct keys with their counts, from any number of sorted parts."""
+
+    def __init__(self):
+        self.keys, self.n = np.empty(0, _U), np.empty(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.waiting.append((keys, n))
+        self.size += len(keys)
+        if self.size > max(PENDING, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.waiting:
+            keys = np.concatenate([self.keys, *[k for k, _ in self.waiting]])
+            n = np.concatenate([self.n, *[m for _, m in self.waiting]])
+            order = np.argsort(keys, kind="stable")  # quick on sorted parts
+            keys, n = keys[order], n[order]
+            begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            self.keys, self.n = keys[begin], np.add.reduceat(n, begin) if len(n) else n
+            self.waiting, self.size = [], 0
+        return self.keys, self.n
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of their bytes."""
+    return zstandard.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 3)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys."""
+    return pack(np.diff(keys.view(np.int64), prepend=np.int64(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data)).view(_U)
+
+
+def bucket_of(keys: np.ndarray, buckets: int, depth: int) -> np.ndarray:
+    """Byte strings by the bytes that their nodes at ``SPLIT`` share, words by
+    their own hash, after them."""
+    near = (keys >> _U(8)) & _U((1 << 8 * min(SPLIT, depth)) - 1)
+    word = keys >= _WORD
+    own = (X.mix(np.where(word, keys, near)) % _U(buckets)).astype(np.int32)
+    return own + np.where(word, buckets, 0).astype(np.int32)
+
+
+#: ``place``: in which order a bucket, or a block, needs its rows.
+_PART = "block long, bucket int, place int, keys binary, n binary, rows long, texts binary"
+_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("place", pa.int32()), ("keys", pa.binary()),
+                    ("n", pa.binary()), ("rows", pa.int64()), ("texts", pa.binary())])
+
+
+def _dealt(block: int, keys: np.ndarray, n: np.ndarray, buckets: int, depth: int) -> Iterator[dict]:
+    """A block's keys as one row per bucket."""
+    bucket = bucket_of(keys, buckets, depth)
+    order = np.argsort(bucket, kind="stable")
+    keys, n, bucket = keys[order], n[order], bucket[order]
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else []
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        yield {"block": block, "bucket": int(bucket[lo]), "place": 2, "keys": pack_keys(keys[lo:hi]), "n": pack(n[lo:hi])}
+
+
+def _block(block: int, parts: list[tuple[list, list, list[bytes]]], buckets: int, depth: int) -> Iterator[dict]:
+    """The rows of one block: its texts, and its strings and words by bucket."""
+    ids, train, texts = ([x for p in parts for x in p[k]] for k in range(3))
+    tally = Tally()
+    for lo, hi in X.slices(pa.array(texts, pa.binary())):
+        part, marked = texts[lo:hi], np.array(train[lo:hi], bool)
+        for keys, at in (_grams(part, depth), _tokens(part)):
+            learned = np.repeat(marked, np.diff(at))
+            tally.add(*np.unique(keys[learned], return_counts=True))
+            if not marked.all():
+                others = np.unique(keys[~learned])
+                tally.add(others, np.zeros(len(others), np.int64))
+    tally.add(np.array([_END_TOKEN]), np.array([sum(train)], np.int64))
+    sizes = np.array([len(t) for t in texts], np.int64)
+    known = np.array([-1 if i is None else i for i in ids], np.int64)
+    missing = np.array([i is None for i in ids], np.int64)
+    lists = [pack(x) for x in (known, missing, np.array(train, np.int64), sizes)]
+    yield {"block": block, "place": 1, "rows": len(texts), "keys": lists[0], "n": lists[1],
+           "texts": b"".join(len(x).to_bytes(8, "little") + x for x in (*lists[2:], zstandard.compress(b"".join(texts), 3)))}
+    yield from _dealt(block, *tally.merge(), buckets, depth)
+
+
+def _unpack_texts(row: dict) -> tuple[list, np.ndarray, list[bytes]]:
+    pieces, at = [], 0
+    while at < len(row["texts"]):
+        size = int.from_bytes(row["texts"][at:at + 8], "little")
+        pieces.append(row["texts"][at + 8:at + 8 + size])
+        at += 8 + size
+    ids = [None if gone else i for i, gone in zip(unpack(row["keys"]).tolist(), unpack(row["n"]).tolist())]
+    ends = np.cumsum(unpack(pieces[1])).tolist()
+    whole = zstandard.decompress(pieces[2])
+    return ids, unpack(pieces[0]).astype(bool), [whole[lo:hi] for lo, hi in zip([0, *ends], ends)]
+
+
+def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of a bounded number of bytes."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += 64 + sum(len(v) for v in row.values() if isinstance(v, bytes))
+        if total > size:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, total = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+def _blocks(rows: DataFrame, buckets: int, depth: int, block_bytes: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[dict]:
+            number, held, total = TaskContext.get().partitionId() << 32, [], 0
+            for batch in batches:
+                for lo, hi in X.slices(batch.column("t")):
+                    part = batch.slice(lo, hi - lo)
+                    texts = X.text_bytes(part.column("t"))
+                    held.append((part.column("doc_id").to_pylist(),
+                                 [not h for h in part.column("held_out").to_pylist()], texts))
+                    total += sum(map(len, texts))
+                    if total >= block_bytes:
+                        yield from _block(number, held, buckets, depth)
+                        number, held, total = number + 1, [], 0
+            if held:
+                yield from _block(number, held, buckets, depth)
+        yield from _batches(made(), _ARROW)
+
+    return rows.mapInArrow(run, _PART)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], column: str, done: Callable[[int, list[dict]], Iterator[dict]],
+               each: Callable[[int, dict], Iterator[dict]]) -> Iterator[dict]:
+    """Rows sorted by ``column``: ``each`` per row, ``done`` after the last of
+    a value."""
+    now = None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if now is not None and row[column] != now:
+                yield from done(now)
+            now = row[column]
+            yield from each(now, row)
+    if now is not None:
+        yield from done(now)
+
+
+# ------------------------------------------------------------ the tree
+
+
+def _log_gamma_of(x: np.ndarray) -> np.ndarray:
+    """ln gamma(x) for x >= 1/2: Stirling's series at x + 6."""
+    y = x + 6
+    low = np.log(x * (x + 1) * (x + 2)) + np.log((x + 3) * (x + 4) * (x + 5))
+    r = 1 / y
+    q = r * r
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 - low \
+        + r * (1 / 12 + q * (-1 / 360 + q * (1 / 1260 + q * (-1 / 1680 + q / 1188))))
 
-    def places(index, x):
-        at, lost = index.find(x)
-        if len(lost):  # the texts of the two passes differ
-            raise ValueError("a block's texts are not those it was counted with")
-        return at
 
-    for lo, hi in X.slices(texts):
-        part = X.text_bytes(texts.slice(lo, hi - lo))
-        found, first = _tokens(part)
-        at = places(words, found)
-        string, begin = _grams(part, depth)
-        for column, x in zip(columns, (
-                np.diff(first) + 1, sums(count[at] > 0, first) + (count[end] > 0), np.diff(begin) - 1,
-                sums(word_value[at], first) + word_value[end], sums(gram_value[places(grams, string)], begin))):
-            column.append(x)
-    got = [np.concatenate(c) for c in columns]
-    return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out")}
-                    | {name: pa.array(x.astype(kind)) for name, kind, x in zip(
-                        ("n_tokens", "n_known", "n_bytes", "base_score", "score"), "qqqdd", got)})
+def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov probability of a zeros and b ones."""
+    return _log_gamma_of(a + 0.5) + _log_gamma_of(b + 0.5) - _log_gamma_of(a + b + 1.0) - 1.1447298858494002  # ln pi
+
+
+class Levels:
+    """The levels from ``SPLIT`` down to ``depth`` over some strings.  A node
+    is known by its context and decision, ``context << 8 | decision``."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int):
+        self.depth, self.split = depth, min(SPLIT, depth)
+        ctx, byte = keys >> _U(8), keys & _U(255)
+        self.bits = [(byte >> _U(7 - k)) & _U(1) for k in range(8)]
+        steps = [ctx << _U(8) | _U(1 << k) + (byte >> _U(8 - k)) for k in range(8)]
+        nodes, at = np.unique(np.concatenate(steps), return_inverse=True)
+        self.leaf = at.reshape(8, -1)
+        bit = np.concatenate(self.bits)
+        times = np.tile(n, 8).astype(np.float64)
+        a = np.bincount(at, np.where(bit == 0, times, 0), len(nodes))
+        b = np.bincount(at, np.where(bit == 1, times, 0), len(nodes))
+        weighted = _estimate(a, b)
+        #: From the deepest: nodes, counts, log odds of the own estimate, node of the level above.
+        self.levels = [(nodes, a, b, None)]
+        self.up: list[np.ndarray] = []
+        for d in range(depth - 1, self.split - 1, -1):
+            parent = (nodes >> _U(8) & _U((1 << 8 * d) - 1)) << _U(8) | nodes & _U(255)
+            nodes, at = np.unique(parent, return_inverse=True)
+            a, b, below = (np.bincount(at, x, len(nodes)) for x in (a, b, weighted))
+            own = _estimate(a, b)
+            weighted = np.logaddexp(own, below) - np.log(2)
+            self.levels.append((nodes, a, b, own - below))
+            self.up.append(at)
+        self.weighted = weighted
+
+    def top(self) -> dict[str, np.ndarray]:
+        """The nodes at ``SPLIT``."""
+        nodes, a, b, odds = self.levels[-1]
+        return {"ctx": (nodes >> _U(8)).astype(np.int64), "node": (nodes & _U(255)).astype(np.int32), "a": a, "b": b,
+                "lw": self.weighted, "lb": np.zeros(len(nodes)) if odds is None else odds}
+
+    def values(self, p: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """log10 of each string's probability, from the probability of a 1 and
+        the weight left for longer contexts at each node of ``top``."""
+        for k in range(len(self.levels) - 2, -1, -1):
+            nodes, a, b, odds = self.levels[k]
+            one = (b + 0.5) / (a + b + 1)
+            at = self.up[k]
+            if odds is None:
+                p = p[at] + rest[at] * one
+            else:
+                small = np.exp(-np.abs(odds))
+                here = np.where(odds >= 0, 1, small) / (1 + small)
+                p, rest = p[at] + rest[at] * here * one, rest[at] * np.where(odds >= 0, small, 1) / (1 + small)
+        return sum(np.log10(np.where(bit == 1, p[at], 1 - p[at])) for bit, at in zip(self.bits, self.leaf))
+
+
+_MERGED = "bucket int, place int, keys binary, n binary, words long, known long, ctx binary, node binary, a binary, b binary, lw binary, lb binary"
+
+
+def _merged(parts: DataFrame, buckets: int, depth: int) -> DataFrame:
+    """One row per bucket: its strings with their counts in all blocks, and
+    its nodes at ``SPLIT``; for words, their number."""
+    schema = pa.schema([("bucket", pa.int32()), ("place", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()),
+                        ("words", pa.int64()), ("known", pa.int64())] + [(c, pa.binary()) for c in ("ctx", "node", "a", "b", "lw", "lb")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+
+        def each(bucket: int, row: dict) -> Iterator[dict]:
+            tally.add(unpack_keys(row["keys"]), unpack(row["n"]))
+            return iter(())
+
+        def done(bucket: int) -> Iterator[dict]:
+            nonlocal tally
+            keys, n = tally.merge()
+            tally = Tally()
+            out = {"bucket": bucket, "place": 0, "keys": pack_keys(keys), "n": pack(n)}
+            if bucket >= buckets:
+                yield out | {"words": int(n.sum()), "known": int((n > 0).sum())}
+            else:
+                yield out | {k: np.ascontiguousarray(v).tobytes() for k, v in Levels(keys, n, depth).top().items()}
+
+        yield from _batches(_by_bucket(batches, "bucket", done, each), schema)
+
+    rows = parts.where("bucket is not null").select("bucket", "keys", "n").repartition("bucket").sortWithinPartitions("bucket")
+    return written(rows.mapInArrow(run, _MERGED), "merged")
+
+
+def _nodes(merged: DataFrame) -> DataFrame:
+    """The nodes at ``SPLIT`` as rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"ctx": np.int64, "node": np.int32, "a": np.float64, "b": np.float64, "lw": np.float64, "lb": np.float64}
+        for batch in batches:
+            for row in batch.to_pylist():
+                columns = {c: np.frombuffer(row[c], kind) for c, kind in kinds.items()}
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.full(len(columns["a"]), row["bucket"], np.int32)),
+                                                  **{c: pa.array(x) for c, x in columns.items()}})
+
+    return merged.where("ctx is not null").select("bucket", "ctx", "node", "a", "b", "lw", "lb") \
+        .mapInArrow(run, "bucket int, ctx long, node int, a double, b double, lw double, lb double")
 
 
 def _log_gamma(x: Column) -> Column:
-    """ln gamma(x) for x >= 1/2: Stirling's series at x + 6."""
+    """``_log_gamma_of`` in Spark."""
     y = x + 6
     low = F.log(x * (x + 1) * (x + 2)) + F.log((x + 3) * (x + 4) * (x + 5))
     r = 1 / y
@@ -150,7 +364,7 @@ def _log_gamma(x: Column) -> Column:
 
 
 def _log_estimate(a: Column, b: Column) -> Column:
-    """ln of the Krichevsky-Trofimov probability of a zeros and b ones."""
+    """``_estimate`` in Spark."""
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - 1.1447298858494002  # ln pi
 
 
@@ -161,19 +375,13 @@ def _odds(lb: Column) -> tuple[Column, Column]:
     return F.when(lb >= 0, big).otherwise(small), F.when(lb >= 0, small).otherwise(big)
 
 
-def tree_values(grams: DataFrame, depth: int) -> DataFrame:
-    """(key, value): log10 of the probability of each key's last byte after
-    its context, from the training counts ``n`` of the keys."""
-    byte = F.col("key").bitwiseAND(F.lit(255))
-    steps = [F.struct((F.lit(1 << k) + F.shiftright(byte, 8 - k)).alias("node"),
-                      F.shiftright(byte, 7 - k).bitwiseAND(F.lit(1)).alias("bit")) for k in range(8)]
-    bits = grams.select("key", "n", F.shiftright("key", 8).alias("ctx"), F.explode(F.array(*steps)).alias("s")) \
-        .select("key", "n", "ctx", "s.node", "s.bit")
-    level = bits.groupBy("ctx", "node").agg(
-        F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("a"),
-        F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("b"))
-    levels = {depth: written(level.withColumn("lw", _log_estimate(F.col("a"), F.col("b"))), "tree")}
-    for d in range(depth - 1, -1, -1):
+def _weights(nodes: DataFrame, depth: int) -> DataFrame:
+    """(bucket, ctx, node, p, rest) of the nodes at ``SPLIT``: the probability
+    of a 1 from the levels down to them, and the weight left below.  At most
+    ``SPLIT`` bytes of context, so few rows beside the strings."""
+    split = min(SPLIT, depth)
+    levels = {split: written(nodes, "tree")}
+    for d in range(split - 1, -1, -1):
         up = levels[d + 1].groupBy(F.col("ctx").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("ctx"), "node").agg(
             F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("lw").alias("below")) \
             .withColumn("own", _log_estimate(F.col("a"), F.col("b")))
@@ -181,21 +389,116 @@ def tree_values(grams: DataFrame, depth: int) -> DataFrame:
         levels[d] = written(up.select("ctx", "node", "a", "b", (both - 0.6931471805599453).alias("lw"),
                                       (F.col("own") - F.col("below")).alias("lb")), "tree")
 
-    def one(a="a", b="b"):
-        return (F.col(b) + 0.5) / (F.col(a) + F.col(b) + 1)
-
+    one = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)
     here, below = _odds(F.col("lb"))
-    down = levels[0].select("ctx", "node", (here * one()).alias("p"), below.alias("rest"))
-    for d in range(1, depth + 1):
+    down = levels[0].select("ctx", "node", (here * one).alias("p"), below.alias("rest"))
+    for d in range(1, split + 1):
         parent = down.select(F.col("ctx").alias("pc"), F.col("node").alias("pn"), F.col("p").alias("pp"),
                              F.col("rest").alias("pr"))
         here, below = _odds(F.col("lb")) if d < depth else (F.lit(1.0), F.lit(0.0))
         down = levels[d].join(parent, (F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1)) == F.col("pc"))
                               & (F.col("node") == F.col("pn"))) \
-            .select("ctx", "node", (F.col("pp") + F.col("pr") * here * one()).alias("p"),
-                    (F.col("pr") * below).alias("rest"))
-    chance = F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    return bits.join(down, ["ctx", "node"]).groupBy("key").agg(F.sum(F.log10(chance)).alias("value"))
+            .select(*(["bucket"] if d == split else []), "ctx", "node",
+                    (F.col("pp") + F.col("pr") * here * one).alias("p"), (F.col("pr") * below).alias("rest"))
+    return down
+
+
+def _answers(parts: DataFrame, merged: DataFrame, depth: int) -> DataFrame:
+    """For each block and bucket the block's strings with their values
+    (log10 of the probability; of words, the count), as whole steps."""
+    # A bucket's nodes at the split level, in one row beside its strings.
+    weights = _weights(_nodes(merged), depth).groupBy("bucket").agg(
+        F.sort_array(F.collect_list(F.struct("ctx", "node", "p", "rest"))).alias("top"))
+    none = {"block": "long", "keys": "binary", "n": "binary", "top": "array<struct<ctx: long, node: int, p: double, rest: double>>"}
+
+    def row(df: DataFrame, place: int) -> DataFrame:
+        return df.select("bucket", F.lit(place).alias("place"),
+                         *[F.col(c) if c in df.columns else F.lit(None).cast(kind).alias(c) for c, kind in none.items()])
+
+    rows = row(merged.select("bucket", "keys", "n"), 0).unionByName(row(weights, 1)) \
+        .unionByName(row(parts.where("bucket is not null").select("block", "bucket", "keys"), 2)) \
+        .repartition("bucket").sortWithinPartitions("bucket", "place")
+    schema = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = n = steps = None
+
+        def each(bucket: int, row: dict) -> Iterator[dict]:
+            nonlocal keys, n, steps
+            if row["place"] == 0:
+                keys, n = unpack_keys(row["keys"]), unpack(row["n"])
+                steps = n  # of words
+            elif row["place"] == 1:
+                p, rest = (np.array([x[c] for x in row["top"]]) for c in ("p", "rest"))
+                steps = np.rint(Levels(keys, n, depth).values(p, rest) * DIGIT).astype(np.int64)
+            else:
+                at = np.searchsorted(keys, unpack_keys(row["keys"]))
+                yield {"block": row["block"], "place": 0, "keys": row["keys"], "n": pack(steps[at])}
+
+        yield from _batches(_by_bucket(batches, "bucket", lambda b: iter(()), each), schema)
+
+    return rows.mapInArrow(run, "block long, place int, keys binary, n binary")
+
+
+def tree_values(grams: DataFrame, depth: int) -> DataFrame:
+    """(key, value): log10 of the probability of each key's last byte after
+    its context, from the training counts ``n`` of the keys."""
+    X.small_batches(grams.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in batches:
+            key, at = np.unique(np.asarray(batch.column("key")).astype(_U), return_inverse=True)
+            tally.add(key, np.bincount(at, np.asarray(batch.column("n")), len(key)).astype(np.int64))
+        block = TaskContext.get().partitionId()
+        yield from _batches(_dealt(block, *tally.merge(), LEAST_BUCKETS, depth), _ARROW)
+
+    parts = written(grams.select("key", "n").repartition("key").mapInArrow(run, _PART), "grams")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_pydict({"key": pa.array(unpack_keys(row["keys"]).view(np.int64)),
+                                                  "value": pa.array(unpack(row["n"]) / DIGIT)})
+
+    return _answers(parts, _merged(parts, LEAST_BUCKETS, depth), depth).mapInArrow(spread, "key long, value double")
+
+
+# ------------------------------------------------------------ scores
+
+
+def _scores(row: dict, answers: list[dict], depth: int, train_tokens: int, train_words: int) -> pa.RecordBatch:
+    ids, train, texts = _unpack_texts(row)
+    keys = np.concatenate([unpack_keys(a["keys"]) for a in answers])
+    steps = np.concatenate([unpack(a["n"]) for a in answers])
+    order = np.argsort(keys)
+    keys, steps = keys[order], steps[order]
+    split = int(np.searchsorted(keys, _WORD))
+    gram_value, count = steps[:split] / DIGIT, steps[split:]
+    # The likeliest byte strings are the commonest: they get the first probe.
+    grams, words = X.KeyIndex(keys[:split], gram_value), X.KeyIndex(keys[split:], count)
+    word_value = np.log10(count + 0.5) - np.log10(train_tokens + 0.5 * (train_words + 1))
+    end = int(words.find(np.array([_END_TOKEN]))[0][0])
+    columns = [[] for _ in range(5)]
+
+    def sums(x, at):
+        total = np.concatenate(([0], np.cumsum(x)))
+        return total[at[1:]] - total[at[:-1]]
+
+    for lo, hi in X.slices(pa.array(texts, pa.binary())):
+        part = texts[lo:hi]
+        found, first = _tokens(part)
+        at = words.find(found)[0]
+        string, begin = _grams(part, depth)
+        for column, x in zip(columns, (
+                np.diff(first) + 1, sums(count[at] > 0, first) + (count[end] > 0), np.diff(begin) - 1,
+                sums(word_value[at], first) + word_value[end], sums(gram_value[grams.find(string)[0]], begin))):
+            column.append(x)
+    got = [np.concatenate(c) for c in columns]
+    return pa.RecordBatch.from_pydict(
+        {"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(~train)}
+        | {name: pa.array(x.astype(kind)) for name, kind, x in zip(
+            ("n_tokens", "n_known", "n_bytes", "base_score", "score"), "qqqdd", got)})
 
 
 def held_out_fold(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -212,18 +515,26 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     rows = docs.select(own.cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"),
                        (held_out if held_out is not None else held_out_fold(own)).alias("held_out"))
     chars = rows.agg(F.sum(F.coalesce(F.length("t"), F.lit(0)) + 1)).head()[0] or 0
-    blocks = chars // block_chars + 1
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)))
-    counts = written(rows.groupBy("block").applyInArrow(
-        lambda t: _block_counts(t, depth), "block long, key long, n long"), "counts")
-    total = written(counts.groupBy("key").agg(F.sum("n").alias("n")), "counts")
-    words = total.where("key < 0")
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).head()
-    values = words.select("key", F.col("n").cast("double").alias("value")) \
-        .unionByName(tree_values(total.where("key >= 0"), depth))
-    replies = counts.select("block", "key").join(values, "key")
-    out = rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
-        lambda left, right: _block_scores(left, right, depth, size.n, size.v),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
+    buckets = max(LEAST_BUCKETS, chars // BUCKET)
+    parts = written(_blocks(rows, buckets, depth, block_bytes=block_chars), "blocks")
+    merged = _merged(parts, buckets, depth)
+    size = merged.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("v")).head()
+    blocks = _answers(parts, merged, depth).withColumns({"rows": F.lit(None).cast("long"), "texts": F.lit(None).cast("binary")}) \
+        .unionByName(parts.where("place = 1").select("block", "place", "keys", "n", "rows", "texts")) \
+        .repartition("block").sortWithinPartitions("block", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers: list[dict] = []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                if row["place"] == 0:
+                    answers.append(row)
+                else:  # a block's texts come after its answers
+                    yield _scores(row, answers, depth, size.n, size.v)
+                    answers = []
+
+    out = blocks.mapInArrow(
+        run, "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(size.n).cast("long")) \
         .withColumn("code_length", -F.col("score") * 3.3219280948873626 / (F.col("n_bytes") + 1))
