@@ -10,9 +10,9 @@ context, a fixed probability that mixes all depths.
 The model is as large as the corpus makes it, so it is never in one place:
 
 1. texts are put together, as they are read, in blocks of about ``BLOCK``
-   bytes; a block is written with its distinct byte strings of ``DEPTH + 1``
-   bytes (and words, for the base score) and their counts in training texts,
-   dealt into buckets by the ``SPLIT`` bytes before the last;
+   bytes; a block is written, text by text, with its distinct byte strings of
+   ``DEPTH + 1`` bytes (and words, for the base score) and their counts in
+   training texts, dealt into buckets by the ``SPLIT`` bytes before the last;
 2. each bucket sums its strings over the blocks, one block after the other,
    and builds the levels below ``SPLIT``, which lie in it whole; the few nodes
    at ``SPLIT`` and above are joined and aggregated by Spark, up and down;
@@ -21,8 +21,8 @@ The model is as large as the corpus makes it, so it is never in one place:
 
 A string is one number in a sorted, packed list from beginning to end (its
 eight decisions are unfolded only while its bucket is worked on), and a task
-holds one bucket's distinct strings, or one block, at a time.  The number of
-buckets follows the amount of text.
+holds the distinct strings of one bucket, or of one block, at a time.  The
+number of buckets follows the amount of text.
 
 A text is preceded by zero bytes and followed by one end mark, which is
 scored too.  Defined cases: null is the empty text; rows with a null id are
@@ -156,26 +156,24 @@ def _dealt(block: int, keys: np.ndarray, n: np.ndarray, buckets: int, depth: int
         yield {"block": block, "bucket": int(bucket[lo]), "place": 2, "keys": pack_keys(keys[lo:hi]), "n": pack(n[lo:hi])}
 
 
-def _block(block: int, parts: list[tuple[list, list, list[bytes]]], buckets: int, depth: int) -> Iterator[dict]:
-    """The rows of one block: its texts, and its strings and words by bucket."""
-    ids, train, texts = ([x for p in parts for x in p[k]] for k in range(3))
-    tally = Tally()
-    for lo, hi in X.slices(pa.array(texts, pa.binary())):
-        part, marked = texts[lo:hi], np.array(train[lo:hi], bool)
-        for keys, at in (_grams(part, depth), _tokens(part)):
-            learned = np.repeat(marked, np.diff(at))
-            tally.add(*np.unique(keys[learned], return_counts=True))
-            if not marked.all():
-                others = np.unique(keys[~learned])
-                tally.add(others, np.zeros(len(others), np.int64))
-    tally.add(np.array([_END_TOKEN]), np.array([sum(train)], np.int64))
-    sizes = np.array([len(t) for t in texts], np.int64)
+def _text_row(block: int, ids: list, train: np.ndarray, texts: list[bytes]) -> dict:
     known = np.array([-1 if i is None else i for i in ids], np.int64)
     missing = np.array([i is None for i in ids], np.int64)
-    lists = [pack(x) for x in (known, missing, np.array(train, np.int64), sizes)]
-    yield {"block": block, "place": 1, "rows": len(texts), "keys": lists[0], "n": lists[1],
-           "texts": b"".join(len(x).to_bytes(8, "little") + x for x in (*lists[2:], zstandard.compress(b"".join(texts), 3)))}
-    yield from _dealt(block, *tally.merge(), buckets, depth)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    lists = [pack(x) for x in (known, missing, train.astype(np.int64), sizes)]
+    return {"block": block, "place": 1, "rows": len(texts), "keys": lists[0], "n": lists[1],
+            "texts": b"".join(len(x).to_bytes(8, "little") + x for x in (*lists[2:], zstandard.compress(b"".join(texts), 3)))}
+
+
+def _count(tally: Tally, train: np.ndarray, texts: list[bytes], depth: int) -> None:
+    """Add the texts' byte strings, words and ends."""
+    for keys, at in (_grams(texts, depth), _tokens(texts)):
+        learned = np.repeat(train, np.diff(at))
+        tally.add(*np.unique(keys[learned], return_counts=True))
+        if not train.all():
+            others = np.unique(keys[~learned])
+            tally.add(others, np.zeros(len(others), np.int64))
+    tally.add(np.array([_END_TOKEN]), np.array([train.sum()], np.int64))
 
 
 def _unpack_texts(row: dict) -> tuple[list, np.ndarray, list[bytes]]:
@@ -206,19 +204,19 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 16 << 20) -> I
 def _blocks(rows: DataFrame, buckets: int, depth: int, block_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[dict]:
-            number, held, total = TaskContext.get().partitionId() << 32, [], 0
+            number, total, tally = TaskContext.get().partitionId() << 32, 0, Tally()
             for batch in batches:
                 for lo, hi in X.slices(batch.column("t")):
                     part = batch.slice(lo, hi - lo)
                     texts = X.text_bytes(part.column("t"))
-                    held.append((part.column("doc_id").to_pylist(),
-                                 [not h for h in part.column("held_out").to_pylist()], texts))
+                    train = ~np.asarray(part.column("held_out").to_pylist(), bool)
+                    yield _text_row(number, part.column("doc_id").to_pylist(), train, texts)
+                    _count(tally, train, texts, depth)
                     total += sum(map(len, texts))
                     if total >= block_bytes:
-                        yield from _block(number, held, buckets, depth)
-                        number, held, total = number + 1, [], 0
-            if held:
-                yield from _block(number, held, buckets, depth)
+                        yield from _dealt(number, *tally.merge(), buckets, depth)
+                        number, total, tally = number + 1, 0, Tally()
+            yield from _dealt(number, *tally.merge(), buckets, depth)
         yield from _batches(made(), _ARROW)
 
     return rows.mapInArrow(run, _PART)
@@ -467,38 +465,37 @@ def tree_values(grams: DataFrame, depth: int) -> DataFrame:
 # ------------------------------------------------------------ scores
 
 
-def _scores(row: dict, answers: list[dict], depth: int, train_tokens: int, train_words: int) -> pa.RecordBatch:
-    ids, train, texts = _unpack_texts(row)
-    keys = np.concatenate([unpack_keys(a["keys"]) for a in answers])
-    steps = np.concatenate([unpack(a["n"]) for a in answers])
-    order = np.argsort(keys)
-    keys, steps = keys[order], steps[order]
-    split = int(np.searchsorted(keys, _WORD))
-    gram_value, count = steps[:split] / DIGIT, steps[split:]
-    # The likeliest byte strings are the commonest: they get the first probe.
-    grams, words = X.KeyIndex(keys[:split], gram_value), X.KeyIndex(keys[split:], count)
-    word_value = np.log10(count + 0.5) - np.log10(train_tokens + 0.5 * (train_words + 1))
-    end = int(words.find(np.array([_END_TOKEN]))[0][0])
-    columns = [[] for _ in range(5)]
-
-    def sums(x, at):
-        total = np.concatenate(([0], np.cumsum(x)))
-        return total[at[1:]] - total[at[:-1]]
-
-    for lo, hi in X.slices(pa.array(texts, pa.binary())):
-        part = texts[lo:hi]
-        found, first = _tokens(part)
-        at = words.find(found)[0]
-        string, begin = _grams(part, depth)
-        for column, x in zip(columns, (
-                np.diff(first) + 1, sums(count[at] > 0, first) + (count[end] > 0), np.diff(begin) - 1,
-                sums(word_value[at], first) + word_value[end], sums(gram_value[grams.find(string)[0]], begin))):
-            column.append(x)
-    got = [np.concatenate(c) for c in columns]
-    return pa.RecordBatch.from_pydict(
-        {"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(~train)}
-        | {name: pa.array(x.astype(kind)) for name, kind, x in zip(
-            ("n_tokens", "n_known", "n_bytes", "base_score", "score"), "qqqdd", got)})
+class Answers:
+    """What a block's strings are worth."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]], depth: int, train_tokens: int, train_words: int):
+        keys, steps = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.argsort(keys)
+        keys, steps = keys[order], steps[order]
+        split = int(np.searchsorted(keys, _WORD))
+        self.depth, self.gram_value, self.count = depth, steps[:split] / DIGIT, steps[split:]
+        # The likeliest byte strings are the commonest: they get the first probe.
+        self.grams, self.words = X.KeyIndex(keys[:split], self.gram_value), X.KeyIndex(keys[split:], self.count)
+        self.word_value = np.log10(self.count + 0.5) - np.log10(train_tokens + 0.5 * (train_words + 1))
+        self.end = int(self.words.find(np.array([_END_TOKEN]))[0][0])
+
+    def scores(self, row: dict) -> pa.RecordBatch:
+        ids, train, texts = _unpack_texts(row)
+
+        def sums(x, at):
+            total = np.concatenate(([0], np.cumsum(x)))
+            return total[at[1:]] - total[at[:-1]]
+
+        found, first = _tokens(texts)
+        at = self.words.find(found)[0]
+        string, begin = _grams(texts, self.depth)
+        got = (np.diff(first) + 1, sums(self.count[at] > 0, first) + (self.count[self.end] > 0), np.diff(begin) - 1,
+               sums(self.word_value[at], first) + self.word_value[self.end],
+               sums(self.gram_value[self.grams.find(string)[0]], begin))
+        return pa.RecordBatch.from_pydict(
+            {"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(~train)}
+            | {name: pa.array(x.astype(kind)) for name, kind, x in zip(
+                ("n_tokens", "n_known", "n_bytes", "base_score", "score"), "qqqdd", got)})
 
 
 def held_out_fold(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -524,15 +521,18 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
         .repartition("block").sortWithinPartitions("block", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers: list[dict] = []
+        block, parts, answers = None, [], None
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                if row["block"] != block:
+                    block, parts, answers = row["block"], [], None
                 if row["place"] == 0:
-                    answers.append(row)
-                else:  # a block's texts come after its answers
-                    yield _scores(row, answers, depth, size.n, size.v)
-                    answers = []
+                    parts.append((unpack_keys(row["keys"]), unpack(row["n"])))
+                    continue
+                if answers is None:  # a block's texts come after its answers
+                    answers, parts = Answers(parts, depth, size.n, size.v), []
+                yield answers.scores(row)
 
     out = blocks.mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")
