@@ -466,16 +466,23 @@ def tree_values(grams: DataFrame, depth: int) -> DataFrame:
 
 
 class Answers:
-    """What a block's strings are worth."""
-
-    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]], depth: int, train_tokens: int, train_words: int):
-        keys, steps = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-        order = np.argsort(keys)
-        keys, steps = keys[order], steps[order]
+    """What a block's strings are worth.  ``parts`` (packed keys and steps) is
+    emptied, so that few copies are held at once."""
+
+    def __init__(self, parts: list[tuple[bytes, bytes]], depth: int, train_tokens: int, train_words: int):
+        keys = np.concatenate([unpack_keys(k) for k, _ in parts])
+        order = np.argsort(keys).astype(np.int32)
+        keys = keys[order]
+        steps = np.concatenate([unpack(n) for _, n in parts])
+        parts.clear()
+        steps = steps[order]
+        del order
         split = int(np.searchsorted(keys, _WORD))
-        self.depth, self.gram_value, self.count = depth, steps[:split] / DIGIT, steps[split:]
+        self.depth, self.gram_value, self.count = depth, steps[:split] / DIGIT, steps[split:].copy()
+        del steps
         # The likeliest byte strings are the commonest: they get the first probe.
-        self.grams, self.words = X.KeyIndex(keys[:split], self.gram_value), X.KeyIndex(keys[split:], self.count)
+        self.grams = X.KeyIndex(keys[:split], self.gram_value, spare=0)
+        self.words = X.KeyIndex(keys[split:], self.count, spare=0)
         self.word_value = np.log10(self.count + 0.5) - np.log10(train_tokens + 0.5 * (train_words + 1))
         self.end = int(self.words.find(np.array([_END_TOKEN]))[0][0])
 
@@ -528,10 +535,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
                 if row["block"] != block:
                     block, parts, answers = row["block"], [], None
                 if row["place"] == 0:
-                    parts.append((unpack_keys(row["keys"]), unpack(row["n"])))
+                    parts.append((row["keys"], row["n"]))
                     continue
                 if answers is None:  # a block's texts come after its answers
-                    answers, parts = Answers(parts, depth, size.n, size.v), []
+                    answers = Answers(parts, depth, size.n, size.v)
                 yield answers.scores(row)
 
     out = blocks.mapInArrow(

@@ -218,11 +218,12 @@ def per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 class KeyIndex:
     """Positions of known 64-bit keys: one probe of a table for most, a
-    binary search for the few whose slot went to a later key."""
+    binary search for the few whose slot went to a later key.  ``spare``: the
+    table has at least 2^spare slots for each key."""
 
-    def __init__(self, keys: np.ndarray, weight: np.ndarray | None = None):
+    def __init__(self, keys: np.ndarray, weight: np.ndarray | None = None, spare: int = 2):
         self.keys = keys  # ascending
-        bits = max(10, int(np.ceil(np.log2(max(1, len(keys))))) + 2)
+        bits = max(10, int(np.ceil(np.log2(max(1, len(keys))))) + spare)
         self.shift = _U(64 - bits)
         self.table = np.zeros(1 << bits, np.int32)
         order = np.arange(len(keys)) if weight is None else np.argsort(weight, kind="stable")
