@@ -53,8 +53,10 @@ SPLIT = 3
 #: Characters of text for each bucket, and buckets at least.
 BUCKET = 4 << 20
 LEAST_BUCKETS = 64
-#: Strings waiting to be merged with those a task already holds.
-PENDING = 1 << 21
+#: Strings waiting to be merged with those a task already holds, and ranges
+#: in which they are kept.
+PENDING = 1 << 20
+RANGES = 16
 #: Steps of one decimal digit in an answer.
 DIGIT = float(1 << 36)
 _END_BYTE = b"\xff"  # never part of UTF-8
@@ -87,29 +89,46 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tally:
-    """Distinct keys with their counts, from any number of sorted parts."""
+    """Distinct keys with their counts, from any number of sorted parts.  They
+    are kept in ranges of keys, merged one at a time, so that little is held
+    twice."""
 
     def __init__(self):
-        self.keys, self.n = np.empty(0, _U), np.empty(0, np.int64)
-        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.bounds: np.ndarray | None = None
+        self.ranges = [(np.empty(0, _U), np.empty(0, np.int64))]
+        self.waiting: list[list[tuple[np.ndarray, np.ndarray]]] = [[]]
         self.size = 0
 
     def add(self, keys: np.ndarray, n: np.ndarray) -> None:
-        self.waiting.append((keys, n))
+        at = [0, *(np.searchsorted(keys, self.bounds).tolist() if self.bounds is not None else []), len(keys)]
+        for held, lo, hi in zip(self.waiting, at[:-1], at[1:]):
+            if hi > lo:
+                held.append((keys[lo:hi], n[lo:hi]))
         self.size += len(keys)
-        if self.size > max(PENDING, len(self.keys)):
-            self.merge()
+        if self.size > PENDING:
+            self._merge()
+
+    def _merge(self) -> None:
+        for r, held in enumerate(self.waiting):
+            if held:
+                keys = np.concatenate([self.ranges[r][0], *[k for k, _ in held]])
+                n = np.concatenate([self.ranges[r][1], *[m for _, m in held]])
+                held.clear()
+                order = np.argsort(keys, kind="stable")  # quick on sorted parts
+                keys, n = keys[order], n[order]
+                begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                self.ranges[r] = keys[begin], np.add.reduceat(n, begin)
+        self.size = 0
+        keys, n = self.ranges[0]
+        if self.bounds is None and len(keys) > PENDING // 4:
+            cut = np.linspace(0, len(keys), RANGES + 1).astype(np.int64)
+            self.bounds = keys[cut[1:-1]]
+            self.ranges = [(keys[lo:hi].copy(), n[lo:hi].copy()) for lo, hi in zip(cut[:-1], cut[1:])]
+            self.waiting = [[] for _ in self.ranges]
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.waiting:
-            keys = np.concatenate([self.keys, *[k for k, _ in self.waiting]])
-            n = np.concatenate([self.n, *[m for _, m in self.waiting]])
-            order = np.argsort(keys, kind="stable")  # quick on sorted parts
-            keys, n = keys[order], n[order]
-            begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            self.keys, self.n = keys[begin], np.add.reduceat(n, begin) if len(n) else n
-            self.waiting, self.size = [], 0
-        return self.keys, self.n
+        self._merge()
+        return tuple(np.concatenate([r[k] for r in self.ranges]) for k in (0, 1))
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -148,12 +167,14 @@ _ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("place", pa.
 
 def _dealt(block: int, keys: np.ndarray, n: np.ndarray, buckets: int, depth: int) -> Iterator[dict]:
     """A block's keys as one row per bucket."""
-    bucket = bucket_of(keys, buckets, depth)
-    order = np.argsort(bucket, kind="stable")
-    keys, n, bucket = keys[order], n[order], bucket[order]
-    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else []
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        yield {"block": block, "bucket": int(bucket[lo]), "place": 2, "keys": pack_keys(keys[lo:hi]), "n": pack(n[lo:hi])}
+    step = 1 << 18
+    bucket = np.concatenate([bucket_of(keys[k:k + step], buckets, depth) for k in range(0, len(keys), step)] or [[]])
+    order = np.argsort(bucket, kind="stable").astype(np.int32)
+    ends = np.cumsum(np.bincount(bucket.astype(np.int32), minlength=2 * buckets)).tolist()
+    for b, (lo, hi) in enumerate(zip([0, *ends], ends)):
+        if hi > lo:
+            own = order[lo:hi]
+            yield {"block": block, "bucket": b, "place": 2, "keys": pack_keys(keys[own]), "n": pack(n[own])}
 
 
 def _text_row(block: int, ids: list, train: np.ndarray, texts: list[bytes]) -> dict:
