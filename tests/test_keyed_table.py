@@ -22,7 +22,7 @@ def test_bucketed_upsert_matches_full_upsert(spark):
 
 
 def _files(t):
-    return {f for _, _, names in os.walk(t.data.replace("file:", "")) for f in names if f.endswith(".parquet")}
+    return {f"{d}/{f}" for d, _, names in os.walk(t.data.replace("file:", "")) for f in names if f.endswith(".parquet")}
 
 
 def test_only_touched_partitions_rewritten_and_replay_skipped(spark):
