@@ -180,7 +180,7 @@ def stream_compaction(spark, sf_dir):
     have closed are rewritten by size, the last day stays as it came."""
     out = scratch_path(spark, "stream_compaction")
     ev = table(spark, sf_dir, "events")
-    ev.repartition(4, "event_id").write.parquet(f"{out}/arriving/all")
+    ev.repartition(4).write.parquet(f"{out}/arriving/all")
     compaction.ingest_days(file_stream(spark, f"{out}/arriving/*", ev.schema, max_files_per_trigger=1), "ts",
                            f"{out}/raw", f"{out}/_checkpoint", trigger={"availableNow": True}).awaitTermination()
     last = ev.agg(F.max(F.to_date("ts"))).head()[0]
