@@ -8,6 +8,10 @@ what follows) until the new pre-tokens meet an old boundary behind it, puts
 the result in place and updates the sums on the paths to the root.  Counts
 after any edits equal those of encoding the edited text anew.
 
+The pattern must take every character into some pre-token.  The work of an
+edit follows what it takes out, puts in and encodes again, not the length of
+the text; a single pre-token is always encoded whole, however long it is.
+
 Defined cases: null texts count as empty (no tokens); edits out of range are
 cut to the text; overlapping edits are applied in order, each to the result
 of those before; repeated rows count alike; an empty table gives an empty
@@ -84,103 +88,171 @@ def counter(tokenizer_path: str, pattern: str) -> Counter:
 
 
 class Tree:
-    """Leaves of (characters, tokens) pairs, one per pre-token, under a
-    binary tree of sums kept as two heaps.  Leaves that no edit has touched
-    are slices of the first count."""
+    """Leaves of (pre-token, tokens) pairs under a binary tree of sums of
+    characters, tokens and pre-tokens, kept as heaps.  Leaves that no edit has
+    touched are slices of the first count.  An edit reads and writes only the
+    leaves it reaches, whatever the length of the text; a leaf that grows past
+    ``2 * LEAF`` is spread over its neighbours below the nearest node that has
+    room (fuller nodes are allowed further down), so that leaves stay short
+    wherever text is put in."""
 
     def __init__(self, text: str, count: Counter, pieces: list[str] | None = None):
-        self.text, self.count, self.encoded = text, count, 0
+        self.count, self.encoded = count, 0
         pieces = count.pattern.findall(text) if pieces is None else pieces
+        self._lay(pieces, count.counts(pieces), max(1, -(-len(pieces) // LEAF)), LEAF)
+
+    def _lay(self, pieces: list[str], tokens: list[int], n_leaves: int, size: int) -> None:
+        """All pre-tokens in leaves of ``size``, under new sums."""
+        self.base, self.changed, self.size = (pieces, tokens), {}, size
+        self.width = 1 << (n_leaves - 1).bit_length()
         chars = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        tokens = np.array(count.counts(pieces), np.int64)
-        self.base, self.changed = (chars, tokens), {}
-        self.n_leaves = max(1, -(-len(pieces) // LEAF))
-        self.width = 1 << (self.n_leaves - 1).bit_length()
-        self.chars, self.tokens = (self._heap(x) for x in (chars, tokens))
+        self.sums = [self._heap(x) for x in (chars, np.array(tokens, np.int64), np.ones(len(pieces), np.int64))]
 
     def _heap(self, x: np.ndarray) -> list[int]:
         sums = np.zeros(self.width, np.int64)
         if len(x):
-            sums[:self.n_leaves] = np.add.reduceat(x, np.arange(0, len(x), LEAF))
+            parts = np.add.reduceat(x, np.arange(0, len(x), self.size))
+            sums[:len(parts)] = parts
         levels = [sums]
         while len(levels[-1]) > 1:
             levels.append(levels[-1].reshape(-1, 2).sum(axis=1))
         return [0] + np.concatenate(levels[::-1]).tolist()
 
-    def leaf(self, k: int) -> list[tuple[int, int]]:
-        """(characters, tokens) of the pre-tokens in a leaf."""
+    def leaf(self, k: int) -> list[tuple[str, int]]:
+        """(pre-token, tokens) of a leaf."""
         if k not in self.changed:
-            at = slice(k * LEAF, (k + 1) * LEAF)
-            self.changed[k] = list(zip(*(x[at].tolist() for x in self.base)))
+            at = slice(k * self.size, (k + 1) * self.size)
+            self.changed[k] = list(zip(*(x[at] for x in self.base)))
         return self.changed[k]
 
+    @property
+    def chars(self) -> list[int]:
+        return self.sums[0]
+
     @property
     def total(self) -> int:
-        return self.tokens[1]
+        return self.sums[1][1]
+
+    @property
+    def text(self) -> str:
+        return "".join(p for k in self._leaves(0, self.width) for p, _ in self.leaf(k))
+
+    def _leaves(self, lo: int, hi: int) -> list[int]:
+        return [k for k in range(lo, hi) if self.sums[2][self.width + k]]
 
     def _find(self, at: int) -> tuple[int, int]:
         """(leaf, its first character) of the pre-token that holds ``at``."""
-        k, first = 1, 0
+        chars, k, first = self.sums[0], 1, 0
         while k < self.width:
             k *= 2
-            if at - first >= self.chars[k] and self.chars[k + 1]:
-                first += self.chars[k]
+            if at - first >= chars[k] and chars[k + 1]:
+                first += chars[k]
                 k += 1
         return k - self.width, first
 
-    def _set(self, leaf: int, pairs: list[tuple[int, int]]) -> None:
-        self.changed[leaf] = pairs
-        k = self.width + leaf
-        self.chars[k], self.tokens[k] = sum(c for c, _ in pairs), sum(n for _, n in pairs)
-        while k > 1:
+    def _next(self, leaf: int) -> int | None:
+        """The next leaf that holds something."""
+        n, k = self.sums[2], self.width + leaf
+        while k > 1 and (k % 2 or not n[k + 1]):
             k //= 2
-            self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-            self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
+        if k <= 1:
+            return None
+        k += 1
+        while k < self.width:
+            k = 2 * k if n[2 * k] else 2 * k + 1
+        return k - self.width
+
+    def _set(self, leaf: int, pairs: list[tuple[str, int]]) -> None:
+        self.changed[leaf] = pairs
+        for heap, total in zip(self.sums, (sum(len(p) for p, _ in pairs), sum(n for _, n in pairs), len(pairs))):
+            k = self.width + leaf
+            heap[k] = total
+            while k > 1:
+                k //= 2
+                heap[k] = heap[2 * k] + heap[2 * k + 1]
+
+    def _spread(self, leaf: int) -> None:
+        """Share out the pre-tokens of a leaf that has grown too long."""
+        n, height = self.sums[2], max(1, self.width.bit_length() - 1)
+        k, span, level = self.width + leaf, 1, 0
+        while n[k] > (2 - level / height) * LEAF * span:
+            if k == 1:  # no room anywhere: more leaves
+                pairs = [x for j in self._leaves(0, self.width) for x in self.leaf(j)]
+                size = max(1, LEAF // 2)
+                self._lay([p for p, _ in pairs], [c for _, c in pairs], -(-len(pairs) // size), size)
+                return
+            k, span, level = k // 2, 2 * span, level + 1
+        if level:
+            lo = k * span - self.width
+            pairs = [x for j in self._leaves(lo, lo + span) for x in self.leaf(j)]
+            share = -(-len(pairs) // span)
+            for j in range(span):
+                self._set(lo + j, pairs[j * share:(j + 1) * share])
 
     def edit(self, at: int, taken: int, put: str) -> None:
-        at = min(max(at, 0), len(self.text))
-        taken = min(max(taken, 0), len(self.text) - at)
-        old_end, shift = at + taken, len(put) - taken
-        self.text = self.text[:at] + put + self.text[old_end:]
+        length = self.sums[0][1]
+        at = min(max(at, 0), length)
+        taken = min(max(taken, 0), length - at)
 
         # Where to begin: the last pre-token that starts CONTEXT characters or
         # more before the edit; pre-tokens ending there cannot have changed.
         leaf, begin = self._find(max(0, at - CONTEXT))
         skip = 0
-        for c, _ in self.leaf(leaf):
-            if begin + c > at - CONTEXT:
+        for p, _ in self.leaf(leaf):
+            if begin + len(p) > at - CONTEXT:
                 break
-            begin, skip = begin + c, skip + 1
-        first_leaf, before = leaf, self.leaf(leaf)[:skip]
-
-        # Old boundaries behind the edit, and new pre-tokens until they meet.
-        old, place = begin, skip
-        pieces, now = [], begin
-        met = False
-        for m in self.count.pattern.finditer(self.text, begin):
-            while old + shift < now or old < old_end:  # old boundaries left behind
-                while leaf < self.n_leaves and place >= len(self.leaf(leaf)):
-                    leaf, place = leaf + 1, 0
-                if leaf >= self.n_leaves:
-                    break
-                old, place = old + self.leaf(leaf)[place][0], place + 1
-            if now >= at + len(put) and old >= old_end and old + shift == now:
-                met = True
+            begin, skip = begin + len(p), skip + 1
+
+        # The old pre-tokens from there on, leaf by leaf: as many as it takes
+        # until new pre-tokens meet an old boundary behind the edit.
+        at, old_end, shift = at - begin, at - begin + taken, len(put) - taken
+        old, leaves, firsts = self.leaf(leaf)[skip:], [leaf], [0]
+        reach, want = sum(len(p) for p, _ in old), old_end + 16 * CONTEXT
+        while True:
+            after = self._next(leaves[-1])
+            while reach < want and after is not None:
+                leaves.append(after)
+                firsts.append(len(old))
+                old += self.leaf(after)
+                reach += self.sums[0][self.width + after]
+                after = self._next(after)
+            pieces, kept = self._again(old, at, old_end, put, shift, after is None)
+            if pieces is not None:
                 break
+            want = 2 * reach + 1
+        self.encoded += len(pieces)
+
+        new = self.leaf(leaf)[:skip] + list(zip(pieces, self.count.counts(pieces)))
+        last = int(np.searchsorted(firsts, kept, "right")) - 1
+        until = firsts[last + 1] if last + 1 < len(firsts) else len(old)
+        if last:
+            for k in leaves[1:last]:
+                self._set(k, [])
+            self._set(leaves[last], old[kept:until])
+            self._set(leaf, new)
+        else:
+            self._set(leaf, new + old[kept:until])
+        self._spread(leaf)
+
+    def _again(self, old: list[tuple[str, int]], at: int, old_end: int, put: str, shift: int,
+               whole: bool) -> tuple[list[str] | None, int]:
+        """(new pre-tokens, old ones from which on all stay) for the text of
+        ``old`` after an edit; None if it is too short to tell and the tree
+        holds more (not ``whole``)."""
+        before = "".join(p for p, _ in old)
+        text = before[:at] + put + before[old_end:]
+        ends = list(accumulate((len(p) for p, _ in old), initial=0))
+        pieces, now, place = [], 0, 0
+        for m in self.count.pattern.finditer(text):
+            while place < len(ends) and (ends[place] < old_end or ends[place] + shift < now):
+                place += 1
+            if now >= at + len(put) and place < len(old) and ends[place] + shift == now:
+                return pieces, place
+            if not whole and m.end() + CONTEXT > len(text):
+                return None, 0
             pieces.append(m.group())
             now = m.end()
-        self.encoded += len(pieces)
-        new = before + list(zip(map(len, pieces), self.count.counts(pieces)))
-        if not met:  # re-encoded to the end
-            leaf, place = self.n_leaves, 0
-        if leaf == first_leaf:
-            self._set(first_leaf, new + self.leaf(leaf)[place:])
-            return
-        for k in range(first_leaf + 1, min(leaf, self.n_leaves)):
-            self._set(k, [])
-        if leaf < self.n_leaves:
-            self._set(leaf, self.leaf(leaf)[place:])
-        self._set(first_leaf, new)
+        return (pieces, len(old)) if whole else (None, 0)
 
 
 def cleaning_edits(text: str) -> list[Edit]:
@@ -230,4 +302,4 @@ def count_edited(docs: DataFrame, tokenizer_path: str, pattern: str, text: str =
 
 def prefix_tokens(tree: Tree) -> list[int]:
     """Tokens before each leaf, from the leaf sums."""
-    return list(accumulate(tree.tokens[tree.width:tree.width + tree.n_leaves], initial=0))[:-1]
+    return list(accumulate(tree.sums[1][tree.width:], initial=0))[:-1]

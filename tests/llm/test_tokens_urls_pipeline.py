@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -126,6 +127,37 @@ def test_edits_touch_few_tokens():
     assert 0 < tree.encoded < 20
 
 
+def test_edited_text_and_short_leaves(monkeypatch):
+    monkeypatch.setattr(token_counts, "LEAF", 4)
+    count, r = token_counts.counter(BYTE, public_tokenizers.PATTERN), random.Random(5)
+    alphabet = "ab 'sre\n\t.!12é  lvd\u00a0"
+    for _ in range(150):
+        text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 400)))
+        tree, hot = token_counts.Tree(text, count), r.randint(0, len(text))
+        for _ in range(30):
+            at = min(len(text), hot if r.random() < 0.5 else r.randint(0, len(text)))
+            taken, put = r.choice((0, 0, 3, 150)), "".join(r.choice(alphabet) for _ in range(r.choice((0, 2, 90))))
+            tree.edit(at, taken, put)
+            text = text[:at] + put + text[at + taken:]
+            assert tree.text == text and tree.chars[1] == len(text)
+            assert tree.total == len(count.tokenizer.encode(text, add_special_tokens=False).ids)
+            assert all(len(pairs) <= 2 * token_counts.LEAF for pairs in tree.changed.values())
+
+
+def test_many_edits_of_a_long_text_take_linear_time():
+    count = token_counts.counter(BYTE, public_tokenizers.PATTERN)
+    text = "one and the same line of words, again and again\n" * 105_000  # 5 MB
+    tree, edits, start = token_counts.Tree(text, count), token_counts.cleaning_edits(text), time.monotonic()
+    for e in edits:
+        tree.edit(*e)
+    assert len(edits) > 100_000 and len(tree.text) < 100
+    word = token_counts.Tree("", count)
+    for _ in range(50_000):  # all put in at one place
+        word.edit(20, 0, " three more words")
+    assert word.total == len(count.tokenizer.encode(word.text, add_special_tokens=False).ids)
+    assert time.monotonic() - start < 60
+
+
 def test_token_count_frame(odd, no_docs, small_docs):
     tok = Tokenizer.from_file(BYTE)
     tok.encode_special_tokens = True
