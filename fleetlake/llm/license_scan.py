@@ -1,19 +1,19 @@
 """License scans by conditional compression.
 
 The words around mentions of licensing, over line ends, are candidate blocks;
-mentions near each other share one.  Around each mention, a
-window of about a template's length is compressed alone and with the template
-as a raw zstandard dictionary, as lower-case words with one blank between; the
-bytes saved are compared with those the template saves on itself, so what else
-is on the line does not count.  Templates that save enough are confirmed by
-their exact wording: their words are aligned with every part of the window,
-and the words that differ are reported.  Wordings of fewer than ``LONG`` words
-save too little besides a frame's own bytes; they are aligned wherever their
-names are, and only their part's reduction is measured.  A template wins with at most
-``MAX_DIFFERENCE`` of its words changed and none of its ``names`` (the words
-that tell licenses and versions apart).  ``TITLES`` win unchanged on lines of
-their own; after ``SPDX``, the identifiers of the expression that follows are
-the licenses.
+mentions near each other share one.  Around each mention, overlapping windows
+of about a template's length are compressed alone and with the template as a
+raw zstandard dictionary, as lower-case words with one blank between; the
+bytes saved in the best window are compared with those the template saves on
+itself, so neither a frame's own bytes nor what else is on the line counts.
+Templates that save ``MIN_GAIN`` of that are aligned with every part around
+the mention.  Of confirmed parts that overlap, the one with the greatest
+saving wins.  A part is confirmed with at most ``MAX_DIFFERENCE`` of the
+template's words changed and none of its ``names`` (the words that tell
+licenses and versions apart; a template with a name missing around the mention
+cannot be confirmed, so it is not compressed with).  ``TITLES`` win unchanged
+on lines of their own; after ``SPDX``, the identifiers of the expression that
+follows are the licenses.  Work follows the length of a text and its mentions.
 
 Defined cases: null and empty texts have no blocks; repeated rows are judged
 alike; an empty table gives an empty result.  Columns named like an added one
@@ -23,6 +23,8 @@ are replaced.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +34,13 @@ from pyspark.sql import types as T
 
 from . import textcore as X
 
-LEVEL = 3
+#: Compression level; lower ones do not find matches as short as a title.
+LEVEL = 12
 #: A template is compared word by word where it saves this share of what it
 #: saves on its own wording.
 MIN_GAIN = 0.2
-#: Words from which on the saving tells a changed wording (at
-#: ``MAX_DIFFERENCE``, at least 0.3 of its own) from other text.
-LONG = 16
+#: Windows of a template begin this share of its words apart.
+STEP = 0.125
 #: Share of a template's words that may differ.
 MAX_DIFFERENCE = 0.2
 # Lower-case bytes, one of which every text with a mention holds.
@@ -107,6 +109,7 @@ TITLES = (
     ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International"),
 )
 SPDX = "SPDX-License-Identifier:"
+_COLON = re.compile(rb"\s*:")
 _IDENTIFIER = re.compile(rb"[\s(]*([A-Za-z0-9][A-Za-z0-9.:+-]*)")
 _NEXT = re.compile(rb"(?i)[ \t)]*\b(?<=[\s)])(and|or|with)\b(?=[\s(])")
 
@@ -135,7 +138,7 @@ def _mentions(words: list[bytes]) -> list[int]:
 
 class Template:
     def __init__(self, name: str, names: tuple[str, ...], wording: str, title: bool = False):
-        self.name, self.names, self.words = name, {n.encode() for n in names}, _words(wording.encode())[0]
+        self.name, self.names, self.words = name, {n.encode() for n in names}, tuple(_words(wording.encode())[0])
         self.title, self.limit = title, 0 if title else int(MAX_DIFFERENCE * len(self.words))
         text = b" ".join(self.words)
         known = zstandard.ZstdCompressionDict(text, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -143,22 +146,45 @@ class Template:
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
         self.most = self.saved(text)
         self.reach = len(self.words) + self.limit + 1
+        self.step = max(1, int(STEP * len(self.words)))
 
+    @lru_cache(maxsize=1 << 12)
     def saved(self, text: bytes) -> int:
         return len(self.plain.compress(text)) - len(self.given.compress(text))
 
+    @lru_cache(maxsize=1 << 12)
     def reduction(self, text: bytes) -> float:
         return self.saved(text) / len(self.plain.compress(text))
 
     def near(self, words: list[bytes], at: int) -> tuple[int, int] | None:
-        """The window around the mention at a word, if the template helps
-        to compress it; none of its names may be missing there."""
+        """The words around the mention at a word, if the template helps to
+        compress some part of them; none of its names may be missing there."""
         lo, hi = max(0, at - self.reach), min(len(words), at + self.reach)
-        window = words[lo:hi]
-        if not self.names <= set(window):
+        around = words[lo:hi]
+        if not self.names <= set(around):
             return None
-        helps = len(self.words) < LONG or self.saved(b" ".join(window)) >= MIN_GAIN * self.most
-        return (lo, hi) if helps else None
+        size = len(self.words) + self.limit + self.step - 1
+        for i in range(0, max(1, len(around) - size + self.step), self.step):
+            window = around[i:i + size]  # one of them holds all of any part
+            if self.names <= set(window) and self.saved(b" ".join(window)) >= MIN_GAIN * self.most:
+                return lo, hi
+        return None
+
+
+class Disjoint:
+    """Ranges that do not overlap."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, a: int, b: int) -> bool:
+        place = bisect_left(self.starts, b)
+        if place and self.ends[place - 1] > a:
+            return False
+        self.starts.insert(place, a)
+        self.ends.insert(place, b)
+        return True
 
 
 class Templates:
@@ -174,29 +200,44 @@ class Templates:
         found = self.findings(block)
         return min(found, key=lambda f: (f["n_diff"], -f["reduction"])) if found else None
 
+    @lru_cache(maxsize=1 << 12)  # notices repeat
+    def confirmed(self, around: tuple[bytes, ...], at: int) -> list[tuple[int, int, int, int, str]]:
+        """(template, first word, end, differing words, what differs) of the
+        confirmed parts near a mention."""
+        out, have = [], set(around)
+        for k, t in enumerate(self.held):
+            if t.names <= have and (span := t.near(around, at)):
+                lo, hi = span
+                out += [(k, lo + a, lo + b, n_diff, differ) for a, b, n_diff, differ, touched in alignments(
+                    t.words, around[lo:hi], t.limit) if not touched & t.names]
+        return out
+
     def findings(self, block: bytes) -> list[dict]:
-        """All confirmed licenses whose words do not overlap, in order; of
-        overlapping ones the least changed, then the longest."""
+        """All confirmed licenses whose words do not overlap, in order.  Of
+        a template's parts that overlap the least changed counts, of different
+        templates' the one that saves most, then the least changed."""
         words, s = _words(block)
         found = {}
         for at in _mentions(words):
-            for k, t in enumerate(self.held):
-                if span := t.near(words, at):
-                    lo, hi = span
-                    for a, b, n_diff, differ, touched in alignments(t.words, words[lo:hi], t.limit):
-                        a, b, names = lo + a, lo + b, [t.name]
-                        if t is self.spdx:
-                            names, end = identifiers(block, int(s.end[b - 1]))
-                            b = int(np.searchsorted(s.start, end))
-                        if names and not touched & t.names and (not t.title or _own_lines(s, a, b)):
-                            found[a, b, k] = (n_diff, differ, names)
-        taken, out = [], []
-        for (a, b, k), (n_diff, differ, names) in sorted(found.items(), key=lambda f: (
-                f[1][0], f[0][0] - f[0][1], f[0])):
-            if all(b <= x or y <= a for x, y in taken):
-                taken.append((a, b))
-                reduction = self.held[k].reduction(b" ".join(words[a:b]))
-                out += [{"at": int(s.start[a]), "license": name, "reduction": round(reduction, 4),
+            first = max(0, at - self.reach // 2)
+            for k, a, b, n_diff, differ in self.confirmed(tuple(words[first:at + self.reach // 2]), at - first):
+                a, b, t, names = first + a, first + b, self.held[k], [self.held[k].name]
+                text = b" ".join(words[a:b])
+                if t is self.spdx:
+                    names, end = identifiers(block, int(s.end[b - 1]))
+                    b = int(np.searchsorted(s.start, end))
+                if names and (not t.title or _own_lines(s, a, b)):
+                    found[k, a, b] = (n_diff, differ, names, text)
+        own = {k: Disjoint() for k, _, _ in found}
+        ranked = []
+        for (k, a, b), (n_diff, differ, names, text) in sorted(found.items(), key=lambda f: (
+                f[1][0], f[0][1] - f[0][2], f[0])):
+            if own[k].add(a, b):
+                ranked.append((-self.held[k].saved(text), n_diff, a - b, a, b, k, differ, names, text))
+        taken, out = Disjoint(), []
+        for _, n_diff, _, a, b, k, differ, names, text in sorted(ranked, key=lambda f: f[:6]):
+            if taken.add(a, b):
+                out += [{"at": int(s.start[a]), "license": name, "reduction": round(self.held[k].reduction(text), 4),
                          "n_diff": n_diff, "differences": differ} for name in names]
         return sorted(out, key=lambda f: f["at"])
 
@@ -205,14 +246,14 @@ def identifiers(text: bytes, at: int) -> tuple[list[str], int]:
     """(identifiers, end) of the SPDX expression after a position, on the same
     line; exceptions, which follow ``WITH``, are no licenses."""
     stop = text.find(b"\n", at)
-    line = text[:stop if stop >= 0 else len(text)]
-    colon = re.compile(rb"\s*:").match(line, at)
-    names, at, operator = [], colon.end() if colon else len(line), b""
-    while m := _IDENTIFIER.match(line, at):
+    stop = stop if stop >= 0 else len(text)
+    colon = _COLON.match(text, at, stop)
+    names, at, operator = [], colon.end() if colon else stop, b""
+    while m := _IDENTIFIER.match(text, at, stop):
         at = m.end()
         if operator != b"with":
             names.append(m[1].rstrip(b".:-").decode())
-        if not (m := _NEXT.match(line, at)):
+        if not (m := _NEXT.match(text, at, stop)):
             break
         at, operator = m.end(), m[1].lower()
     return names, at
@@ -224,19 +265,22 @@ def _own_lines(s: X.Scan, a: int, b: int) -> bool:
     return (a == 0 or 10 in s.buf[lo:s.start[a]]) and (b == len(s.start) or 10 in s.buf[s.end[b - 1]:hi])
 
 
-def alignments(wording: list[bytes], words: list[bytes], limit: int) -> list[tuple[int, int, int, str, set[bytes]]]:
+def alignments(wording: tuple[bytes, ...], words: tuple[bytes, ...], limit: int) -> list[tuple[int, int, int, str, set[bytes]]]:
     """Parts of ``words`` that differ from the ``wording`` in at most
     ``limit`` words: (first word, end, number of differing words, what
     differs, the words missing or replaced or added), the least changed part
     for each end."""
     m, n = len(wording), len(words)
-    rows = [[0] * (n + 1)]
+    code = {w: i for i, w in enumerate(wording)}
+    given = np.array([code.get(w, -1) for w in words], np.int64)
+    rows, at = np.zeros((m + 1, n + 1), np.int64), np.arange(n + 1)
     for i, w in enumerate(wording, 1):
-        above, row = rows[-1], [i]
-        for j, x in enumerate(words):
-            row.append(min(above[j] + (w != x), above[j + 1] + 1, row[j] + 1))
-        rows.append(row)
-    out = []
+        rows[i, 0] = i
+        rows[i, 1:] = np.minimum(rows[i - 1, :-1] + (given != code[w]), rows[i - 1, 1:] + 1)
+        rows[i] = np.minimum.accumulate(rows[i] - at) + at  # words added
+    if rows[m].min() > limit:
+        return []
+    out, rows = [], rows.tolist()
     for end in range(n + 1):
         if rows[m][end] > limit:
             continue

@@ -1,3 +1,5 @@
+import random
+import time
 import textwrap
 
 import pytest
@@ -130,6 +132,61 @@ def test_all_licenses_of_a_line_are_found(spark):
     assert got[2] == [name for name, _, _ in license_scan.TEMPLATES]
 
 
+def plain_findings(text):
+    """Every template against every part of the text, ranked by what it saves."""
+    known, words = license_scan.Templates(), license_scan._words(text.encode())[0]
+    ranked = []
+    for k, t in enumerate(known.held):
+        parts = []
+        for a in range(len(words) if t is not known.spdx else 0):
+            for b in range(a + len(t.words) - t.limit, min(len(words), a + len(t.words) + t.limit) + 1):
+                part = words[a:b]
+                d = list(range(len(part) + 1))
+                for i, w in enumerate(t.words, 1):
+                    above, d = d, [i]
+                    for j, x in enumerate(part):
+                        d.append(min(above[j] + (w != x), above[j + 1] + 1, d[j] + 1))
+                if d[-1] <= t.limit and t.names <= set(part) and (
+                        not t.title or b" ".join(part).decode() in text.lower().splitlines()):
+                    parts.append((d[-1], a - b, a, b))
+        own = []
+        for n_diff, n, a, b in sorted(parts):
+            if all(b <= x or y <= a for x, y in own):
+                own.append((a, b))
+                ranked.append((-t.saved(b" ".join(words[a:b])), n_diff, n, a, b, k, t.name))
+    taken = []
+    for _, n_diff, _, a, b, _, name in sorted(ranked):
+        if all(b <= x or y <= a for x, y, *_ in taken):
+            taken.append((a, b, name, n_diff))
+    return [x[2:] for x in sorted(taken)]
+
+
+def test_license_scan_equals_every_template_on_every_part():
+    r, prose = random.Random(4), PROSE.split()
+    known = license_scan.Templates()
+    short = [t for t in known.held if 4 < len(t.words) < 30 and not t.title and t is not known.spdx]
+    for _ in range(25):
+        lines = []
+        for t in r.sample(short, 2):
+            words = [w.decode() for w in t.words]
+            told = {i + d for i in license_scan._mentions(list(t.words)) for d in range(3)}  # without these none is looked for
+            free = [i for i, w in enumerate(t.words) if w not in t.names and i not in told]
+            for i in r.sample(free, min(len(free), r.randint(0, t.limit))):
+                words[i] = r.choice(prose)
+            lines.append(" ".join(r.choices(prose, k=r.randint(0, 8)) + words))
+        text = "\n".join([lines[0], "mit license", lines[1]])
+        found = [(f["license"], f["n_diff"]) for _, b in license_scan.blocks(text.encode()) for f in known.findings(b)]
+        assert found == plain_findings(text) and len(found) >= 3, text
+
+
+def test_one_long_text_of_notices_takes_linear_time():
+    start, n = time.monotonic(), 150_000
+    text = ("Released under the MIT License. " * n + "// SPDX-License-Identifier: MIT " * 10_000).encode()  # 5 MB
+    known = license_scan.Templates()
+    found = [f for _, b in license_scan.blocks(text, known.reach) for f in known.findings(b)]
+    assert len(found) >= n and time.monotonic() - start < 60
+
+
 def test_license_scan_frame(odd, no_docs):
     out = license_scan.scan(odd)
     assert {r.doc_id for r in out.where("size(found) > 0").collect()} == {15}
