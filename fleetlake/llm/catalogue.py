@@ -3,6 +3,7 @@ of the corpus pipeline."""
 
 from __future__ import annotations
 
+import itertools
 from typing import Callable
 
 import public_tokenizers
@@ -122,18 +123,30 @@ def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of these names called something that no column
+    is called, and the names to give them back."""
+    taken, back = {c.lower() for c in docs.columns}, {}
+    for c in [c for c in docs.columns if c.lower() in names]:
+        free = next(f"{c}_{k}" for k in itertools.count() if f"{c}_{k}".lower() not in taken)
+        taken.add(free.lower())
+        back[free] = c
+    return docs.withColumnsRenamed({c: free for free, c in back.items()}), back
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier does not reject."""
-    kept = classifier.score(docs.withColumnRenamed("score", "_score"), _quality_model(spark, docs, sf_dir))
-    return kept.where("score >= 0.5").drop("score").withColumnRenamed("_score", "score").select(*docs.columns)
+    named, back = _aside(docs, "score")
+    kept = classifier.score(named, _quality_model(spark, docs, sf_dir)).where("score >= 0.5")
+    return kept.select(*[F.col(f"`{c}`") for c in named.columns]).withColumnsRenamed(back)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a smaller document has go; so do documents that lose all
     their text."""
-    named = docs.withColumnsRenamed({"n_lines": "_n_lines", "n_dropped": "_n_dropped"})
+    named, back = _aside(docs, "n_lines", "n_dropped")
     out = line_dedup.dedup(named).where(~((F.col("n_dropped") > 0) & (F.btrim("text", F.lit(" \t\n\x0b\f\r")) == "")))
-    out = out.drop("n_lines", "n_dropped").withColumnsRenamed({"_n_lines": "n_lines", "_n_dropped": "n_dropped"})
+    out = out.select(*[F.col(f"`{c}`") for c in named.columns]).withColumnsRenamed(back)
     return _with_length(out, docs.columns)
 
 

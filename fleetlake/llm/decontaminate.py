@@ -7,8 +7,10 @@ once, its windows are looked up by hash, and each hit is confirmed by
 comparing the words themselves.
 
 The broadcast is bounded: the benchmark is read in slices of at most
-``SLICE_CHARS`` characters (its size is counted first), and a larger benchmark
-is applied slice by slice, each one a further pass over the same rows.
+``SLICE_CHARS`` characters, and a larger benchmark is applied slice by slice,
+each one a further pass over the same rows.  The rows are written to the
+shared folder between two slices, so one slice is held at a time, by the
+driver and by every executor.
 
 Defined cases: null or empty texts have no words and no hits; null items or
 item ids, and items without words, match nothing; repeated items count once
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textcore as X
+from .shared import written
 
 SIZE = 10
 #: Characters of benchmark text in one broadcast set.
@@ -136,7 +139,10 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     schema = work.schema
     spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     parts = _slices(benchmark, item_id, "text", slice_chars)
-    for part in chain([next(parts, [])], parts):
+    for k, part in enumerate(chain([next(parts, [])], parts)):
+        if k:
+            work = written(work, "decontaminate")
+            shared.unpersist()
         shared = spark.sparkContext.broadcast(WindowSet(part, size))
 
         def run(batches, shared=shared):
@@ -175,7 +181,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: s
     spark = docs.sparkSession
     X.small_batches(spark)
     out = docs
-    for part in _slices(benchmark, item_id, "text", slice_chars):
+    for k, part in enumerate(_slices(benchmark, item_id, "text", slice_chars)):
+        if k:
+            out = written(out, "decontaminate")
+            shared.unpersist()
         shared = spark.sparkContext.broadcast(WindowSet(part, size))
 
         def run(batches, shared=shared):

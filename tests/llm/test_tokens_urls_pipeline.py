@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -235,6 +236,18 @@ def test_stages_keep_the_columns(spark, odd, no_docs, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, odd, "").count() > 0
 
 
+def test_stages_carry_columns_named_like_their_own(spark, odd):
+    names = ["score", "_score", "Score_0", "n_lines", "_n_lines", "n_dropped", "_n_dropped", "n_lines_0"]
+    named = odd.select("*", *[F.lit(c).alias(c) for c in names if c not in odd.columns])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, named, "/root/testdata/sf0.001")
+        assert out.columns == named.columns, name
+        plain = stage(spark, odd, "/root/testdata/sf0.001")
+        assert out.count() == plain.count() > 0, name
+        added = [c for c in names if c not in odd.columns]
+        assert out.select(added).distinct().collect() == [tuple(added)], name
+
+
 def test_pipeline_matches_plain_python(spark):
     sf = "/root/testdata/sf0.001"
     pieces = corpus_pipeline.run(spark, sf).collect()
