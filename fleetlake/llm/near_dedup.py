@@ -13,12 +13,18 @@ agrees in fewer than ``T`` coordinates with a probability near 1e-7, so:
   the two signatures; pairs with ``T`` or more agreements stay;
 * links are confirmed on the full sets.
 
-A list is never expanded into all its pairs.  First each list's most typical
-class (the one whose values are most common) meets all others.  Classes whose
-lists still hold several components are then posted anew under the rarest
-shingles of their full sets, and two of them meet only if they are in
-different components, one outside the list's largest, and the shingles from
-the meeting point on still suffice for the similarity.
+First each list's most typical class (the one whose values are most common)
+meets all others.  Classes whose lists still hold several components are then
+posted anew under the rarest shingles of their full sets; of lists with the
+same members (the shingles of one shared passage) only the first is kept.
+While the pairs left in these lists far outnumber their entries, about
+``PIVOTS`` new pivots of every list meet its members of other components, in
+rounds, until a round brings nothing together.  What is left then meets only
+if it is in different components, one outside the list's largest, and the
+shingles from the meeting point on still suffice for the similarity.  Before
+their full sets are compared, such pairs must also agree in ``FINE_T`` of
+``FINE`` one-bit coordinates, which a pair at the threshold misses with a
+probability near 1e-7 and a pair at 0.63 reaches once in some 200 times.
 
 Defined cases: empty and null texts have an empty set and are linked with
 nothing; with 1 to 4 words the whole sequence is the one shingle; each row
@@ -39,19 +45,26 @@ from pyspark.sql import functions as F
 
 from . import textcore as X
 from .components import components
-from .shared import written
+from .shared import scratch, written
 
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 K = 48
 T = 20
+#: One-bit coordinates; two of them agree with probability (1 + similarity) / 2.
+FINE = 2048
+FINE_T = 1714
+#: New pivots of a list in a round; rounds go on while pairs > SPARE * entries.
+PIVOTS = 32
+SPARE = 64
 
 _FIRST, _LAST = -(1 << 63), (1 << 63) - 1
 _U = np.uint64
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(1, 1 << 63, K, dtype=np.uint64) | _U(1)
 _ADD = _rng.integers(0, 1 << 63, K, dtype=np.uint64)
+_FINE_MUL = _rng.integers(1, 1 << 63, FINE, dtype=np.uint64) | _U(1)
 
 
 def _sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -81,6 +94,16 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return sig.view(np.int32), prints[0].view(np.int64), prints[1].view(np.int64)
 
 
+def _fine_bits(values: np.ndarray) -> np.ndarray:
+    """FINE one-bit coordinates of a set, as 64-bit words."""
+    bits = np.empty(FINE, np.uint8)
+    step = max(1, (1 << 20) // max(1, len(values)))
+    for k in range(0, FINE, step):
+        least = (values[None, :] * _FINE_MUL[k:k + step, None]).min(axis=1)
+        bits[k:k + step] = X.mix(least) & _U(1)
+    return np.packbits(bits).view(np.int64)
+
+
 class Numbered:
     """Rows of ``docs`` as (o, row), where ``o`` is a number of the document:
     its id less ``shift``, and from ``after`` on one for each row without an
@@ -167,15 +190,37 @@ def _full_sets(texts: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
         .mapInArrow(run, "rep long, set array<long>")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, match: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b), those that agree in ``match`` coordinates
-    and whose full sets are similar enough."""
+def _alike(pairs: DataFrame, classes: DataFrame, match: int, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b), those of possible sizes that agree in
+    ``match`` coordinates."""
     side = classes.select("rep", "n", "sig")
-    near = (pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
+    return (pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
             .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
             .where(F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0),
                                lambda s, x: s + x) >= match)
             .select("a", "b"))
+
+
+def _finely(pairs: DataFrame, sets: DataFrame, match: int) -> DataFrame:
+    """Of written pairs (a, b), those that agree in ``match`` one-bit
+    coordinates; these are made for classes in some pair only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [_fine_bits(x.values.to_numpy().view(np.uint64)) for x in batch.column("set")]
+            ends = np.arange(len(bits) + 1, dtype=np.int32) * (FINE // 64)
+            flat = np.concatenate(bits) if bits else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rep"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["rep", "bits"])
+
+    reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    bits = written(sets.join(reps, "rep", "left_semi").mapInArrow(run, "rep long, bits array<long>"), "bits")
+    apart = F.aggregate(F.zip_with("xa", "xb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(bits.toDF("a", "xa"), "a").join(bits.toDF("b", "xb"), "b") \
+        .where(FINE - apart >= match).select("a", "b")
+
+
+def _confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose full sets are similar enough."""
     inter = F.size(F.array_intersect("xa", "xb"))
     return (near.join(sets.toDF("b", "xb"), "b").join(sets.toDF("a", "xa"), "a")
             .where(100 * inter >= percent * (F.size("xa") + F.size("xb") - inter))
@@ -183,33 +228,62 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, match: int
 
 
 def _mixed(lists: DataFrame) -> DataFrame:
-    """The rows (token, root, ...) of lists with several components, and each
-    list's largest one as ``main``."""
+    """The rows (token, root, ...) of lists with several components, with each
+    list's largest one as ``main``, its ``size`` and the list's ``rows``."""
     parts = lists.groupBy("token", "root").agg(F.count("*").alias("size"))
-    main = parts.groupBy("token").agg(F.max(F.struct("size", "root"))["root"].alias("main"),
-                                      F.count("*").alias("roots")).where("roots > 1").select("token", "main")
-    return lists.join(written(main, "mixed-lists"), "token")
+    main = parts.groupBy("token").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("rows"),
+                                      F.count("*").alias("roots")).where("roots > 1")
+    return lists.join(written(main.select("token", "main.root", "main.size", "rows")
+                              .toDF("token", "main", "size", "rows"), "mixed-lists"), "token")
 
 
 def _set_prefixes(full: DataFrame, percent: int) -> DataFrame:
-    """(token, rep, root, n, ahead): each class under the rarest shingles of
-    its full set, one of which it shares with any class similar enough;
-    ``ahead`` counts the shingles from this one on, so the overlap of two
-    classes that first meet here is at most the smaller ``ahead``."""
-    shingles = full.select("rep", "root", "n", F.explode("set").alias("token"))
+    """(token, f, rep, n, ahead): each class under the rarest shingles of its
+    full set, one of which it shares with any class similar enough; ``ahead``
+    counts the shingles from this one on, so the overlap of two classes that
+    first meet here is at most the smaller ``ahead``."""
+    shingles = full.select("rep", "n", F.explode("set").alias("token"))
     common = written(shingles.groupBy("token").agg(F.count("*").alias("f")).where("f > 1"), "common-shingles")
-    held = shingles.join(common, "token").groupBy("rep", "root", "n").agg(
+    held = shingles.join(common, "token").groupBy("rep", "n").agg(
         F.sort_array(F.collect_list(F.struct("f", "token"))).alias("held"))  # at most the set
     shared = F.size("held")
     length = shared - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    return held.where(length > 0).select("rep", "root", "n", shared.alias("shared"),
+    return held.where(length > 0).select("rep", "n", shared.alias("shared"),
                                          F.posexplode(F.slice("held", F.lit(1), length)).alias("at", "p")) \
-        .select("p.token", "rep", "root", "n", (F.col("shared") - F.col("at")).alias("ahead"))
+        .select("p.token", "p.f", "rep", "n", (F.col("shared") - F.col("at")).alias("ahead"))
+
+
+def _distinct_lists(posted: DataFrame) -> DataFrame:
+    """The lists of two classes or more; of those with the same members only
+    the first in the order of prefixes, where every ``ahead`` is largest."""
+    members = posted.groupBy("token", "f").agg(
+        F.count("*").alias("rows"), F.bit_xor(F.xxhash64("rep")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(5), "rep")).alias("y")).where("rows > 1")
+    first = members.groupBy("rows", "x", "y").agg(F.min(F.struct("f", "token"))["token"].alias("token"))
+    return posted.join(written(first.select("token"), "list-names"), "token").drop("f")
+
+
+def _apart(x: str, y: str, percent: int):
+    """Whether two entries of a list may still be linked, in other components."""
+    return ((F.col(f"{x}.token") == F.col(f"{y}.token")) & (F.col(f"{x}.root") != F.col(f"{y}.root"))
+            & (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n"))
+            & ((100 + percent) * F.least(f"{x}.ahead", f"{y}.ahead")
+               >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n"))))
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def links(texts: DataFrame, signed: DataFrame, classes: DataFrame, shingle: int, percent: int,
           match: int) -> DataFrame:
     """(node, root) for every class that is linked with another one."""
+    with scratch(texts.sparkSession) as kept:
+        return kept(_links(texts, signed, classes, shingle, percent, match), "roots")
+
+
+def _links(texts: DataFrame, signed: DataFrame, classes: DataFrame, shingle: int, percent: int,
+           match: int) -> DataFrame:
     posted = written(postings(classes, match), "postings")
     lists = posted.groupBy("token").agg(
         F.max(F.struct("score", (-F.col("rep")).alias("rep"))).alias("top"), F.count("*").alias("n"))
@@ -217,27 +291,48 @@ def links(texts: DataFrame, signed: DataFrame, classes: DataFrame, shingle: int,
     in_list = posted.join(lists, "token")
     sets = written(_full_sets(texts, in_list.select("rep").distinct(), shingle), "sets")
 
-    stars = written(in_list.where("rep <> pivot")
-                    .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(),
-                    "pairs")
-    found = written(_confirmed(stars, classes, sets, match, percent), "links")
+    met = written(in_list.where("rep <> pivot")
+                  .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(),
+                  "pairs")
+    found = written(_confirmed(_alike(met, classes, match, percent), sets, percent), "links")
     roots = components(found, "a", "b")
 
     # What the typical classes did not bring together.
     rooted = written(posted.select("token", "rep").join(roots.toDF("rep", "root"), "rep", "left")
                      .select("token", "rep", F.coalesce("root", "rep").alias("root")), "rooted")
-    left = written(_mixed(rooted).select("rep", "root").distinct(), "unsettled")
-    full = sets.join(left, "rep").select("rep", "root", "set", F.size("set").alias("n"))
-    mixed = written(_mixed(written(_set_prefixes(full, percent), "prefixes")), "mixed-lists")
+    left = written(_mixed(rooted).select("rep").distinct(), "unsettled")
+    full = sets.join(left, "rep").select("rep", "set", F.size("set").alias("n"))
+    lists = written(_distinct_lists(written(_set_prefixes(full, percent), "prefixes")), "lists")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        near = written(_alike(pairs, classes, match, percent), "pairs")
+        # The fine coordinates hold for this similarity; other settings go without them.
+        near = _finely(near, sets, FINE_T) if percent >= PERCENT else near
+        return written(_confirmed(near, sets, percent), "links")
+
+    before, turn = None, 0
+    while True:
+        mixed = written(_mixed(lists.join(roots.toDF("rep", "root"), "rep", "left")
+                               .withColumn("root", F.coalesce("root", "rep"))), "mixed-lists")
+        outside = (F.col("rows") - F.col("size")).cast("double")
+        one = mixed.select("token", "rows", outside.alias("out"), (F.col("rows") - outside).alias("size"))
+        # Each list's pairs, shared out among its rows.
+        pairs, rows = one.agg(F.coalesce(F.sum((F.col("out") * F.col("size") + F.col("out") * F.col("out") / 2)
+                                               / F.col("rows")), F.lit(0.0)), F.count("*")).head()
+        if pairs <= SPARE * rows or (before is not None and pairs > 0.9 * before):
+            break
+        before, turn = pairs, turn + 1
+        # A pivot of one list is mostly one of lists like it, too, so pairs recur.
+        chance = F.abs(F.xxhash64(F.lit(turn), "rep").cast("double")) / float(1 << 63)
+        pivots = written(mixed.where(chance * F.col("rows") < PIVOTS), "pivots")
+        star = written(_pairs(pivots.alias("x").join(mixed.alias("y"), _apart("x", "y", percent)))
+                       .join(met, ["a", "b"], "left_anti"), "pairs")
+        more = linked(star)
+        met, roots = met.unionByName(star), components(roots.toDF("a", "b").unionByName(more), "a", "b")
     x, y = mixed.where("root <> main").alias("x"), mixed.alias("y")
-    both = F.col("x.n") + F.col("y.n")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
-                  & ((F.col("y.root") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))
-                  & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-                  & ((100 + percent) * F.least("x.ahead", "y.ahead") >= percent * both)) \
-        .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = written(_confirmed(rest, classes, sets, match, percent), "links")
+    rest = _pairs(x.join(y, _apart("x", "y", percent)
+                         & ((F.col("y.root") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep")))))
+    more = linked(rest.join(met, ["a", "b"], "left_anti"))
     # Texts under one id are one document.
     several = signed.where("n > 0").groupBy("o").agg(F.min("f1").alias("x"), F.max("f1").alias("y")) \
         .where("x <> y").select("o")

@@ -67,6 +67,35 @@ def test_near_duplicates_in_a_large_group(spark):
     assert components_of(near_dedup.near_duplicates(df)) == brute_rows(docs)
 
 
+def family(r, n, shared=40, each=31, words=20):
+    """Documents that hold most of the same passages, each pair near 0.63."""
+    passages = [" ".join(f"p{r.randrange(10**6)}" for _ in range(words)) for _ in range(shared)]
+    return [(i, " ".join(passages[k] for k in sorted(r.sample(range(shared), each)))) for i in range(n)]
+
+
+def test_near_duplicates_in_a_family_below_the_threshold(spark, monkeypatch):
+    docs = family(random.Random(12), 90)
+    want = brute_rows(docs)
+    assert 1 < len({c for _, _, c, _ in want}) < 90  # some links, most pairs have none
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert components_of(near_dedup.near_duplicates(df)) == want
+    monkeypatch.setattr(near_dedup, "SPARE", 0)  # new pivots, as in much larger groups
+    monkeypatch.setattr(near_dedup, "PIVOTS", 3)
+    assert components_of(near_dedup.near_duplicates(df)) == want
+
+
+def test_intermediate_tables_are_deleted(spark):
+    import os
+
+    from fleetlake.session import checkpoint_dir
+    at = checkpoint_dir(spark).removeprefix("file:") + "/llm"
+    docs = spark.createDataFrame(family(random.Random(3), 20), "doc_id long, text string")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    out = near_dedup.near_duplicates(docs)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(at)) - before}
+    assert left == {"signatures", "classes", "roots"} and out.count() == 20
+
+
 def test_near_duplicates_odd_cases(odd, no_docs):
     got = near_dedup.near_duplicates(odd)
     assert components_of(got) == brute_rows(ODD_TEXTS)
