@@ -5,8 +5,11 @@ the pages they label.
 wins.  The URLs so decided are labelled baskets of tokens (scheme, host
 suffixes, path segments, query keys); FP-growth finds token combinations
 frequent among them.  Combinations that name a label with enough confidence
-and support become mined rules; those that a more general rule of at least
-the same confidence covers are pruned.  A mined rule fires when all its tokens
+and support become mined rules, but not those that only say again what an
+explicit rule says: the support has to come from URLs whose deciding rule names
+none of the combination's tokens (its host's suffixes and subdomains, its
+path's segments).  Rules that a more general one of at least the same
+confidence covers are pruned.  A mined rule fires when all its tokens
 are in the URL; firing rules are found by an inverted index from token to
 rule, and the most confident one decides.  Where none fires, ``DEFAULT``
 holds.
@@ -72,9 +75,22 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
         .otherwise(F.array_distinct(F.concat(scheme, suffixes, segments, keys)))
 
 
+def unnamed(items: Column, name: Column, rules) -> Column:
+    """The tokens that the explicit rule ``name`` does not name itself."""
+    def free(h: str, p: str) -> Column:
+        labels = h.split(".")
+        own = ["h:" + ".".join(labels[k:]) for k in range(len(labels))] + [f"p:{x}" for x in p.split("/") if x]
+        return F.filter(items, lambda x: ~x.isin(own) & ~(x.startswith("h:") & x.endswith("." + h)))
+
+    out = items
+    for h, p, _ in rules:
+        out = F.when(name == h + p, free(h, p)).otherwise(out)
+    return out
+
+
 def mine(baskets: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """(rule, items, label, confidence, support) from labelled baskets
-    (items, label)."""
+    (items, free, label); ``free`` are the items that count as evidence."""
     labels = [r.label for r in baskets.select("label").distinct().collect()]  # allow, block
     spark = baskets.sparkSession
     if not labels:
@@ -86,6 +102,16 @@ def mine(baskets: DataFrame, min_support: float, min_confidence: float) -> DataF
         .select(F.xxhash64(F.array_sort("antecedent")).alias("rule"), F.array_sort("antecedent").alias("items"),
                 F.expr("substring(consequent[0], 2)").alias("label"), "confidence", "support")
     found = written(found, "url-rules")
+    # Rules whose own label has enough evidence in tokens that no deciding rule names.
+    evidence = written(baskets.groupBy(F.array_sort("free").alias("free"), "label").agg(F.count("*").alias("urls")),
+                       "url-evidence")
+    n_all = evidence.agg(F.sum("urls")).head()[0]
+    wanted = found.select("rule", "label", F.size("items").alias("n"), F.explode("items").alias("token"))
+    proven = evidence.select("free", "label", "urls", F.explode("free").alias("token")).join(wanted, ["token", "label"]) \
+        .groupBy("free", "label", "urls", "rule", "n").agg(F.count("*").alias("met")).where("met = n") \
+        .groupBy("rule").agg(F.sum("urls").alias("urls")) \
+        .where(F.col("urls") >= min_support * n_all).select("rule")
+    found = written(found.join(proven, "rule", "left_semi"), "url-rules")
     # A rule is covered if all tokens of a smaller one, as confident, are its own.
     posted = found.select("rule", "label", "confidence", F.size("items").alias("n"), F.explode("items").alias("token"))
     general = posted.select(F.col("rule").alias("by"), F.col("label").alias("by_label"), F.col("n").alias("by_n"),
@@ -125,8 +151,9 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RU
     name, verdict = explicit(F.col("host"), F.col("path"), rules)
     parsed = parsed.select("page_id", "url", "host", "path", name.alias("rule"), verdict.alias("explicit"))
     items = tokens(F.col("url"), F.col("host"), F.col("path"))
-    mined = mine(parsed.where("rule IS NOT NULL").select(items.alias("items"), F.col("explicit").alias("label")),
-                 min_support, min_confidence)
+    mined = mine(parsed.where("rule IS NOT NULL").select(
+        items.alias("items"), unnamed(items, F.col("rule"), rules).alias("free"), F.col("explicit").alias("label")),
+        min_support, min_confidence)
     open_urls = parsed.where("rule IS NULL").select("url", "host", "path").distinct().select("url", items.alias("items"))
     return parsed.join(decide(open_urls, mined), "url", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("explicit", "label", F.lit(default)).alias("verdict"),

@@ -198,6 +198,14 @@ def test_explicit_url_rules(spark):
     assert {r.verdict for r in url_filter.judge(df.where("page_id in (9, 10)")).collect()} == {"allow"}  # nothing mined
 
 
+def named(rule, basket):
+    """The tokens of a basket that its deciding rule, like ``net/es/``, names."""
+    host, *path = rule.split("/")
+    labels = host.split(".")
+    own = {"h:" + ".".join(labels[k:]) for k in range(len(labels))} | {f"p:{x}" for x in path if x}
+    return {x for x in basket if x in own or x.startswith("h:") and x.endswith("." + host)}
+
+
 def test_mined_url_rules_match_plain_python(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     address = pages.select("url").toDF("url")
@@ -217,6 +225,10 @@ def test_mined_url_rules_match_plain_python(spark):
                 n_label[c, label] += 1
     rules = [(c, label, m / n[c], m / len(labelled)) for (c, label), m in n_label.items()
              if m >= least and m / n[c] >= url_filter.MIN_CONFIDENCE]
+    free = [(b - named(expected_rule(u)[2][0], b), label) for (b, label), u in
+            zip(labelled, [u for u in urls if expected_rule(u)[2][0]])]
+    every, rules = rules, [r for r in rules if sum(set(r[0]) <= b and label == r[1] for b, label in free) >= least]
+    assert (("p:en",), "block") in [r[:2] for r in every] and (("p:en",), "block") not in [r[:2] for r in rules]
     rules = [r for r in rules if not any(o[1] == r[1] and set(o[0]) < set(r[0]) and o[2] >= r[2] for o in rules)]
     assert rules
     for r in url_filter.judge(pages).join(pages, "page_id").collect():
