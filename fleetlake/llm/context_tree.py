@@ -33,13 +33,14 @@ gives an empty result; with no training row every decision has probability
 
 from __future__ import annotations
 
+import ctypes
 from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as X
@@ -57,6 +58,8 @@ LEAST_BUCKETS = 64
 #: in which they are kept.
 PENDING = 1 << 20
 RANGES = 16
+#: Bytes of rows that go between Spark and Python at once, and one row more.
+BATCH_BYTES = 4 << 20
 #: Steps of one decimal digit in an answer.
 DIGIT = float(1 << 36)
 _END_BYTE = b"\xff"  # never part of UTF-8
@@ -66,6 +69,25 @@ _WORD = _U(1 << 63)
 _END_TOKEN = _U(1 << 63 | 1)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """A row holds up to a bucket's strings of a block, or many texts, so
+    batches are bounded by their bytes too: Spark holds them outside its heap,
+    the worker beside what it works on."""
+    X.small_batches(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.get(key, None):  # a size that the session chose stays
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _give_back() -> None:
+    """Freed memory back to the system: a worker outlives its tasks, and what
+    it keeps is missing to the steps after."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(key of every byte with its context, first key of each text and the
     end); the end mark of a text included."""
@@ -209,8 +231,9 @@ def _unpack_texts(row: dict) -> tuple[list, np.ndarray, list[bytes]]:
     return ids, unpack(pieces[0]).astype(bool), [whole[lo:hi] for lo, hi in zip([0, *ends], ends)]
 
 
-def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows in batches of a bounded number of bytes."""
+def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of a bounded number of bytes; at the end freed memory
+    is given back."""
     held, total = [], 0
     for row in rows:
         held.append(row)
@@ -220,6 +243,8 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 16 << 20) -> I
             held, total = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema=schema)
+    held.clear()
+    _give_back()
 
 
 def _blocks(rows: DataFrame, buckets: int, depth: int, block_bytes: int) -> DataFrame:
@@ -237,6 +262,7 @@ def _blocks(rows: DataFrame, buckets: int, depth: int, block_bytes: int) -> Data
                     if total >= block_bytes:
                         yield from _dealt(number, *tally.merge(), buckets, depth)
                         number, total, tally = number + 1, 0, Tally()
+                        _give_back()
             yield from _dealt(number, *tally.merge(), buckets, depth)
         yield from _batches(made(), _ARROW)
 
@@ -462,7 +488,7 @@ def _answers(parts: DataFrame, merged: DataFrame, depth: int) -> DataFrame:
 def tree_values(grams: DataFrame, depth: int) -> DataFrame:
     """(key, value): log10 of the probability of each key's last byte after
     its context, from the training counts ``n`` of the keys."""
-    X.small_batches(grams.sparkSession)
+    _small_batches(grams.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
@@ -535,7 +561,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
     """One row per document: doc_id, held_out, n_tokens, n_known, n_bytes,
     train_tokens, base_score (unigram words), score (log10 probability of the
     text) and code_length (bits per byte, end mark included)."""
-    X.small_batches(docs.sparkSession)
+    _small_batches(docs.sparkSession)
     own = F.col(f"`{doc_id}`")
     rows = docs.select(own.cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"),
                        (held_out if held_out is not None else held_out_fold(own)).alias("held_out"))
@@ -555,12 +581,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_out:
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 if row["block"] != block:
                     block, parts, answers = row["block"], [], None
+                    _give_back()
                 if row["place"] == 0:
                     parts.append((row["keys"], row["n"]))
                     continue
                 if answers is None:  # a block's texts come after its answers
                     answers = Answers(parts, depth, size.n, size.v)
+                    _give_back()
                 yield answers.scores(row)
+        block, parts, answers = None, [], None
+        _give_back()
 
     out = blocks.mapInArrow(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base_score double, score double")

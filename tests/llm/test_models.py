@@ -2,6 +2,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,37 @@ def test_context_tree_beats_unigram_words_on_held_out_documents(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert len(rows) > 100 and sum(r.score > r.base_score for r in rows) >= 0.5 * len(rows)
+
+
+def test_context_tree_bounds_the_bytes_between_spark_and_python(spark):
+    """Its rows are as large as a bucket of a block: 40 of 1 MB were one batch."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "size": [batch.nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        context_tree.score(spark.createDataFrame([(1, "a text")], "doc_id long, text string")).collect()
+        rows = spark.range(0, 40, 1, 1).select(F.expr("cast(repeat('x', 1000000) as binary)").alias("b"))
+        got = rows.mapInArrow(sizes, "rows long, size long").collect()
+        assert sum(r.rows for r in got) == 40 and max(r.size for r in got) < context_tree.BATCH_BYTES + 2_000_000
+        spark.conf.set(key, "1000000")
+        context_tree._small_batches(spark)
+        assert spark.conf.get(key) == "1000000"
+    finally:
+        spark.conf.unset(key)
+
+
+def test_context_tree_worker_gives_memory_back(spark):
+    """What a worker still holds after its blocks is missing to later steps."""
+    def held(batches):
+        list(batches)
+        values = [np.full(1 << 14, k) for k in range(2000)]  # 260 MB in pieces below the size that goes back by itself
+        last = np.ones(1 << 12)
+        del values
+        context_tree._give_back()
+        kb = [int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon")]
+        yield pa.RecordBatch.from_pydict({"kb": kb[:1], "n": [len(last)]})
+
+    assert spark.range(0, 1, 1, 1).mapInArrow(held, "kb long, n long").head().kb < 200_000
