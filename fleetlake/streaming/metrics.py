@@ -102,12 +102,14 @@ def late_rows(raw: DataFrame, ts: str, size: str, slide: str, watermark: str, ba
     it had ended at the watermark their micro-batch began with, which is the
     latest time in earlier batches less the delay (as ``interval`` text).
 
-    One row per micro-batch passes through the running maximum."""
+    One row per micro-batch passes through the running maximum, and is then
+    sent to all tasks: joined by a shuffle, a batch's rows would be read by one
+    task."""
     before = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
     known = raw.groupBy(batch).agg(F.max(ts).alias("__t")) \
         .select(F.col(batch).alias("__b"), (F.max("__t").over(before) - F.expr(f"interval {watermark}")).alias("__known"))
     end = F.window(F.col(ts), slide).getField("start") + F.expr(f"interval {size}")
-    return raw.withColumn("__end", end).join(known, (F.col(batch) == F.col("__b")) & (F.col("__end") <= F.col("__known"))) \
+    return raw.withColumn("__end", end).join(F.broadcast(known), (F.col(batch) == F.col("__b")) & (F.col("__end") <= F.col("__known"))) \
         .drop("__b", "__known", "__end")
 
 

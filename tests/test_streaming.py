@@ -107,3 +107,20 @@ def test_closed_windows_are_appended_once_and_late_rows_are_found(spark):
     # The last quarter hour of a late row's windows had ended an hour after its start.
     closed = {i for i, t, _, _ in late if t - (t - t0) % dt.timedelta(minutes=15) + dt.timedelta(hours=1) <= edge - dt.timedelta(hours=2)}
     assert {r.id for r in found.collect()} == closed == set(range(1000, 1020))
+
+
+def test_late_rows_of_one_batch_are_spread(spark):
+    """Joined by a shuffle, all rows of a micro-batch were read by one task."""
+    t0, key = dt.datetime(2024, 1, 1), "spark.sql.autoBroadcastJoinThreshold"
+    rows = [(i, t0 + dt.timedelta(hours=i), 0) for i in range(48)] + [(100 + i, t0 + dt.timedelta(hours=i), 1) for i in range(48)]
+    raw = spark.createDataFrame(rows, "id long, ts timestamp_ntz, batch_id long")
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = late_rows(raw, "ts", "1 hour", "1 hour", "2 hours")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        # The first batch ended at hour 47: what ended by hour 45 is late.
+        assert sorted(r.id for r in found.collect()) == list(range(100, 145))
+    finally:
+        spark.conf.set(key, before)
