@@ -7,9 +7,10 @@ same frame can be written to files (``publish``: a folder per topic and
 partition).
 
 A log kept as files is a folder of segments, each a range of offsets
-(``append_segments``), with an index of one row per segment.  A bounded read
-chooses its segments from the index, so it opens only files that hold wanted
-records, however long the log and whatever its gaps.
+(``append_segments``), with an index of one row per segment; an append adds
+its rows of the index as one folder.  A bounded read chooses its segments from
+the index and goes to their folders, so it lists and opens only files that hold
+wanted records, however long the log and whatever its gaps.
 """
 
 from __future__ import annotations
@@ -90,21 +91,27 @@ def append_segments(rows: DataFrame, root: str, offset_column: str, segment: int
     """Append records to a log folder: one segment per ``segment`` offsets
     (``data/segment=<n>``), and its first and last offset and number of rows
     in the index.  Segments present in ``rows`` are replaced, so a repeated
-    append changes nothing; ``rows`` holds whole segments."""
+    append changes nothing; ``rows`` holds whole segments.
+
+    The index gets one folder per append (``index/part=<n>``, in the order of
+    appends); of a segment that several hold, the last one counts."""
+    spark = rows.sparkSession
     placed = rows.withColumn("segment", F.floor(F.col(offset_column) / segment).cast("long"))
     (placed.repartition("segment").sortWithinPartitions("segment", offset_column).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("segment").parquet(f"{root}/data"))
-    numbers = [r[0] for r in placed.select("segment").distinct().collect()]
-    index = rows.sparkSession.read.parquet(f"{root}/data").where(F.col("segment").isin(numbers)) \
-        .groupBy("segment").agg(F.min(offset_column).alias("first"), F.max(offset_column).alias("last"), F.count("*").alias("rows"))
-    (index.withColumn("part", F.col("segment")).coalesce(1).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{root}/index"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/index")
+    known = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    last = spark.read.schema("part long").parquet(f"{root}/index").agg(F.max("part")).head()[0] if known else None
+    index = placed.where("segment is not null").groupBy("segment").agg(
+        F.min(offset_column).alias("first"), F.max(offset_column).alias("last"), F.count("*").alias("rows"))
+    index.write.mode("append").parquet(f"{root}/index/part={0 if last is None else last + 1}")
 
 
 def segments_for(spark: SparkSession, root: str, start_offset: int | None, max_messages: int) -> list[int]:
     """The segments that hold the first ``max_messages`` records after
     ``start_offset``: at most as many as the records asked for, plus one."""
-    index = spark.read.parquet(f"{root}/index")
+    index = spark.read.parquet(f"{root}/index").groupBy("segment").agg(
+        F.max_by(F.struct("first", "last", "rows"), "part").alias("x")).select("segment", "x.*")
     if start_offset is not None:
         index = index.where(F.col("last") > start_offset)
     # Only what certainly lies after the start counts towards the limit.
@@ -120,7 +127,10 @@ def bounded_log_read(spark: SparkSession, root: str, offset_column: str, start_o
     """A7 with a bounded far end: at most ``max_messages`` records after
     ``start_offset``, in offset order, from the segments that hold them."""
     wanted = segments_for(spark, root, start_offset, max_messages)
-    log = spark.read.parquet(f"{root}/data").where(F.col("segment").isin(wanted)).drop("segment")
+    # With none wanted, any segment tells the columns.
+    seen = wanted or [r.segment for r in spark.read.parquet(f"{root}/index").select("segment").limit(1).collect()]
+    log = spark.read.option("basePath", f"{root}/data").parquet(*[f"{root}/data/segment={n}" for n in seen]) \
+        .where(F.col("segment").isin(wanted)).drop("segment")
     return bounded_slice(log, offset_column, start_offset, max_messages)
 
 

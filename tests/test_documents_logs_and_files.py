@@ -70,6 +70,28 @@ def test_bounded_reads_open_only_their_segments(spark, tmp_dir):
     assert "PartitionFilters: [isnotnull(segment" in plan or "PartitionFilters: [segment" in plan
 
 
+def test_log_index_grows_by_appends_and_reads_list_their_segments(spark, tmp_dir):
+    """It had a file per segment, written by one task, and every read listed the whole log."""
+    def rows(lo, hi, step=1):
+        return spark.range(lo, hi, step).select(F.col("id").alias("offset"), F.concat(F.lit("m"), "id").alias("value"))
+
+    def read(start, limit):
+        return [r.offset for r in bounded_log_read(spark, tmp_dir, "offset", start, limit).orderBy("offset").collect()]
+
+    append_segments(rows(0, 400), tmp_dir, "offset", 10)
+    assert _files(f"{tmp_dir}/index") <= 8 and _files(f"{tmp_dir}/data") == 40
+    got = bounded_log_read(spark, tmp_dir, "offset", 99, 15)
+    assert [r.offset for r in got.orderBy("offset").collect()] == list(range(100, 115)) and len(got.inputFiles()) == 2
+    append_segments(rows(0, 400), tmp_dir, "offset", 10)                       # again: nothing changes
+    assert read(99, 15) == list(range(100, 115))
+    append_segments(rows(100, 110, 5), tmp_dir, "offset", 10)                  # a segment with fewer records
+    assert read(99, 15) == [100, 105, *range(110, 123)]
+    assert segments_for(spark, tmp_dir, 99, 2) == [10] and segments_for(spark, tmp_dir, 99, 3) == [10, 11]
+    assert read(399, 5) == [] and bounded_log_read(spark, tmp_dir, "offset", 399, 5).columns == ["offset", "value"]
+    append_segments(rows(410, 420).unionByName(spark.createDataFrame([(None, "none")], "offset long, value string")), tmp_dir, "offset", 10)
+    assert read(399, 5) == list(range(410, 415)) and len(read(None, 1000)) == 402
+
+
 def test_topics_keep_a_key_in_one_partition(spark, tmp_dir):
     rows = [(i, i % 11 if i % 13 else None, "ab"[i % 2]) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, device long, kind string")
